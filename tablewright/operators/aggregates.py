@@ -10,9 +10,7 @@ lists), never over raw fact rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import col
@@ -69,11 +67,11 @@ def cardinality_factor(df: DataFrame, columns: list[str]) -> DataFrame:
         aggs.append(F.count_distinct(F.col(c)).alias(f"d_{c}"))
         aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"n_{c}"))
     row = df.agg(*aggs)
-    parts = [row.select(F.lit(c).alias("column_name"),
+    per_col = [F.struct(F.lit(c).alias("column_name"),
                         (F.col("_tw_rows") / F.greatest(F.col(f"d_{c}") + F.coalesce(F.col(f"n_{c}"), F.lit(0)), F.lit(1)))
                         .cast("bigint").alias("factor"))
-             for c in columns]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+               for c in columns]
+    return row.select(F.inline(F.array(*per_col)))
 
 
 def minmax_many(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,7 +111,6 @@ def top_with_other(df: DataFrame, key: str, value, min_share: float = 0.01,
     big = F.col("_tw_v") > F.col("_tw_t") * min_share
     folded = (j.withColumn(key, F.when(big, F.col(key)).otherwise(F.lit(other)))
                 .groupBy(key).agg(F.sum("_tw_v").alias("_tw_v")))
-    from pyspark.sql import Window
     w = Window.orderBy(F.col("_tw_v").desc(), F.col(key))
     return folded.select(F.row_number().over(w).cast("string").alias("rank"), key,
                          F.round(F.col("_tw_v") * scale, digits).alias("size"))

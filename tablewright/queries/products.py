@@ -108,3 +108,217 @@ SELECT 'L_l_linestatus_Dim_ID', 'L_l_linestatus_Dim',
 """)
 def fk_check(spark, d):
     return lineitem_star(spark, d).violations
+
+
+# ---------------------------------------------------------------- C8-C11 snapshot compare
+
+from tablewright.plans import compare as C  # noqa: E402
+from tablewright.plans.templates import template_merge  # noqa: E402
+from tablewright.sources import sinks as K  # noqa: E402
+from tablewright.sources.profile import column_profile  # noqa: E402
+
+SPARK_TYPES = {
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+               ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
+                 ("c_mktsegment", "string")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+}
+
+
+def _snapshot_sql(name: str, rel: str, cols: list[tuple[str, str]]) -> str:
+    parts = [f"SELECT '{name}' AS Item, '' AS Parent, 'TABLE' AS Property_Type, "
+             f"'columns={len(cols)};rows=' || CAST(count(*) AS VARCHAR) AS Properties FROM {rel}"]
+    for c, t in cols:
+        parts.append(f"SELECT '{c}', '{name}', 'COLUMN', 'type={t};nulls=' || CAST(count(*) - count({c}) AS VARCHAR) || "
+                     f"';distinct=' || CAST(count(DISTINCT {c}) AS VARCHAR) FROM {rel}")
+    return " UNION ALL ".join(parts)
+
+
+_SRC_ORDERS = "(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')"
+_TGT_ORDERS = "(SELECT * EXCLUDE (o_orderpriority) FROM orders)"
+
+
+@query("snapshot_compare", sql=f"""
+WITH src0 AS ({_snapshot_sql('orders', _SRC_ORDERS, SPARK_TYPES['orders'])}
+              UNION ALL {_snapshot_sql('customer', 'customer', SPARK_TYPES['customer'])}),
+tgt0 AS ({_snapshot_sql('orders', _TGT_ORDERS, SPARK_TYPES['orders'][:5])}
+         UNION ALL {_snapshot_sql('supplier', 'supplier', SPARK_TYPES['supplier'])}),
+src1 AS (SELECT Parent || Item AS Item, Parent, Property_Type, Properties FROM src0),
+tgt1 AS (SELECT Parent || Item AS Item, Parent, Property_Type, Properties FROM tgt0),
+src AS (SELECT * FROM src1 s WHERE NOT (s.Parent > '' AND NOT EXISTS (SELECT 1 FROM tgt1 t WHERE t.Item = s.Parent AND t.Item <> t.Parent))),
+tgt AS (SELECT * FROM tgt1 t WHERE NOT (t.Parent > '' AND NOT EXISTS (SELECT 1 FROM src s WHERE s.Item = t.Parent AND s.Item <> s.Parent)))
+SELECT CASE WHEN s.Item IS NULL THEN 'only in target' WHEN t.Item IS NULL THEN 'only in source'
+            WHEN s.Properties <> t.Properties THEN 'different Properties' ELSE 'match' END AS Result,
+       coalesce(s.Item, t.Item) AS Item, coalesce(s.Property_Type, t.Property_Type) AS Property_Type,
+       coalesce(s.Properties, '') AS Source_Properties, coalesce(t.Properties, '') AS Target_Properties
+FROM src s FULL OUTER JOIN tgt t ON s.Item = t.Item AND s.Property_Type = t.Property_Type
+WHERE coalesce(s.Item, '') <> coalesce(t.Item, '') OR coalesce(s.Property_Type, '') <> coalesce(t.Property_Type, '')
+   OR coalesce(s.Properties, '') <> coalesce(t.Properties, '')
+""")
+def snapshot_compare(spark, d):
+    t = Tables(spark, d)
+    src = C.profile_snapshot(t.orders.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz")), "orders") \
+        .unionByName(C.profile_snapshot(t.customer, "customer"))
+    tgt = C.profile_snapshot(t.orders.drop("o_orderpriority"), "orders").unionByName(C.profile_snapshot(t.supplier, "supplier"))
+    return C.compare(src, tgt)
+
+
+@query("prune_orphans", sql=f"""
+WITH src0 AS ({_snapshot_sql('customer', 'customer', SPARK_TYPES['customer'])}
+              UNION ALL {_snapshot_sql('orders', 'orders', SPARK_TYPES['orders'])}),
+tgt0 AS ({_snapshot_sql('supplier', 'supplier', SPARK_TYPES['supplier'])}
+         UNION ALL {_snapshot_sql('orders', 'orders', SPARK_TYPES['orders'])}),
+src AS (SELECT * FROM src0 s WHERE NOT (s.Parent > '' AND NOT EXISTS (SELECT 1 FROM tgt0 t WHERE t.Item = s.Parent AND t.Item <> t.Parent))),
+tgt AS (SELECT * FROM tgt0 t WHERE NOT (t.Parent > '' AND NOT EXISTS (SELECT 1 FROM src s WHERE s.Item = t.Parent AND s.Item <> s.Parent)))
+SELECT 'source' AS side, Item, Parent FROM src UNION ALL SELECT 'target', Item, Parent FROM tgt
+""")
+def prune_orphans(spark, d):
+    t = Tables(spark, d)
+    src = C.profile_snapshot(t.customer, "customer").unionByName(C.profile_snapshot(t.orders, "orders"))
+    tgt = C.profile_snapshot(t.supplier, "supplier").unionByName(C.profile_snapshot(t.orders, "orders"))
+    s, g = C.prune_orphans(src, tgt)
+    return s.select(F.lit("source").alias("side"), "Item", "Parent").unionByName(
+        g.select(F.lit("target").alias("side"), "Item", "Parent"))
+
+
+@query("compare_values", sql="""
+WITH this AS (SELECT n_name AS Item, 'nation' AS ItemType, n_name || ' in region ' || CAST(n_regionkey AS VARCHAR) AS Value FROM nation),
+other AS (SELECT n_name AS Item, 'nation' AS ItemType,
+                 CASE WHEN n_nationkey % 5 = 0 THEN n_name || ' in region ' || CAST(n_regionkey AS VARCHAR) || '!'
+                      WHEN n_nationkey % 5 = 1 THEN lower(n_name) || ' in region ' || CAST(n_regionkey AS VARCHAR)
+                      ELSE n_name || ' in region ' || CAST(n_regionkey AS VARCHAR) END AS Value
+          FROM nation WHERE n_nationkey <> 3
+          UNION ALL SELECT r_name, 'region', r_name FROM region)
+SELECT CASE WHEN s.Item IS NULL THEN 'only in here' WHEN t.Item IS NULL THEN 'only in other'
+            WHEN length(rtrim(s.Value)) <> length(rtrim(t.Value)) THEN 'different lengths'
+            WHEN s.Value <> t.Value THEN 'different values' ELSE 'match' END AS Result,
+       coalesce(s.Item, t.Item) AS Item, coalesce(s.ItemType, t.ItemType) AS ItemType,
+       coalesce(s.Value, '') AS ThisValue, coalesce(t.Value, '') AS OtherValue
+FROM this s FULL OUTER JOIN other t ON s.Item = t.Item
+WHERE s.Value IS DISTINCT FROM t.Value
+""")
+def compare_values(spark, d):
+    t = Tables(spark, d)
+    base = F.concat(F.col("n_name"), F.lit(" in region "), F.col("n_regionkey").cast("string"))
+    this = t.nation.select(F.col("n_name").alias("Item"), F.lit("nation").alias("ItemType"), base.alias("Value"))
+    other_val = (F.when(F.col("n_nationkey") % 5 == 0, F.concat(base, F.lit("!")))
+                 .when(F.col("n_nationkey") % 5 == 1,
+                       F.concat(F.lower("n_name"), F.lit(" in region "), F.col("n_regionkey").cast("string")))
+                 .otherwise(base))
+    other = t.nation.where(F.col("n_nationkey") != 3).select(
+        F.col("n_name").alias("Item"), F.lit("nation").alias("ItemType"), other_val.alias("Value")).unionByName(
+        t.region.select(F.col("r_name").alias("Item"), F.lit("region").alias("ItemType"), F.col("r_name").alias("Value")))
+    return C.compare_values(this, other)
+
+
+@query("profile_snapshot", sql=f"""
+{_snapshot_sql('customer', 'customer', SPARK_TYPES['customer'])}
+""")
+def profile_snapshot(spark, d):
+    return C.profile_snapshot(Tables(spark, d).customer, "customer")
+
+
+# ---------------------------------------------------------------- S9-S16 sinks and profile
+
+
+def _lit_sql(c):
+    return f"'''' || replace({c}, '''', '''''') || ''''"
+
+
+@query("snapshot_script_sink", sql=f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) AS rn,
+                  '(' || CAST(c_custkey AS VARCHAR) || ', ' || {_lit_sql('c_name')} || ', ' || {_lit_sql('c_mktsegment')} || ')' AS vals
+           FROM customer)
+SELECT 20 AS section, rn AS row_num,
+       CASE WHEN rn % 1000 = 1 THEN '/*' || CAST(rn // 1000 AS VARCHAR) || '*/ insert customer_snapshot values ' || vals
+            ELSE ',' || vals END AS line
+FROM v
+UNION ALL SELECT 10, 1, 'drop table if exists customer_snapshot;'
+UNION ALL SELECT 10, 2, 'create table customer_snapshot (c_custkey bigint, c_name varchar, c_mktsegment varchar);'
+""")
+def snapshot_script_sink(spark, d):
+    c = Tables(spark, d).customer.select("c_custkey", "c_name", "c_mktsegment")
+    out = K.insert_script(c, "customer_snapshot", ["c_custkey"], 1000, header=[
+        "drop table if exists customer_snapshot;",
+        "create table customer_snapshot (c_custkey bigint, c_name varchar, c_mktsegment varchar);"])
+    return out.select(F.col("section").cast("int").alias("section"), F.col("row_num").cast("bigint").alias("row_num"), "line")
+
+
+@query("row_literals", sql=f"""
+SELECT s_suppkey, '(' || CAST(s_suppkey AS VARCHAR) || ', ' || {_lit_sql('s_name')} || ', ' || CAST(s_nationkey AS VARCHAR)
+       || ', ' || CAST(s_acctbal AS VARCHAR) || ')' AS literal
+FROM supplier
+""")
+def row_literals(spark, d):
+    s = Tables(spark, d).supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    return s.select("s_suppkey", K.row_literals(s).alias("literal"))
+
+
+@query("json_out", sql="""
+SELECT r_regionkey, to_json({'r_regionkey': r_regionkey, 'r_name': r_name}) AS json FROM region
+""")
+def json_out(spark, d):
+    r = Tables(spark, d).region
+    return r.select("r_regionkey", K.json_rows(r).alias("json"))
+
+
+@query("xml_out")
+def xml_out(spark, d):
+    r = Tables(spark, d).region
+    return r.select("r_regionkey", K.xml_rows(r, "region").alias("xml"))
+
+
+@query("table_sink", sql="SELECT * FROM nation")
+def table_sink(spark, d):
+    n = Tables(spark, d).nation
+    import uuid
+    return K.table_sink(n, K.shared_path(spark, f"table_sink/{uuid.uuid4().hex}"))
+
+
+@query("incremental_new", sql="""
+WITH items AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '_' || o_orderpriority AS name, o_orderdate FROM orders)
+SELECT name FROM items
+WHERE CAST(split_part(name, '_', 1) AS BIGINT) >
+      coalesce((SELECT max(CAST(split_part(name, '_', 1) AS BIGINT)) FROM items WHERE o_orderdate < TIMESTAMP '1998-01-01'), 0)
+""")
+def incremental_new(spark, d):
+    items = Tables(spark, d).orders.select(
+        F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("_"), "o_orderpriority").alias("name"),
+        "o_orderdate")
+    out = K.incremental_new(items, "name", items, "name",
+                            done=F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    return out.select("name")
+
+
+def _profile_sql(table: str) -> str:
+    parts = []
+    for i, (c, t) in enumerate(SPARK_TYPES[table]):
+        num = t in ("bigint", "int", "double")
+        if num:
+            mn, mx, tn, tx = f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)", "NULL", "NULL"
+        elif t == "timestamp_ntz":
+            mn, mx = "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"
+            tn, tx = f"strftime(min({c}), '{TS}')", f"strftime(max({c}), '{TS}')"
+        else:
+            mn, mx, tn, tx = "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", f"min({c})", f"max({c})"
+        parts.append(f"SELECT '{c}' AS column_name, {i + 1} AS ordinal, '{t}' AS data_type, true AS nullable, "
+                     f"count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, "
+                     f"{mn} AS min_num, {mx} AS max_num, {tn} AS min_text, {tx} AS max_text FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("column_profile", sql=_profile_sql("orders"))
+def column_profile_q(spark, d):
+    return column_profile(Tables(spark, d).orders)
+
+
+@query("template_merge", sql="""
+SELECT n_regionkey, string_agg('Nation ' || n_name || ' (#' || CAST(n_nationkey AS VARCHAR) || ') is in region '
+                               || CAST(n_regionkey AS VARCHAR) || '. ', ' | ' ORDER BY n_nationkey) AS text
+FROM nation GROUP BY n_regionkey
+""")
+def template_merge_q(spark, d):
+    n = Tables(spark, d).nation
+    return template_merge(n, "Nation [N_NAME] (#[n_nationkey]) is in region [n_regionkey]. ", ["n_nationkey"], " | ",
+                          group=["n_regionkey"])
