@@ -277,17 +277,18 @@ def table_sink(spark, d):
 
 
 @query("incremental_new", sql="""
-WITH items AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '_' || o_orderpriority AS name, o_orderdate FROM orders)
+WITH items AS (SELECT strftime(o_orderdate, '%Y%m%d') || '_' || CAST(o_orderkey AS VARCHAR) AS name, o_orderdate FROM orders)
 SELECT name FROM items
 WHERE CAST(split_part(name, '_', 1) AS BIGINT) >
-      coalesce((SELECT max(CAST(split_part(name, '_', 1) AS BIGINT)) FROM items WHERE o_orderdate < TIMESTAMP '1998-01-01'), 0)
+      coalesce((SELECT max(CAST(split_part(name, '_', 1) AS BIGINT)) FROM items WHERE o_orderdate < TIMESTAMP '2001-01-01'), 0)
 """)
 def incremental_new(spark, d):
+    # items are numbered by order date; the ledger of completed items is everything ordered before 2001
     items = Tables(spark, d).orders.select(
-        F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("_"), "o_orderpriority").alias("name"),
+        F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.col("o_orderkey").cast("string")).alias("name"),
         "o_orderdate")
     out = K.incremental_new(items, "name", items, "name",
-                            done=F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+                            done=F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
     return out.select("name")
 
 
