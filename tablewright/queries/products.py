@@ -323,3 +323,149 @@ def template_merge_q(spark, d):
     n = Tables(spark, d).nation
     return template_merge(n, "Nation [N_NAME] (#[n_nationkey]) is in region [n_regionkey]. ", ["n_nationkey"], " | ",
                           group=["n_regionkey"])
+
+
+# ---------------------------------------------------------------- C13 fingerprints
+
+from tablewright.plans import ballots as B  # noqa: E402
+from tablewright.plans import fingerprint as FP  # noqa: E402
+from tablewright.plans import fractions as FR  # noqa: E402
+from tablewright.plans import sets as ST  # noqa: E402
+
+
+def _fp_sql(table: str, cols: list[str], rel: str | None = None) -> str:
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
+    return f"""SELECT '{table}' AS table_name, count(*) AS row_count,
+  CAST(coalesce(sum(CAST(('0x' || substring(h, 1, 15)) AS BIGINT)), 0) AS VARCHAR) || ':' ||
+  CAST(coalesce(sum(CAST(('0x' || substring(h, 16, 15)) AS BIGINT)), 0) AS VARCHAR) AS hash_sum,
+  md5(coalesce(string_agg(h, '' ORDER BY h), '')) AS ordered_md5
+FROM (SELECT md5({text}) AS h FROM {rel or table})"""
+
+
+@query("table_fingerprint", sql=" UNION ALL ".join([
+    _fp_sql("region", ["r_regionkey", "r_name"]), _fp_sql("nation", ["n_nationkey", "n_name", "n_regionkey"]),
+    _fp_sql("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])]))
+def table_fingerprint(spark, d):
+    t = Tables(spark, d)
+    parts = [FP.fingerprint(t.read(n), n, ordered=True) for n in ("region", "nation", "supplier")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("fingerprint_validate", sql=f"""
+WITH e AS ({_fp_sql("region", ["r_regionkey", "r_name"])} UNION ALL {_fp_sql("nation", ["n_nationkey", "n_name", "n_regionkey"])}
+           UNION ALL {_fp_sql("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])}),
+a AS ({_fp_sql("region", ["r_regionkey", "r_name"])}
+      UNION ALL {_fp_sql("nation", ["n_nationkey", "n_name", "n_regionkey"], "(SELECT * FROM nation WHERE n_nationkey <> 5)")})
+SELECT coalesce(e.table_name, a.table_name) AS table_name, CAST(e.row_count AS VARCHAR) AS expected_rows,
+       CAST(a.row_count AS VARCHAR) AS actual_rows,
+       CASE WHEN e.hash_sum IS NULL THEN 'missing expected' WHEN a.hash_sum IS NULL THEN 'missing table'
+            WHEN e.hash_sum <> a.hash_sum THEN 'hash differs' ELSE 'count differs' END AS problem
+FROM e FULL OUTER JOIN a ON e.table_name = a.table_name
+WHERE e.hash_sum IS DISTINCT FROM a.hash_sum OR e.row_count IS DISTINCT FROM a.row_count
+""")
+def fingerprint_validate(spark, d):
+    t = Tables(spark, d)
+    expected = reduce(lambda a, b: a.unionByName(b), [FP.fingerprint(t.read(n), n) for n in ("region", "nation", "supplier")])
+    actual = FP.fingerprint(t.region, "region").unionByName(
+        FP.fingerprint(t.nation.where(F.col("n_nationkey") != 5), "nation"))
+    out = FP.validate(expected, actual)
+    return out.select("table_name", F.col("expected_rows").cast("string").alias("expected_rows"),
+                      F.col("actual_rows").cast("string").alias("actual_rows"), "problem")
+
+
+# ---------------------------------------------------------------- C15-C17 matching sets (customer → order priorities)
+
+_SET_SQL = """
+WITH p AS (SELECT DISTINCT o_custkey AS owner, o_orderpriority AS element FROM orders),
+s AS (SELECT owner, string_agg(element, ',' ORDER BY element) AS set_text, count(*) AS set_size FROM p GROUP BY owner),
+c AS (SELECT set_text, min(owner) AS leader, count(*) AS class_size FROM s GROUP BY set_text),
+m AS (SELECT s.owner, c.leader, s.set_size, c.class_size FROM s JOIN c USING (set_text))
+"""
+
+
+@query("sets_duplicate", sql=_SET_SQL + "SELECT owner, leader, set_size, class_size FROM m WHERE class_size > 1")
+def sets_duplicate(spark, d):
+    return ST.duplicate_sets(Tables(spark, d).orders, "o_custkey", "o_orderpriority")
+
+
+@query("sets_equal_pairs", sql=_SET_SQL + "SELECT leader, owner, set_size FROM m WHERE owner <> leader")
+def sets_equal_pairs(spark, d):
+    return ST.equal_pairs(Tables(spark, d).orders, "o_custkey", "o_orderpriority")
+
+
+@query("sets_subset_pairs", sql=_SET_SQL + """,
+l AS (SELECT DISTINCT leader, set_size FROM m),
+le AS (SELECT l.leader, l.set_size, p.element FROM l JOIN p ON p.owner = l.leader),
+x AS (SELECT a.leader AS a, a.set_size AS a_size, b.leader AS b, b.set_size AS b_size, count(*) AS match_count
+      FROM le a JOIN le b ON a.element = b.element AND a.leader <> b.leader GROUP BY ALL)
+SELECT least(a, b) AS "left", greatest(a, b) AS "right", match_count,
+       CASE WHEN a < b THEN 'Left subset of right' ELSE 'Right subset of left' END AS relation
+FROM x WHERE match_count = a_size AND b_size > a_size
+""")
+def sets_subset_pairs(spark, d):
+    return ST.subset_pairs(Tables(spark, d).orders, "o_custkey", "o_orderpriority")
+
+
+# ---------------------------------------------------------------- C18-C19 ranked ballots (users rank event types)
+
+
+def _votes(spark, d):
+    """Each user ranks the event types by how often they used them (ties: type name)."""
+    from pyspark.sql import Window
+    e = Tables(spark, d).events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), "event_type")   # ≤ 5 rows per user
+    return e.select("user_id", "event_type", F.row_number().over(w).alias("rank"))
+
+
+@query("ballot_profiles", sql="""
+WITH v AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank
+           FROM events GROUP BY user_id, event_type),
+l AS (SELECT user_id, string_agg(event_type, ',' ORDER BY rank) AS ranking FROM v GROUP BY user_id),
+r AS (SELECT ranking, count(*) AS votes FROM l GROUP BY ranking),
+n AS (SELECT row_number() OVER (ORDER BY votes DESC, ranking) AS ranking_id, ranking, votes FROM r)
+SELECT ranking_id, ranking, unnest(string_split(ranking, ',')) AS candidate,
+       CAST(generate_subscripts(string_split(ranking, ','), 1) AS INTEGER) AS rank, votes
+FROM n
+""")
+def ballot_profiles(spark, d):
+    return B.ballot_profiles(_votes(spark, d), "user_id", "event_type", "rank")
+
+
+@query("instant_runoff")
+def instant_runoff(spark, d):
+    return B.instant_runoff(B.ballot_profiles(_votes(spark, d), "user_id", "event_type", "rank"))
+
+
+# ---------------------------------------------------------------- C33 best fractions
+
+
+def _frac_sql(max_den: int, loop: bool) -> str:
+    top = max_den - 1 if loop else max_den
+    best = ("least(coalesce(min(diff) OVER w, 'infinity'::DOUBLE), abs(frac - 1))" if loop else "min(diff) OVER w")
+    digits = "round(abs(log10(nullif(diff, 0))), 1)" if loop else "round(-log10(nullif(diff, 0)), 1)"
+    keep = "" if loop else "AND n <> 0"
+    return f"""
+WITH v AS (SELECT DISTINCT x AS value FROM (SELECT l_discount AS x FROM lineitem UNION ALL SELECT l_tax FROM lineitem)),
+f AS (SELECT value, CAST(trunc(value) AS BIGINT) AS ip, value - CAST(trunc(value) AS BIGINT) AS frac FROM v),
+r AS (SELECT value, ip, frac, t.d AS d, CAST(round(t.d * frac) AS BIGINT) AS n FROM f, range(1, {top + 1}) t(d)),
+r2 AS (SELECT *, abs(frac - n / d) AS diff FROM r),
+r3 AS (SELECT *, {best} AS best FROM r2 WINDOW w AS (PARTITION BY value ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT value, ip AS Integer_Part, n AS Numerator, d AS Denominator, {digits} AS Significant_Digits,
+       printf('%d + %d/%d', ip, n, d) AS Formula
+FROM r3 WHERE diff < best {keep}
+"""
+
+
+def _frac_values(spark, d):
+    li = Tables(spark, d).lineitem
+    return li.select(F.col("l_discount").alias("x")).unionByName(li.select(F.col("l_tax").alias("x")))
+
+
+@query("best_fractions", sql=_frac_sql(10000, False))
+def best_fractions(spark, d):
+    return FR.best_fractions(_frac_values(spark, d), "x", 10000)
+
+
+@query("best_fractions_loop", sql=_frac_sql(100, True))
+def best_fractions_loop(spark, d):
+    return FR.best_fractions(_frac_values(spark, d), "x", 100, loop_form=True)
