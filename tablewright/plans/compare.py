@@ -87,13 +87,17 @@ def compare_values(this: DataFrame, other: DataFrame, key: str = "Item", kind: s
     """Snapshots keyed by item only: one-sided rows, then different lengths
     (trailing blanks ignored) before different values.
 
+    ``only in here`` marks items of ``this`` missing from ``other`` (the
+    recipe this follows has the two one-sided labels the other way round;
+    it never shows them because its filter drops one-sided rows).
+
     ``values_only=True`` keeps the dialect's ``WHERE s.Value <> t.Value``,
     which drops one-sided rows (NULL comparison); the default keeps them.
     """
     s = this.select(F.col(key).alias("s_k"), F.col(kind).alias("s_t"), F.col(value).alias("s_v"))
     t = other.select(F.col(key).alias("t_k"), F.col(kind).alias("t_t"), F.col(value).alias("t_v"))
     j = s.join(t, F.col("s_k") == F.col("t_k"), "full_outer")
-    result = (F.when(F.col("s_k").isNull(), "only in here").when(F.col("t_k").isNull(), "only in other")
+    result = (F.when(F.col("t_k").isNull(), "only in here").when(F.col("s_k").isNull(), "only in other")
               .when(blank_len("s_v") != blank_len("t_v"), "different lengths")
               .when(F.col("s_v") != F.col("t_v"), "different values").otherwise("match"))
     cond = (F.col("s_v") != F.col("t_v")) if values_only else ~F.col("s_v").eqNullSafe(F.col("t_v"))

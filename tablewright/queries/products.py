@@ -190,7 +190,7 @@ other AS (SELECT n_name AS Item, 'nation' AS ItemType,
                       ELSE n_name || ' in region ' || CAST(n_regionkey AS VARCHAR) END AS Value
           FROM nation WHERE n_nationkey <> 3
           UNION ALL SELECT r_name, 'region', r_name FROM region)
-SELECT CASE WHEN s.Item IS NULL THEN 'only in here' WHEN t.Item IS NULL THEN 'only in other'
+SELECT CASE WHEN t.Item IS NULL THEN 'only in here' WHEN s.Item IS NULL THEN 'only in other'
             WHEN length(rtrim(s.Value)) <> length(rtrim(t.Value)) THEN 'different lengths'
             WHEN s.Value <> t.Value THEN 'different values' ELSE 'match' END AS Result,
        coalesce(s.Item, t.Item) AS Item, coalesce(s.ItemType, t.ItemType) AS ItemType,

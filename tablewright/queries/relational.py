@@ -336,6 +336,11 @@ def _left_join_tables(t):
     return a, b, c
 
 
+def _ids_as_text(df):
+    """Outer-joined ids may be NULL: shown as text so both engines render them alike."""
+    return df.select("aid", F.col("bid").cast("string").alias("bid"), F.col("cid").cast("string").alias("cid"))
+
+
 LJ_SQL = """
 WITH a AS (SELECT n_nationkey AS aid FROM nation),
      b AS (SELECT s_suppkey AS bid, s_nationkey AS aid FROM supplier),
@@ -344,34 +349,34 @@ WITH a AS (SELECT n_nationkey AS aid FROM nation),
 
 
 @query("left_join_semantics_1", sql=LJ_SQL + """
-SELECT a.aid, b.bid, c.cid FROM a LEFT JOIN b ON a.aid = b.aid LEFT JOIN c ON b.bid = c.bid""")
+SELECT a.aid, CAST(b.bid AS VARCHAR) AS bid, CAST(c.cid AS VARCHAR) AS cid FROM a LEFT JOIN b ON a.aid = b.aid LEFT JOIN c ON b.bid = c.bid""")
 def left_join_semantics_1(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
-    return a.join(b, "aid", "left").join(c, "bid", "left").select("aid", "bid", "cid")
+    return _ids_as_text(a.join(b, "aid", "left").join(c, "bid", "left").select("aid", "bid", "cid"))
 
 
 @query("left_join_semantics_2", sql=LJ_SQL + """
-SELECT a.aid, b.bid, c.cid FROM a LEFT JOIN b ON a.aid = b.aid JOIN c ON b.bid = c.bid""")
+SELECT a.aid, CAST(b.bid AS VARCHAR) AS bid, CAST(c.cid AS VARCHAR) AS cid FROM a LEFT JOIN b ON a.aid = b.aid JOIN c ON b.bid = c.bid""")
 def left_join_semantics_2(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
     # inner join on the left-joined side's key collapses the outer join to inner
-    return a.join(b, "aid", "left").join(c, "bid", "inner").select("aid", "bid", "cid")
+    return _ids_as_text(a.join(b, "aid", "left").join(c, "bid", "inner").select("aid", "bid", "cid"))
 
 
 @query("left_join_semantics_3", sql=LJ_SQL + """
-SELECT a.aid, b.bid, c.cid FROM a LEFT JOIN b ON a.aid = b.aid JOIN c ON a.aid = c.bid""")
+SELECT a.aid, CAST(b.bid AS VARCHAR) AS bid, CAST(c.cid AS VARCHAR) AS cid FROM a LEFT JOIN b ON a.aid = b.aid JOIN c ON a.aid = c.bid""")
 def left_join_semantics_3(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
-    return (a.join(b, "aid", "left").join(c, a["aid"] == c["bid"], "inner")
-            .select(a["aid"], b["bid"], c["cid"]))
+    return _ids_as_text(a.join(b, "aid", "left").join(c, a["aid"] == c["bid"], "inner")
+                        .select(a["aid"], b["bid"], c["cid"]))
 
 
 @query("left_join_semantics_4", sql=LJ_SQL + """
-SELECT a.aid, x.bid, x.cid FROM a LEFT JOIN (SELECT b.aid, b.bid, c.cid FROM b JOIN c ON b.bid = c.bid) x ON a.aid = x.aid""")
+SELECT a.aid, CAST(x.bid AS VARCHAR) AS bid, CAST(x.cid AS VARCHAR) AS cid FROM a LEFT JOIN (SELECT b.aid, b.bid, c.cid FROM b JOIN c ON b.bid = c.bid) x ON a.aid = x.aid""")
 def left_join_semantics_4(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
     inner = b.join(c, "bid")
-    return a.join(inner, "aid", "left").select("aid", "bid", "cid")
+    return _ids_as_text(a.join(inner, "aid", "left").select("aid", "bid", "cid"))
 
 
 @query("join_full_outer", sql="""
