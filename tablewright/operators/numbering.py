@@ -7,11 +7,19 @@ single task.  Instead:
    (the sort is distributed; partition p holds keys below partition p+1);
 2. tag rows with ``monotonically_increasing_id`` — partition id in the high
    bits, position within the partition in the low bits;
-3. materialise that to the reliable checkpoint folder, so the counts and the
-   final numbers see exactly the same partitions (and survive executor loss);
-4. count rows per partition — one row per partition, a bounded table — turn
+3. count rows per partition — one row per partition, a bounded table — turn
    the counts into start offsets, and join them back by partition id
    (broadcast is safe: at most ``num_partitions`` rows).
+
+The counts and the numbers must come from exactly the same partitions.  Two
+reads of one range exchange are not guaranteed to agree: Spark reuses the
+exchange only when both branches plan it identically (column pruning in the
+count branch can prevent that), and a range partitioner re-sampled over
+input whose row order is not fixed (anything after a shuffle) may choose
+other bounds.  So by default the partitioned, sorted, tagged rows are
+written once to the reliable checkpoint folder (which also survives
+executor loss) and both branches read that.  ``materialize=False`` skips
+the write; use it only for inputs read straight from files.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ _LOW_BITS = 33
 
 
 def number_rows(df: DataFrame, order: list, name: str = "row_id", start: int = 1,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``name`` = start, start+1, … following ``order`` (a total order: include a unique key)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -33,7 +41,8 @@ def number_rows(df: DataFrame, order: list, name: str = "row_id", start: int = 1
     tagged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_tw_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged)
+    if materialize:
+        tagged = cut_lineage(tagged)
     tagged = (tagged.withColumn("_tw_pid", F.shiftright("_tw_mid", _LOW_BITS))
                     .withColumn("_tw_pos", F.col("_tw_mid") - F.shiftleft(F.col("_tw_pid"), _LOW_BITS)))
     counts = tagged.groupBy("_tw_pid").agg(F.count(F.lit(1)).alias("_tw_n"))
