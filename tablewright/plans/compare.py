@@ -24,15 +24,17 @@ def profile_snapshot(df: DataFrame, table: str) -> DataFrame:
     One row for the table (``columns=…;rows=…``) and one per column, parent =
     the table, with type, null count and distinct count as ``key=value`` text.
     """
-    prof = column_profile(df)
-    cols = prof.select(
-        F.col("column_name").alias("Item"), F.lit(table).alias("Parent"), F.lit("COLUMN").alias("Property_Type"),
-        F.concat_ws(";", F.concat(F.lit("type="), "data_type"), F.concat(F.lit("nulls="), F.col("null_count").cast("string")),
-                    F.concat(F.lit("distinct="), F.col("distinct_count").cast("string"))).alias("Properties"))
-    tab = df.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(table).alias("Item"), F.lit("").alias("Parent"), F.lit("TABLE").alias("Property_Type"),
-        F.concat(F.lit(f"columns={len(df.columns)};rows="), F.col("n").cast("string")).alias("Properties"))
-    return tab.unionByName(cols)
+    prof = column_profile(df, with_rows=True)
+    props = F.concat_ws(";", F.concat(F.lit("type="), "data_type"), F.concat(F.lit("nulls="), F.col("null_count").cast("string")),
+                        F.concat(F.lit("distinct="), F.col("distinct_count").cast("string")))
+    table_props = F.concat(F.lit(f"columns={len(df.columns)};rows="), F.col("rows").cast("string"))
+    # the table row rides along with the first column's row: one aggregate for both
+    rows = F.array(F.struct(F.col("column_name").alias("Item"), F.lit(table).alias("Parent"),
+                            F.lit("COLUMN").alias("Property_Type"), props.alias("Properties")))
+    rows = F.when(F.col("ordinal") == 1, F.array_insert(
+        rows, 1, F.struct(F.lit(table).alias("Item"), F.lit("").alias("Parent"), F.lit("TABLE").alias("Property_Type"),
+                          table_props.alias("Properties")))).otherwise(rows)
+    return prof.select(F.inline(rows))
 
 
 def full_names(snap: DataFrame) -> DataFrame:

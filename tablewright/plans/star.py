@@ -106,15 +106,16 @@ def cardinality_factors(staging: DataFrame, columns: list[str]) -> dict[str, int
         aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"n{i}"))
     row = staging.agg(*aggs).first()
     rows = row["_rows"]
-    out = {}
-    for i, c in enumerate(columns):
-        groups = max(row[f"a{i}"] + (row[f"n{i}"] or 0), 1)
-        est = rows / groups
-        if abs(est - (DIMENSION_FACTOR + 1)) <= _EXACT_MARGIN * (DIMENSION_FACTOR + 1) + 1 or rows < 1_000_000:
-            exact = staging.select(F.count_distinct(F.col(c)).alias("d")).first()["d"]
-            groups = max(exact + (row[f"n{i}"] or 0), 1)
-        out[c] = rows // groups
-    return out
+    groups = {c: max(row[f"a{i}"] + (row[f"n{i}"] or 0), 1) for i, c in enumerate(columns)}
+    near = DIMENSION_FACTOR + 1
+    unsure = [c for c in columns
+              if rows < 1_000_000 or abs(rows / groups[c] - near) <= _EXACT_MARGIN * near + 1]
+    if unsure:
+        # exact distinct counts, only for the columns the estimate cannot decide
+        exact = staging.agg(*[F.count_distinct(F.col(c)).alias(f"e{i}") for i, c in enumerate(unsure)]).first()
+        for i, c in enumerate(unsure):
+            groups[c] = max(exact[f"e{i}"] + (row[f"n{columns.index(c)}"] or 0), 1)
+    return {c: rows // groups[c] for c in columns}
 
 
 def classify(staging: DataFrame, overrides: dict[str, str] | None = None) -> list[StagingColumn]:

@@ -16,10 +16,11 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False) -> DataFrame:
     """Per column: name, ordinal, type, nullable, null count, distinct count,
-    numeric min/max (double) and text min/max (strings, ISO dates)."""
-    aggs = []
+    numeric min/max (double) and text min/max (strings, ISO dates);
+    ``with_rows`` adds the table's row count to every row."""
+    aggs = [F.count(F.lit(1)).alias("_tw_rows")]
     fields = df.schema.fields
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -45,5 +46,6 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
             (F.col(f"lo{i}") if numeric else F.lit(None).cast("double")).alias("min_num"),
             (F.col(f"hi{i}") if numeric else F.lit(None).cast("double")).alias("max_num"),
             (F.col(f"lo{i}") if texty else F.lit(None).cast("string")).alias("min_text"),
-            (F.col(f"hi{i}") if texty else F.lit(None).cast("string")).alias("max_text")))
+            (F.col(f"hi{i}") if texty else F.lit(None).cast("string")).alias("max_text"),
+            *([F.col("_tw_rows").alias("rows")] if with_rows else [])))
     return row.select(F.inline(F.array(*structs)))
