@@ -3,8 +3,9 @@
 ``from_xml`` parses each document once into typed structs (attributes
 become ``_name`` fields, repeated elements arrays), and ``inline`` /
 ``explode`` turns the repeated parts into rows — per-row work on the
-executors, no shuffle.  ``xpath_string`` answers positional questions
-(``(…)[n]``) that a flat summary needs.
+executors, no shuffle.  Positional questions (``(…)[n]``) are answered from
+the parsed arrays; ``nth`` (``xpath_string``) remains for ad-hoc paths on
+raw documents, at one parse per call.
 """
 
 from __future__ import annotations
@@ -28,11 +29,45 @@ data ARRAY<STRUCT<_name: STRING, value: STRUCT<
 """
 
 
+def parse_once(df: DataFrame, xml_col: str, keep: list[str], schema: str, name: str = "_tw_e") -> DataFrame:
+    """Parse each document exactly once.
+
+    The parse sits inside a one-element ``inline`` (a generator): Catalyst
+    never copies a generator's expression into later projections, so each
+    document is parsed once no matter how many fields are read afterwards.
+    """
+    parsed = F.struct(F.from_xml(F.col(xml_col), schema).alias(name))
+    return df.select(*keep, F.inline(F.array(parsed)))
+
+
 def parse_events(df: DataFrame, xml_col: str, id_col: str, schema: str = DEADLOCK_SCHEMA) -> DataFrame:
-    """Parse each event document once; keep id, event time and the deadlock report."""
-    parsed = df.select(id_col, F.from_xml(F.col(xml_col), schema, {"rowTag": "event"}).alias("_tw_e"))
-    report = F.filter(F.col("_tw_e.data"), lambda d: d["_name"] == "xml_report")[0]["value"]["deadlock"]
-    return parsed.select(id_col, F.to_timestamp(F.col("_tw_e._timestamp")).alias("event_time"), report.alias("deadlock"))
+    """Parse each event document once; keep id, event time, database name and the deadlock report."""
+    parsed = parse_once(df, xml_col, [id_col], schema)
+    data = F.col("_tw_e.data")
+    report = F.filter(data, lambda d: d["_name"] == "xml_report")[0]["value"]["deadlock"]
+    db = F.filter(data, lambda d: d["_name"] == "database_name")[0]["value"]["_VALUE"]
+    return parsed.select(id_col, F.to_timestamp(F.col("_tw_e._timestamp")).alias("event_time"),
+                         db.alias("database_name"), report.alias("deadlock"))
+
+
+def summary(events: DataFrame, id_col: str, cut: int = 37) -> DataFrame:
+    """Flat summary of each parsed event: date, database, the first two page-lock
+    objects and the first two frames (name, line, statement) in document order,
+    names cut by the fixed prefix length ``cut`` (NULL when absent)."""
+    frames = F.flatten(F.transform(F.col("deadlock.`process-list`.process"), lambda p: p["executionStack"]["frame"]))
+    locks = F.col("deadlock.`resource-list`.pagelock")
+
+    def at(arr, n, field):
+        return F.try_element_at(arr, F.lit(n))[field]
+
+    return events.select(
+        id_col, F.to_date("event_time").alias("Deadlock_Date"), F.col("database_name").alias("DB"),
+        cut_prefix(at(locks, 1, "_objectname"), cut).alias("Res1_Name"),
+        cut_prefix(at(locks, 2, "_objectname"), cut).alias("Res2_Name"),
+        cut_prefix(at(frames, 1, "_procname"), cut).alias("Proc1_Name"),
+        cut_prefix(at(frames, 2, "_procname"), cut).alias("Proc2_Name"),
+        at(frames, 1, "_line").alias("Proc1_Line"), at(frames, 2, "_line").alias("Proc2_Line"),
+        at(frames, 1, "_VALUE").alias("Proc1_SQL"))
 
 
 def shred_victims(events: DataFrame, id_col: str) -> DataFrame:

@@ -126,20 +126,8 @@ SELECT event_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS Deadlock_Date, 'db' |
 FROM events WHERE event_type = 'error'
 """)
 def xml_summary(spark, d):
-    docs = deadlock_documents(Tables(spark, d).events)
-    x = F.col("event_xml")
-    dl = "/event/data[@name='xml_report']/value/deadlock"
-    return docs.select(
-        "event_id",
-        F.date_format(F.to_timestamp(F.xpath_string(x, F.lit("/event/@timestamp"))), "yyyy-MM-dd").alias("Deadlock_Date"),
-        F.xpath_string(x, F.lit("/event/data[@name='database_name']/value")).alias("DB"),
-        X.cut_prefix(X.nth(x, f"{dl}/resource-list/pagelock/@objectname", 1), 7).alias("Res1_Name"),
-        X.cut_prefix(X.nth(x, f"{dl}/resource-list/pagelock/@objectname", 2), 7).alias("Res2_Name"),
-        X.cut_prefix(X.nth(x, f"{dl}/process-list/process/executionStack/frame/@procname", 1), 7).alias("Proc1_Name"),
-        X.cut_prefix(X.nth(x, f"{dl}/process-list/process/executionStack/frame/@procname", 2), 7).alias("Proc2_Name"),
-        X.nth(x, f"{dl}/process-list/process/executionStack/frame/@line", 1).try_cast("int").alias("Proc1_Line"),
-        X.nth(x, f"{dl}/process-list/process/executionStack/frame/@line", 2).try_cast("int").alias("Proc2_Line"),
-        X.nth(x, f"{dl}/process-list/process/executionStack/frame", 1).alias("Proc1_SQL"))
+    ev = X.parse_events(deadlock_documents(Tables(spark, d).events), "event_xml", "event_id")
+    return Q.temporal_as_text(X.summary(ev, "event_id", cut=7))
 
 
 @query("html_fields", sql="""
