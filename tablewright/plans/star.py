@@ -20,7 +20,8 @@ Scale notes
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,16 +59,88 @@ class StagingColumn:
         return isinstance(self.data_type, T.DateType)
 
 
-@dataclass
 class Star:
-    prefix: str
-    columns: list[StagingColumn]
-    date_dim: DataFrame
-    dims: dict[str, DataFrame]
-    fact: DataFrame
-    view: DataFrame
-    violations: DataFrame
-    fact_columns: list[tuple[str, str, str]] = field(default_factory=list)   # (fact column, action, staging column)
+    """The star built from a staging table; every part is built on first use.
+
+    Reading ``dims`` does not number the fact, the view joins the fact rows
+    (the fact id is not needed there), and the fact id is assigned only when
+    ``fact`` itself is read.
+    """
+
+    def __init__(self, staging: DataFrame, prefix: str, columns: list[StagingColumn], fact_order: list[str] | None):
+        self.staging = staging
+        self.prefix = prefix
+        self.columns = columns
+        self.fact_order = fact_order
+        self.fact_columns = _fact_plan(columns, prefix)
+
+    @cached_property
+    def date_dim(self) -> DataFrame:
+        return date_dimension(self.staging, self.columns)
+
+    @cached_property
+    def dims(self) -> dict[str, DataFrame]:
+        return {c.name: dimension(self.staging, c, self.prefix) for c in self.columns if c.action == "dimension"}
+
+    @cached_property
+    def fact_rows(self) -> DataFrame:
+        """C4 without the fact id: surrogate keys by joining back on the null-replaced value."""
+        by_name = {c.name: c for c in self.columns}
+        fact = self.staging
+        for name, d in self.dims.items():
+            key = f"_tw_k_{name}"
+            fact = (fact.withColumn(key, _replaced(by_name[name]))
+                        .join(d.withColumnRenamed(name, key), key, "left").drop(key))
+        out = []
+        for fact_col, action, src in self.fact_columns:
+            if action == "straight":
+                out.append(F.col(src).alias(fact_col))
+            elif action == "join":
+                out.append(F.col(fact_col))
+            else:
+                out.append(_as_date(src).alias(fact_col))
+        return fact.select(*out)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        """C4: fact rows numbered 1..n in staging-column order."""
+        order = self.fact_order or [c.name for c in self.columns]
+        order_cols = [F.col(src_to_fact(self.fact_columns, o)) for o in order]
+        fact = number_rows(self.fact_rows, order_cols, f"{self.prefix}_Fact_ID")
+        return fact.select(f"{self.prefix}_Fact_ID", *[p[0] for p in self.fact_columns])
+
+    @cached_property
+    def view(self) -> DataFrame:
+        """The staging shape rebuilt from the fact rows and the dimensions."""
+        view = self.fact_rows
+        for fact_col, action, src in self.fact_columns:
+            if action == "join":
+                view = view.join(self.dims[src], fact_col, "inner")
+            elif action in ("date", "datepart"):
+                dd = self.date_dim.select(F.col("Date_Value").alias(f"_tw_d_{fact_col}"))
+                view = view.join(dd, F.col(fact_col) == F.col(f"_tw_d_{fact_col}"), "inner").drop(f"_tw_d_{fact_col}")
+        return view.select(*[F.col(src).alias(src) if action == "join" else F.col(fact_col)
+                             for fact_col, action, src in self.fact_columns])
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        """Foreign keys fact → dimension (join and date columns, not datepart): orphan counts."""
+        checks = []
+        for fact_col, action, src in self.fact_columns:
+            if action == "join":
+                d = self.dims[src].select(F.col(fact_col).alias("_tw_fk"))
+            elif action == "date":
+                d = self.date_dim.select(F.col("Date_Value").alias("_tw_fk"))
+            else:
+                continue
+            bad = self.fact_rows.select(fact_col).join(d, F.col(fact_col) == F.col("_tw_fk"), "left_anti")
+            checks.append(bad.agg(F.count(F.lit(1)).alias("violations"))
+                          .select(F.lit(fact_col).alias("fact_column"),
+                                  F.lit(f"{self.prefix}_{src if action == 'join' else 'Date'}_Dim").alias("dimension"),
+                                  "violations"))
+        if checks:
+            return reduce(lambda a, b: a.unionByName(b), checks)
+        return self.staging.sparkSession.createDataFrame([], "fact_column string, dimension string, violations bigint")
 
 
 def _type_action(dt: T.DataType) -> str:
@@ -176,14 +249,9 @@ def dimension(staging: DataFrame, c: StagingColumn, prefix: str) -> DataFrame:
     return number_rows(values, [F.col(c.name)], f"{prefix}_{c.name}_Dim_ID").select(f"{prefix}_{c.name}_Dim_ID", c.name)
 
 
-def build_star(staging: DataFrame, prefix: str, overrides: dict[str, str] | None = None,
-               fact_order: list[str] | None = None) -> Star:
-    """Classify, then build date dimension, dimensions, fact, view and FK checks."""
-    cols = classify(staging, overrides)
-    date_dim = date_dimension(staging, cols)
-    dims = {c.name: dimension(staging, c, prefix) for c in cols if c.action == "dimension"}
-
-    # C4 fact: (fact column, action, staging column) in staging order
+def _fact_plan(cols: list[StagingColumn], prefix: str) -> list[tuple[str, str, str]]:
+    """(fact column, action, staging column) in staging order; a datetime column
+    yields a date part followed by the original value."""
     plan: list[tuple[str, str, str]] = []
     for c in cols:
         if c.is_datetime:
@@ -194,59 +262,13 @@ def build_star(staging: DataFrame, prefix: str, overrides: dict[str, str] | None
             plan.append((c.name, "date", c.name))
         else:
             plan.append((c.name, "straight", c.name))
+    return plan
 
-    by_name = {c.name: c for c in cols}
-    fact = staging
-    for name, d in dims.items():
-        key = f"_tw_k_{name}"
-        fact = (fact.withColumn(key, _replaced(by_name[name]))
-                    .join(d.withColumnRenamed(name, key), key, "left").drop(key))
-    out = []
-    for fact_col, action, src in plan:
-        if action == "straight":
-            out.append(F.col(src).alias(fact_col))
-        elif action == "join":
-            out.append(F.col(fact_col))
-        else:
-            out.append(_as_date(src).alias(fact_col))
-    fact = fact.select(*out)
-    order = fact_order or [c.name for c in cols]
-    order_cols = [F.col(src_to_fact(plan, o)) for o in order]
-    fact = number_rows(fact, order_cols, f"{prefix}_Fact_ID")
-    fact = fact.select(f"{prefix}_Fact_ID", *[p[0] for p in plan])
-
-    # C5 view: fact joined back to every dimension
-    view = fact
-    for fact_col, action, src in plan:
-        if action == "join":
-            view = view.join(dims[src], fact_col, "inner")
-        elif action in ("date", "datepart"):
-            dd = date_dim.select(F.col("Date_Value").alias(f"_tw_d_{fact_col}"))
-            view = view.join(dd, F.col(fact_col) == F.col(f"_tw_d_{fact_col}"), "inner").drop(f"_tw_d_{fact_col}")
-    view_cols = []
-    for fact_col, action, src in plan:
-        view_cols.append(F.col(src).alias(src) if action == "join" else F.col(fact_col))
-    view = view.select(*view_cols)
-
-    # Foreign keys fact → dimension (join and date columns, not datepart)
-    checks = []
-    for fact_col, action, src in plan:
-        if action == "join":
-            d = dims[src].select(F.col(fact_col).alias("_tw_fk"))
-        elif action == "date":
-            d = date_dim.select(F.col("Date_Value").alias("_tw_fk"))
-        else:
-            continue
-        bad = fact.select(fact_col).join(d, F.col(fact_col) == F.col("_tw_fk"), "left_anti")
-        checks.append(bad.agg(F.count(F.lit(1)).alias("violations"))
-                      .select(F.lit(fact_col).alias("fact_column"),
-                              F.lit(f"{prefix}_{src if action == 'join' else 'Date'}_Dim").alias("dimension"),
-                              "violations"))
-    if checks:
-        violations = reduce(lambda a, b: a.unionByName(b), checks)
-    else:
-        violations = staging.sparkSession.createDataFrame([], "fact_column string, dimension string, violations bigint")
-    return Star(prefix, cols, date_dim, dims, fact, view, violations, plan)
+
+def build_star(staging: DataFrame, prefix: str, overrides: dict[str, str] | None = None,
+               fact_order: list[str] | None = None) -> Star:
+    """Classify the staging columns; the star's parts are built when read."""
+    return Star(staging, prefix, classify(staging, overrides), fact_order)
 
 
 def src_to_fact(plan, staging_col: str) -> str:
