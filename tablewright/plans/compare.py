@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import blank_len
+from tablewright.session import cut_lineage
 from tablewright.sources.profile import column_profile
 
 SNAPSHOT_COLS = ["Item", "Parent", "Property_Type", "Properties"]
@@ -53,9 +54,10 @@ def prune_orphans(source: DataFrame, target: DataFrame) -> tuple[DataFrame, Data
         return (df.where(F.col("Item") != F.col("Parent")).select(F.col("Item").alias("_tw_parent")).distinct())
 
     def prune(df, other):
+        # one pass: a row stays unless it is a child whose parent the other side lacks
         is_child = F.coalesce(F.col("Parent"), F.lit("")) > ""
-        children = df.where(is_child).join(parents(other), F.col("Parent") == F.col("_tw_parent"), "left_semi")
-        return df.where(~is_child).unionByName(children)
+        j = df.join(parents(other), F.col("Parent") == F.col("_tw_parent"), "left")
+        return j.where(~is_child | F.col("_tw_parent").isNotNull()).drop("_tw_parent")
 
     source = prune(source, target)
     target = prune(target, source)
@@ -67,6 +69,9 @@ def compare(source: DataFrame, target: DataFrame, keys=("Item", "Property_Type")
     """Rows that differ between two snapshots, labelled
     ``only in target`` / ``only in source`` / ``different Properties``."""
     keys = list(keys)
+    # snapshots are small (one row per catalogued item) and each side is read
+    # several times below: materialise them once instead of re-deriving them
+    source, target = cut_lineage(source), cut_lineage(target)
     if with_parent:
         source, target = full_names(source), full_names(target)
         source, target = prune_orphans(source, target)

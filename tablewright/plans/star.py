@@ -34,8 +34,8 @@ from tablewright.sources.generators import date_spine
 # The default date for missing dates and the dimension rule threshold.
 DEFAULT_DATE = "9999-12-31"
 DIMENSION_FACTOR = 3          # rows per distinct value above this → dimension
-_HLL_RSD = 0.01               # relative error of the cardinality estimate
-_EXACT_MARGIN = 0.10          # recount exactly when the estimate is this close to the threshold
+_HLL_RSD = 0.05               # relative standard error of the cardinality estimate
+_EXACT_MARGIN = 0.25          # recount exactly within five standard errors of the threshold
 
 MEASURE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.FloatType,
                  T.DoubleType, T.BooleanType, T.DayTimeIntervalType)

@@ -1,9 +1,11 @@
 """Column profile computed from the data.
 
-One aggregate over all columns (null count, distinct count, min, max), then
-the single result row is turned into one row per column.  Spark evaluates
-the several ``count(DISTINCT)`` with partial, map-side de-duplication before
-the shuffle; ``approx=True`` swaps in HyperLogLog for very wide tables.
+Two one-row aggregates over all columns — the distinct counts on their own
+(Spark de-duplicates map-side before the shuffle), and null counts, minima
+and maxima in a plain hash aggregate (mixing them with the distinct counts
+forces a much slower expanded, sort-based plan) — then the single combined
+row is turned into one row per column.  ``approx=True`` swaps in
+HyperLogLog for very wide tables.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False)
     numeric min/max (double) and text min/max (strings, ISO dates);
     ``with_rows`` adds the table's row count to every row."""
     aggs = [F.count(F.lit(1)).alias("_tw_rows")]
+    distinct = []
     fields = df.schema.fields
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(F.when(c.isNull(), 1)).alias(f"n{i}"))
-        aggs.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"d{i}"))
+        distinct.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"d{i}"))
         if isinstance(f.dataType, NUMERIC):
             aggs += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
         elif isinstance(f.dataType, TEMPORAL):
@@ -33,7 +36,7 @@ def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False)
             aggs += [F.date_format(F.min(c), fmt).alias(f"lo{i}"), F.date_format(F.max(c), fmt).alias(f"hi{i}")]
         elif isinstance(f.dataType, T.StringType):
             aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-    row = df.agg(*aggs)
+    row = df.agg(*aggs).crossJoin(df.agg(*distinct))     # two one-row results
     # one result row → one row per column, in the same pass (no re-aggregation per column)
     structs = []
     for i, f in enumerate(fields):
