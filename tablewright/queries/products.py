@@ -469,3 +469,36 @@ def best_fractions(spark, d):
 @query("best_fractions_loop", sql=_frac_sql(100, True))
 def best_fractions_loop(spark, d):
     return FR.best_fractions(_frac_values(spark, d), "x", 100, loop_form=True)
+
+
+# ---------------------------------------------------------------- S8 date spine, S13 view sink
+
+from tablewright.sources.generators import date_spine as _date_spine  # noqa: E402
+
+
+@query("date_spine", sql="""
+WITH b AS (SELECT least((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)) AS lo,
+                  greatest((SELECT max(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)) AS hi)
+SELECT strftime(CAST(g.generate_series AS DATE), '%Y-%m-%d') AS date_value FROM b, generate_series(b.lo, b.hi, INTERVAL 1 DAY) g
+UNION SELECT '9999-12-31'
+""")
+def date_spine(spark, d):
+    t = Tables(spark, d)
+    o = t.orders.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
+    li = t.lineitem.agg(F.min(F.to_date("l_shipdate")).alias("c"), F.max(F.to_date("l_shipdate")).alias("e"))
+    bounds = o.crossJoin(li).select(F.least("a", "c").alias("lo"), F.greatest("b", "e").alias("hi"))   # one row
+    days = _date_spine(bounds, "lo", "hi", "date_value")
+    default = spark.range(1).select(F.lit(S.DEFAULT_DATE).cast("date").alias("date_value"))
+    return temporal_as_text(days.unionByName(default).distinct())
+
+
+@query("view_sink", sql="""
+SELECT coalesce(l_returnflag, '') AS l_returnflag, coalesce(l_linestatus, '') AS l_linestatus, count(*) AS n,
+       round(sum(l_extendedprice), 2) AS revenue
+FROM lineitem GROUP BY ALL
+""")
+def view_sink(spark, d):
+    # the rebuilt star view published as a temporary view and queried with SQL
+    lineitem_star(spark, d).view.createOrReplaceTempView("vw_L")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS revenue "
+                     "FROM vw_L GROUP BY l_returnflag, l_linestatus")
