@@ -83,14 +83,12 @@ def minmax_many(df: DataFrame, columns: list[str]) -> DataFrame:
 def share_of_total(df: DataFrame, keys: list[str], value, name: str = "value", digits: int = 1) -> DataFrame:
     """Per-group value and its percentage of the grand total.
 
-    The grand total is a one-row aggregate joined by broadcast (a fixed-size
-    relation), so no global window is needed.
+    The grand total is a scalar subquery (computed once, used as a value), so
+    no global window and no join are needed.
     """
     g = df.groupBy(*keys).agg(F.sum(col(value)).alias(name))
-    total = g.agg(F.sum(name).alias("_tw_total"))
-    return (g.crossJoin(F.broadcast(total))
-             .withColumn("pct", F.round(F.col(name) * 100.0 / F.col("_tw_total"), digits))
-             .drop("_tw_total"))
+    total = g.agg(F.sum(name)).scalar()
+    return g.withColumn("pct", F.round(F.col(name) * 100.0 / total, digits))
 
 
 def group_subtotals(df: DataFrame, keys: list[str], value, name: str = "value") -> DataFrame:
@@ -106,8 +104,7 @@ def top_with_other(df: DataFrame, key: str, value, min_share: float = 0.01,
     bounded (≤ 101 rows for 1 %) and a global ROW_NUMBER over it is cheap.
     """
     g = df.groupBy(key).agg(F.sum(col(value)).alias("_tw_v"))
-    total = g.agg(F.sum("_tw_v").alias("_tw_t"))
-    j = g.crossJoin(F.broadcast(total))
+    j = g.withColumn("_tw_t", g.agg(F.sum("_tw_v")).scalar())      # grand total as a scalar subquery
     big = F.col("_tw_v") > F.col("_tw_t") * min_share
     folded = (j.withColumn(key, F.when(big, F.col(key)).otherwise(F.lit(other)))
                 .groupBy(key).agg(F.sum("_tw_v").alias("_tw_v")))

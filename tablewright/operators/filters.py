@@ -48,13 +48,9 @@ def recent_changes(objects: DataFrame, id_col: str, parent_col: str, name_col: s
     self left join (own name when no parent) and orders parents before children.
     """
     if as_of is None:
-        as_of_df = objects.agg(F.max(modified).alias("_tw_asof"))
-    else:
-        as_of_df = objects.sparkSession.range(1).select(as_of.alias("_tw_asof"))
-    o = objects.alias("o")
+        as_of = objects.agg(F.max(modified)).scalar()       # scalar subquery, evaluated once
     p = objects.select(F.col(id_col).alias("_p_id"), F.col(name_col).alias("_p_name"))
-    out = (o.crossJoin(F.broadcast(as_of_df))            # one-row relation
-            .where(F.col(modified) > F.col("_tw_asof") - F.make_interval(mins=F.lit(minutes)))
+    out = (objects.where(F.col(modified) > as_of - F.make_interval(mins=F.lit(minutes)))
             .join(p, F.col(parent_col) == F.col("_p_id"), "left"))
     return out.select(
         F.coalesce(F.col("_p_name"), F.col(name_col)).alias("parent"),

@@ -23,8 +23,8 @@ GROUP BY ALL
 """)
 def group_count(spark, d):
     e = Tables(spark, d).events
-    last = e.agg(F.max("ts").alias("_max"))
-    recent = e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("_max") - F.expr("INTERVAL 7 DAYS"))
+    last = e.agg(F.max("ts")).scalar()                     # scalar subquery
+    recent = e.where(F.col("ts") >= last - F.expr("INTERVAL 7 DAYS"))
     g = recent.groupBy(F.to_date("ts").alias("day"), "event_type", "user_id",
                        F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int").alias("k_bucket"),
                        (F.col("value") >= 50).alias("high")).agg(F.count(F.lit(1)).alias("n"))
@@ -204,11 +204,10 @@ SELECT strftime(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipd
 """)
 def minmax_many(spark, d):
     t = Tables(spark, d)
-    o = t.orders.agg(F.min("o_orderdate").alias("a_min"), F.max("o_orderdate").alias("a_max"))
-    li = t.lineitem.agg(F.min("l_shipdate").alias("b_min"), F.max("l_shipdate").alias("b_max"))
-    both = o.crossJoin(li)  # two one-row aggregates
-    return both.select(F.date_format(F.least("a_min", "b_min"), "yyyy-MM-dd").alias("min_value"),
-                       F.date_format(F.greatest("a_max", "b_max"), "yyyy-MM-dd").alias("max_value"))
+    o = t.orders.agg(F.struct(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))).scalar()
+    li = t.lineitem.agg(F.struct(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))).scalar()
+    return spark.range(1).select(F.date_format(F.least(o["lo"], li["lo"]), "yyyy-MM-dd").alias("min_value"),
+                                 F.date_format(F.greatest(o["hi"], li["hi"]), "yyyy-MM-dd").alias("max_value"))
 
 
 @query("share_of_total", sql="""

@@ -484,9 +484,9 @@ UNION SELECT '9999-12-31'
 """)
 def date_spine(spark, d):
     t = Tables(spark, d)
-    o = t.orders.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
-    li = t.lineitem.agg(F.min(F.to_date("l_shipdate")).alias("c"), F.max(F.to_date("l_shipdate")).alias("e"))
-    bounds = o.crossJoin(li).select(F.least("a", "c").alias("lo"), F.greatest("b", "e").alias("hi"))   # one row
+    o = t.orders.agg(F.struct(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))).scalar()
+    li = t.lineitem.agg(F.struct(F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi"))).scalar()
+    bounds = spark.range(1).select(F.least(o["lo"], li["lo"]).alias("lo"), F.greatest(o["hi"], li["hi"]).alias("hi"))
     days = _date_spine(bounds, "lo", "hi", "date_value")
     default = spark.range(1).select(F.lit(S.DEFAULT_DATE).cast("date").alias("date_value"))
     return temporal_as_text(days.unionByName(default).distinct())

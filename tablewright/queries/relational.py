@@ -419,7 +419,8 @@ FROM region r CROSS JOIN nation n
 """)
 def join_cross(spark, d):
     t = Tables(spark, d)
-    # region is the 5-row TPC-H region list: its size is fixed by the schema
+    # J8 is the cross join itself; it pairs the 5 regions with the 25 nations — sizes the
+    # schema fixes at every scale (125 rows), so it is the one Cartesian product kept
     return (F.broadcast(t.region).crossJoin(t.nation)
             .select("r_name", "n_name", (F.col("n_regionkey") == F.col("r_regionkey")).cast("int").alias("home")))
 

@@ -36,7 +36,9 @@ def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False)
             aggs += [F.date_format(F.min(c), fmt).alias(f"lo{i}"), F.date_format(F.max(c), fmt).alias(f"hi{i}")]
         elif isinstance(f.dataType, T.StringType):
             aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-    row = df.agg(*aggs).crossJoin(df.agg(*distinct))     # two one-row results
+    # the distinct counts come from their own aggregate, read as one struct-valued scalar subquery
+    d = df.agg(F.struct(*distinct).alias("_tw_d")).scalar()
+    row = df.agg(*aggs).select("*", *[d[f"d{i}"].alias(f"d{i}") for i in range(len(fields))])
     # one result row → one row per column, in the same pass (no re-aggregation per column)
     structs = []
     for i, f in enumerate(fields):

@@ -107,6 +107,5 @@ def incremental_new(items: DataFrame, name_col: str, ledger: DataFrame, ledger_n
     def number(c):
         return F.split_part(F.col(c), F.lit(sep), F.lit(1)).try_cast("bigint")
     led = ledger if done is None else ledger.where(done)
-    hwm = led.agg(F.coalesce(F.max(number(ledger_name)), F.lit(0)).alias("_tw_hwm"))
-    return (items.crossJoin(F.broadcast(hwm))      # one-row relation
-                 .where(number(name_col) > F.col("_tw_hwm")).drop("_tw_hwm"))
+    hwm = led.agg(F.coalesce(F.max(number(ledger_name)), F.lit(0))).scalar()   # scalar subquery
+    return items.where(number(name_col) > hwm)
