@@ -54,3 +54,39 @@ def number_rows(df: DataFrame, order: list, name: str = "row_id", start: int = 1
     out = (tagged.join(F.broadcast(offsets), "_tw_pid")
                  .withColumn(name, F.coalesce(F.col("_tw_off"), F.lit(0)) + F.col("_tw_pos") + F.lit(start)))
     return out.drop("_tw_mid", "_tw_pid", "_tw_pos", "_tw_off")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    renamed = right.select(*[F.col(k).alias(f"_tw_r_{k}") for k in keys],
+                           *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_tw_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond).drop(*[f"_tw_r_{k}" for k in keys])
+
+
+def number_within(df: DataFrame, partition: list[str], order: list, name: str = "rn") -> DataFrame:
+    """ROW_NUMBER() OVER (PARTITION BY partition ORDER BY order) without a per-group task.
+
+    One global numbering in (partition, order) — range partitioned, so a hot
+    group is spread over many tasks — then each group's first number, a
+    partial aggregate, is subtracted.
+    """
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    g = number_rows(df, [F.col(p) for p in partition] + order_cols, "_tw_g")
+    starts = g.groupBy(*partition).agg(F.min("_tw_g").alias("_tw_g0"))
+    out = _null_safe_join(g, starts, partition)
+    return out.withColumn(name, F.col("_tw_g") - F.col("_tw_g0") + 1).drop("_tw_g", "_tw_g0")
+
+
+def rank_within(df: DataFrame, partition: list[str], order: list[str], name: str = "rnk",
+                desc: bool = True) -> DataFrame:
+    """RANK() OVER (PARTITION BY partition ORDER BY order): ties share the first number of
+    their run; computed from the global numbering like :func:`number_within`."""
+    order_cols = [F.col(c).desc() if desc else F.col(c) for c in order]
+    g = number_rows(df, [F.col(p) for p in partition] + order_cols, "_tw_g")
+    starts = g.groupBy(*partition).agg(F.min("_tw_g").alias("_tw_g0"))
+    ties = g.groupBy(*partition, *order).agg(F.min("_tw_g").alias("_tw_t"))
+    out = _null_safe_join(_null_safe_join(g, starts, partition), ties, partition + order)
+    return out.withColumn(name, F.col("_tw_t") - F.col("_tw_g0") + 1).drop("_tw_g", "_tw_g0", "_tw_t")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import col
+from tablewright.operators import numbering
 
 
 def _order(cols, desc=False) -> list[Column]:
@@ -40,24 +41,34 @@ def latest(df: DataFrame, keys: list[str], order: list[str], ties: bool = False)
 
 def number_within(df: DataFrame, partition: list[str], order: list, name: str = "rn",
                   desc: bool = False) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY … ORDER BY …)."""
-    w = Window.partitionBy(*partition).orderBy(*_order(order, desc))
-    return df.withColumn(name, F.row_number().over(w))
+    """ROW_NUMBER() OVER (PARTITION BY … ORDER BY …), safe for hot groups (see numbering)."""
+    return numbering.number_within(df, partition, _order(order, desc), name)
 
 
-def rank_within(df: DataFrame, partition: list[str], order: list, name: str = "rnk",
+def rank_within(df: DataFrame, partition: list[str], order: list[str], name: str = "rnk",
                 desc: bool = True) -> DataFrame:
-    """RANK() — ties share a rank, the next rank skips."""
-    w = Window.partitionBy(*partition).orderBy(*_order(order, desc))
-    return df.withColumn(name, F.rank().over(w))
+    """RANK() — ties share a rank, the next rank skips; safe for hot groups."""
+    return numbering.rank_within(df, partition, order, name, desc)
 
 
 def running_min_before(df: DataFrame, partition: list[str], order: list, value: str,
-                       name: str = "min_before") -> DataFrame:
-    """MIN(value) over all earlier rows of the partition (exclusive running frame)."""
-    w = (Window.partitionBy(*partition).orderBy(*_order(order))
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn(name, F.min(value).over(w))
+                       name: str = "min_before", block: int = 1_000_000) -> DataFrame:
+    """MIN(value) over all earlier rows of the partition (exclusive running frame).
+
+    Rows are numbered in (partition, order) and cut into blocks of ``block``
+    rows, so no window ever holds more than one block: a running minimum
+    inside each (key, block), plus the minimum carried in from the key's
+    earlier blocks (one row per block, a window over a key's blocks only).
+    """
+    g = numbering.number_rows(df, [F.col(p) for p in partition] + _order(order), "_tw_g")
+    g = g.withColumn("_tw_b", F.floor((F.col("_tw_g") - 1) / block))
+    local = Window.partitionBy(*partition, "_tw_b").orderBy("_tw_g").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_tw_local", F.min(value).over(local))
+    per_block = g.groupBy(*partition, "_tw_b").agg(F.min(value).alias("_tw_bmin"))
+    earlier = Window.partitionBy(*partition).orderBy("_tw_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select(*partition, "_tw_b", F.min("_tw_bmin").over(earlier).alias("_tw_carry"))
+    out = numbering._null_safe_join(g, carry, partition + ["_tw_b"])
+    return out.withColumn(name, F.least("_tw_local", "_tw_carry")).drop("_tw_g", "_tw_b", "_tw_local", "_tw_carry")
 
 
 def drop_last_parts(c, sep: str, keep_all_but: int) -> Column:
@@ -73,10 +84,10 @@ def part_ordinal(c, sep: str) -> Column:
 
 
 def prefix_labels(df: DataFrame, name: str, label: str = "label", order: list | None = None) -> DataFrame:
-    """label = upper first letter + number of the name within its letter."""
-    first = F.upper(F.substring(F.col(name), 1, 1))
-    w = Window.partitionBy(first).orderBy(*(_order(order) if order else [F.col(name)]))
-    return df.withColumn(label, F.concat(first, F.row_number().over(w).cast("string")))
+    """label = upper first letter + number of the name within its letter (hot letters are split)."""
+    d = df.withColumn("_tw_first", F.upper(F.substring(F.col(name), 1, 1)))
+    d = numbering.number_within(d, ["_tw_first"], _order(order) if order else [F.col(name)], "_tw_n")
+    return d.withColumn(label, F.concat("_tw_first", F.col("_tw_n").cast("string"))).drop("_tw_first", "_tw_n")
 
 
 def _regex_quote(s: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import temporal_as_text
@@ -583,8 +582,8 @@ FROM orders
 """)
 def row_number_part(spark, d):
     o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    return o.withColumn("rn", F.row_number().over(w)).select("o_orderkey", "o_custkey", "rn")
+    out = W.number_within(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], "rn")
+    return out.select("o_orderkey", "o_custkey", F.col("rn").cast("int").alias("rn"))
 
 
 @query("rank_part", sql="""
@@ -593,7 +592,8 @@ FROM lineitem
 """)
 def rank_part(spark, d):
     li = Tables(spark, d).lineitem.withColumn("score", F.col("l_quantity") * (1 - F.col("l_discount")))
-    return W.rank_within(li, ["l_orderkey"], ["score"], "rnk").select("l_orderkey", "l_linenumber", "rnk")
+    out = W.rank_within(li, ["l_orderkey"], ["score"], "rnk")
+    return out.select("l_orderkey", "l_linenumber", F.col("rnk").cast("int").alias("rnk"))
 
 
 @query("row_number_global", sql="""
