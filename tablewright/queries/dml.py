@@ -9,15 +9,16 @@ from tablewright.registry import query
 from tablewright.sources.tables import Tables
 
 SLICES = """
-WITH t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 <> 1),
-     s AS (SELECT o_orderkey, o_totalprice + 100 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0)
+WITH t AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
+     s AS (SELECT o_orderkey, o_totalprice + 100 AS o_totalprice FROM orders WHERE o_orderstatus <> 'F')
 """
 
 
 def _slices(spark, d):
+    # target: finished and open orders; source: open and pending orders, repriced
     o = Tables(spark, d).orders
-    target = o.where(F.col("o_orderkey") % 4 != 1).select("o_orderkey", "o_orderstatus", "o_totalprice")
-    source = o.where(F.col("o_orderkey") % 3 == 0).select("o_orderkey", (F.col("o_totalprice") + 100).alias("o_totalprice"))
+    target = o.where(F.col("o_orderstatus") != "P").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    source = o.where(F.col("o_orderstatus") != "F").select("o_orderkey", (F.col("o_totalprice") + 100).alias("o_totalprice"))
     return target, source
 
 
@@ -101,10 +102,11 @@ def _versions(spark, d):
     """Versioned child rows derived from the tables.
 
     versions = orders, entity = customer, child rows = lineitems keyed by
-    line number; the current version of an entity is its highest order key;
-    the other even-numbered orders of every 50th customer are the updated
-    versions; orders ending in 007 are copied; every 500th-plus-one customer
-    is a new entity.  The user's entries keep lines 1-3 of the current
+    line number; the entities are the customers of nation 7, the current
+    version of an entity is its highest order key and its other urgent or
+    high-priority orders are the updated versions; orders placed on the
+    first of a month are copied; the machinery customers of nation 9 are new
+    entities.  The user's entries keep lines 1-3 of the current
     version (line 2's quantity raised by one) and add a line 9.
     Lines sharing an (order, line number) are summed into one child row.
     """
@@ -112,14 +114,16 @@ def _versions(spark, d):
     # one child row per (order, line number): the lines are summed first
     rows = (t.lineitem.groupBy(F.col("l_orderkey").alias("version_id"), "l_linenumber")
             .agg(F.sum("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount")))
-    picked = t.orders.where(F.col("o_custkey") % 50 == 0)
+    nation7 = t.customer.where(F.col("c_nationkey") == 7).select(F.col("c_custkey").alias("o_custkey"))
+    picked = t.orders.join(nation7, "o_custkey", "left_semi")
     cur = picked.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.max("o_orderkey").alias("current_version_id"))
     updated = (picked.join(cur, F.col("o_custkey") == F.col("entity_id"))
-               .where((F.col("o_orderkey") != F.col("current_version_id")) & (F.col("o_orderkey") % 2 == 0))
+               .where((F.col("o_orderkey") != F.col("current_version_id")) &
+                      F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
                .select(F.col("o_orderkey").alias("updated_version_id"), "current_version_id", "entity_id"))
-    copies = t.orders.where(F.col("o_orderkey") % 1000 == 7).select(
+    copies = t.orders.where(F.dayofmonth("o_orderdate") == 1).select(
         F.col("o_orderkey").alias("original_version_id"), (F.col("o_orderkey") + 1000000).alias("new_version_id"))
-    new_cust = t.customer.where(F.col("c_custkey") % 500 == 1)
+    new_cust = t.customer.where((F.col("c_nationkey") == 9) & (F.col("c_mktsegment") == "MACHINERY"))
     inserted = new_cust.select((F.lit(2000000) + F.col("c_custkey")).alias("version_id"),
                                F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("guid"))
     kept = (cur.join(rows, F.col("version_id") == F.col("current_version_id"))
@@ -137,11 +141,13 @@ def _versions(spark, d):
 
 
 @query("three_way_merge", sql="""
-WITH cur AS (SELECT o_custkey AS entity_id, max(o_orderkey) AS current_version_id FROM orders WHERE o_custkey % 50 = 0 GROUP BY o_custkey),
+WITH cur AS (SELECT o_custkey AS entity_id, max(o_orderkey) AS current_version_id FROM orders
+             WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY o_custkey),
 uv AS (SELECT o.o_orderkey AS updated_version_id, c.current_version_id, c.entity_id FROM orders o JOIN cur c ON o.o_custkey = c.entity_id
-       WHERE o.o_orderkey <> c.current_version_id AND o.o_orderkey % 2 = 0),
-copies AS (SELECT o_orderkey AS original_version_id, o_orderkey + 1000000 AS new_version_id FROM orders WHERE o_orderkey % 1000 = 7),
-ins AS (SELECT 2000000 + c_custkey AS version_id, 'new-' || CAST(c_custkey AS VARCHAR) AS guid FROM customer WHERE c_custkey % 500 = 1),
+       WHERE o.o_orderkey <> c.current_version_id AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')),
+copies AS (SELECT o_orderkey AS original_version_id, o_orderkey + 1000000 AS new_version_id FROM orders WHERE dayofmonth(o_orderdate) = 1),
+ins AS (SELECT 2000000 + c_custkey AS version_id, 'new-' || CAST(c_custkey AS VARCHAR) AS guid FROM customer
+        WHERE c_nationkey = 9 AND c_mktsegment = 'MACHINERY'),
 base AS (SELECT l_orderkey AS version_id, l_linenumber, sum(l_quantity) AS l_quantity, max(l_discount) AS l_discount
          FROM lineitem GROUP BY l_orderkey, l_linenumber),
 entries AS (
@@ -149,7 +155,8 @@ entries AS (
          b.l_quantity + CASE WHEN b.l_linenumber = 2 THEN 1 ELSE 0 END AS l_quantity, b.l_discount
   FROM cur c JOIN base b ON b.version_id = c.current_version_id WHERE b.l_linenumber <= 3
   UNION ALL SELECT entity_id, 'e-' || CAST(entity_id AS VARCHAR), 9, 1.0, 0.0 FROM cur
-  UNION ALL SELECT c_custkey, 'new-' || CAST(c_custkey AS VARCHAR), 1, 5.0, 0.01 FROM customer WHERE c_custkey % 500 = 1),
+  UNION ALL SELECT c_custkey, 'new-' || CAST(c_custkey AS VARCHAR), 1, 5.0, 0.01 FROM customer
+            WHERE c_nationkey = 9 AND c_mktsegment = 'MACHINERY'),
 r AS (SELECT * FROM base
       UNION ALL SELECT cp.new_version_id, b.l_linenumber, b.l_quantity, b.l_discount FROM base b JOIN copies cp ON b.version_id = cp.original_version_id),
 del AS (SELECT r.version_id, r.l_linenumber FROM r JOIN uv ON r.version_id = uv.updated_version_id

@@ -210,8 +210,8 @@ def interval_overlap(spark, d):
 
 @query("null_safe_diff", sql="""
 WITH a AS (SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS pr, o_totalprice FROM orders),
-     b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-                  nullif(o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN '1-URGENT' ELSE '5-LOW' END) AS pr,
+     b AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+                  nullif(o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN '1-URGENT' ELSE '5-LOW' END) AS pr,
                   o_totalprice FROM orders)
 SELECT a.o_orderkey FROM a JOIN b ON a.o_orderkey = b.o_orderkey
 WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.pr IS DISTINCT FROM b.pr
@@ -221,8 +221,8 @@ def null_safe_diff(spark, d):
     o = Tables(spark, d).orders
     a = o.select("o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("pr"), "o_totalprice")
     b = o.select("o_orderkey",
-                 F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-                 F.nullif("o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, "1-URGENT").otherwise("5-LOW")).alias("pr"),
+                 F.when(F.col("o_orderpriority") == "2-HIGH", "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+                 F.nullif("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "1-URGENT").otherwise("5-LOW")).alias("pr"),
                  "o_totalprice")
     j = a.alias("a").join(b.alias("b"), "o_orderkey")
     return j.where(P.any_differs([("a.o_orderstatus", "b.o_orderstatus"), ("a.pr", "b.pr"),
@@ -330,8 +330,8 @@ def join_left_chain(spark, d):
 def _left_join_tables(t):
     a = t.nation.select(F.col("n_nationkey").alias("aid"))
     b = t.supplier.select(F.col("s_suppkey").alias("bid"), F.col("s_nationkey").alias("aid"))
-    c = t.customer.where(F.col("c_custkey") % 3 == 0).select(
-        F.col("c_custkey").alias("cid"), (F.col("c_custkey") % 100).alias("bid"))
+    c = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(
+        F.col("c_custkey").alias("cid"), (F.col("c_nationkey") * 4).cast("bigint").alias("bid"))
     return a, b, c
 
 
@@ -343,7 +343,7 @@ def _ids_as_text(df):
 LJ_SQL = """
 WITH a AS (SELECT n_nationkey AS aid FROM nation),
      b AS (SELECT s_suppkey AS bid, s_nationkey AS aid FROM supplier),
-     c AS (SELECT c_custkey AS cid, c_custkey % 100 AS bid FROM customer WHERE c_custkey % 3 = 0)
+     c AS (SELECT c_custkey AS cid, CAST(c_nationkey * 4 AS BIGINT) AS bid FROM customer WHERE c_mktsegment = 'BUILDING')
 """
 
 
@@ -379,8 +379,8 @@ def left_join_semantics_4(spark, d):
 
 
 @query("join_full_outer", sql="""
-WITH l AS (SELECT * FROM orders WHERE o_orderkey % 4 <> 0),
-     r AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0)
+WITH l AS (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'),
+     r AS (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey,
        CASE WHEN l.o_orderkey IS NULL THEN 'only in right' WHEN r.o_orderkey IS NULL THEN 'only in left'
             ELSE 'in both' END AS status,
@@ -388,8 +388,10 @@ SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey,
 FROM l FULL OUTER JOIN r ON l.o_orderkey = r.o_orderkey
 """)
 def join_full_outer(spark, d):
-    o = Tables(spark, d).orders.select("o_orderkey", "o_totalprice")
-    j = J.full_outer_status(o.where(F.col("o_orderkey") % 4 != 0), o.where(F.col("o_orderkey") % 3 != 0), ["o_orderkey"])
+    o = Tables(spark, d).orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
+    left = o.where(F.col("o_orderpriority") != "1-URGENT").drop("o_orderpriority")
+    right = o.where(F.col("o_orderpriority") != "5-LOW").drop("o_orderpriority")
+    j = J.full_outer_status(left, right, ["o_orderkey"])
     return j.select("o_orderkey", "status", F.coalesce("l_o_totalprice", "r_o_totalprice").alias("o_totalprice"))
 
 
@@ -454,15 +456,15 @@ def join_range(spark, d):
 
 @query("join_or_condition", sql="""
 SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n
-  ON (s.s_nationkey = n.n_nationkey AND s.s_suppkey % 2 = 0)
-  OR (s.s_nationkey = n.n_regionkey AND s.s_suppkey % 2 = 1)
+  ON (s.s_nationkey = n.n_nationkey AND s.s_acctbal >= 5000)
+  OR (s.s_nationkey = n.n_regionkey AND s.s_acctbal < 5000)
 """)
 def join_or_condition(spark, d):
     t = Tables(spark, d)
     s, n = t.supplier, t.nation
     out = J.or_join(s, n, [
-        (s["s_nationkey"] == n["n_nationkey"], s["s_suppkey"] % 2 == 0),
-        (s["s_nationkey"] == n["n_regionkey"], s["s_suppkey"] % 2 == 1)])
+        (s["s_nationkey"] == n["n_nationkey"], s["s_acctbal"] >= 5000),
+        (s["s_nationkey"] == n["n_regionkey"], s["s_acctbal"] < 5000)])
     return out.select("s_suppkey", "n_name")
 
 
