@@ -300,3 +300,32 @@ def test_short_alias_matches_python(spark):
     df = spark.createDataFrame([(n,) for n in names], "name string")
     got = {r["name"]: r["alias"] for r in R.short_alias(df, "name").collect()}
     assert got == _alias_python(names)
+
+
+# ---------------------------------------------------------------- hot-group-safe windows
+
+
+def test_number_and_rank_within_match_windows(spark):
+    from pyspark.sql import Window
+    from tablewright.operators import numbering as N
+    data = [(k, v, i) for i, (k, v) in enumerate([("a", 3), ("a", 1), ("a", 3), (None, 2), (None, 2), ("b", 5),
+                                                  ("a", 2), ("b", 5), ("b", 1), (None, 7)])]
+    df = spark.createDataFrame(data, "k string, v int, id int")
+    got = N.number_within(df, ["k"], [F.col("v").desc(), F.col("id")], "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), "id")))
+    assert rows(got, "id", "rn") == rows(want, "id", "rn")
+    got = N.rank_within(df, ["k"], ["v"], "rk")
+    want = df.withColumn("rk", F.rank().over(Window.partitionBy("k").orderBy(F.col("v").desc())))
+    assert rows(got, "id", "rk") == rows(want, "id", "rk")
+
+
+def test_running_min_carries_across_blocks(spark):
+    from pyspark.sql import Window
+    vals = [5, 3, 8, 1, 9, 2, 7, 0, 6, 4, 3, 8]
+    data = [("k" if i % 3 else "h", i, v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(data, "key string, t int, v int")
+    want = df.withColumn("m", F.min("v").over(
+        Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)))
+    for block in (1, 2, 3, 100):
+        got = W.running_min_before(df, ["key"], ["t"], "v", "m", block=block)
+        assert rows(got, "key", "t", "m") == rows(want, "key", "t", "m"), block
