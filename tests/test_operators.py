@@ -329,3 +329,19 @@ def test_running_min_carries_across_blocks(spark):
     for block in (1, 2, 3, 100):
         got = W.running_min_before(df, ["key"], ["t"], "v", "m", block=block)
         assert rows(got, "key", "t", "m") == rows(want, "key", "t", "m"), block
+
+
+def test_compare_null_property_and_case_only_difference(spark):
+    src = spark.createDataFrame([("t", "", "TABLE", "Abc"), ("c1", "t", "COLUMN", None)], C.SNAPSHOT_COLS)
+    tgt = spark.createDataFrame([("t", "", "TABLE", "abc"), ("c1", "t", "COLUMN", "x")], C.SNAPSHOT_COLS)
+    out = rows(C.compare(src, tgt), "Result", "Item", "Source_Properties", "Target_Properties")
+    # a NULL property on one side is reported (the filter compares ISNULL(…, '')) but labelled 'match',
+    # as in the recipe, whose label CASE compares the NULL with <>; case-only changes count as different
+    assert out == [("different Properties", "t", "Abc", "abc"), ("match", "tc1", "", "x")]
+
+
+def test_identical_single_element_sets(spark):
+    df = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, "A"), (5, "B")], "o int, e string")
+    assert rows(ST.equal_pairs(df, "o", "e"), "leader", "owner") == [(1, 2), (1, 3)]
+    subs = rows(ST.subset_pairs(df, "o", "e"), "left", "right", "relation")
+    assert subs == [(1, 5, "Left subset of right"), (4, 5, "Left subset of right")]
