@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import col
+from tablewright.session import cut_lineage
 
 
 def ordered_list(value, order: list, sep: str = ", ", desc: list[bool] | None = None) -> Column:
@@ -83,10 +84,11 @@ def minmax_many(df: DataFrame, columns: list[str]) -> DataFrame:
 def share_of_total(df: DataFrame, keys: list[str], value, name: str = "value", digits: int = 1) -> DataFrame:
     """Per-group value and its percentage of the grand total.
 
-    The grand total is a scalar subquery (computed once, used as a value), so
+    The grouped result is materialised once (the scan, joins and aggregation
+    behind it run once) and the grand total is a scalar subquery over it, so
     no global window and no join are needed.
     """
-    g = df.groupBy(*keys).agg(F.sum(col(value)).alias(name))
+    g = cut_lineage(df.groupBy(*keys).agg(F.sum(col(value)).alias(name)))
     total = g.agg(F.sum(name)).scalar()
     return g.withColumn("pct", F.round(F.col(name) * 100.0 / total, digits))
 
@@ -103,7 +105,7 @@ def top_with_other(df: DataFrame, key: str, value, min_share: float = 0.01,
     At most 1/min_share slices exceed the threshold, so the ranked result is
     bounded (≤ 101 rows for 1 %) and a global ROW_NUMBER over it is cheap.
     """
-    g = df.groupBy(key).agg(F.sum(col(value)).alias("_tw_v"))
+    g = cut_lineage(df.groupBy(key).agg(F.sum(col(value)).alias("_tw_v")))   # aggregated once
     j = g.withColumn("_tw_t", g.agg(F.sum("_tw_v")).scalar())      # grand total as a scalar subquery
     big = F.col("_tw_v") > F.col("_tw_t") * min_share
     folded = (j.withColumn(key, F.when(big, F.col(key)).otherwise(F.lit(other)))

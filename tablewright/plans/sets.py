@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.session import cut_lineage
+
 
 def _pairs(df: DataFrame, owner: str, element: str) -> DataFrame:
     return df.select(F.col(owner).alias("owner"), F.col(element).alias("element")).distinct()
@@ -56,9 +58,10 @@ def set_classes(df: DataFrame, owner: str, element: str) -> tuple[DataFrame, Dat
         F.when(F.coalesce(F.col("shared"), F.lit(0)) == F.col("set_size"), F.col("leader"))
          .otherwise(F.col("owner")).alias("leader"))
     sizes = checked.groupBy("leader").agg(F.count(F.lit(1)).alias("class_size"))
-    membership = checked.join(sizes, "leader").select("owner", "leader", "set_size", "class_size")
-    elements = pairs.join(membership.where(F.col("owner") == F.col("leader")).select("owner"), "owner").select(
-        F.col("owner").alias("leader"), "element")
+    # both results are read several times downstream: materialise them once
+    membership = cut_lineage(checked.join(sizes, "leader").select("owner", "leader", "set_size", "class_size"))
+    elements = cut_lineage(pairs.join(membership.where(F.col("owner") == F.col("leader")).select("owner"), "owner")
+                           .select(F.col("owner").alias("leader"), "element"))
     return membership, elements
 
 
