@@ -123,7 +123,8 @@ def three_way_merge(rows: DataFrame, copies: DataFrame, updated: DataFrame, inse
         column changes only where the user changed it relative to current;
     (d) insert entries missing from both this version and the current version;
     (e) insert entries of new entities under their new version id.
-    All steps are equi-joins on (version, unique key).
+    All steps are equi-joins on (version, unique key).  ``rows`` is read
+    several times: pass a table (or materialise a derived input first).
     """
     cols = [version] + unique_cols + value_cols
     base = rows.select(*cols)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import dml as M
 from tablewright.registry import query
+from tablewright.session import cut_lineage
 from tablewright.sources.tables import Tables
 
 SLICES = """
@@ -111,9 +112,10 @@ def _versions(spark, d):
     Lines sharing an (order, line number) are summed into one child row.
     """
     t = Tables(spark, d)
-    # one child row per (order, line number): the lines are summed first
-    rows = (t.lineitem.groupBy(F.col("l_orderkey").alias("version_id"), "l_linenumber")
-            .agg(F.sum("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount")))
+    # one child row per (order, line number): the lines are summed first; the merge reads the
+    # child rows several times, so this derived table is materialised once
+    rows = cut_lineage(t.lineitem.groupBy(F.col("l_orderkey").alias("version_id"), "l_linenumber")
+                       .agg(F.sum("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount")))
     nation7 = t.customer.where(F.col("c_nationkey") == 7).select(F.col("c_custkey").alias("o_custkey"))
     picked = t.orders.join(nation7, "o_custkey", "left_semi")
     cur = picked.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.max("o_orderkey").alias("current_version_id"))
