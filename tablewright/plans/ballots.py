@@ -10,6 +10,8 @@ to the shared folder between rounds.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ from tablewright.operators.numbering import number_rows
 from tablewright.session import cut_lineage
 
 
+def _pct(votes: int, total: int) -> float | None:
+    """Whole percent, rounded half away from zero (exact decimal arithmetic)."""
+    if not total:
+        return None
+    return float((Decimal(votes) * 100 / Decimal(total)).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+
+
 def ballot_profiles(votes: DataFrame, voter: str, candidate: str, rank: str) -> DataFrame:
     """(ranking_id, ranking, candidate, rank, votes) — one row per candidate of each distinct ranking.
 
@@ -50,7 +59,7 @@ def instant_runoff(profiles: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not firsts:
             break
         rows = sorted(((r["candidate"], r["votes"]) for r in firsts), key=lambda t: (-t[1], t[0]))
-        rounds += [(rnd, c, v, float(round(v * 100.0 / total)) if total else None) for c, v in rows]
+        rounds += [(rnd, c, v, _pct(v, total)) for c, v in rows]
         top_votes = rows[0][1]
         if top_votes * 2 > total or len(rows) == 1:
             break

@@ -269,7 +269,15 @@ def json_out(spark, d):
     return r.select("r_regionkey", K.json_rows(r).alias("json"))
 
 
-@query("xml_out")
+def _xml_text(c: str) -> str:
+    return f"replace(replace(replace(CAST({c} AS VARCHAR), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("xml_out", sql=f"""
+SELECT r_regionkey, '<region>' || chr(10) || '    <r_regionkey>' || {_xml_text('r_regionkey')} || '</r_regionkey>' || chr(10)
+       || '    <r_name>' || {_xml_text('r_name')} || '</r_name>' || chr(10) || '</region>' AS xml
+FROM region
+""")
 def xml_out(spark, d):
     r = Tables(spark, d).region
     return r.select("r_regionkey", K.xml_rows(r, "region").alias("xml"))
@@ -436,7 +444,32 @@ def ballot_profiles(spark, d):
     return B.ballot_profiles(_votes(spark, d), "user_id", "event_type", "rank")
 
 
-@query("instant_runoff")
+@query("instant_runoff", sql="""
+WITH RECURSIVE
+v AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rnk
+      FROM events GROUP BY user_id, event_type),
+l AS (SELECT user_id, list(event_type ORDER BY rnk) AS ranking FROM v GROUP BY user_id),
+p AS (SELECT ranking, count(*) AS votes FROM l GROUP BY ranking),
+pe AS (SELECT ranking, votes, unnest(ranking) AS cand, generate_subscripts(ranking, 1) AS pos FROM p),
+tot AS (SELECT sum(votes) AS t FROM p),
+r(rnd, elim) AS (
+  SELECT 1, []::VARCHAR[]
+  UNION ALL
+  SELECT r.rnd + 1, list_append(r.elim, s.bottom)
+  FROM r, LATERAL (
+      SELECT arg_min(cand, (votes, cand)) AS bottom, max(votes) AS top, count(*) AS ncand FROM (
+        SELECT cand, sum(votes) AS votes FROM (
+          SELECT ranking, votes, cand, row_number() OVER (PARTITION BY ranking ORDER BY pos) AS k
+          FROM pe WHERE NOT list_contains(r.elim, cand)) WHERE k = 1 GROUP BY cand)) s
+  WHERE s.top * 2 <= (SELECT t FROM tot) AND s.ncand > 1
+)
+SELECT CAST(r.rnd AS INTEGER) AS round, x.cand AS candidate, CAST(x.votes AS BIGINT) AS votes,
+       CAST(round(x.votes * 100.0 / (SELECT t FROM tot)) AS DOUBLE) AS pct
+FROM r, LATERAL (
+  SELECT cand, sum(votes) AS votes FROM (
+    SELECT ranking, votes, cand, row_number() OVER (PARTITION BY ranking ORDER BY pos) AS k
+    FROM pe WHERE NOT list_contains(r.elim, cand)) WHERE k = 1 GROUP BY cand) x
+""")
 def instant_runoff(spark, d):
     return B.instant_runoff(B.ballot_profiles(_votes(spark, d), "user_id", "event_type", "rank"))
 
