@@ -34,11 +34,16 @@ _LOW_BITS = 33
 
 def number_rows(df: DataFrame, order: list, name: str = "row_id", start: int = 1,
                 num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
-    """Add ``name`` = start, start+1, … following ``order`` (a total order: include a unique key)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Add ``name`` = start, start+1, … following ``order`` (a total order: include a unique key).
+
+    Without ``num_partitions`` the range partition count is left to AQE (its
+    initial partition number, coalesced to the advisory partition size), so
+    partitions stay a sensible size at any input size; coalescing only merges
+    adjacent ranges, so the order across partitions is kept.
+    """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    tagged = (df.repartitionByRange(n, *order_cols)
+    ranged = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
+    tagged = (ranged
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_tw_mid", F.monotonically_increasing_id()))
     if materialize:

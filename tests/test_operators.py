@@ -345,3 +345,26 @@ def test_identical_single_element_sets(spark):
     assert rows(ST.equal_pairs(df, "o", "e"), "leader", "owner") == [(1, 2), (1, 3)]
     subs = rows(ST.subset_pairs(df, "o", "e"), "left", "right", "relation")
     assert subs == [(1, 5, "Left subset of right"), (4, 5, "Left subset of right")]
+
+
+# ---------------------------------------------------------------- skew: one key holds a third of the rows
+
+
+def test_hot_key_results_are_whole(spark):
+    from pyspark.sql import Window
+    from tablewright.operators import numbering as N
+    n = 6000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 97).alias("k"),
+        ((F.col("id") * 7919) % 10007).alias("v"), F.col("id"))
+    latest = W.latest(df, ["k"], ["v", "id"])
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("id").desc()))) \
+             .where("r = 1").drop("r")
+    assert rows(latest, "k", "v", "id") == rows(want, "k", "v", "id")
+    got = N.number_within(df, ["k"], [F.col("v"), F.col("id")], "rn")
+    assert got.count() == n
+    hot = [r["rn"] for r in got.where("k = -1").collect()]
+    assert sorted(hot) == list(range(1, n // 3 + 1))
+    sets = spark.range(n).select((F.col("id") % 2000).alias("o"), F.when(F.col("id") < 4000, "x").otherwise("y").alias("e"))
+    eq = ST.equal_pairs(sets, "o", "e")            # owners 0..1999 all hold {x, y}: one hot class
+    assert eq.count() == 1999 and {r["leader"] for r in eq.select("leader").distinct().collect()} == {0}
