@@ -31,10 +31,6 @@ def concat_nn(*parts) -> Column:
     return F.concat(*[F.coalesce(col(p).cast("string"), F.lit("")) for p in parts])
 
 
-def lit_text(s: str) -> Column:
-    return F.lit(s)
-
-
 def int_avg(c) -> Column:
     """AVG over an integer column returns an integer (truncated toward zero)."""
     return F.avg(col(c)).cast("bigint")

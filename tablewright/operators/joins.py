@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.tsql import col
 
 
 def values_df(spark, rows: list[tuple], schema: str) -> DataFrame:
