@@ -4,7 +4,7 @@ No explicit broadcast hints on data-dependent sides: with AQE the planner
 broadcasts a side only when its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and falls back to sort-merge join
 otherwise.  ``F.broadcast`` is used only for relations whose size is fixed
-by construction (literal lists, one-row totals, partition offset tables).
+by construction (literal lists, rule tables, partition offset tables).
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def values_df(spark, rows: list[tuple], schema: str) -> DataFrame:
     """An inline literal relation (fixed size → safe to broadcast)."""
     return F.broadcast(spark.createDataFrame(rows, schema))
