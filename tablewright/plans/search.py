@@ -10,8 +10,8 @@ For every text containing the sought string (case-insensitive):
    ``before`` / ``after`` characters around each hit;
 3. explode the hits into rows with position, total length and percentage.
 
-Step 2 is a vectorised (Arrow-batched) pandas UDF over the texts of each
-partition.  It is the one place where Python pays off: hit positions,
+Step 2 runs in ``mapInPandas`` over Arrow batches of each partition's texts
+and yields one row per hit.  It is the one place where Python pays off: hit positions,
 neighbour characters and snippets are character-indexed, and the JVM's
 UTF-8 strings locate a character index by scanning from the start, so
 per-hit ``substring`` calls cost O(position) — quadratic in long texts —
@@ -27,6 +27,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.tsql import blank_len, collapse_blanks
 
@@ -34,30 +35,44 @@ from tablewright.functions.tsql import blank_len, collapse_blanks
 WORD_CHARS = "[_@#$a-z0-9]"
 
 
-def _hit_finder(sought: str, whole_word: bool, before: int, after: int):
-    """Pandas UDF: text → (positions 1-based, snippets) of the kept hits."""
+def _hit_rows(id_cols: list[str], sought: str, whole_word: bool, before: int, after: int, flush: int = 65536):
+    """``mapInPandas`` function: batches of (ids…, Total, text) → one row per kept hit.
+
+    Hits are emitted as rows (not as one array per text) and flushed every
+    ``flush`` hits, so a text with millions of hits never becomes one huge
+    row and a task's memory stays bounded by the batch it is reading.
+    """
     pattern = re.compile(re.escape(sought), re.IGNORECASE)
     word = re.compile(WORD_CHARS)
     n = len(sought)
 
-    @F.pandas_udf("struct<pos: array<int>, snip: array<string>>")
-    def hits(texts: pd.Series) -> pd.DataFrame:
-        all_pos, all_snip = [], []
-        for t in texts:
-            pos, snip = [], []
-            if t is not None:
+    def run(batches):
+        def empty():
+            return {**{c: [] for c in id_cols}, "Total": [], "Pos": [], "Snip": []}
+
+        out = empty()
+        for pdf in batches:
+            ids = [pdf[c].tolist() for c in id_cols]
+            for k, (total, t) in enumerate(zip(pdf["Total"].tolist(), pdf["_tw_text"].tolist())):
+                if t is None:
+                    continue
                 for m in pattern.finditer(t):
                     i, j = m.start(), m.end()
                     if whole_word and ((i > 0 and word.match(t[i - 1].lower()))
                                        or (j < len(t) and word.match(t[j].lower()))):
                         continue
-                    pos.append(i + 1)
-                    snip.append(t[max(0, i - before): i + n + after])
-            all_pos.append(pos)
-            all_snip.append(snip)
-        return pd.DataFrame({"pos": all_pos, "snip": all_snip})
+                    for c, col in zip(id_cols, ids):
+                        out[c].append(col[k])
+                    out["Total"].append(total)
+                    out["Pos"].append(i + 1)
+                    out["Snip"].append(t[max(0, i - before): i + n + after])
+                    if len(out["Pos"]) >= flush:
+                        yield pd.DataFrame(out)
+                        out = empty()
+        if out["Pos"]:
+            yield pd.DataFrame(out)
 
-    return hits
+    return run
 
 
 def normalise(c: Column) -> Column:
@@ -77,9 +92,10 @@ def find_occurrences(df: DataFrame, id_cols: list[str], text: str, sought: str,
     if collapse:
         norm = collapse_blanks(norm)
     docs = docs.select(*id_cols, norm.alias("_tw_text")).select(
-        *id_cols, blank_len("_tw_text").alias("Total"),
-        _hit_finder(sought, whole_word, before, after)(F.col("_tw_text")).alias("_tw_h"))
-    hits = docs.select(*id_cols, "Total", F.inline(F.arrays_zip(F.col("_tw_h.pos").alias("Pos"),
-                                                                F.col("_tw_h.snip").alias("Snip"))))
+        *id_cols, blank_len("_tw_text").alias("Total"), "_tw_text")
+    id_fields = [f for f in docs.schema.fields if f.name in id_cols]
+    schema = T.StructType(id_fields + [T.StructField("Total", T.IntegerType()), T.StructField("Pos", T.IntegerType()),
+                                       T.StructField("Snip", T.StringType())])
+    hits = docs.mapInPandas(_hit_rows(id_cols, sought, whole_word, before, after), schema)
     return hits.select(*id_cols, "Snip", "Pos", "Total",
                        F.round(F.col("Pos") * 100.0 / F.col("Total"), 0).cast("int").alias("PCT"))
