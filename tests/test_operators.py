@@ -368,3 +368,48 @@ def test_hot_key_results_are_whole(spark):
     sets = spark.range(n).select((F.col("id") % 2000).alias("o"), F.when(F.col("id") < 4000, "x").otherwise("y").alias("e"))
     eq = ST.equal_pairs(sets, "o", "e")            # owners 0..1999 all hold {x, y}: one hot class
     assert eq.count() == 1999 and {r["leader"] for r in eq.select("leader").distinct().collect()} == {0}
+
+
+# ---------------------------------------------------------------- templates, sinks, forecasts
+
+
+def test_template_merge_case_insensitive_and_ordered(spark):
+    from tablewright.plans.templates import template_merge
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d$1\\")], "n int, This string, That string")
+    out = template_merge(df, "From [this] to [THAT]. ", ["n"], "").first()["text"]
+    assert out == "From a to b. From c to d$1\\. "
+
+
+def test_incremental_new_without_completed_items(spark):
+    from tablewright.sources.sinks import incremental_new
+    items = spark.createDataFrame([("0001_a",), ("0003_b",), ("x_c",)], "name string")
+    ledger = spark.createDataFrame([("0002_a", False)], "name string, done boolean")
+    got = rows(incremental_new(items, "name", ledger, "name", done=F.col("done")), "name")
+    assert got == [("0001_a",), ("0003_b",)]          # nothing completed → high-water mark 0; non-numbers skipped
+    got = rows(incremental_new(items, "name", ledger.withColumn("done", F.lit(True)), "name", done=F.col("done")), "name")
+    assert got == [("0003_b",)]
+
+
+def test_key_capacity_formula(spark):
+    keys = spark.createDataFrame([("t1", "id", "smallint", 16384), ("t2", "id", "int", 1000), ("t3", "id", "tinyint", 64)],
+                                 "table_name string, column_name string, data_type string, last_value bigint")
+    got = rows(R.key_capacity(keys, 25), "table_name", "pct")
+    assert got == [("t1", 50.0), ("t3", 50.0)]
+
+
+def test_exhaustion_forecast_small(spark):
+    d = dt.date
+    stats = spark.createDataFrame([("T", 100, d(2024, 1, 1), 1100), ("T", 600, d(2024, 1, 11), 1100),
+                                   ("T", 599, d(2024, 1, 10), 1100)],
+                                  "TableName string, IDValue bigint, CreateDate date, IDLimit bigint")
+    r = R.exhaustion_forecast(stats).first()
+    # pairs more than 5 days apart: (100→600, 10 days, 500 ids: 10 more days) and (100→599, 9 days)
+    assert r.TableName == "T" and r.FromForecast == d(2024, 1, 19) and r.ToForecast == d(2024, 1, 21)
+
+
+def test_denormalize_keeps_id_without_unique_key(spark):
+    t = {"f": spark.createDataFrame([(1, 10)], "id int, o_id int"),
+         "o": spark.createDataFrame([(10, "x")], "o_id2 int, o_note string")}
+    fks = [{"child": "f", "child_cols": ["o_id"], "parent": "o", "parent_cols": ["o_id2"], "nullable": False}]
+    out = G.denormalize(t, fks, "f", {})
+    assert out.columns == ["id", "o_id"]
