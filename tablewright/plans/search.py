@@ -11,7 +11,8 @@ For every text containing the sought string (case-insensitive):
 3. explode the hits into rows with position, total length and percentage.
 
 Step 2 runs in ``mapInPandas`` over Arrow batches of each partition's texts
-and yields one row per hit.  It is the one place where Python pays off: hit positions,
+(batches are capped by ``spark.sql.execution.arrow.maxBytesPerBatch``) and
+yields one row per hit, flushed in bounded chunks.  It is the one place where Python pays off: hit positions,
 neighbour characters and snippets are character-indexed, and the JVM's
 UTF-8 strings locate a character index by scanning from the start, so
 per-hit ``substring`` calls cost O(position) — quadratic in long texts —
