@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.numbering import number_rows
+from tablewright.operators.numbering import number_rows, number_within
+from tablewright.session import cut_lineage
 from tablewright.sources.generators import date_spine
 
 # The default date for missing dates and the dimension rule threshold.
@@ -80,7 +81,26 @@ class Star:
 
     @cached_property
     def dims(self) -> dict[str, DataFrame]:
-        return {c.name: dimension(self.staging, c, self.prefix) for c in self.columns if c.action == "dimension"}
+        """C3 for every dimension column.
+
+        Text dimensions (the usual case) are built together: one scan of the
+        staging table explodes (dimension, value) pairs, which are
+        de-duplicated map-side, numbered within each dimension in one
+        numbering pass, and materialised once; each dimension is a filter
+        of that table.  Other dimension types are built one by one.
+        """
+        dcols = [c for c in self.columns if c.action == "dimension"]
+        text = [c for c in dcols if isinstance(c.data_type, T.StringType)]
+        out = {c.name: dimension(self.staging, c, self.prefix) for c in dcols if c not in text}
+        if text:
+            pairs = self.staging.select(F.explode(F.array(*[
+                F.struct(F.lit(c.name).alias("_tw_dim"), _replaced(c).alias("_tw_val")) for c in text])).alias("_tw_p"))
+            pairs = pairs.select("_tw_p._tw_dim", "_tw_p._tw_val").distinct()
+            numbered = cut_lineage(number_within(pairs, ["_tw_dim"], [F.col("_tw_val")], "_tw_id"))
+            for c in text:
+                out[c.name] = numbered.where(F.col("_tw_dim") == c.name).select(
+                    F.col("_tw_id").alias(f"{self.prefix}_{c.name}_Dim_ID"), F.col("_tw_val").alias(c.name))
+        return {c.name: out[c.name] for c in dcols}
 
     @cached_property
     def fact_rows(self) -> DataFrame:
