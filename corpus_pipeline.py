@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, packing, quality
+from tablewright.llm import exact_dedup, ngram_join, packing, quality
 from tablewright.llm.common import table
 
 
@@ -35,12 +35,18 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _with_ids(docs, exact_dedup.exact_dedup(docs).where("kept"))
 
 
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates."""
+    return _with_ids(docs, ngram_join.ngram_join(docs).where("doc_id <=> component_id"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that are left."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_classifier", quality_stage), ("exact_dedup", exact_dedup_stage), ("best_fit_packing", packing_stage)]
+STAGES = [("quality_classifier", quality_stage), ("exact_dedup", exact_dedup_stage),
+          ("ngram_jaccard_join", ngram_stage), ("best_fit_packing", packing_stage)]
 
 #: No stage but exact dedup can be written in SQL.
 ORACLE_SQL = None

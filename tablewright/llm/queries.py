@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import exact_dedup as dedup
-from tablewright.llm import html_extract, packing, quality, sentencepiece_codec, sharding, token_binary, url_filter
+from tablewright.llm import html_extract, ngram_join, packing, quality, sentencepiece_codec, sharding, token_binary, url_filter, vector_search
 from tablewright.llm.common import table
 from tablewright.session import checkpoint_dir
 
@@ -29,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -46,6 +50,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rule_rows(spark, RULES).unionByName(listed))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -56,8 +64,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op5_sharding, op6_token_binary,
-                            op7_url_filter, op9_html_extract, op10_quality_classifier)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_ngram_jaccard, op5_sharding,
+                            op6_token_binary, op7_url_filter, op8_nearest_neighbours, op9_html_extract, op10_quality_classifier)
 }
 
 SQL: dict[str, str] = {
