@@ -6,10 +6,12 @@ best score of a path to that position (Viterbi).  A character that no
 one-character piece covers is an unknown node, scored below every piece, and
 is written as its UTF-8 byte pieces.  Ties go to the longer last piece.
 
-No piece of such a vocabulary has the blank mark after another character, so
-a best path is made of the best paths of the words, each with the blanks
-before it; a vocabulary for which this does not hold is read as one word.
-The paths of recent words are kept, in a bounded table per task.
+Where two neighbouring characters are inside no piece, every path ends a
+piece between them.  A vocabulary is tested for two such rules when it is
+read: no blank mark after another character, and nothing else after a letter.
+As far as they hold, the text is cut there, the best path is made of the best
+paths of the parts, and the paths of recent parts are kept in a bounded table
+per worker (two generations, so frequent parts stay).
 
 Normalisation is that of the given model file: none but one blank in front of
 a text that is not empty, and the blank mark for each blank.  The sentencepiece
@@ -25,10 +27,12 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,10 @@ from tablewright.llm.common import texts, vocabulary
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: A part ends after a run of letters; digits, the underscore and all that is no word character are not letters.
+_OTHER = rf"(?:[^{MARK}\w]|[\d_])"
+_PARTS = re.compile(rf"{MARK}*{_OTHER}*[^\W\d_]+|{MARK}*{_OTHER}+|{MARK}+")
+_AFTER_LETTER = re.compile(r"[^\W\d_](?:[^\w]|[\d_])")
 UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
 
@@ -43,7 +51,7 @@ MODEL = "piece_bpe_32k.model"
 class PieceCodec:
     """Automaton, scores and byte pieces of one vocabulary."""
 
-    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int] | None, unknown_id: int = 0, keep_words: int = 500_000):
+    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: list[int] | None, unknown_id: int = 0, keep: int = 200_000):
         """``pieces``: (id, piece, score) of those that may match text; ``byte_ids``: ids of the 256 byte pieces."""
         self.automaton = ahocorasick.Automaton()
         for i, piece, score in pieces:
@@ -52,11 +60,14 @@ class PieceCodec:
         self.single = {p for _, p, _ in pieces if len(p) == 1}
         self.unknown_score = min((s for _, _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids, self.unknown_id = byte_ids, unknown_id
-        self.by_word = not any(MARK in p.lstrip(MARK) for _, p, _ in pieces)
+        self.by_blank = not any(MARK in p.lstrip(MARK) for _, p, _ in pieces)
+        by_letter = self.by_blank and not any(_AFTER_LETTER.search(p) for _, p, _ in pieces)
+        self.parts = (_PARTS if by_letter else _WORDS).findall if self.by_blank else lambda text: [text]
         self.surface = {i: p.replace(MARK, " ").encode() for i, p, _ in pieces}
         if byte_ids:
             self.surface |= {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        self.keep_words, self.paths = keep_words, {}
+        self.keep, self.paths, self.older = keep, {}, {}   # words
+        self.part_paths, self.older_parts = {}, {}
 
     @classmethod
     def from_file(cls, path: str) -> "PieceCodec":
@@ -110,24 +121,41 @@ class PieceCodec:
             done += 1
         return done
 
-    def encode(self, text: str) -> np.ndarray:
+    def _parts_path(self, marked: str) -> tuple:
+        """Ids of the best path through marked text: the paths of its parts, one after the other."""
+        out: tuple = ()
+        for part in self.parts(marked):
+            ids = self.part_paths.get(part) or self.older_parts.get(part) or tuple(self.path(part))
+            if len(part) <= 64:
+                if len(self.part_paths) >= self.keep:
+                    self.older_parts, self.part_paths = self.part_paths, {}
+                self.part_paths[part] = ids
+            out += ids
+        return out
+
+    def encode(self, text: str) -> list[int]:
         if not text:
-            return np.zeros(0, np.int32)
+            return []
         marked = MARK + text.replace(" ", MARK)
-        if not self.by_word:
-            return np.asarray(self.path(marked), np.int32)
         out: list[int] = []
-        paths = self.paths
-        for word in _WORDS.findall(marked):
+        if not self.by_blank:
+            return self.path(marked)
+        if MARK * 2 in marked or marked[-1] == MARK:
+            for word in _WORDS.findall(marked):
+                out += self._parts_path(word)
+            return out
+        paths, older = self.paths, self.older
+        for word in marked[1:].split(MARK):                # single blanks: each word has one mark in front
             ids = paths.get(word)
             if ids is None:
-                ids = self.path(word)
+                ids = older.get(word) or self._parts_path(MARK + word)
                 if len(word) <= 64:
-                    if len(paths) >= self.keep_words:
-                        paths.clear()
+                    if len(paths) >= self.keep:
+                        older, paths = paths, {}
                     paths[word] = ids
             out += ids
-        return np.asarray(out, np.int32)
+        self.paths, self.older = paths, older
+        return out
 
     def decode(self, ids) -> str:
         """Text of the ids; control pieces have no text, wrong byte sequences give U+FFFD."""
@@ -164,21 +192,28 @@ def decode_documents(rows: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.select("doc_id", decode("ids").alias("text"))
 
 
-def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_crc32, decoded_crc32, same: every text encoded, and its ids decoded again."""
-
-    @F.pandas_udf("array<int>")
-    def encode(text: pd.Series) -> pd.Series:
-        c = codec(model)
-        return pd.Series([c.encode(t) for t in text], dtype=object)
+def round_trip(docs: DataFrame, model: str = MODEL, rows_at_once: int = 256) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_crc32, decoded_crc32, same: every text encoded, and its ids decoded again.
 
-    @F.pandas_udf("ids_crc32 long, decoded_crc32 long")
-    def digest(ids: pd.Series) -> pd.DataFrame:
+    Rows go out in small Arrow batches, so a worker holds few texts' ids.
+    """
+    def trip(batches):
         c = codec(model)
-        return pd.DataFrame([(zlib.crc32(np.asarray(x, "<u4").tobytes()), zlib.crc32(c.decode(x).encode("utf-8", "surrogatepass"))) for x in ids],
-                            columns=["ids_crc32", "decoded_crc32"], dtype="int64")
-
-    rows = texts(docs).select("doc_id", encode("text").alias("ids"), F.crc32(F.col("text").cast("binary")).alias("crc"))
-    return (rows.withColumn("d", digest("ids"))
-            .select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "d.ids_crc32", "d.decoded_crc32",
-                    (F.col("d.decoded_crc32") == F.col("crc")).alias("same")))
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(a, rows_at_once)
+                flat, ends, crcs, decoded, same = array("i"), [0], [], [], []
+                for text in part.column("text").to_pylist():
+                    ids = c.encode(text)
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    crcs.append(zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+                    back = c.decode(ids)
+                    decoded.append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
+                    same.append(back == text)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+                n = pa.array(np.diff(ends), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, n, pa.array(crcs, pa.int64()), pa.array(decoded, pa.int64()), pa.array(same)],
+                                                 ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_crc32", "same"])
+
+    return texts(docs).mapInArrow(trip, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_crc32 long, same boolean")
