@@ -79,6 +79,8 @@ def _powers(n_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, mix64(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
 
+_FACTORS = [int(mix64(np.array([i + 1], U64) * U64(0x9E3779B97F4A7C15))[0]) >> 8 | 1 for i in range(8)]
+
 #: ASCII blanks \x20 \x09-\x0D separate words; A-Z are lowered, nothing else is changed.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,8 +132,9 @@ def shingle_set(raw: bytes, words: int = 5) -> np.ndarray:
     n = len(w) - k + 1
     h = np.full(n, k, U64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            h = mix64(h * U64(0x9E3779B97F4A7C15) + w[i:n + i])
+        for i in range(k):                                 # word hashes are mixed: a sum with odd factors keeps their order
+            h += w[i:n + i] * U64(_FACTORS[i % 8] + 16 * (i // 8))
+        h = mix64(h)
     return np.unique(h)
 
 

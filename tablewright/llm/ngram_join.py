@@ -33,8 +33,8 @@ The work goes in four map passes over the texts and narrow shuffles between:
 Components of the links, by contraction (``connected_components``), give each
 document the smallest doc_id it reaches.
 
-Memory of a task is bounded by a block of ``block_shingles``; sets larger
-than that are blocks of their own.  Nothing but the long-list hashes
+Memory of a task is bounded by two blocks of about ``block_shingles`` and
+``block_sets``, or by one larger set.  Nothing but the long-list hashes
 (``max_long``) and a Bloom filter of bounded size reaches the driver.
 
 Defined results: null text counts as empty; a document without words has size
@@ -57,6 +57,9 @@ from tablewright.llm.common import U64, BlockedBloom, connected_components, mix6
 from tablewright.session import cut_lineage
 
 NUMER, DENOM, WORDS = 80, 100, 5
+_ALL = (1 << 64) - 1
+#: Stands for a null doc_id where one document of a class is chosen.
+_NO_ID = -(1 << 62)
 
 
 def required_overlap(n: int, m: int, numer: int = NUMER, denom: int = DENOM) -> int:
@@ -69,12 +72,13 @@ def prefix_length(n: int, numer: int = NUMER, denom: int = DENOM) -> int:
 
 
 def class_of(shingles: np.ndarray) -> int:
-    """63-bit id of a set: a sum of mixed hashes, mixed with the size."""
+    """63-bit id of a set: the sum of its (mixed) hashes, mixed with the size."""
     if not len(shingles):
         return 0
-    with np.errstate(over="ignore"):
-        s = np.array([mix64(shingles ^ U64(0xA0761D6478BD642F)).sum(dtype=U64) + U64(len(shingles))], U64)
-    return int(mix64(s)[0] >> U64(1))
+    x = (int(shingles.sum(dtype=U64)) + len(shingles) * 0x9E3779B97F4A7C15) & _ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return (x ^ (x >> 31)) >> 1
 
 
 # ---------------------------------------------------------------- DivideSkip
@@ -199,7 +203,7 @@ def long_lists(docs: DataFrame, shingles: int, words: int, long_list: int, max_l
                 if len(s):
                     held.append(s)
                     n += len(s)
-                if n > 4_000_000:
+                if n > 1_500_000:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -251,7 +255,7 @@ def prefix_entries(docs: DataFrame, frequent, shingles: int, words: int, numer:
                 e["hash"], e["class"], e["n"], e["at"] = s_ordered[:p], c, len(s), np.arange(1, p + 1)
                 held.append(e)
                 n += p
-                if n > 1_000_000:
+                if n > 400_000:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -318,21 +322,26 @@ def candidate_edges(entries: DataFrame, pair_list: int, numer: int, denom: int)
     return short.unionByName(chains)
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, words: int) -> DataFrame:
-    """(class, set) of the wanted classes.  A bounded Bloom filter keeps the sets of others out of the shuffle."""
-    bloom = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(wanted, "class", n_wanted))
+def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n_wanted: int, words: int) -> DataFrame:
+    """(class, set) of the wanted classes, from one document of each.
+
+    A bounded Bloom filter of those documents' ids keeps other texts from
+    being shingled, and an exact join drops what it let through.
+    """
+    chosen = cut_lineage(classes.join(wanted.select(F.col("class").alias("w")), F.col("class") == F.col("w"), "left_semi")
+                         .groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("doc_id")))
+    bloom = docs.sparkSession.sparkContext.broadcast(
+        BlockedBloom.build(chosen.select(F.xxhash64("doc_id").alias("k")), "k", n_wanted))
 
     def send(batches):
         seen: set = set()
         for x in batches:
-            got = list(_once(x, words, seen))
-            if got:
-                hit = bloom.value.has(np.array([c for c, _ in got], U64))
-                got = [g for g, h in zip(got, hit, strict=True) if h]
+            got = list(_once(x[bloom.value.has(x["k"].to_numpy(np.int64).view(U64))], words, seen))
             for k in range(0, len(got), 256):
                 yield pd.DataFrame({"class": pd.array([c for c, _ in got[k:k + 256]], "int64"), "set": [s.tobytes() for _, s in got[k:k + 256]]})
 
-    rows = texts(docs).mapInPandas(send, "class long, set binary")
+    keyed = texts(docs).select(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("k"), "text")
+    rows = keyed.mapInPandas(send, "class long, set binary")
     return rows.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
 
 
@@ -340,7 +349,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, words: int) ->
 
 def ngram_join(docs: DataFrame, words: int = WORDS, numer: int = NUMER, denom: int = DENOM, long_list: int = 32,
                max_long: int = 1 << 20, count_share: float = 0.35, pair_list: int = 32,
-               block_shingles: int = 150_000) -> DataFrame:
+               block_shingles: int = 150_000, block_sets: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
     classes = cut_lineage(document_classes(docs, words))
@@ -348,7 +357,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, numer: int = NUMER, denom: i
     frequent = spark.sparkContext.broadcast(long_lists(docs, shingles, words, long_list, max_long, count_share))
     entries = cut_lineage(prefix_entries(docs, frequent, shingles, words, numer, denom))
     groups = connected_components(candidate_edges(entries, pair_list, numer, denom))
-    links = cut_lineage(group_links(docs, classes, groups, words, numer, denom, block_shingles))
+    links = cut_lineage(group_links(docs, classes, groups, words, numer, denom, block_shingles, block_sets))
     linked = connected_components(links)
     named = (classes.where("class <> 0").join(linked, classes["class"] == linked["node"], "left")
              .select("doc_id", "class", "n_shingles", F.coalesce("component", "class").alias("root")))
@@ -358,12 +367,12 @@ def ngram_join(docs: DataFrame, words: int = WORDS, numer: int = NUMER, denom: i
 
 
 def group_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, numer: int, denom: int,
-                block_shingles: int) -> DataFrame:
+                block_shingles: int, block_sets: int) -> DataFrame:
     """(u, v): spanning links of the search groups (node, component), by DivideSkip over pairs of blocks."""
     sizes = classes.groupBy("class").agg(F.first("n_shingles").alias("n"))
     members = groups.join(sizes, groups["node"] == sizes["class"]).select("class", "component", "n")
     members = cut_lineage(members)
-    total = members.groupBy("component").agg(F.sum("n").alias("total"))
+    total = members.groupBy("component").agg(F.greatest(F.sum("n"), F.count(F.lit(1)) * F.lit(block_shingles // block_sets)).alias("total"))
     # small groups share a block; a large group is cut into blocks by a size class, so that blocks of unlike sizes never meet
     all_ = members.agg(F.sum("n"), F.count(F.lit(1))).first()
     bins = max(1, int(all_[0] or 0) // block_shingles)
@@ -371,7 +380,8 @@ def group_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: i
     m = members.join(total, "component").withColumn("level", level)
     small = m.where(F.col("total") <= block_shingles).select(
         "class", "n", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("area"), F.lit(0).alias("level"), F.lit(0).alias("part"))
-    weight = m.where(F.col("total") > block_shingles).groupBy("component", "level").agg(F.sum("n").alias("w"))
+    weight = m.where(F.col("total") > block_shingles).groupBy("component", "level").agg(
+        F.greatest(F.sum("n"), F.count(F.lit(1)) * F.lit(block_shingles // block_sets)).alias("w"))
     cut = weight.select("component", "level", F.ceil(F.col("w") / block_shingles).cast("int").alias("parts"))
     large = (m.where(F.col("total") > block_shingles).join(cut, ["component", "level"])
              .select("class", "n", (-F.col("component") - 1).alias("area"), "level",
@@ -387,7 +397,7 @@ def group_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: i
         F.col("a.part").alias("ap"), F.col("b.level").alias("bl"), F.col("b.part").alias("bp"))
     both = (meets.select("area", "meeting", F.col("al").alias("level"), F.col("ap").alias("part"), F.lit(0).alias("side"), ((F.col("al") == F.col("bl")) & (F.col("ap") == F.col("bp"))).alias("same"))
             .unionByName(meets.where("al <> bl or ap <> bp").select("area", "meeting", F.col("bl").alias("level"), F.col("bp").alias("part"), F.lit(1).alias("side"), F.lit(False).alias("same"))))
-    sets = class_sets(docs, members, int(all_[1]), words)
+    sets = class_sets(docs, classes, members, int(all_[1]), words)
     rows = placed.join(sets, "class").join(both, ["area", "level", "part"]).select("meeting", "side", "same", "class", "set")
 
     def search(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
