@@ -24,7 +24,8 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
 
     matched → update ``update_cols`` from source; not matched by target →
     insert (target-only columns NULL); not matched by source → delete (or
-    keep, when ``delete_unmatched`` is false: M7 upsert).
+    keep, when ``delete_unmatched`` is false: M7 upsert).  Several source rows
+    with one key (NULL keys match nothing) are an error.
 
     Returns ``(new_table, changes)``; ``changes`` has ``action`` (INSERT /
     UPDATE / DELETE) and ``del_<c>`` / ``ins_<c>`` for every target column —
@@ -32,6 +33,9 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
     """
     tcols = target.columns
     update_cols = update_cols or [c for c in source.columns if c not in keys]
+    twice = source.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"the source has several rows with one key ({', '.join(keys)})")
     t = target.select(*[F.col(c).alias(f"t_{c}") for c in tcols], F.lit(True).alias("_t"))
     s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("_s"))
     j = t.join(s, _and([F.col(f"t_{k}") == F.col(f"s_{k}") for k in keys]), "full_outer")
@@ -46,6 +50,8 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
             return F.coalesce(F.col(f"t_{c}"), F.col(f"s_{c}"))
         if c in update_cols and c in source.columns:
             return F.when(F.col("_s").isNotNull(), F.col(f"s_{c}")).otherwise(F.col(f"t_{c}"))
+        if c in source.columns:                      # an insert takes every source column
+            return F.when(only_src, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}"))
         return F.col(f"t_{c}")
 
     j = j.withColumn("action", action)

@@ -51,11 +51,11 @@ def token_join(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, w
                token_pattern: str = r"[^0-9A-Za-z_\p{L}]+") -> DataFrame:
     """Which words occur as whole tokens in each text.
 
-    The LIKE-theta join becomes: tokenise (map side) → explode → distinct
-    (id, token) → equi join on the lower-cased token.
+    The LIKE-theta join becomes: tokenise and de-duplicate each text in its
+    row → explode → equi join on the lower-cased token.
     """
-    toks = (texts.select(F.col(id_col), F.explode(F.split(F.lower(F.col(text_col)), token_pattern)).alias("_tw_tok"))
-                 .where(F.col("_tw_tok") != "").distinct())
+    toks = (texts.select(F.col(id_col), F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), token_pattern))).alias("_tw_tok"))
+                 .where(F.col("_tw_tok") != ""))
     w = words.select(F.col(word_col), F.lower(F.col(word_col)).alias("_tw_tok"))
     return toks.join(w, "_tw_tok").drop("_tw_tok")
 

@@ -10,6 +10,8 @@ to the shared folder between rounds.
 
 from __future__ import annotations
 
+from itertools import count
+
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,7 @@ def ballot_profiles(votes: DataFrame, voter: str, candidate: str, rank: str) ->
         .select("ranking_id", "ranking", "candidate", (F.col("pos") + 1).cast("int").alias("rank"), "votes")
 
 
-def instant_runoff(profiles: DataFrame, max_rounds: int = 50) -> DataFrame:
+def instant_runoff(profiles: DataFrame) -> DataFrame:
     """Round-by-round first-choice totals until a candidate holds a majority.
 
     Each round: first-choice totals and percentages; stop when the leader's
@@ -53,7 +55,7 @@ def instant_runoff(profiles: DataFrame, max_rounds: int = 50) -> DataFrame:
     cur = profiles.select("ranking_id", "candidate", "rank", "votes")
     total = cur.where(F.col("rank") == 1).agg(F.sum("votes")).first()[0] or 0
     rounds = []
-    for rnd in range(1, max_rounds + 1):
+    for rnd in count(1):                              # ends: every round drops one candidate
         firsts = (cur.where(F.col("rank") == 1).groupBy("candidate").agg(F.sum("votes").alias("votes"))
                      .collect())                      # one row per remaining candidate
         if not firsts:

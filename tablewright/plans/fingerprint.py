@@ -20,7 +20,9 @@ from tablewright.operators.aggregates import ordered_list
 
 def row_text(df: DataFrame, exclude: list[str] = ()) -> Column:
     cols = [c for c in df.columns if c not in set(exclude)]
-    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    # each value with its length, NULL with a mark of its own: no two different rows read the same
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("N")) for c in cols])
 
 
 def row_md5(df: DataFrame, exclude: list[str] = ()) -> Column:

@@ -143,43 +143,43 @@ def _versions(spark, d):
 
 
 @query("three_way_merge", sql="""
-WITH cur AS (SELECT o_custkey AS entity_id, max(o_orderkey) AS current_version_id FROM orders
+WITH cur AS MATERIALIZED (SELECT o_custkey AS entity_id, max(o_orderkey) AS current_version_id FROM orders
              WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY o_custkey),
-uv AS (SELECT o.o_orderkey AS updated_version_id, c.current_version_id, c.entity_id FROM orders o JOIN cur c ON o.o_custkey = c.entity_id
+uv AS MATERIALIZED (SELECT o.o_orderkey AS updated_version_id, c.current_version_id, c.entity_id FROM orders o JOIN cur c ON o.o_custkey = c.entity_id
        WHERE o.o_orderkey <> c.current_version_id AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')),
-copies AS (SELECT o_orderkey AS original_version_id, o_orderkey + 1000000 AS new_version_id FROM orders WHERE dayofmonth(o_orderdate) = 1),
-ins AS (SELECT 2000000 + c_custkey AS version_id, 'new-' || CAST(c_custkey AS VARCHAR) AS guid FROM customer
+copies AS MATERIALIZED (SELECT o_orderkey AS original_version_id, o_orderkey + 1000000 AS new_version_id FROM orders WHERE dayofmonth(o_orderdate) = 1),
+ins AS MATERIALIZED (SELECT 2000000 + c_custkey AS version_id, 'new-' || CAST(c_custkey AS VARCHAR) AS guid FROM customer
         WHERE c_nationkey = 9 AND c_mktsegment = 'MACHINERY'),
-base AS (SELECT l_orderkey AS version_id, l_linenumber, sum(l_quantity) AS l_quantity, max(l_discount) AS l_discount
+base AS MATERIALIZED (SELECT l_orderkey AS version_id, l_linenumber, sum(l_quantity) AS l_quantity, max(l_discount) AS l_discount
          FROM lineitem GROUP BY l_orderkey, l_linenumber),
-entries AS (
+entries AS MATERIALIZED (
   SELECT c.entity_id, 'e-' || CAST(c.entity_id AS VARCHAR) AS guid, b.l_linenumber,
          b.l_quantity + CASE WHEN b.l_linenumber = 2 THEN 1 ELSE 0 END AS l_quantity, b.l_discount
   FROM cur c JOIN base b ON b.version_id = c.current_version_id WHERE b.l_linenumber <= 3
   UNION ALL SELECT entity_id, 'e-' || CAST(entity_id AS VARCHAR), 9, 1.0, 0.0 FROM cur
   UNION ALL SELECT c_custkey, 'new-' || CAST(c_custkey AS VARCHAR), 1, 5.0, 0.01 FROM customer
             WHERE c_nationkey = 9 AND c_mktsegment = 'MACHINERY'),
-r AS (SELECT * FROM base
+r AS MATERIALIZED (SELECT * FROM base
       UNION ALL SELECT cp.new_version_id, b.l_linenumber, b.l_quantity, b.l_discount FROM base b JOIN copies cp ON b.version_id = cp.original_version_id),
-del AS (SELECT r.version_id, r.l_linenumber FROM r JOIN uv ON r.version_id = uv.updated_version_id
+del AS MATERIALIZED (SELECT r.version_id, r.l_linenumber FROM r JOIN uv ON r.version_id = uv.updated_version_id
         JOIN base c ON c.version_id = uv.current_version_id AND c.l_linenumber = r.l_linenumber
         WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.entity_id = uv.entity_id AND e.l_linenumber = r.l_linenumber)),
-kept AS (SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.version_id = r.version_id AND del.l_linenumber = r.l_linenumber)),
-upd AS (SELECT k.version_id, k.l_linenumber,
+kept AS MATERIALIZED (SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM del WHERE del.version_id = r.version_id AND del.l_linenumber = r.l_linenumber)),
+upd AS MATERIALIZED (SELECT k.version_id, k.l_linenumber,
                CASE WHEN e.l_quantity IS NOT DISTINCT FROM c.l_quantity THEN k.l_quantity ELSE e.l_quantity END AS l_quantity,
                CASE WHEN e.l_discount IS NOT DISTINCT FROM c.l_discount THEN k.l_discount ELSE e.l_discount END AS l_discount
         FROM kept k JOIN uv ON k.version_id = uv.updated_version_id
         JOIN base c ON c.version_id = uv.current_version_id AND c.l_linenumber = k.l_linenumber
         JOIN entries e ON e.entity_id = uv.entity_id AND e.l_linenumber = k.l_linenumber),
-final AS (SELECT k.version_id, k.l_linenumber,
+final AS MATERIALIZED (SELECT k.version_id, k.l_linenumber,
                  CASE WHEN u.version_id IS NOT NULL THEN u.l_quantity ELSE k.l_quantity END AS l_quantity,
                  CASE WHEN u.version_id IS NOT NULL THEN u.l_discount ELSE k.l_discount END AS l_discount
           FROM kept k LEFT JOIN upd u ON k.version_id = u.version_id AND k.l_linenumber = u.l_linenumber),
-added AS (SELECT uv.updated_version_id AS version_id, e.l_linenumber, e.l_quantity, e.l_discount
+added AS MATERIALIZED (SELECT uv.updated_version_id AS version_id, e.l_linenumber, e.l_quantity, e.l_discount
           FROM entries e JOIN uv ON e.entity_id = uv.entity_id
           WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.version_id = uv.updated_version_id AND r.l_linenumber = e.l_linenumber)
             AND NOT EXISTS (SELECT 1 FROM base c WHERE c.version_id = uv.current_version_id AND c.l_linenumber = e.l_linenumber)),
-fresh AS (SELECT ins.version_id, e.l_linenumber, e.l_quantity, e.l_discount FROM entries e JOIN ins ON e.guid = ins.guid)
+fresh AS MATERIALIZED (SELECT ins.version_id, e.l_linenumber, e.l_quantity, e.l_discount FROM entries e JOIN ins ON e.guid = ins.guid)
 SELECT * FROM final UNION ALL SELECT * FROM added UNION ALL SELECT * FROM fresh
 """)
 def three_way_merge(spark, d):

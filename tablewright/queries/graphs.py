@@ -84,12 +84,12 @@ WITH RECURSIVE {EDGES_SQL},
 d AS (SELECT DISTINCT pk AS red, fk AS ring FROM e),
 r(red, ring, depth) AS (
   SELECT red, ring, 0 FROM d WHERE red = '{FOCAL}'
-  UNION SELECT d.red, d.ring, r.depth + 1 FROM r JOIN d ON d.red = r.ring WHERE r.depth < 10)
+  UNION SELECT d.red, d.ring, r.depth + 1 FROM r JOIN d ON d.red = r.ring WHERE r.depth < (SELECT least(count(DISTINCT ring), 60) FROM d))
 SELECT red, ring, CAST(min(depth) AS INTEGER) AS round FROM r GROUP BY red, ring
 """)
 def caller_closure(spark, d):
     edges = referral_edges(Tables(spark, d).events).select(F.col("pk").alias("red"), F.col("fk").alias("ring"))
-    return G.callers(edges, FOCAL, 10).select("red", "ring", F.col("round").cast("int").alias("round"))
+    return G.callers(edges, FOCAL).select("red", "ring", F.col("round").cast("int").alias("round"))
 
 
 COMMON = ["U0"]

@@ -344,7 +344,7 @@ def template_merge_q(spark, d):
 
 
 def _fp_sql(table: str, cols: list[str], rel: str | None = None, ordered: bool = True) -> str:
-    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + ")"
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), 'N')" for c in cols) + ")"
     omd5 = "md5(coalesce(string_agg(h, '' ORDER BY h), ''))" if ordered else "CAST(NULL AS VARCHAR)"
     return f"""SELECT '{table}' AS table_name, count(*) AS row_count,
   CAST(coalesce(sum(CAST(('0x' || substring(h, 1, 15)) AS BIGINT)), 0) AS VARCHAR) || ':' ||

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import tsql as Q
@@ -161,7 +162,7 @@ def test_fingerprint_empty_and_order_free(spark):
     r1 = FP.fingerprint(df, "t", ordered=True).first()
     r2 = FP.fingerprint(df.orderBy(F.col("a").desc()).repartition(3), "t", ordered=True).first()
     assert (r1.hash_sum, r1.ordered_md5) == (r2.hash_sum, r2.ordered_md5)
-    hs = sorted(hashlib.md5(t.encode()).hexdigest() for t in ["1|x", "2|"])
+    hs = sorted(hashlib.md5(t.encode()).hexdigest() for t in ["1:1|1:x", "1:2|N"])
     assert r1.ordered_md5 == hashlib.md5("".join(hs).encode()).hexdigest()
 
 
@@ -413,3 +414,34 @@ def test_denormalize_keeps_id_without_unique_key(spark):
     fks = [{"child": "f", "child_cols": ["o_id"], "parent": "o", "parent_cols": ["o_id2"], "nullable": False}]
     out = G.denormalize(t, fks, "f", {})
     assert out.columns == ["id", "o_id"]
+
+
+def test_fingerprint_tells_shifted_and_null_values_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), ("N", "c")]
+    sums = {FP.fingerprint(spark.createDataFrame([r], "x string, y string"), "t").first().hash_sum for r in rows}
+    assert len(sums) == len(rows)
+
+
+def test_runoff_goes_on_to_the_last_candidate(spark):
+    from tablewright.plans.ballots import instant_runoff
+    ballots = [(i, f"c{i:02d}", 1, 1 + i) for i in range(53)]       # nobody ever has a majority of all votes
+    got = instant_runoff(spark.createDataFrame(ballots, "ranking_id int, candidate string, rank int, votes long")).toPandas()
+    assert got["round"].max() == 53 and got[got["round"] == 53]["candidate"].tolist() == ["c52"]
+
+
+def test_callers_follow_a_long_chain_and_exclude_after_the_walk(spark):
+    from tablewright.plans.graph import callers
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(15)], "red string, ring string")
+    assert callers(edges, "n00").count() == 15
+    left = {(r.red, r.ring) for r in callers(edges, "n00", exclude=["n03"]).collect()}
+    assert len(left) == 14 and ("n03", "n04") not in left and ("n04", "n05") in left
+
+
+def test_merge_inserts_whole_rows_and_refuses_repeated_keys(spark):
+    from tablewright.operators.dml import merge
+    target = spark.createDataFrame([(1, "a", 10)], "k int, v string, w int")
+    source = spark.createDataFrame([(1, "b", 11), (2, "c", 12)], "k int, v string, w int")
+    new, _ = merge(target, source, ["k"], update_cols=["w"])
+    assert sorted(tuple(r) for r in new.collect()) == [(1, "a", 11), (2, "c", 12)]
+    with pytest.raises(ValueError):
+        merge(target, source.union(source), ["k"])
