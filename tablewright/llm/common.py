@@ -24,6 +24,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def in_slices(f, rows: int = 512):
+    """A function over small pandas frames, for ``mapInArrow``: a worker turns few texts at a time into Python strings."""
+    def run(batches):
+        import pyarrow as pa
+        small = (b.slice(a, rows).to_pandas(integer_object_nulls=True) for b in batches for a in range(0, b.num_rows, rows))
+        for out in f(small):
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+    return run
+
+
 def parts_for(rows: int, per_part: int, spark: SparkSession) -> int:
     """Partitions that hold ``per_part`` rows each, at least the session's parallelism."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // per_part))
@@ -99,7 +109,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
     b = _LOWER[np.frombuffer(raw, np.uint8)]
     out, at, step = [], 0, 1 << _BLOCK_BITS
     while at < len(b):
-        end, bits = min(len(b), at + step), _BLOCK_BITS
+        end = min(len(b), at + step)
+        bits = min(_BLOCK_BITS, max(17, int(end - at).bit_length()))
         if end < len(b):
             gap = np.flatnonzero(_SPACE[b[at:end]])
             if len(gap):

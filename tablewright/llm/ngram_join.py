@@ -53,7 +53,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import U64, BlockedBloom, connected_components, mix64, shingle_set, texts
+from tablewright.llm.common import U64, BlockedBloom, connected_components, in_slices, mix64, shingle_set, texts
 from tablewright.session import cut_lineage
 
 NUMER, DENOM, WORDS = 80, 100, 5
@@ -160,7 +160,7 @@ def document_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "class": [class_of(s) for s in sets],
                                 "n_shingles": [len(s) for s in sets]}).astype({"class": "int64", "n_shingles": "int64"})
 
-    return texts(docs).mapInPandas(classes, "doc_id long, class long, n_shingles long")
+    return texts(docs).mapInArrow(in_slices(classes), "doc_id long, class long, n_shingles long")
 
 
 def _once(x: pd.DataFrame, words: int, seen: set):
@@ -214,7 +214,7 @@ def long_lists(docs: DataFrame, shingles: int, words: int, long_list: int, max_l
         many = counts >= long_list
         return pd.DataFrame({"hash": keys[many].view(np.int64), "n": counts[many].astype(np.int64)})
 
-    rows = (texts(docs).mapInPandas(send, "slice int, hashes binary").groupBy("slice").applyInPandas(count, "hash long, n long")
+    rows = (texts(docs).mapInArrow(in_slices(send), "slice int, hashes binary").groupBy("slice").applyInPandas(count, "hash long, n long")
             .orderBy(F.desc("n"), "hash").limit(max_long).select("hash").toPandas())
     return np.sort(rows["hash"].to_numpy(np.int64).view(U64))
 
@@ -240,7 +240,7 @@ def prefix_entries(docs: DataFrame, frequent, shingles: int, words: int, numer:
             order = np.argsort(slot, kind="stable")
             e, slot = e[order], slot[order]
             k, first = np.unique(slot, return_index=True)
-            return pd.DataFrame({"slice": k, "entries": [p.tobytes() for p in np.split(e, first[1:])]})
+            return pd.DataFrame({"slice": k.astype(np.int32), "entries": [p.tobytes() for p in np.split(e, first[1:])]})
 
         for x in batches:
             for c, s in _once(x, words, seen):
@@ -261,7 +261,7 @@ def prefix_entries(docs: DataFrame, frequent, shingles: int, words: int, numer:
         if held:
             yield flush()
 
-    return texts(docs).mapInPandas(send, "slice int, entries binary")
+    return texts(docs).mapInArrow(in_slices(send), "slice int, entries binary")
 
 
 _PAIR = "u long, v long, nu long, nv long, au long, av long"
@@ -341,7 +341,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n_wanted:
                 yield pd.DataFrame({"class": pd.array([c for c, _ in got[k:k + 256]], "int64"), "set": [s.tobytes() for _, s in got[k:k + 256]]})
 
     keyed = texts(docs).select(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("k"), "text")
-    rows = keyed.mapInPandas(send, "class long, set binary")
+    rows = keyed.mapInArrow(in_slices(send), "class long, set binary")
     return rows.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
 
 
