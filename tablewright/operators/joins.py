@@ -36,14 +36,17 @@ def full_outer_status(left: DataFrame, right: DataFrame, keys: list[str],
     return j.select(*merged, status.alias("status"), *rest)
 
 
-def or_join(left: DataFrame, right: DataFrame, branches: list[tuple[Column, Column]],
-            how: str = "inner") -> DataFrame:
-    """``ON (eq1 AND p1) OR (eq2 AND p2)`` as a union of equi joins (no nested loop).
+def or_join(left: DataFrame, right: DataFrame, branches: list[tuple[Column, Column]]) -> DataFrame:
+    """Inner join ``ON (eq1 AND p1) OR (eq2 AND p2)`` as a union of equi joins (no nested loop).
 
-    Each branch is (equi-join condition, residual predicate).  The predicates
-    must be mutually exclusive so no pair is produced twice.
+    Each branch is (equi-join condition, residual predicate).  A branch
+    leaves out the pairs of the branches before it, so a pair that fits
+    several comes once.
     """
-    parts = [left.join(right, eq & pred, how) for eq, pred in branches]
+    parts, earlier = [], F.lit(False)
+    for eq, pred in branches:
+        parts.append(left.join(right, eq & pred & ~earlier, "inner"))
+        earlier = earlier | F.coalesce(eq & pred, F.lit(False))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

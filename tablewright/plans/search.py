@@ -76,6 +76,11 @@ def _hit_rows(id_cols: list[str], sought: str, whole_word: bool, before: int, af
     return run
 
 
+def _literal(s: str) -> str:
+    """``s`` as a Java pattern that matches it letter by letter."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in s)
+
+
 def normalise(c: Column) -> Column:
     """CR LF → two blanks, remaining LF → one blank, TAB → one blank."""
     return F.translate(F.regexp_replace(c, "\r\n", "  "), "\n\t", "  ")
@@ -88,12 +93,12 @@ def find_occurrences(df: DataFrame, id_cols: list[str], text: str, sought: str,
     docs = df
     if name_col and name_like:
         docs = docs.where(F.lower(F.col(name_col)).contains(name_like.lower()))
-    docs = docs.where(F.lower(F.col(text)).contains(sought.lower()))
     norm = normalise(F.col(text))
     if collapse:
         norm = collapse_blanks(norm)
-    docs = docs.select(*id_cols, norm.alias("_tw_text")).select(
-        *id_cols, blank_len("_tw_text").alias("Total"), "_tw_text")
+    # the filter reads the normalised text, by the case rule of the matcher (Unicode, simple folding)
+    docs = docs.select(*id_cols, norm.alias("_tw_text")).where(F.col("_tw_text").rlike("(?iu)" + _literal(sought)))
+    docs = docs.select(*id_cols, blank_len("_tw_text").alias("Total"), "_tw_text")
     id_fields = [f for f in docs.schema.fields if f.name in id_cols]
     schema = T.StructType(id_fields + [T.StructField("Total", T.IntegerType()), T.StructField("Pos", T.IntegerType()),
                                        T.StructField("Snip", T.StringType())])

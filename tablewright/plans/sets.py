@@ -78,9 +78,10 @@ def equal_pairs(df: DataFrame, owner: str, element: str) -> DataFrame:
 
 
 def subset_pairs(df: DataFrame, owner: str, element: str) -> DataFrame:
-    """C17: pairs of classes where one set is a proper subset of the other.
+    """C17: pairs of classes where one set is a proper subset of the other, and
+    ``Match`` rows (leader, member) for the owners with equal sets.
 
-    Output: left (smaller leader id), right, match_count, relation.
+    Output: left (smaller id), right, match_count, relation.
     """
     membership, elements = set_classes(df, owner, element)
     sizes = membership.where(F.col("owner") == F.col("leader")).select("leader", "set_size")
@@ -100,5 +101,9 @@ def subset_pairs(df: DataFrame, owner: str, element: str) -> DataFrame:
                   .groupBy("a", "a_size", "b", "b_size").agg(F.count(F.lit(1)).alias("match_count")))
     sub = shared.where(F.col("match_count") == F.col("a_size"))
     left = F.least("a", "b")
+    match = membership.where(F.col("owner") != F.col("leader")).select(
+        F.col("leader").alias("left"), F.col("owner").alias("right"), F.col("set_size").cast("bigint").alias("match_count"),
+        F.lit("Match").alias("relation"))
     return sub.select(left.alias("left"), F.greatest("a", "b").alias("right"), "match_count",
-                      F.when(F.col("a") == left, "Left subset of right").otherwise("Right subset of left").alias("relation"))
+                      F.when(F.col("a") == left, "Left subset of right").otherwise("Right subset of left").alias("relation")
+                      ).unionByName(match)

@@ -35,11 +35,9 @@ from tablewright.sources.generators import date_spine
 # The default date for missing dates and the dimension rule threshold.
 DEFAULT_DATE = "9999-12-31"
 DIMENSION_FACTOR = 3          # rows per distinct value above this → dimension
-_HLL_RSD = 0.05               # relative standard error of the cardinality estimate
-_EXACT_MARGIN = 0.25          # recount exactly within five standard errors of the threshold
 
 MEASURE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.FloatType,
-                 T.DoubleType, T.BooleanType, T.DayTimeIntervalType)
+                 T.DoubleType, T.BooleanType, T.DayTimeIntervalType, T.TimeType)
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 RARE_TYPES = (T.BinaryType, T.MapType, T.ArrayType, T.StructType, T.VariantType, T.NullType)
 
@@ -188,27 +186,18 @@ def _null_replacement(dt: T.DataType):
 def cardinality_factors(staging: DataFrame, columns: list[str]) -> dict[str, int]:
     """Rows per distinct value (NULL is one value), integer division, per column.
 
-    One HLL pass for all columns; exact ``count(DISTINCT)`` only for the
-    columns whose estimate is within ``_EXACT_MARGIN`` of the threshold.
+    Exact at every size: one scan turns each row into (column, value) pairs,
+    which are counted per value (partial counts before the shuffle, so a
+    frequent value costs one row per task) and then per column.
     """
     if not columns:
         return {}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(columns):
-        aggs.append(F.approx_count_distinct(F.col(c), _HLL_RSD).alias(f"a{i}"))
-        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"n{i}"))
-    row = staging.agg(*aggs).first()
-    rows = row["_rows"]
-    groups = {c: max(row[f"a{i}"] + (row[f"n{i}"] or 0), 1) for i, c in enumerate(columns)}
-    near = DIMENSION_FACTOR + 1
-    unsure = [c for c in columns
-              if rows < 1_000_000 or abs(rows / groups[c] - near) <= _EXACT_MARGIN * near + 1]
-    if unsure:
-        # exact distinct counts, only for the columns the estimate cannot decide
-        exact = staging.agg(*[F.count_distinct(F.col(c)).alias(f"e{i}") for i, c in enumerate(unsure)]).first()
-        for i, c in enumerate(unsure):
-            groups[c] = max(exact[f"e{i}"] + (row[f"n{columns.index(c)}"] or 0), 1)
-    return {c: rows // groups[c] for c in columns}
+    pairs = staging.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("p"))
+    values = pairs.groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    counted = values.groupBy("i").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))   # one row per column
+    factors = {columns[r["i"]]: r["rows"] // r["distinct"] for r in counted.collect()}
+    return {c: factors.get(c, 0) for c in columns}
 
 
 def classify(staging: DataFrame, overrides: dict[str, str] | None = None) -> list[StagingColumn]:

@@ -148,3 +148,25 @@ def denormalize(spark, d):
     t = Tables(spark, d)
     tables = {n: t.read(n) for n in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region")}
     return temporal_as_text(G.denormalize(tables, FKS, "lineitem", UNIQUE))
+
+
+#: Orders and customers with natural keys that hold foreign keys: nation and region are reached twice.
+UNIQUE_ROLES = {**UNIQUE, "orders": ["o_orderkey", "o_custkey"], "customer": ["c_name", "c_nationkey"]}
+
+
+@query("denormalize_roles", sql="""
+WITH place AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+       strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate, o_orderkey, p_name, s_name, c_name,
+       sp.n_name, cp.n_name AS c_nationkey_n_name, sp.r_name, cp.r_name AS n_regionkey_r_name
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+JOIN customer ON c_custkey = o_custkey JOIN place cp ON cp.n_nationkey = c_nationkey
+JOIN supplier ON s_suppkey = l_suppkey JOIN place sp ON sp.n_nationkey = s_nationkey
+LEFT JOIN part ON p_partkey = l_partkey
+""")
+def denormalize_roles(spark, d):
+    """Customer and supplier nation in one view: the same parent in two roles."""
+    from tablewright.functions.tsql import temporal_as_text
+    t = Tables(spark, d)
+    tables = {n: t.read(n) for n in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region")}
+    return temporal_as_text(G.denormalize(tables, FKS, "lineitem", UNIQUE_ROLES))

@@ -414,6 +414,7 @@ x AS (SELECT a.leader AS a, a.set_size AS a_size, b.leader AS b, b.set_size AS b
 SELECT least(a, b) AS "left", greatest(a, b) AS "right", match_count,
        CASE WHEN a < b THEN 'Left subset of right' ELSE 'Right subset of left' END AS relation
 FROM x WHERE match_count = a_size AND b_size > a_size
+UNION ALL SELECT leader, owner, CAST(set_size AS BIGINT), 'Match' FROM m WHERE owner > leader
 """)
 def sets_subset_pairs(spark, d):
     return ST.subset_pairs(Tables(spark, d).orders, "o_custkey", "o_orderpriority")

@@ -328,54 +328,50 @@ def join_left_chain(spark, d):
 
 
 def _left_join_tables(t):
-    a = t.nation.select(F.col("n_nationkey").alias("aid"))
-    b = t.supplier.select(F.col("s_suppkey").alias("bid"), F.col("s_nationkey").alias("aid"))
-    c = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("cid"), (F.col("c_nationkey") * 4).cast("bigint").alias("bid"))
+    """Nations, their suppliers, and customers tied to a supplier number (four per nation number)."""
+    a = t.nation.select("n_nationkey")
+    b = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    c = t.customer.select("c_custkey", (F.col("c_nationkey") * 4).cast("bigint").alias("s_suppkey"))
     return a, b, c
 
 
 def _ids_as_text(df):
     """Outer-joined ids may be NULL: shown as text so both engines render them alike."""
-    return df.select("aid", F.col("bid").cast("string").alias("bid"), F.col("cid").cast("string").alias("cid"))
+    return df.select("n_nationkey", F.col("s_suppkey").cast("string").alias("s_suppkey"), F.col("c_custkey").cast("string").alias("c_custkey"))
 
 
-LJ_SQL = """
-WITH a AS (SELECT n_nationkey AS aid FROM nation),
-     b AS (SELECT s_suppkey AS bid, s_nationkey AS aid FROM supplier),
-     c AS (SELECT c_custkey AS cid, CAST(c_nationkey * 4 AS BIGINT) AS bid FROM customer WHERE c_mktsegment = 'BUILDING')
-"""
+LJ_SQL = "SELECT n_nationkey, CAST(s_suppkey AS VARCHAR) AS s_suppkey, CAST(c_custkey AS VARCHAR) AS c_custkey FROM nation "
 
 
 @query("left_join_semantics_1", sql=LJ_SQL + """
-SELECT a.aid, CAST(b.bid AS VARCHAR) AS bid, CAST(c.cid AS VARCHAR) AS cid FROM a LEFT JOIN b ON a.aid = b.aid LEFT JOIN c ON b.bid = c.bid""")
+LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON s_suppkey = c_nationkey * 4""")
 def left_join_semantics_1(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
-    return _ids_as_text(a.join(b, "aid", "left").join(c, "bid", "left").select("aid", "bid", "cid"))
+    return _ids_as_text(a.join(b, "n_nationkey", "left").join(c, "s_suppkey", "left"))
 
 
 @query("left_join_semantics_2", sql=LJ_SQL + """
-SELECT a.aid, CAST(b.bid AS VARCHAR) AS bid, CAST(c.cid AS VARCHAR) AS cid FROM a LEFT JOIN b ON a.aid = b.aid JOIN c ON b.bid = c.bid""")
+LEFT JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON s_suppkey = c_nationkey * 4""")
 def left_join_semantics_2(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
     # inner join on the left-joined side's key collapses the outer join to inner
-    return _ids_as_text(a.join(b, "aid", "left").join(c, "bid", "inner").select("aid", "bid", "cid"))
+    return _ids_as_text(a.join(b, "n_nationkey", "left").join(c, "s_suppkey", "inner"))
 
 
 @query("left_join_semantics_3", sql=LJ_SQL + """
-SELECT a.aid, CAST(b.bid AS VARCHAR) AS bid, CAST(c.cid AS VARCHAR) AS cid FROM a LEFT JOIN b ON a.aid = b.aid JOIN c ON a.aid = c.bid""")
+LEFT JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON n_nationkey = c_nationkey * 4""")
 def left_join_semantics_3(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
-    return _ids_as_text(a.join(b, "aid", "left").join(c, a["aid"] == c["bid"], "inner")
-                        .select(a["aid"], b["bid"], c["cid"]))
+    return _ids_as_text(a.join(b, "n_nationkey", "left").join(c, a["n_nationkey"] == c["s_suppkey"], "inner")
+                        .select(a["n_nationkey"], b["s_suppkey"], c["c_custkey"]))
 
 
 @query("left_join_semantics_4", sql=LJ_SQL + """
-SELECT a.aid, CAST(x.bid AS VARCHAR) AS bid, CAST(x.cid AS VARCHAR) AS cid FROM a LEFT JOIN (SELECT b.aid, b.bid, c.cid FROM b JOIN c ON b.bid = c.bid) x ON a.aid = x.aid""")
+LEFT JOIN (supplier JOIN customer ON s_suppkey = c_nationkey * 4) ON s_nationkey = n_nationkey""")
 def left_join_semantics_4(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
-    inner = b.join(c, "bid")
-    return _ids_as_text(a.join(inner, "aid", "left").select("aid", "bid", "cid"))
+    inner = b.join(c, "s_suppkey")
+    return _ids_as_text(a.join(inner, "n_nationkey", "left"))
 
 
 @query("join_full_outer", sql="""
@@ -435,18 +431,21 @@ def join_self_theta(spark, d):
 
 
 @query("join_range", sql="""
-WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders)
+WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders
+           QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
 SELECT a.o_custkey, a.o_orderkey AS first_key, b.o_orderkey AS second_key,
        date_diff('day', a.o_orderdate, b.o_orderdate) AS days
-FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
- AND date_diff('day', a.o_orderdate, b.o_orderdate) > 1500
+FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND date_diff('day', a.o_orderdate, b.o_orderdate) > 5
 """)
 def join_range(spark, d):
-    s = Tables(spark, d).orders.select("o_custkey", "o_orderkey", "o_orderdate")
+    """Pairs more than 5 days apart among sampled rows: each customer's last order of a year, so
+    a customer has at most as many rows as there are years, however many orders it has."""
+    o = Tables(spark, d).orders
+    s = (o.groupBy("o_custkey", F.year("o_orderdate").alias("year"))
+          .agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("last")).select("o_custkey", "last.*"))
     a, b = s.alias("a"), s.alias("b")
     days = F.datediff(F.col("b.o_orderdate"), F.col("a.o_orderdate"))
-    j = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey"))
-               & (days > 1500))
+    j = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (days > 5))
     return j.select(F.col("a.o_custkey").alias("o_custkey"), F.col("a.o_orderkey").alias("first_key"),
                     F.col("b.o_orderkey").alias("second_key"), days.cast("bigint").alias("days"))
 
@@ -465,6 +464,21 @@ def join_or_condition(spark, d):
     return out.select("s_suppkey", "n_name")
 
 
+@query("join_or_overlap", sql="""
+SELECT s_suppkey, n_name FROM supplier, nation
+WHERE CASE WHEN s_nationkey = n_nationkey THEN s_acctbal < 5000 OR (s_nationkey = n_regionkey AND s_acctbal > 0)
+           ELSE s_nationkey = n_regionkey AND s_acctbal > 0 END
+""")
+def join_or_overlap(spark, d):
+    """Branches that both fit some pairs (a nation with the number of its region): each pair comes once."""
+    t = Tables(spark, d)
+    s, n = t.supplier, t.nation
+    out = J.or_join(s, n, [
+        (s["s_nationkey"] == n["n_nationkey"], s["s_acctbal"] < 5000),
+        (s["s_nationkey"] == n["n_regionkey"], s["s_acctbal"] > 0)])
+    return out.select("s_suppkey", "n_name")
+
+
 @query("join_text_contains", sql="""
 WITH toks AS (SELECT DISTINCT doc_id, t AS tok FROM (
     SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^0-9a-z_\\p{L}]+')) AS t FROM documents) WHERE t <> ''),

@@ -23,7 +23,7 @@ def _find_sql(table: str, id_col: str, sought: str, whole_word: bool) -> str:
               f"AND (h.pos + {L} > length(d.t) OR NOT regexp_matches(lower(substring(d.t, h.pos + {L}, 1)), '[_@#$a-z0-9]'))")
     return f"""
 WITH d AS (SELECT {id_col} AS id, translate(replace(text, chr(13) || chr(10), '  '), chr(10) || chr(9), '  ') AS t
-           FROM {table} WHERE contains(lower(text), '{sought.lower()}')),
+           FROM {table}),
 p AS (SELECT id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i, len(parts) AS n
       FROM (SELECT id, regexp_split_to_array(t, '(?i){sought}') AS parts FROM d)),
 h AS (SELECT id, CAST(sum(length(piece)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -37,6 +37,34 @@ WHERE true {ww}
 """
 
 
+def _phrase_sql(sought: str) -> str:
+    """Positions by repeated search behind the last hit; only user turns, blank runs collapsed."""
+    L = len(sought)
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id || '/' || turn AS conv_turn, role,
+         regexp_replace(translate(replace(text, chr(13) || chr(10), '  '), chr(10) || chr(9), '  '), ' {{2,}}', ' ', 'g') AS t
+  FROM conversations WHERE contains(lower(role), 'user')),
+h AS (
+  SELECT conv_turn, t, CAST(instr(lower(t), '{sought}') AS BIGINT) AS pos FROM d
+  UNION ALL
+  SELECT conv_turn, t, CASE WHEN instr(substring(lower(t), pos + {L}), '{sought}') = 0 THEN 0
+                            ELSE pos + {L} - 1 + instr(substring(lower(t), pos + {L}), '{sought}') END
+  FROM h WHERE pos > 0)
+SELECT conv_turn, substring(t, greatest(pos - 30, 1), {L} + 30 + least(pos - 1, 30)) AS Snip, CAST(pos AS INTEGER) AS Pos,
+       CAST(length(rtrim(t)) AS INTEGER) AS Total, CAST(round(pos * 100.0 / length(rtrim(t)), 0) AS INTEGER) AS PCT
+FROM h WHERE pos > 0
+"""
+
+
+@query("find_occurrences_phrase", sql=_phrase_sql("e s"))
+def find_occurrences_phrase(spark, d):
+    c = Tables(spark, d).conversations.select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("conv_turn"), "role", "text")
+    return SR.find_occurrences(c, ["conv_turn"], "text", "e s", whole_word=False, before=30, after=30, collapse=True,
+                               name_col="role", name_like="user")
+
+
 @query("find_occurrences", sql=_find_sql("documents", "doc_id", "the", True))
 def find_occurrences(spark, d):
     return SR.find_occurrences(Tables(spark, d).documents, ["doc_id"], "text", "the", whole_word=True)
