@@ -51,21 +51,18 @@ def transitions(events):
 
 @query("graph_neighborhood", sql=f"""
 WITH {EDGES_SQL},
-ch AS (SELECT pk, fk, nullable, 5 AS gen FROM e WHERE pk = '{FOCAL}'),
-pa AS (SELECT pk, fk, nullable, 2 AS gen FROM e WHERE fk = '{FOCAL}'),
-b AS (SELECT * FROM ch UNION ALL SELECT * FROM pa),
-gc0 AS (SELECT pk, fk, nullable, 6 AS gen FROM e WHERE pk IN (SELECT fk FROM ch) AND (SELECT count(*) FROM b) < 20),
-gc AS (SELECT * FROM gc0 WHERE (SELECT count(*) FROM gc0) <= 10),
-gp0 AS (SELECT pk, fk, nullable, 1 AS gen FROM e WHERE fk IN (SELECT pk FROM pa) AND (SELECT count(*) FROM b) < 20),
-gp AS (SELECT * FROM gp0 WHERE (SELECT count(*) FROM gp0) <= 10),
-b2 AS (SELECT * FROM b UNION ALL SELECT * FROM gc UNION ALL SELECT * FROM gp),
-sb0 AS (SELECT pk, fk, nullable, 3 AS gen FROM e WHERE pk IN (SELECT pk FROM pa)
-        AND (SELECT count(*) FROM b) < 20 AND (SELECT count(*) FROM b2) < 25),
-sb AS (SELECT * FROM sb0 WHERE (SELECT count(*) FROM sb0) <= 10),
-sp0 AS (SELECT pk, fk, nullable, 4 AS gen FROM e WHERE fk IN (SELECT fk FROM ch)
-        AND (SELECT count(*) FROM b) < 20 AND (SELECT count(*) FROM b2) < 25),
-sp AS (SELECT * FROM sp0 WHERE (SELECT count(*) FROM sp0) <= 10),
-rel AS (SELECT * FROM b2 UNION ALL SELECT * FROM sb UNION ALL SELECT * FROM sp),
+ends AS (SELECT pk, fk, nullable, 'pk' AS side, pk AS node, fk AS other FROM e
+         UNION ALL SELECT pk, fk, nullable, 'fk', fk, pk FROM e),
+near AS (SELECT *, CASE side WHEN 'pk' THEN 5 ELSE 2 END AS gen FROM ends WHERE node = '{FOCAL}'),
+rules(gen, seed, side, tier) AS (VALUES (6, 5, 'pk', 1), (1, 2, 'fk', 1), (3, 2, 'pk', 2), (4, 5, 'fk', 2)),
+far AS (SELECT DISTINCT r.tier, r.gen, x.pk, x.fk, x.nullable
+        FROM rules r JOIN near s ON s.gen = r.seed JOIN ends x ON x.side = r.side AND x.node = s.other),
+size AS (SELECT tier, gen, count(*) AS n FROM far GROUP BY ALL),
+total AS (SELECT n0, n0 + coalesce((SELECT sum(n) FROM size WHERE tier = 1 AND n <= 10), 0) AS n1
+          FROM (SELECT count(*) AS n0 FROM near)),
+tried AS (SELECT size.*, n <= 10 AS kept FROM size, total WHERE n0 < 20 AND (tier = 1 OR n1 < 25)),
+rel AS (SELECT pk, fk, nullable, gen FROM near
+        UNION ALL SELECT pk, fk, nullable, gen FROM far JOIN tried USING (tier, gen) WHERE kept),
 nodes AS (SELECT pk AS node FROM rel UNION SELECT fk FROM rel),
 g(gen, label) AS (VALUES (1, 'GRANDPARENT'), (2, 'PARENT'), (3, 'SIBLING'), (4, 'SPOUSE'), (5, 'CHILD'), (6, 'GRANDCHILD'))
 SELECT 1 AS section, 'graph RL' AS line
@@ -73,6 +70,7 @@ UNION ALL SELECT 2, fk || CASE WHEN nullable = 1 THEN '-.->' ELSE '-->' END || p
   WHERE pk IN (SELECT node FROM nodes) AND fk IN (SELECT node FROM nodes)
 UNION ALL SELECT 3, '%% ' || CAST(count(*) AS VARCHAR) || ' ' || g.label || ' relationships' FROM rel JOIN g USING (gen) GROUP BY g.label
 UNION ALL SELECT 4, '%% ' || CAST(count(*) AS VARCHAR) || ' total initial relationships' FROM rel
+UNION ALL SELECT 5, '%% ' || CAST(n AS VARCHAR) || ' ' || g.label || ' relationships left out' FROM tried JOIN g USING (gen) WHERE NOT kept
 """)
 def graph_neighborhood(spark, d):
     edges = referral_edges(Tables(spark, d).events)

@@ -152,15 +152,13 @@ tgt0 AS ({_snapshot_sql('orders', _TGT_ORDERS, SPARK_TYPES['orders'][:5])}
          UNION ALL {_snapshot_sql('supplier', 'supplier', SPARK_TYPES['supplier'])}),
 src1 AS (SELECT Parent || Item AS Item, Parent, Property_Type, Properties FROM src0),
 tgt1 AS (SELECT Parent || Item AS Item, Parent, Property_Type, Properties FROM tgt0),
-src AS (SELECT * FROM src1 s WHERE NOT (s.Parent > '' AND NOT EXISTS (SELECT 1 FROM tgt1 t WHERE t.Item = s.Parent AND t.Item <> t.Parent))),
-tgt AS (SELECT * FROM tgt1 t WHERE NOT (t.Parent > '' AND NOT EXISTS (SELECT 1 FROM src s WHERE s.Item = t.Parent AND s.Item <> s.Parent)))
-SELECT CASE WHEN s.Item IS NULL THEN 'only in target' WHEN t.Item IS NULL THEN 'only in source'
-            WHEN s.Properties <> t.Properties THEN 'different Properties' ELSE 'match' END AS Result,
-       coalesce(s.Item, t.Item) AS Item, coalesce(s.Property_Type, t.Property_Type) AS Property_Type,
-       coalesce(s.Properties, '') AS Source_Properties, coalesce(t.Properties, '') AS Target_Properties
-FROM src s FULL OUTER JOIN tgt t ON s.Item = t.Item AND s.Property_Type = t.Property_Type
-WHERE coalesce(s.Item, '') <> coalesce(t.Item, '') OR coalesce(s.Property_Type, '') <> coalesce(t.Property_Type, '')
-   OR coalesce(s.Properties, '') <> coalesce(t.Properties, '')
+src AS (SELECT * FROM src1 WHERE Parent = '' OR Parent IN (SELECT Item FROM tgt1 WHERE Property_Type = 'TABLE')),
+tgt AS (SELECT * FROM tgt1 WHERE Parent = '' OR Parent IN (SELECT Item FROM src WHERE Property_Type = 'TABLE'))
+SELECT 'only in source' AS Result, Item, Property_Type, Properties AS Source_Properties, '' AS Target_Properties
+FROM src ANTI JOIN tgt USING (Item, Property_Type)
+UNION ALL SELECT 'only in target', Item, Property_Type, '', Properties FROM tgt ANTI JOIN src USING (Item, Property_Type)
+UNION ALL SELECT 'different Properties', Item, Property_Type, src.Properties, tgt.Properties
+FROM src JOIN tgt USING (Item, Property_Type) WHERE src.Properties <> tgt.Properties
 """)
 def snapshot_compare(spark, d):
     t = Tables(spark, d)
@@ -175,8 +173,8 @@ WITH src0 AS ({_snapshot_sql('customer', 'customer', SPARK_TYPES['customer'])}
               UNION ALL {_snapshot_sql('orders', 'orders', SPARK_TYPES['orders'])}),
 tgt0 AS ({_snapshot_sql('supplier', 'supplier', SPARK_TYPES['supplier'])}
          UNION ALL {_snapshot_sql('orders', 'orders', SPARK_TYPES['orders'])}),
-src AS (SELECT * FROM src0 s WHERE NOT (s.Parent > '' AND NOT EXISTS (SELECT 1 FROM tgt0 t WHERE t.Item = s.Parent AND t.Item <> t.Parent))),
-tgt AS (SELECT * FROM tgt0 t WHERE NOT (t.Parent > '' AND NOT EXISTS (SELECT 1 FROM src s WHERE s.Item = t.Parent AND s.Item <> s.Parent)))
+src AS (SELECT * FROM src0 WHERE Parent = '' OR Parent IN (SELECT Item FROM tgt0 WHERE Property_Type = 'TABLE')),
+tgt AS (SELECT * FROM tgt0 WHERE Parent = '' OR Parent IN (SELECT Item FROM src WHERE Property_Type = 'TABLE'))
 SELECT 'source' AS side, Item, Parent FROM src UNION ALL SELECT 'target', Item, Parent FROM tgt
 """)
 def prune_orphans(spark, d):

@@ -170,25 +170,26 @@ def html_fields(spark, d):
 
 
 @query("xml_functions", sql="""
-SELECT n_regionkey AS region, count(*) AS n_vectors, CAST(sum(n_nationkey) AS BIGINT) AS sum_x,
-       CAST(min(n_nationkey) AS INTEGER) AS first_x, 'x' AS first_tag,
-       string_agg(CAST(n_nationkey * 11 AS VARCHAR), ',' ORDER BY n_nationkey) AS types
+SELECT n_regionkey AS region, count(*) AS n_lands, CAST(sum(n_nationkey) AS BIGINT) AS sum_codes,
+       arg_min(n_name, n_nationkey) AS first_name, 'name' AS first_tag, arg_max(n_name, n_nationkey) AS last_name,
+       string_agg('L' || n_nationkey, ' ' ORDER BY n_nationkey) AS ids
 FROM nation GROUP BY n_regionkey
 """)
 def xml_functions(spark, d):
+    """One document per region with its nations: element counts, text, attributes, positions, element names."""
     n = Tables(spark, d).nation
-    n = n.withColumn("vec", F.format_string('<vector type="%d"><x>%d</x><y>%d</y></vector>',
-                                            F.col("n_nationkey") * 11, "n_nationkey", "n_regionkey"))
+    n = n.withColumn("land", F.format_string('<land id="L%d"><name>%s</name><code>%d</code></land>', "n_nationkey", "n_name", "n_nationkey"))
     docs = n.groupBy(F.col("n_regionkey").alias("region")).agg(
-        F.concat(F.lit("<vectors>"), ordered_list("vec", ["n_nationkey"], ""), F.lit("</vectors>")).alias("doc"))
+        F.concat(F.lit("<area>"), ordered_list("land", ["n_nationkey"], ""), F.lit("</area>")).alias("doc"))
     x = F.col("doc")
-    xs = F.xpath(x, F.lit("/vectors/vector/x/text()"))
+    codes = F.xpath(x, F.lit("//code/text()"))
     return docs.select(
-        "region", F.size(xs).cast("bigint").alias("n_vectors"),
-        F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, v: acc + v.cast("bigint")).alias("sum_x"),
-        F.xpath_int(x, F.lit("/vectors/vector[1]/x")).alias("first_x"),
-        F.xpath_string(x, F.lit("local-name(/vectors/vector[1]/*[1])")).alias("first_tag"),
-        F.array_join(F.xpath(x, F.lit("/vectors/vector/@type")), ",").alias("types"))
+        "region", F.xpath_long(x, F.lit("count(/area/land)")).alias("n_lands"),
+        F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, v: acc + v.cast("bigint")).alias("sum_codes"),
+        X.nth(x, "/area/land/name", 1).alias("first_name"),
+        F.xpath_string(x, F.lit("local-name(/area/land[1]/*[1])")).alias("first_tag"),
+        F.xpath_string(x, F.lit("/area/land[last()]/name")).alias("last_name"),
+        F.array_join(F.xpath(x, F.lit("/area/land/@id")), " ").alias("ids"))
 
 
 # ---------------------------------------------------------------- §2.9 scalar surface
