@@ -7,11 +7,24 @@ lines; a surge point is the first line whose window reaches ``surge``, the
 dive point is where the window sum has fallen to nothing.  The text between a
 surge and its dive is kept.
 
-Weights: lines inside boilerplate elements (by element name, role, or a word
-of class or id) have length 0.  If the page marks its main region (article,
-main, or a container named like content), lines in it count at least
-``surge`` each, so that a short paragraph makes no dive, and lines outside
-count 0.  In an unmarked page a line counts its characters outside links.
+Lines inside boilerplate elements are left out: by element name, or by a
+whole role, class, id or aria-label token that names a region ('sidebar',
+'cookie-notice', 'main-nav'; not 'has-sidebar').  Names of headings and inline
+elements are not read.  A name on an ancestor, or a form around it, does not
+take an article or main element away.
+
+There are four regions: article and main elements; containers named like
+content; articles inside a named boilerplate element; the rest.  Each is cut
+by surge and dive points, and the region with the largest sum of kept
+characters wins, those of articles counting four times and those of named
+containers twice.  So a teaser card does not win over the text of the page,
+nor a long footer over a short article.
+
+Weights: lines of a marked region count at least ``surge`` each, so that a
+short paragraph makes no dive; in the rest a line counts what its other
+characters exceed its linked ones by.  All lines between a surge and its dive are kept, whatever
+their own weight.  Headings are text, linked or not.  If no region has a
+surge, the marked lines are taken with their links.
 
 Defined results: null or empty html, or a page without main text, gives the
 empty text with 0 characters.  Broken markup is tolerated: unclosed elements
@@ -31,9 +44,8 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
 
 # fixed values: element names of HTML and the usual names of page regions
 _RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
@@ -49,30 +61,63 @@ _BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense
                        "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
                        "pagination pager copyright complementary contentinfo search form toolbar skip".split())
 _HEAD_WORDS = frozenset("header head".split())
+#: Words that a name of a region may have besides: 'site-footer', 'comment-list', 'ad-slot'.
+_BESIDE = frozenset("site page main global primary secondary left right top bottom upper lower inner outer sticky post entry article list box "
+                    "block container wrapper wrap area bar section region zone slot links items buttons posts form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN_WORDS = frozenset("article content main maincontent post entry story".split())
 
 
+def _names(attrs: str) -> list[list[str]]:
+    """The words of each class, id, role and itemprop token; an aria-label is one token."""
+    out = []
+    for m in _NAMES.finditer(attrs):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        out += [re.findall("[^-_:.\\s]+", t) for t in ([value] if m[1].lower() == "aria-label" else value.split())]
+    return out
+
+
+def _names_region(token: list[str], words: frozenset[str]) -> bool:
+    return any(w in words for w in token) and all(w in words or w in _BESIDE or w.isdigit() for w in token)
+
+
+# what an element opens, and the region that holds in it
+_HARD, _FORM, _SOFT, _REST, _ARTICLE, _CONTAINER, _IN_SOFT, _IN_CONTAINER = -3, -2, -1, 0, 1, 2, 3, 4
+
+
 def _kind(tag: str, attrs: str, in_main: bool) -> int:
-    """-1: boilerplate, 1: main region, 2: container named like the main region, 0: neither."""
-    words: set[str] = set()
-    if attrs:
-        for m in _NAMES.finditer(attrs):
-            words.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        if _HIDDEN.search(attrs):
-            return -1
+    """Boilerplate by element (_HARD), form (_FORM) or name (_SOFT), _ARTICLE, _CONTAINER, or _REST for neither."""
+    if attrs and _HIDDEN.search(attrs):
+        return _HARD
     if tag in ("html", "body"):
-        return 0
-    if tag in _BOILERPLATE or words & _BAD_WORDS:
-        return -1
-    if not in_main and (tag == "header" or words & _HEAD_WORDS):
-        return -1
-    if tag in ("article", "main"):
-        return 1
-    return 2 if tag in ("div", "section", "td") and words & _MAIN_WORDS else 0
+        return _REST
+    if tag in _BOILERPLATE:
+        return _FORM if tag == "form" else _HARD
+    names = _names(attrs) if attrs and tag not in _INLINE and tag not in _HEADINGS else []
+    if tag == "main":
+        return _ARTICLE
+    if any(_names_region(t, _BAD_WORDS) for t in names):
+        return _SOFT
+    if not in_main and (tag == "header" or any(_names_region(t, _HEAD_WORDS) for t in names)):
+        return _SOFT
+    if tag == "article":
+        return _ARTICLE
+    return _CONTAINER if tag in ("div", "section", "td") and any(w in _MAIN_WORDS for t in names for w in t) else _REST
+
+
+def _inside(region: int, kind: int) -> int:
+    """The region in an element of this kind that lies in ``region``."""
+    if kind == _REST or region == _HARD:
+        return region
+    if region == _SOFT:
+        return {_HARD: _HARD, _ARTICLE: _IN_SOFT}.get(kind, _SOFT)
+    if kind < 0 or region in (_REST, _FORM):
+        return kind
+    return _IN_CONTAINER if region == _CONTAINER and kind == _ARTICLE else region
 
 
 def html_lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, region, link characters) of each line; region is -1, 0, 1 or 2 as in ``_kind``."""
+    """(text, region, link characters) of each line; regions below 0 are boilerplate."""
     lines: list[tuple[str, int, int]] = []
     buf: list[str] = []
     linked = 0
@@ -99,7 +144,7 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
         if m.start() > at:
             piece = page[at:m.start()]
             buf.append(piece)
-            if any(t == "a" for t, _ in stack[-3:]):
+            if any(t == "a" for t, _ in stack[-3:]) and not any(t in _HEADINGS for t, _ in stack[-4:]):
                 linked += len(piece)
         at = m.end()
         tag = m[2]
@@ -144,8 +189,7 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
                         break
         if m[4]:
             continue
-        kind = _kind(tag, m[3], region in (1, 2))
-        new = region if kind == 0 or region == -1 or (region == 1 and kind == 2) else kind
+        new = _inside(region, _kind(tag, m[3], region > 0))
         if inline and new != region:
             flush()
         stack.append((tag, region))
@@ -154,28 +198,38 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
-    """The lines between surge and dive points of the block sums, joined by one space."""
-    lines = html_lines(page or "")
-    marked = next((r for r in (1, 2) if any(x[1] == r and x[0] for x in lines)), 0)
-    weight = []
-    for text, region, linked in lines:
-        if region == -1 or not text:
-            weight.append(0)
-        elif marked:
-            weight.append(max(surge, len(text)) if region == marked or region == 1 else 0)
-        else:
-            weight.append(max(0, len(text) - 2 * linked))
-    block = [sum(weight[i:i + window]) for i in range(len(weight))]
+def _between(lines: list[tuple[str, int, int]], weight: list[int], window: int, surge: int, whole: bool) -> list[tuple[str, int, int]]:
+    """The lines from each surge point to its dive point; in a ``whole`` region the last windows end with it."""
+    last = max(0, len(lines) - window) if whole else len(lines)
+    block = [sum(weight[min(i, last):min(i, last) + window]) for i in range(len(weight))]
     kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not inside and block[i] >= surge and weight[i]:
+    for i, line in enumerate(lines):
+        if not inside and block[i] >= surge and (weight[i] or whole and i == 0):
             inside = True                                      # surge
         if inside and not block[i]:
             inside = False                                     # dive
-        if inside and weight[i]:
-            kept.append(text)
-    return " ".join(kept)
+        if inside:
+            kept.append(line)
+    return kept
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
+    """The lines between surge and dive points of the region with the largest block sums, joined by one space."""
+    lines = [x for x in html_lines(page or "") if x[0] and x[1] >= 0]
+    best, most = [], 0
+    marked = [((_ARTICLE, _IN_CONTAINER), 4, ()), ((_CONTAINER,), 2, (_IN_CONTAINER,)), ((_IN_SOFT,), 1, ())]
+    for regions, times, also in marked:
+        mine = [x for x in lines if x[1] in regions or x[1] in also]
+        kept = _between(mine, [max(surge, len(t)) for t, _, _ in mine], window, surge, True)
+        size = times * sum(max(0, len(t) - n) for t, r, n in kept if r in regions)
+        if size > most:
+            best, most = kept, size
+    kept = _between(lines, [max(0, len(t) - 2 * n) for t, _, n in lines], window, surge, False)
+    if sum(max(0, len(t) - n) for t, r, n in kept if r == _REST) > most:
+        best = kept
+    if not best:                                               # nothing but links: the marked lines with them
+        best = next((x for regions, _, also in marked if (x := [y for y in lines if y[1] in regions or y[1] in also])), [])
+    return " ".join(t for t, _, _ in best)
 
 
 def extract_main_text(pages: DataFrame, window: int = 3, surge: int = 80) -> DataFrame:

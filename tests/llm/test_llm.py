@@ -246,6 +246,19 @@ def test_main_text():
     assert [html_extract.main_text(x) for x in (None, "", "<", "<!-- open", "<nav>a</nav>")] == [""] * 5
 
 
+def test_main_text_is_not_lost_by_names():
+    p = "A paragraph of plain text that is surely long enough to be a surge of its own, and more of it."
+    for page in (f'<div class="layout has-sidebar"><article><p>{p}</article></div>', f'<div class="menu"><main><p>{p}</main></div>',
+                 f'<div class="no-sidebar layout-with-menu"><p>{p}</div>', f'<form><div class="content"><p>{p}</div></form>',
+                 f'<div class="content"><p>{p}</div><article><p>A teaser.</article>',
+                 f'<article><p>{p}</article><div class="related-posts"><article><p>A teaser.</article></div><aside><article><p>{p}</article></aside>'):
+        assert html_extract.main_text(page) == p
+    assert html_extract.main_text(f"<article><p>A teaser.</article><p>{p}") == f"A teaser. {p}"
+    assert html_extract.main_text(f'<h2 id="search">Search</h2><p>{p}') == f"Search {p}"
+    assert html_extract.main_text(f'<p>{p}<p>see <a href=x>a link of some length</a></p><p>{p}') == f"{p} see a link of some length {p}"
+    assert html_extract.main_text(f'<div class="main-nav">m</div><p>{p}<p class="cookie-notice">{p}') == p
+
+
 def test_pages(spark):
     got = html_extract.extract_main_text(common.table(spark, SF, "pages", "page_id", "url", "html")).toPandas()
     assert (got["n_chars"] == got["text"].str.len()).all() and (got["n_chars"] > 0).all() and not got["text"].str.contains("©").any()
