@@ -20,9 +20,12 @@ characters wins, those of articles counting four times and those of named
 containers twice.  So a teaser card does not win over the text of the page,
 nor a long footer over a short article.
 
-Weights: lines of a marked region count at least ``surge`` each, so that a
-short paragraph makes no dive; in the rest a line counts what its other
-characters exceed its linked ones by.  All lines between a surge and its dive are kept, whatever
+Weights: a line has its characters outside links.  In a marked region these
+are scaled by ``surge``, so that a short paragraph is a surge, and the window
+slides over the region's lines only: what makes a dive there is ``window`` or
+more lines in a row that are links for more than four fifths (link lists and
+menus).  In the rest a line counts what its other characters exceed its
+linked ones by.  All lines between a surge and its dive are kept, whatever
 their own weight.  Headings are text, linked or not.  If no region has a
 surge, the marked lines are taken with their links.
 
@@ -220,7 +223,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     marked = [((_ARTICLE, _IN_CONTAINER), 4, ()), ((_CONTAINER,), 2, (_IN_CONTAINER,)), ((_IN_SOFT,), 1, ())]
     for regions, times, also in marked:
         mine = [x for x in lines if x[1] in regions or x[1] in also]
-        kept = _between(mine, [max(surge, len(t)) for t, _, _ in mine], window, surge, True)
+        kept = _between(mine, [0 if 5 * n > 4 * len(t) else surge * (len(t) - n) for t, _, n in mine], window, surge, True)
         size = times * sum(max(0, len(t) - n) for t, r, n in kept if r in regions)
         if size > most:
             best, most = kept, size

@@ -259,6 +259,14 @@ def test_main_text_is_not_lost_by_names():
     assert html_extract.main_text(f'<div class="main-nav">m</div><p>{p}<p class="cookie-notice">{p}') == p
 
 
+def test_link_lists_make_a_dive_in_a_marked_region():
+    p = "A paragraph of plain text that is surely long enough to be a surge of its own, and more of it."
+    links = "<ul>" + "".join(f"<li><a href=x>link {i}</a>" for i in range(4)) + "</ul>"
+    assert html_extract.main_text(f"<main>{links}<h2><a href=x>T</a></h2><p>Hi.{links}<p>{p}<p><a href=x>source</a></main>") == f"T Hi. {p} source"
+    assert html_extract.main_text(f"<article><p>{p}{links}</article>") == p
+    assert html_extract.main_text("<article><p><a href=x>only</a></article>") == "only"
+
+
 def test_pages(spark):
     got = html_extract.extract_main_text(common.table(spark, SF, "pages", "page_id", "url", "html")).toPandas()
     assert (got["n_chars"] == got["text"].str.len()).all() and (got["n_chars"] > 0).all() and not got["text"].str.contains("©").any()
