@@ -5,7 +5,12 @@ more component, sqrt(R^2 - |x|^2) for the shard's largest norm R, which makes
 the largest inner product the smallest Euclidean distance; the graph is built
 on these.
 
-Rows are dealt to shards by a hash of their id, about ``per_shard`` rows
+Equal vectors are one node of a graph, which carries their ``k + 1`` smallest
+ids; no result needs more of them.  Both the nodes and the queries are
+grouped in parts of about ``group_part`` rows first, so a vector with a third
+of the rows is no task's work.  Equal queries of a part are searched once.
+
+Nodes are dealt to shards by a hash of their smallest id, about ``per_shard``
 each, so neither a cluster nor a hot source makes a large shard.  A shard's
 graph is flat arrays: ids, vectors, and per level a (nodes x degree) array of
 neighbour positions, -1 where there is none.  It is built in growing batches:
@@ -14,8 +19,9 @@ beam search), see each other by a block of inner products, keep neighbours by
 the usual diversity rule, and link back.
 
 Queries are every row whose id is divisible by ``every``.  Each block of at
-most ``block`` queries meets each shard's graph in a task; every pair (query,
-shard) gives at most ``k + 1`` rows, which are merged per query.  Scores are
+most ``block`` different queries meets each shard's graph in a task; the
+``k + 1`` nearest nodes of a pair (query, shard) are expanded to their ids,
+of which the first ``k + 1`` are merged per query.  Scores are
 inner products of the original vectors in double precision.
 
 Defined results: null, empty or zero vectors, and those with null or
@@ -30,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import cut_lineage
@@ -224,66 +230,101 @@ class FlatHnsw:
 
 def clean_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v) of the rows that take part; v is array<double>."""
-    v = F.col(vector_col).cast("array<double>")
+    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))      # no -0.0: equal vectors have equal bits
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = (rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good)
             .groupBy("vec_id").agg(F.min("v").alias("v")))
     return rows
 
 
-_INDEX = "shard int, ids binary, originals binary, vectors binary, width int, links array<binary>, levels array<binary>"
+def _parted(rows: DataFrame, n: int, group_part: int) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 + n // group_part)).cast("int"))
+
+
+def distinct_vectors(vectors: DataFrame, n: int, keep: int, group_part: int = 512) -> DataFrame:
+    """(vec_id, v, ids) of each different vector: its smallest id, and its ``keep`` smallest, ascending."""
+    def smallest(ids: Column) -> Column:
+        return F.slice(F.sort_array(ids), 1, keep)
+
+    return (_parted(vectors, n, group_part).groupBy("v", "part").agg(smallest(F.collect_list("vec_id")).alias("ids"))
+            .groupBy("v").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
+            .select(F.col("ids")[0].alias("vec_id"), "v", "ids"))
+
+
+def distinct_queries(queries: DataFrame, n: int, group_part: int = 512) -> DataFrame:
+    """(vec_id, v, ids) of the equal queries of each part: their smallest id and all of them."""
+    return (_parted(queries, n, group_part).groupBy("v", "part").agg(F.collect_list("vec_id").alias("ids"))
+            .select(F.array_min("ids").alias("vec_id"), "v", "ids"))
+
+
+_INDEX = "shard int, ids binary, copies binary, originals binary, vectors binary, width int, links array<binary>, levels array<binary>"
 
 
 def build_index(vectors: DataFrame, shards: int, degree: int = 16, ef_build: int = 64) -> DataFrame:
-    """One row per shard: its graph as flat arrays, and the original vectors in double precision."""
+    """One row per shard of the different vectors (vec_id, v, ids): its graph as flat arrays, the ids of every node
+    and their numbers, and the original vectors in double precision."""
     def build(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("vec_id")
         v = np.array(x["v"].tolist(), np.float64)
         g = FlatHnsw(degree, ef_build).build(v)
-        return pd.DataFrame([{"shard": key[0], "ids": x["vec_id"].to_numpy(np.int64).tobytes(), "originals": v.tobytes(), **g.arrays()}])
+        return pd.DataFrame([{"shard": key[0], "ids": np.concatenate(x["ids"].tolist()).astype(np.int64).tobytes(),
+                              "copies": x["ids"].map(len).to_numpy(np.int64).tobytes(), "originals": v.tobytes(), **g.arrays()}])
 
     return (vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
             .groupBy("shard").applyInPandas(build, _INDEX))
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, n_blocks: int, k: int = 20, ef: int = 96) -> DataFrame:
-    """(query_id, vec_id, score): the ``k`` best of every shard for every query."""
+    """(query_id, vec_id, score): the first ``k`` ids of every shard for every query (vec_id, v), by score, then id."""
     def search(key: tuple, graphs: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q):
             qid, qv = q["vec_id"].to_numpy(np.int64), np.array(q["v"].tolist(), np.float64)
             for g in graphs.itertuples(index=False):
-                ids = np.frombuffer(g.ids, np.int64)
-                originals = np.frombuffer(g.originals).reshape(len(ids), -1)
+                ids, copies = np.frombuffer(g.ids, np.int64), np.frombuffer(g.copies, np.int64)
+                start = np.cumsum(copies) - copies
+                originals = np.frombuffer(g.originals).reshape(len(copies), -1)
                 graph = FlatHnsw.from_arrays(g.vectors, g.width, g.links, g.levels)
                 scale = np.linalg.norm(qv, axis=1, keepdims=True)
-                at = graph.search(qv / scale, max(ef, k + 1))
+                at = graph.search(qv / scale, max(ef, k))
                 row, col = np.nonzero(at >= 0)
                 node = at[row, col]
                 score = np.einsum("ij,ij->i", qv[row], originals[node])
-                hit = pd.DataFrame({"row": row, "query_id": qid[row], "vec_id": ids[node], "score": score})
-                hit = hit[hit["query_id"] != hit["vec_id"]].sort_values(["row", "score", "vec_id"], ascending=[True, False, True])
-                out.append(hit.groupby("row").head(k)[["query_id", "vec_id", "score"]])
+                hit = pd.DataFrame({"row": row, "node": node, "vec_id": ids[start[node]], "score": score})
+                order = {"by": ["row", "score", "vec_id"], "ascending": [True, False, True]}
+                hit = hit.sort_values(**order).groupby("row").head(k)
+                n = copies[hit["node"]]                    # the nodes' ids instead of the nodes
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit = hit.loc[hit.index.repeat(n)]
+                hit["vec_id"] = ids[start[hit["node"]] + place]
+                hit = hit.sort_values(**order).groupby("row").head(k)
+                out.append(hit.assign(query_id=qid[hit["row"]])[["query_id", "vec_id", "score"]])
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": []})
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     left = index.withColumn("block", blocks).groupBy("shard", "block")
-    right = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
+    right = (queries.select("vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("shard", "block"))
     return left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, per_shard: int = 8192, block: int = 1024,
-            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            id_col: str = "vec_id", vector_col: str = "embedding", group_part: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found."""
     rows = cut_lineage(clean_vectors(vectors, id_col, vector_col))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     width, n = (sizes[0]["n"], sizes[0]["count"]) if sizes else (1, 0)
     rows = rows.where(F.size("v") == width)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    shards, n_blocks = max(1, -(-n // per_shard)), max(1, -(-queries.count() // block))
-    index = cut_lineage(build_index(rows, shards))
-    found = search_index(index, queries, shards, n_blocks, k)
+    nodes = cut_lineage(distinct_vectors(rows, n, k + 1, group_part))
+    queries = cut_lineage(distinct_queries(rows.where(F.col("vec_id") % every == 0), n, group_part))
+    shards, n_blocks = max(1, -(-nodes.count() // per_shard)), max(1, -(-queries.count() // block))
+    index = cut_lineage(build_index(nodes, shards))
+    found = search_index(index, queries, shards, n_blocks, k + 1)       # one more, since a query may find itself
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    best = (found.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 1).groupBy("query_id")
+            .agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score"))).alias("best")))
+    each = (best.join(queries.select(F.col("vec_id").alias("first"), "ids"), F.col("query_id") == F.col("first"))
+            .select(F.explode("ids").alias("query_id"), "best"))
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return (each.select("query_id", F.posexplode(others).alias("at", "hit"))
+            .select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")))

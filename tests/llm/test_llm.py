@@ -234,6 +234,27 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
     assert vector_search.nearest(emb.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"per_shard": 200, "block": 20}])
+def test_many_equal_vectors_give_their_smallest_ids(spark, options):
+    """A third of the rows is one vector: its smallest ids come back, and other queries find their way past it."""
+    r = np.random.default_rng(2)
+    v = r.normal(size=(900, 8))
+    same = np.sort(r.permutation(900)[:300])
+    v[same] = 2 * v[0]
+    got = vector_search.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"),
+                                **options).toPandas()
+    ids, hits = np.arange(900), 0
+    for q in range(0, 900, 20):
+        score = np.einsum("ij,j->i", v, v[q])
+        want = [i for i in np.lexsort((ids, -score)) if i != q][:20]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        hits += len(set(want) & set(mine["vec_id"]))
+        copies = [i for i in mine["vec_id"] if i in same]
+        assert copies == [i for i in same if i != q][:len(copies)]
+    assert hits >= 0.97 * 20 * 45
+
+
 # ---------------------------------------------------------------- 9
 
 def test_main_text():
