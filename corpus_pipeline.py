@@ -3,24 +3,37 @@
 Every stage works on all rows its predecessor kept.  The filtering stages
 return the columns of ``documents``; the last returns the packed pieces.
 
-Defined results: repeated rows with one doc_id stay or go together.  A
-null doc_id is judged like any other; in the dedup stages rows with null ids
-go unless they are alone with their text.  Columns besides doc_id and text
+Defined results: the dedup stages decide on rows, by a row key that they write
+first, so exactly one row of each group stays, also if rows or ids repeat.  A
+null doc_id is judged like any other; in the dedup stages a row with one stays
+only if its group has no id.  Columns besides doc_id and text
 are carried along unread.  Empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.llm import exact_dedup, ngram_join, packing, quality
 from tablewright.llm.common import table
+from tablewright.session import cut_lineage
+
 
+def _one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], best: Callable[[Column], Column]) -> DataFrame:
+    """One row of ``docs`` of each group: the ``best`` by doc_id, null last, then row key.
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (null counts as a value)."""
-    ids = ids.select(ids["doc_id"].alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+    ``groups`` gives (doc_id, group) for rows of doc_id and text; it sees the
+    row key as doc_id.  Keys are written with the rows, so that all reads agree.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    grouped = groups(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "group")
+    ids = rows.select("_row", "doc_id")
+    kept = (grouped.join(ids, grouped["_key"] == ids["_row"]).groupBy("group")
+            .agg(best(F.struct("doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_kept")))
+    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +44,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _with_ids(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """The row of largest id of each group of equal texts."""
+    return _one_of_each(docs, lambda rows: exact_dedup.exact_dedup(rows).select("doc_id", F.col("keep_id").alias("group")), F.max)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
-    return _with_ids(docs, ngram_join.ngram_join(docs).where("doc_id <=> component_id"))
+    """The row of smallest id of each group of near duplicates."""
+    def smallest(row: Column) -> Column:
+        return F.min(F.struct(row["doc_id"].isNull().alias("no_id"), row["doc_id"].alias("doc_id"), row["_row"].alias("_row")))
+
+    return _one_of_each(docs, lambda rows: ngram_join.ngram_join(rows).select("doc_id", F.col("component_id").alias("group")), smallest)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +70,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet in the shared folder and read again by the next."""
-    from tablewright.session import cut_lineage
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))

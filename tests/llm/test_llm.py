@@ -331,6 +331,23 @@ def test_pipeline_stages_keep_columns_and_match_brute_force(spark):
     assert set(packed["doc_id"]) == {r.doc_id for r in left.collect()}
 
 
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    steps = dict(corpus_pipeline.STAGES)
+    near = " ".join(f"w{i}" for i in range(60))
+    data = [(7, "a b c"), (7, "a b c"), (7, "one"), (9, "one"), (None, "A A"), (5, "A A"), (None, "B B"), (None, "C"), (None, "C"),
+            (11, near), (11, near + " end"), (None, near + " fin"), (12, "other text of its own"), (12, near + " end")]
+
+    def kept(name, rows):
+        return sorted(((r.doc_id or 0, r.text) for r in steps[name](spark, frame(spark, rows), SF).collect()))
+
+    unique = [(0, "B B"), (0, "C"), (0, near + " fin"), (5, "A A"), (7, "a b c"), (9, "one"), (11, near), (12, "other text of its own"), (12, near + " end")]
+    assert kept("exact_dedup", data) == sorted(unique)
+    left = kept("ngram_jaccard_join", data)
+    assert [x for x in left if x[1] != near and x[1] != near + " end"] == sorted(
+        [(0, "B B"), (0, "C"), (5, "A A"), (7, "a b c"), (7, "one"), (12, "other text of its own")])
+    assert len(left) == 7 and left[-2][0] == 11
+
+
 def test_empty_tables(spark):
     docs = frame(spark).limit(0)
     for f in (sentencepiece_codec.round_trip, exact_dedup.exact_dedup, packing.pack_documents, ngram_join.ngram_join, sharding.shard_documents,
