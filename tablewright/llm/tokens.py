@@ -4,8 +4,8 @@ Ids are those of the ``tokenizers`` file ``byte_bpe_50k.json``.  The same
 vocabulary exists as ranks for ``tiktoken``, whose encoder is about four
 times as fast; the two differ at most where their Unicode tables do.  So
 texts made of characters below U+0250 and general punctuation go through
-``tiktoken``, all others through ``tokenizers`` itself.  Strings of special
-tokens in a text are ordinary text.
+``tiktoken``, all others through ``tokenizers`` itself, and so do texts that
+contain an added token of the file: it has its own id there.
 """
 
 from __future__ import annotations
@@ -27,9 +27,14 @@ END_ID = 2
 def _exact(name: str):
     quiet_threads()
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(vocabulary(f"{name}.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(f"{name}.json"))
+
+
+@functools.cache
+def _added(name: str) -> re.Pattern:
+    """Finds the contents of the file's added tokens."""
+    words = [t.content for t in _exact(name).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, words)) or r"(?!)", re.I)
 
 
 @functools.cache
@@ -43,7 +48,7 @@ def _fast(name: str):
 
 def encode(text: str, name: str = "byte_bpe_50k") -> np.ndarray:
     """Ids of a whole text as little-endian unsigned 32-bit integers."""
-    if _OTHER.search(text) is None:
+    if _OTHER.search(text) is None and _added(name).search(text) is None:
         return np.asarray(_fast(name).encode_ordinary(text), "<u4")
     return np.asarray(_exact(name).encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -136,6 +136,13 @@ def test_fast_ids_equal_the_tokenizer_file():
         assert tokens.encode(t).tolist() == tokens._exact("byte_bpe_50k").encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids():
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(common.vocabulary("byte_bpe_50k.json"))
+    for t in ("end.<|endoftext|>Next", "<|endoftext|>", "中<|endoftext|> é", "plain < text |>"):
+        assert tokens.encode(t).tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- 4
 
 def _words(text):
