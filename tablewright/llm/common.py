@@ -8,6 +8,8 @@ import os
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tablewright.session import cut_lineage
 
@@ -24,13 +26,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def in_slices(f, rows: int = 512):
-    """A function over small pandas frames, for ``mapInArrow``: a worker turns few texts at a time into Python strings."""
+def in_slices(f, rows: int = 512, schema: str | None = None):
+    """A function over small pandas frames, for ``mapInArrow``: a worker turns few texts at a time into Python strings.
+
+    ``schema`` types the results; without it the types are those of the frames.
+    """
+    typed = to_arrow_schema(StructType.fromDDL(schema)) if schema else None
+
     def run(batches):
         import pyarrow as pa
         small = (b.slice(a, rows).to_pandas(integer_object_nulls=True) for b in batches for a in range(0, b.num_rows, rows))
         for out in f(small):
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(out, schema=typed, preserve_index=False)
     return run
 
 

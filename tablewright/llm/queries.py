@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import exact_dedup as dedup
-from tablewright.llm import html_extract, ngram_join, packing, quality, sentencepiece_codec, sharding, token_binary, url_filter, vector_search
+from tablewright.llm import conversation_repair, html_extract, ngram_join, packing, quality, sentencepiece_codec, sharding, token_binary, url_filter, vector_search
 from tablewright.llm.common import table
 from tablewright.session import checkpoint_dir
 
@@ -63,9 +63,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_ngram_jaccard, op5_sharding,
-                            op6_token_binary, op7_url_filter, op8_nearest_neighbours, op9_html_extract, op10_quality_classifier)
+                            op6_token_binary, op7_url_filter, op8_nearest_neighbours, op9_html_extract, op10_quality_classifier,
+                            op11_conversation_repair)
 }
 
 SQL: dict[str, str] = {
