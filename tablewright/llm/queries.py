@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import exact_dedup as dedup
-from tablewright.llm import conversation_repair, edit_fingerprint, html_extract, ngram_join, packing, quality, sentencepiece_codec, sharding, token_binary, url_filter, vector_search
+from tablewright.llm import conversation_repair, edit_fingerprint, html_extract, ngram_join, packing, quality, sentencepiece_codec, sharding, token_binary, url_filter, vector_search, whitening
 from tablewright.llm.common import table
 from tablewright.session import checkpoint_dir
 
@@ -74,10 +74,14 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_ngram_jaccard, op5_sharding,
                             op6_token_binary, op7_url_filter, op8_nearest_neighbours, op9_html_extract, op10_quality_classifier,
-                            op11_conversation_repair, op12_document_fingerprints)
+                            op11_conversation_repair, op12_document_fingerprints, op13_embedding_whitening)
 }
 
 SQL: dict[str, str] = {
