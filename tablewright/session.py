@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,5 +77,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    open_ = _scratches()
+    if open_:
+        open_[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+_LOCAL = threading.local()
+
+
+def _scratches() -> list[list[str]]:
+    """Paths that the open scratches of this thread will remove, innermost last."""
+    if not hasattr(_LOCAL, "open"):
+        _LOCAL.open = []
+    return _LOCAL.open
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that :func:`cut_lineage` writes inside are removed at the end.
+
+    Gives a function that writes a DataFrame as a table of the enclosing
+    scratch, or one that stays: what leaves the block must go through it.
+
+        with scratch(spark) as keep:
+            steps = cut_lineage(...)
+            result = keep(steps.join(...))
+    """
+    made: list[str] = []
+    open_ = _scratches()
+    open_.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = open_.index(made)
+        inner = open_[at:]
+        del open_[at:]
+        try:
+            return cut_lineage(df)
+        finally:
+            open_.extend(inner)
+
+    try:
+        yield keep
+    finally:
+        open_.remove(made)
+        for path in made:
+            remove_table(spark, path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store its path names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import itertools
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -493,3 +494,52 @@ def test_column_factors_are_exact_and_count_null_as_a_value(spark):
                                   F.when(F.col("id") < 500, F.lit("x")).alias("c"))
     assert S.cardinality_factors(df, ["a", "b", "c"]) == {"a": 4, "b": 1000, "c": 500}
     assert S.cardinality_factors(df.limit(0), ["a"]) == {"a": 0}
+
+
+# ---------------------------------------------------------------- intermediate tables
+
+def test_scratch_removes_what_is_not_kept(spark, tmp_path):
+    from tablewright import session
+    root = os.path.join(session.checkpoint_dir(spark).replace("file:", ""), "tables")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with session.scratch(spark) as outer:
+        with session.scratch(spark) as keep:
+            a = session.cut_lineage(spark.range(10))
+            b = keep(a.where("id > 6"))
+        assert len(set(os.listdir(root)) - before) == 1 and b.count() == 3
+        c = outer(b.where("id > 8"))
+    assert c.collect()[0][0] == 9 and len(set(os.listdir(root)) - before) == 1
+    with pytest.raises(ZeroDivisionError), session.scratch(spark):
+        session.cut_lineage(spark.range(3))
+        raise ZeroDivisionError
+    assert len(set(os.listdir(root)) - before) == 1 and session._scratches() == []
+
+
+# ---------------------------------------------------------------- schema-free XML
+
+def test_xml_walk_keeps_order_kinds_and_text(spark):
+    from tablewright.plans import xmlops as X
+    doc = '<a k="1"><b/>x<c>y</c><b z="&lt;"><d/></b>tail</a>'
+    df = spark.createDataFrame([(1, doc, "q"), (2, None, "q"), (3, "<a>", "q"), (4, "", "q")], "id int, doc string, node string")
+    got = {r.id: r.nodes for r in X.with_nodes(df, "doc", fragments_below="/a").collect()}
+    assert [(n.node, n.parent, n.path, n.nth, n.text, n.attributes) for n in got[1]] == [
+        (0, -1, "/a", 1, "xtail", {"k": "1"}), (1, 0, "/a/b", 1, "", {}), (2, 0, "/a/c", 1, "y", {}), (3, 0, "/a/b", 2, "", {"z": "<"}), (4, 3, "/a/b/d", 1, "", {})]
+    assert [n.xml for n in got[1]] == [None, "<b />", "<c>y</c>", '<b z="&lt;"><d /></b>', None]
+    assert got[2] is None and got[3] is None and got[4] is None
+    kids = X.children(X.with_nodes(df, "doc"), "/a/*", ["id"])
+    assert [(r.id, r.ordinal, r.n.name) for r in kids.orderBy("id", "ordinal").collect()] == [(1, 1, "b"), (1, 2, "c"), (1, 3, "b")]
+
+
+def test_xml_shred_takes_unknown_locks_and_processes_without_frames(spark):
+    from tablewright.plans import xmlops as X
+    body = ('<process-list><process id="p1"><executionStack><frame procname="f" line="1"/><frame procname="g"/><frame procname="h" line="3">s</frame></executionStack></process>'
+            '<process id="p2"/><process id="p3"><executionStack><frame line="9"/></executionStack><inputbuf>i</inputbuf></process></process-list>'
+            '<resource-list><newlock a="1"/><newlock/><pagelock objectname="x" mode="U"/></resource-list>')
+    df = spark.createDataFrame([(1, f'<event timestamp="bad"><data><value><deadlock>{body}</deadlock></value></data></event>'), (2, None)], "id int, doc string")
+    ev = X.parse_events(df, "doc", "id")
+    assert rows(X.shred_frames(ev, "id"), "process_id", "frame", "procname", "line") == [("p1", 1, "f", 1), ("p1", 2, "g", None), ("p1", 3, "h", 3), ("p3", 1, None, 9)]
+    assert rows(X.shred_processes(ev, "id"), "process_id", "n_frames", "stack", "inputbuf") == [("p1", 3, "f:1 < g < h:3", None), ("p2", 0, "", None), ("p3", 1, "9", "i")]
+    assert rows(X.shred_resources(ev, "id"), "ordinal", "resource_type", "attributes", "mode") == [(1, "newlock", "a=1", None), (2, "newlock", "", None),
+                                                                                                 (3, "pagelock", "mode=U;objectname=x", "U")]
+    assert X.shred_victims(ev, "id").count() == 0
+    assert [(r.id, r.Deadlock_Date, r.Res1_Type, r.Proc2_Line) for r in X.summary(ev, "id").orderBy("id").collect()] == [(1, None, "newlock", None), (2, None, None, None)]
