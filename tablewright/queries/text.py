@@ -83,79 +83,95 @@ def find_occurrences_substring(spark, d):
 
 
 def deadlock_documents(events):
-    """One deadlock event document per error event, built from the event's fields."""
+    """One deadlock event document per error event (errors are what the documents are about), built from the event's fields:
+    a process with three frames and one with a single frame, and locks of three kinds, the last of a kind no schema names."""
     e = events.where(F.col("event_type") == "error").select(
         "event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     fs = F.format_string
+
+    def process(suffix, name, mode, shift, frames, buffer):
+        attributes = fs(f'<process id="process%d{suffix}" transactionname="{name}" lockMode="{mode}" clientapp="app%d" hostname="host%d" loginname="user%d">',
+                        "event_id", (F.col("k") + shift) % 7, (F.col("user_id") + shift) % 10, F.col("user_id") + shift)
+        stack = F.concat(*[fs(f'<frame procname="db.dbo.proc_%d" line="%d">{verb} t%d</frame>', F.col("user_id") + up, F.col("k") + up, "k") for verb, up in frames])
+        return F.concat(attributes, F.lit("<executionStack>"), stack, fs(f"</executionStack><inputbuf>{buffer} %d</inputbuf></process>", "event_id"))
+
     xml = F.concat(
         fs('<event name="xml_deadlock_report" timestamp="%s">', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
         fs('<data name="database_name"><value>db%d</value></data>', F.col("user_id") % 3),
         F.lit('<data name="xml_report"><value><deadlock>'),
         fs('<victim-list><victimProcess id="process%d"/></victim-list>', "event_id"),
         F.lit("<process-list>"),
-        fs('<process id="process%d" transactionname="error" lockMode="X" clientapp="app%d" hostname="host%d" '
-           'loginname="user%d"><executionStack><frame procname="db.dbo.proc_%d" line="%d">update t%d</frame>'
-           '</executionStack><inputbuf>event %d</inputbuf></process>',
-           "event_id", F.col("k") % 7, F.col("user_id") % 10, "user_id", "user_id", "k", "k", "event_id"),
-        fs('<process id="process%db" transactionname="peer" lockMode="S" clientapp="app%d" hostname="host%d" '
-           'loginname="user%d"><executionStack><frame procname="db.dbo.proc_%d" line="%d">select t%d</frame>'
-           '</executionStack><inputbuf>peer of %d</inputbuf></process>',
-           "event_id", (F.col("k") + 1) % 7, (F.col("user_id") + 1) % 10, F.col("user_id") + 1, F.col("user_id") + 1,
-           F.col("k") + 1, "k", "event_id"),
+        process("", "error", "X", 0, [("update", 0), ("exec &lt;a&gt;", 1), ("call", 2)], "event"),
+        process("b", "peer", "S", 1, [("select", 1)], "peer of"),
         F.lit("</process-list><resource-list>"),
-        fs('<pagelock objectname="db.dbo.table_%d" mode="X"/>', "k"),
         fs('<keylock objectname="db.dbo.index_%d" mode="S"/>', "user_id"),
+        fs('<exchangeEvent id="port%d" WaitType="e_waitPipe"><owner id="process%d"/></exchangeEvent>', "k", "event_id"),
+        fs('<pagelock objectname="db.dbo.table_%d" mode="X" dbid="%d"/>', "k", F.col("user_id") % 3),
         F.lit("</resource-list></deadlock></value></data></event>"))
     return e.select("event_id", xml.alias("event_xml"))
 
 
-@query("xml_shred", sql=f"""
-SELECT event_id, strftime(ts, '{TS}') AS event_time, 'process' || CAST(event_id AS VARCHAR) AS process_id,
-       'error' AS transactionname, 'X' AS lockMode, 'app' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS VARCHAR) AS clientapp,
-       'host' || CAST(user_id % 10 AS VARCHAR) AS hostname, 'user' || CAST(user_id AS VARCHAR) AS loginname,
-       'db.dbo.proc_' || CAST(user_id AS VARCHAR) AS procname, 'event ' || CAST(event_id AS VARCHAR) AS inputbuf
-FROM events WHERE event_type = 'error'
-UNION ALL
-SELECT event_id, strftime(ts, '{TS}'), 'process' || CAST(event_id AS VARCHAR) || 'b', 'peer', 'S',
-       'app' || CAST((CAST(json_extract_string(props, '$.k') AS INTEGER) + 1) % 7 AS VARCHAR),
-       'host' || CAST((user_id + 1) % 10 AS VARCHAR), 'user' || CAST(user_id + 1 AS VARCHAR),
-       'db.dbo.proc_' || CAST(user_id + 1 AS VARCHAR), 'peer of ' || CAST(event_id AS VARCHAR)
-FROM events WHERE event_type = 'error'
+def _parsed(spark, d):
+    return X.parse_events(deadlock_documents(Tables(spark, d).events), "event_xml", "event_id")
+
+
+#: The error events with their text pieces, for the oracles.
+_ERRORS = """WITH e AS (SELECT event_id, ts, user_id AS u, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error'),
+p AS (SELECT *, '' AS s, 0 AS up, 'error' AS name, 'X' AS mode, 'event ' AS buf FROM e UNION ALL SELECT *, 'b', 1, 'peer', 'S', 'peer of ' FROM e),
+f AS (SELECT p.*, n.frame, n.verb, n.more FROM p JOIN (VALUES ('', 1, 'update', 0), ('', 2, 'exec <a>', 1), ('', 3, 'call', 2), ('b', 1, 'select', 1)) n(s2, frame, verb, more)
+      ON p.s = n.s2)"""
+
+
+@query("xml_shred", sql=f"""{_ERRORS}
+SELECT event_id, strftime(any_value(ts), '{TS}') AS event_time, CAST(any_value(up) + 1 AS INTEGER) AS ordinal, 'process' || event_id || s AS process_id,
+       any_value(name) AS transactionname, any_value(mode) AS lockMode, 'app' || any_value((k + up) % 7) AS clientapp,
+       'host' || any_value((u + up) % 10) AS hostname, 'user' || any_value(u + up) AS loginname, CAST(count(*) AS INTEGER) AS n_frames,
+       string_agg('db.dbo.proc_' || (u + more) || ':' || (k + more), ' < ' ORDER BY frame) AS stack, any_value(buf) || event_id AS inputbuf
+FROM f GROUP BY event_id, s
 """)
 def xml_shred(spark, d):
-    ev = X.parse_events(deadlock_documents(Tables(spark, d).events), "event_xml", "event_id")
-    return Q.temporal_as_text(X.shred_processes(ev, "event_id"))
+    return Q.temporal_as_text(X.shred_processes(_parsed(spark, d), "event_id"))
+
+
+@query("xml_shred_frames", sql=f"""{_ERRORS}
+SELECT event_id, 'process' || event_id || s AS process_id, CAST(frame AS INTEGER) AS frame, 'db.dbo.proc_' || (u + more) AS procname,
+       CAST(k + more AS INTEGER) AS line, verb || ' t' || k AS statement
+FROM f
+""")
+def xml_shred_frames(spark, d):
+    return X.shred_frames(_parsed(spark, d), "event_id")
 
 
 @query("xml_shred_victims", sql="""
 SELECT event_id, 'process' || CAST(event_id AS VARCHAR) AS victim_process_id FROM events WHERE event_type = 'error'
 """)
 def xml_shred_victims(spark, d):
-    ev = X.parse_events(deadlock_documents(Tables(spark, d).events), "event_xml", "event_id")
-    return X.shred_victims(ev, "event_id")
-
-
-@query("xml_shred_resources", sql="""
-SELECT event_id, 'pagelock' AS resource_type, 'db.dbo.table_' || json_extract_string(props, '$.k') AS objectname, 'X' AS mode
-FROM events WHERE event_type = 'error'
-UNION ALL SELECT event_id, 'keylock', 'db.dbo.index_' || CAST(user_id AS VARCHAR), 'S' FROM events WHERE event_type = 'error'
+    return X.shred_victims(_parsed(spark, d), "event_id")
+
+
+@query("xml_shred_resources", sql=f"""{_ERRORS}
+SELECT event_id, CAST(r.ordinal AS INTEGER) AS ordinal, r.kind AS resource_type, r.objectname, r.mode, r.attributes, r.xml
+FROM (SELECT event_id, unnest([
+    {{'ordinal': 1, 'kind': 'keylock', 'objectname': 'db.dbo.index_' || u, 'mode': 'S', 'attributes': 'mode=S;objectname=db.dbo.index_' || u,
+      'xml': '<keylock objectname="db.dbo.index_' || u || '" mode="S" />'}},
+    {{'ordinal': 2, 'kind': 'exchangeEvent', 'objectname': NULL, 'mode': NULL, 'attributes': 'WaitType=e_waitPipe;id=port' || k,
+      'xml': '<exchangeEvent id="port' || k || '" WaitType="e_waitPipe"><owner id="process' || event_id || '" /></exchangeEvent>'}},
+    {{'ordinal': 3, 'kind': 'pagelock', 'objectname': 'db.dbo.table_' || k, 'mode': 'X', 'attributes': 'dbid=' || u % 3 || ';mode=X;objectname=db.dbo.table_' || k,
+      'xml': '<pagelock objectname="db.dbo.table_' || k || '" mode="X" dbid="' || u % 3 || '" />'}}]) AS r FROM e)
 """)
 def xml_shred_resources(spark, d):
-    ev = X.parse_events(deadlock_documents(Tables(spark, d).events), "event_xml", "event_id")
-    return X.shred_resources(ev, "event_id")
+    return X.shred_resources(_parsed(spark, d), "event_id")
 
 
-@query("xml_summary", sql="""
-SELECT event_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS Deadlock_Date, 'db' || CAST(user_id % 3 AS VARCHAR) AS DB,
-       'table_' || json_extract_string(props, '$.k') AS Res1_Name, CAST(NULL AS VARCHAR) AS Res2_Name,
-       'proc_' || CAST(user_id AS VARCHAR) AS Proc1_Name, 'proc_' || CAST(user_id + 1 AS VARCHAR) AS Proc2_Name,
-       CAST(json_extract_string(props, '$.k') AS INTEGER) AS Proc1_Line, CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS Proc2_Line,
-       'update t' || json_extract_string(props, '$.k') AS Proc1_SQL
-FROM events WHERE event_type = 'error'
+@query("xml_summary", sql=f"""{_ERRORS}
+SELECT event_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS Deadlock_Date, 'db' || u % 3 AS DB,
+       'keylock' AS Res1_Type, 'index_' || u AS Res1_Name, 'exchangeEvent' AS Res2_Type, CAST(NULL AS VARCHAR) AS Res2_Name,
+       'proc_' || u AS Proc1_Name, k AS Proc1_Line, 'update t' || k AS Proc1_SQL,
+       'proc_' || (u + 1) AS Proc2_Name, k + 1 AS Proc2_Line, 'exec <a> t' || k AS Proc2_SQL
+FROM e
 """)
 def xml_summary(spark, d):
-    ev = X.parse_events(deadlock_documents(Tables(spark, d).events), "event_xml", "event_id")
-    return Q.temporal_as_text(X.summary(ev, "event_id", cut=7))
+    return Q.temporal_as_text(X.summary(_parsed(spark, d), "event_id", cut=7))
 
 
 @query("html_fields", sql="""
