@@ -3,8 +3,8 @@
 No explicit broadcast hints on data-dependent sides: with AQE the planner
 broadcasts a side only when its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and falls back to sort-merge join
-otherwise.  ``F.broadcast`` is used only for relations whose size is fixed
-by construction (literal lists, rule tables, partition offset tables).
+otherwise.  ``F.broadcast`` is used only for literal lists, whose rows stand
+in the program.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.session import cut_lineage
+
 
 def values_df(spark, rows: list[tuple], schema: str) -> DataFrame:
     """An inline literal relation (fixed size → safe to broadcast)."""
@@ -63,15 +65,73 @@ def token_join(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, w
     return toks.join(w, "_tw_tok").drop("_tw_tok")
 
 
+def _grams(c: Column, n: int) -> Column:
+    """The distinct substrings of length n, found in one pass (each look-ahead gives one); of length 0 the empty text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) if n else F.array(F.lit(""))
+
+
+def contains_join(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame, pattern_col: str, q: int = 4) -> DataFrame:
+    """(``id_col``, pattern columns) wherever a text contains a pattern as a substring, whatever its case.
+
+    ``text LIKE '%' || pattern || '%'`` without a nested loop.  Patterns of at
+    least ``q`` letters meet texts on their rarest q-gram: the grams of the
+    patterns that occur in texts are counted, each pattern waits in the
+    inverted list of its rarest one, and ``contains`` decides on the candidates.
+    A pattern with a gram that no text has is out at once.  A shorter pattern
+    is itself a gram of its length, so an equi join is exact; the empty one is
+    in every text.  NULL contains nothing and is in nothing.  ``id_col`` names a text.
+    """
+    t = texts.select(id_col, F.lower(F.col(text_col)).alias("_tw_t")).where(F.col("_tw_t").isNotNull())
+    p = patterns.select(F.lower(F.col(pattern_col)).alias("_tw_p")).where(F.col("_tw_p").isNotNull()).distinct()
+    parts = []
+    lengths = [r[0] for r in p.select(F.length("_tw_p").alias("n")).where(F.col("n") < q).distinct().collect()]      # at most q rows
+    for n in sorted(lengths):
+        own = t.select(id_col, F.explode(_grams(F.col("_tw_t"), n)).alias("_tw_p"))
+        parts.append(own.join(p.where(F.length("_tw_p") == n), "_tw_p").select(id_col, "_tw_p"))
+    sought = p.where(F.length("_tw_p") >= q).select("_tw_p", F.explode(_grams(F.col("_tw_p"), q)).alias("_tw_g"))
+    lists = cut_lineage(t.select(id_col, F.explode(_grams(F.col("_tw_t"), q)).alias("_tw_g"))
+                        .join(sought.select("_tw_g").distinct(), "_tw_g", "left_semi"))
+    times = lists.groupBy("_tw_g").agg(F.count(F.lit(1)).alias("_tw_n"))
+    rarest = (sought.join(times, "_tw_g", "left").groupBy("_tw_p")
+              .agg(F.min(F.struct(F.coalesce("_tw_n", F.lit(0)).alias("n"), "_tw_g")).alias("r"))
+              .where("r.n > 0").select("_tw_p", F.col("r._tw_g").alias("_tw_g")))
+    candidates = lists.join(rarest, "_tw_g").select(id_col, "_tw_p")
+    parts.append(candidates.join(t, id_col).where(F.contains("_tw_t", "_tw_p")).select(id_col, "_tw_p"))
+    found = reduce(lambda a, b: a.unionByName(b), parts)
+    return found.join(patterns.withColumn("_tw_p", F.lower(F.col(pattern_col))), "_tw_p").drop("_tw_p")
+
+
+def like_or_join(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, key: str,
+                 branches: list[tuple[str, Column]]) -> DataFrame:
+    """(``id_col``, ``key``) where ``text LIKE '%' || pattern || '%'`` for some branch: a pattern column of
+    ``words`` and a predicate on the texts.  A pair that fits several branches comes once."""
+    parts = [contains_join(texts.where(when), id_col, text_col, words.select(key, pattern), pattern).select(id_col, key) for pattern, when in branches]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
 def wildcard_lookup(df: DataFrame, rules: DataFrame, match_cols: list[str], rule_prefix: str = "r_") -> DataFrame:
     """Rule rows where NULL means "any value": ``c = ISNULL(rule.c, c)``.
 
-    The rule table is a small parameter table (fixed size), so the join is a
-    broadcast nested loop over it — never over the data side twice.
+    Rules are split by which of their columns are NULL.  The rules of one such
+    pattern fix the same columns, so they are one equi join on those; Spark
+    chooses its strategy by size.  There are at most 2**columns patterns, and
+    only those that occur are joined.  Rules without any fixed column fit every
+    row (an equi join on a constant).  As with ``=``, a NULL in the data fits
+    nothing: ``c = c`` is NULL there, too.
     """
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"{rule_prefix}{c}").isNull() | (F.col(c) == F.col(f"{rule_prefix}{c}")) for c in match_cols])
-    return df.join(F.broadcast(rules), cond, "inner")
+    open_ = [F.col(f"{rule_prefix}{c}").isNull() for c in match_cols]
+    shapes = rules.select(F.array(*open_).alias("open")).distinct().collect()
+    whole = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in match_cols]))
+    parts = []
+    for (shape,) in shapes:
+        own = rules.where(reduce(lambda a, b: a & b, [o if is_open else ~o for o, is_open in zip(open_, shape)]))
+        fixed = [F.col(c) == F.col(f"{rule_prefix}{c}") for c, is_open in zip(match_cols, shape) if not is_open]
+        if fixed:
+            parts.append(whole.join(own, reduce(lambda a, b: a & b, fixed)))
+        else:
+            parts.append(whole.withColumn("_tw_all", F.lit(1)).join(own.withColumn("_tw_any", F.lit(1)), F.col("_tw_all") == F.col("_tw_any"))
+                         .drop("_tw_all", "_tw_any"))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else whole.join(rules, F.lit(False))
 
 
 def cast_join(big: DataFrame, big_key: str, small: DataFrame, small_key: str, how: str = "inner") -> DataFrame:

@@ -493,6 +493,20 @@ def join_text_contains(spark, d):
     return J.token_join(t.documents, "doc_id", "text", words, "word").select("doc_id", "word")
 
 
+@query("join_like_or", sql="""
+SELECT doc_id, item_id FROM documents d, benchmark b
+WHERE contains(lower(d.text), lower(left(b.text, 40)))
+   OR (d.lang = 'en' AND contains(lower(d.text), lower(left(b.text, 6))))
+   OR (d.source = 'src7' AND contains(lower(d.text), lower(left(b.text, 3))))
+""")
+def join_like_or(spark, d):
+    """Benchmark items and the documents that contain their first 40 letters, or 6 if they are English, or 3 in one source."""
+    t = Tables(spark, d)
+    words = t.benchmark.select("item_id", *[F.left("text", F.lit(n)).alias(f"p{n}") for n in (40, 6, 3)])
+    return J.like_or_join(t.documents.select("doc_id", "text", "lang", "source"), "doc_id", "text", words, "item_id",
+                          [("p40", F.lit(True)), ("p6", F.col("lang") == "en"), ("p3", F.col("source") == "src7")])
+
+
 RULES = [("R", None, "returned"), (None, "O", "open"), ("A", "F", "accepted, final"), (None, None, "any")]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import tsql as Q
 from tablewright.operators import dml as M
+from tablewright.operators import joins as J
 from tablewright.operators import windows as W
 from tablewright.operators.numbering import number_rows
 from tablewright.plans import ballots as B
@@ -543,3 +544,58 @@ def test_xml_shred_takes_unknown_locks_and_processes_without_frames(spark):
                                                                                                  (3, "pagelock", "mode=U;objectname=x", "U")]
     assert X.shred_victims(ev, "id").count() == 0
     assert [(r.id, r.Deadlock_Date, r.Res1_Type, r.Proc2_Line) for r in X.summary(ev, "id").orderBy("id").collect()] == [(1, None, "newlock", None), (2, None, None, None)]
+
+
+# ---------------------------------------------------------------- containment and wildcard joins
+
+@pytest.mark.parametrize("q", [1, 2, 4])
+def test_contains_join_equals_brute_force(spark, q):
+    import random
+    r = random.Random(q)
+    texts = [(i, "".join(r.choice("abA. %_") for _ in range(r.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "x\ny😀é" * 3), (62, "")]
+    words = [(i, "".join(r.choice("abB. %_") for _ in range(r.randint(0, 6)))) for i in range(60)] + [(60, None), (61, "Y😀"), (62, "\ny"), (63, "zzzz"), (64, "É")]
+    t = spark.createDataFrame(texts, "id int, text string")
+    w = spark.createDataFrame(words, "wid int, word string")
+    got = rows(J.contains_join(t, "id", "text", w, "word", q=q), "id", "wid")
+    assert got == sorted((i, j) for i, a in texts for j, b in words if a is not None and b is not None and b.lower() in a.lower())
+    assert J.contains_join(t, "id", "text", w.limit(0), "word", q=q).count() == 0 and J.contains_join(t.limit(0), "id", "text", w, "word", q=q).count() == 0
+
+
+def test_contains_and_wildcard_joins_have_no_nested_loop(spark):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+    t = spark.createDataFrame([(1, "some text")], "id int, text string")
+    w = spark.createDataFrame([(1, "text"), (2, "o"), (3, "")], "wid int, word string")
+    rules = spark.range(100_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("r_a"), F.when(F.col("id") % 3 != 1, F.col("id") % 7).alias("r_b"),
+                                        F.col("id").alias("rule"))
+    data = spark.range(2000).select((F.col("id") * 50).alias("a"), (F.col("id") % 9).alias("b"))
+    matched = J.wildcard_lookup(data, rules, ["a", "b"])
+    for p in (plan(J.contains_join(t, "id", "text", w, "word")), plan(matched)):
+        assert "NestedLoop" not in p and "Cartesian" not in p
+    assert matched.count() == sum((1 if (a % 3 == 2 and a % 7 == b) else 0) + (1 if a % 3 == 1 else 0) for a, b in ((50 * i, i % 9) for i in range(2000))) + sum(
+        sum(1 for x in range(0, 100_000, 3) if x % 7 == b) * sum(1 for i in range(2000) if i % 9 == b) for b in range(7))
+
+
+def test_wildcard_rules_of_every_shape(spark):
+    data = [(a, b) for a in ("R", "A", None) for b in ("O", "F", None)]
+    rules = [("R", None, 1), (None, "O", 2), ("A", "F", 3), (None, None, 4), ("Z", None, 5), ("R", None, 6)]
+    df = spark.createDataFrame(data, "a string, b string")
+    got = rows(J.wildcard_lookup(df, spark.createDataFrame(rules, "r_a string, r_b string, rule int"), ["a", "b"]), "a", "b", "rule")
+    assert got == sorted((a, b, n) for a, b in data for ra, rb, n in rules if a is not None and b is not None and a == (ra or a) and b == (rb or b))
+    assert J.wildcard_lookup(df, spark.createDataFrame([], "r_a string, r_b string, rule int"), ["a", "b"]).count() == 0
+
+
+def test_queries_are_called_by_their_first_known_name(spark):
+    base = dt.datetime(2024, 1, 10, 23)
+    texts = {1: "(@a int)select\tx from t where k = 1;", 2: "select x from t where k = 1;", 3: "SELECT StatMan([SC0]) FROM [s].[t] TABLESAMPLE SYSTEM (1) x",
+             4: "SELECT statman([SC0]) FROM [s].[u] WITH (READUNCOMMITTED) x", 5: "select nothing known " + "y" * 60, 6: "SELECT StatMan([SC0]) no table"}
+    stats = spark.createDataFrame([(k, 1, base, base + dt.timedelta(hours=1), 1, 10.0, v) for k, v in texts.items()],
+                                  "query_id int, plan_id int, start_time timestamp, end_time timestamp, count_executions long, max_duration double, query_text string")
+    names = spark.createDataFrame([(2, "named"), (9, "other")], "query_id int, name string")
+    modules = spark.createDataFrame([("m2", "proc\r\n\tSELECT x from\tt where k = 1;"), ("m1", "a select x from t where k = 1; b"), ("m0", "k = 1;")], "name string, definition string")
+    got = R.resource_top(stats, F.lit("2024-01-10 19:00:00").cast("timestamp"), 5, 4, 1, names, modules)
+    assert rows(got, "activity") == sorted([("m1",), ("named",), ("UPDATE STATS [s].[t]",), ("UPDATE STATS [s].[u]",), ("select nothing known " + "y" * 29 + " ...",),
+                                            ("SELECT StatMan([SC0]) no table ...",)])
+    plain = R.resource_top(stats, F.lit("2024-01-10 19:00:00").cast("timestamp"), 5, 4, 1)
+    assert ("select x from t where k = 1; ...",) in rows(plain, "activity")
