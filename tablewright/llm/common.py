@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, scratch
 
 U64 = np.uint64
 
@@ -53,23 +53,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbours, edges are rewritten to those ids, and the rounds go on until
     no edge joins two ids.  Each round is one combinable aggregate and three
     equi-joins (skewed keys are split by AQE), and its tables are written to
-    the shared folder.  Null ends and self loops are allowed.
+    the shared folder and removed at the end.  Null ends and self loops are
+    allowed.
     """
-    edges = cut_lineage(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).dropna().distinct())
-    labels = cut_lineage(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-                         .select("node", F.col("node").alias("component")))
-    while True:
-        open_ = edges.where("u <> v")
-        if open_.isEmpty():
-            return labels
-        both = open_.select("u", "v").union(open_.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("old"), F.least("u", "m").alias("new"))
-        low = cut_lineage(low)
-        labels = cut_lineage(labels.join(low, labels["component"] == low["old"], "left")
-                             .select("node", F.coalesce("new", "component").alias("component")))
-        a, b = low.alias("a"), low.alias("b")
-        edges = cut_lineage(open_.join(a, F.col("u") == F.col("a.old")).join(b, F.col("v") == F.col("b.old"))
-                            .select(F.col("a.new").alias("u"), F.col("b.new").alias("v")).where("u <> v").distinct())
+    with scratch(edges.sparkSession) as keep:
+        edges = cut_lineage(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).dropna().distinct())
+        labels = cut_lineage(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+                             .select("node", F.col("node").alias("component")))
+        while True:
+            open_ = edges.where("u <> v")
+            if open_.isEmpty():
+                return keep(labels)
+            both = open_.select("u", "v").union(open_.select(F.col("v"), F.col("u")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("old"), F.least("u", "m").alias("new"))
+            low = cut_lineage(low)
+            labels = cut_lineage(labels.join(low, labels["component"] == low["old"], "left")
+                                 .select("node", F.coalesce("new", "component").alias("component")))
+            a, b = low.alias("a"), low.alias("b")
+            edges = cut_lineage(open_.join(a, F.col("u") == F.col("a.old")).join(b, F.col("v") == F.col("b.old"))
+                                .select(F.col("a.new").alias("u"), F.col("b.new").alias("v")).where("u <> v").distinct())
 
 
 # ---------------------------------------------------------------- hashing

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import U64, BlockedBloom, connected_components, in_slices, mix64, shingle_set, texts
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, scratch
 
 NUMER, DENOM, WORDS = 80, 100, 5
 _ALL = (1 << 64) - 1
@@ -354,11 +354,13 @@ def ngram_join(docs: DataFrame, words: int = WORDS, numer: int = NUMER, denom: i
     spark = docs.sparkSession
     classes = cut_lineage(document_classes(docs, words))
     shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    frequent = spark.sparkContext.broadcast(long_lists(docs, shingles, words, long_list, max_long, count_share))
-    entries = cut_lineage(prefix_entries(docs, frequent, shingles, words, numer, denom))
-    groups = connected_components(candidate_edges(entries, pair_list, numer, denom))
-    links = cut_lineage(group_links(docs, classes, groups, words, numer, denom, block_shingles, block_sets))
-    linked = connected_components(links)
+    with scratch(spark) as keep:                          # of the steps below only the links' components are left
+        frequent = spark.sparkContext.broadcast(long_lists(docs, shingles, words, long_list, max_long, count_share))
+        with scratch(spark) as keep_groups:
+            entries = cut_lineage(prefix_entries(docs, frequent, shingles, words, numer, denom))
+            groups = keep_groups(connected_components(candidate_edges(entries, pair_list, numer, denom)))
+        links = cut_lineage(group_links(docs, classes, groups, words, numer, denom, block_shingles, block_sets))
+        linked = keep(connected_components(links))
     named = (classes.where("class <> 0").join(linked, classes["class"] == linked["node"], "left")
              .select("doc_id", "class", "n_shingles", F.coalesce("component", "class").alias("root")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

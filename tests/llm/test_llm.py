@@ -1,5 +1,6 @@
 """Small tests of the training-data operators: brute force, round trips, held-out accuracy, odd inputs."""
 
+import os
 import random
 import zlib
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tablewright.llm import (common, exact_dedup, html_extract, ngram_join, packing, quality, queries, sentencepiece_codec, sharding,
                              token_binary, tokens, url_filter, vector_search)
+from tablewright import session
 from tests.oracle import duck, rows
 
 SF = "/root/testdata/sf0.001"
@@ -241,6 +243,42 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
     assert vector_search.nearest(emb.limit(0)).count() == 0
 
 
+def _recall(spark, v, **options):
+    """Recall at 20, with scores as inner products in double precision; every query gets all it can."""
+    got = vector_search.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), **options).toPandas()
+    hits = total = 0
+    with np.errstate(over="ignore"):
+        for q in range(0, len(v), 20):
+            score = np.einsum("ij,j->i", v, v[q])
+            mine = got[got["query_id"] == q].sort_values("rank")
+            assert mine["rank"].tolist() == list(range(1, 1 + min(20, len(v) - 1))) and (mine["score"].to_numpy() == score[mine["vec_id"]]).all()
+            want = [i for i in np.lexsort((np.arange(len(v)), -score)) if i != q][:20]
+            hits, total = hits + len(set(want) & set(mine["vec_id"])), total + len(want)
+    return hits / total
+
+
+@pytest.mark.parametrize("longest", [1e3, 1e6, 1e25, 1e200])
+def test_one_long_vector_costs_no_results(spark, longest):
+    v = np.array(common.table(spark, SF, "embeddings", "embedding").toPandas()["embedding"].tolist(), np.float64)
+    v[7] *= longest
+    assert _recall(spark, v) >= 0.95
+
+
+def test_unlike_norms(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(3000, 24)) * r.lognormal(size=3000)[:, None]
+    assert _recall(spark, v) >= 0.95 and _recall(spark, v, per_shard=500, block=40) >= 0.95
+
+
+def test_a_graph_that_reaches_too_little_is_made_up_for(monkeypatch):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(60, 4))
+    g = vector_search.FlatHnsw().build(v)
+    monkeypatch.setattr(vector_search.FlatHnsw, "search", lambda self, q, ef: np.full((len(q), ef), -1))
+    row, node = vector_search.nearest_nodes(g, v, v[:3], 20, 96)
+    assert all(set(node[row == i]) == set(np.argsort(-(v @ v[i]))[:20]) for i in range(3))
+
+
 @pytest.mark.parametrize("options", [{}, {"per_shard": 200, "block": 20}])
 def test_many_equal_vectors_give_their_smallest_ids(spark, options):
     """A third of the rows is one vector: its smallest ids come back, and other queries find their way past it."""
@@ -360,3 +398,18 @@ def test_empty_tables(spark):
     for f in (sentencepiece_codec.round_trip, exact_dedup.exact_dedup, packing.pack_documents, ngram_join.ngram_join, sharding.shard_documents,
               token_binary.packed_rows):
         assert f(docs).count() == 0
+
+
+def test_stages_carry_clashing_columns_and_leave_no_tables(spark, tmp_path):
+    data = [(i, f"word{i % 7} some text that is long enough to be a sentence {i % 7}", f"r{i}", "f", i) for i in range(30)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, _row string, path string, no int")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        with session.scratch(spark):
+            first = corpus_pipeline.exact_dedup_stage(spark, docs, "")
+            assert first.columns == df.columns and sorted((r.doc_id or -1, r._row or "") for r in first.collect()) == [(-1, ""), *[(i, f"r{i}") for i in range(23, 30)]]
+            second = corpus_pipeline.ngram_stage(spark, first, "")
+            assert second.columns == df.columns and second.count() == 8
+            made = list(session._scratches()[-1])
+        root = os.path.join(session.checkpoint_dir(spark).replace("file:", ""), "tables")
+        assert made and not {os.path.basename(p) for p in made} & set(os.listdir(root))
