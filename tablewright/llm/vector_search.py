@@ -1,28 +1,33 @@
 """Approximate nearest neighbours: one HNSW graph per shard, results merged.
 
-Nearness is the largest inner product.  Within a shard the vectors get one
-more component, sqrt(R^2 - |x|^2) for the shard's largest norm R, which makes
-the largest inner product the smallest Euclidean distance; the graph is built
-on these.
+Nearness is the largest inner product.  A shard holds vectors of like norms,
+within a factor of two of each other, scaled by a power of two near them.  They
+get one more component, sqrt(R^2 - |x|^2) for the shard's largest norm R, which
+makes the largest inner product the smallest Euclidean distance; the graph is
+built on these.  So neither a few long vectors nor a wide range of norms hides
+the differences of the others, and nothing overflows.
 
 Equal vectors are one node of a graph, which carries their ``k + 1`` smallest
 ids; no result needs more of them.  Both the nodes and the queries are
 grouped in parts of about ``group_part`` rows first, so a vector with a third
 of the rows is no task's work.  Equal queries of a part are searched once.
 
-Nodes are dealt to shards by a hash of their smallest id, about ``per_shard``
-each, so neither a cluster nor a hot source makes a large shard.  A shard's
+Nodes of a band of norms are dealt to its shards by a hash of their smallest
+id, about ``per_shard`` each, so neither a cluster nor a hot source makes a
+large shard.  A shard's
 graph is flat arrays: ids, vectors, and per level a (nodes x degree) array of
 neighbour positions, -1 where there is none.  It is built in growing batches:
 the batch's nodes search the graph of the earlier ones in step (vectorised
 beam search), see each other by a block of inner products, keep neighbours by
 the usual diversity rule, and link back.
 
-Queries are every row whose id is divisible by ``every``.  Each block of at
-most ``block`` different queries meets each shard's graph in a task; the
-``k + 1`` nearest nodes of a pair (query, shard) are expanded to their ids,
-of which the first ``k + 1`` are merged per query.  Scores are
-inner products of the original vectors in double precision.
+Queries are every row whose id is divisible by ``every``.  Blocks of about
+``block`` different queries meet each shard: a task loads the graph once and the
+block's queries stream to it.  The ``k + 1`` nearest nodes of a pair (query,
+shard) are expanded to their ids, of which the first ``k + 1`` are merged per
+query; a query for which the graph gives fewer nodes than that, though the shard
+has them, is compared with the whole shard.  Scores are inner products of the
+original vectors in double precision.
 
 Defined results: null, empty or zero vectors, and those with null or
 non-finite components, take no part.  Vectors of another length than the most
@@ -42,6 +47,17 @@ from pyspark.sql import functions as F
 from tablewright.session import cut_lineage
 
 
+def _exponent(x: np.ndarray, axis=None) -> np.ndarray:
+    """Power of two just above the largest component."""
+    return np.frexp(np.abs(x).max(axis=axis, initial=0.0))[1]
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length, whatever their size."""
+    x = np.ldexp(x, -_exponent(x, 1)[:, None])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class FlatHnsw:
     """A graph over up to a few ten thousand vectors, as flat neighbour arrays per level."""
 
@@ -55,6 +71,7 @@ class FlatHnsw:
 
     def build(self, vectors: np.ndarray) -> "FlatHnsw":
         x = np.asarray(vectors, np.float64)
+        x = np.ldexp(x, -_exponent(x))                     # the largest component is between 1/2 and 1: squares stay finite
         square = (x * x).sum(axis=1)
         top = square.max(initial=0.0)
         self.x = np.concatenate((x, np.sqrt(np.maximum(top - square, 0.0))[:, None]), axis=1).astype(np.float32)
@@ -260,9 +277,34 @@ def distinct_queries(queries: DataFrame, n: int, group_part: int = 512) -> DataF
 _INDEX = "shard int, ids binary, copies binary, originals binary, vectors binary, width int, links array<binary>, levels array<binary>"
 
 
-def build_index(vectors: DataFrame, shards: int, degree: int = 16, ef_build: int = 64) -> DataFrame:
-    """One row per shard of the different vectors (vec_id, v, ids): its graph as flat arrays, the ids of every node
-    and their numbers, and the original vectors in double precision."""
+def _band(v: Column) -> Column:
+    """Whole logarithm of the norm to base two; the largest component is taken out first, so that nothing overflows."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    rest = F.aggregate(v, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
+    return F.floor(F.log2(top) + F.log2(rest) / 2).cast("int")
+
+
+def sharded(nodes: DataFrame, per_shard: int, least: int = 1) -> tuple[DataFrame, int]:
+    """``nodes`` with their shard, and the number of shards: each band of norms (there are at most some 2100) has its own.
+
+    ``least`` shards share the rows if there are enough of them to give each a graph of some size.
+    """
+    banded = nodes.withColumn("band", _band(F.col("v")))
+    counts = sorted((r["band"], r["count"]) for r in banded.groupBy("band").count().collect())
+    per_shard = min(per_shard, max(1024, -(-sum(n for _, n in counts) // least)))
+    first, rows = 0, []
+    for band, n in counts:
+        rows.append((band, first, -(-n // per_shard)))
+        first += rows[-1][2]
+    plan = nodes.sparkSession.createDataFrame(rows, "of int, first int, parts int")
+    placed = banded.join(F.broadcast(plan), F.col("band") == F.col("of"))
+    shard = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    return placed.select(*nodes.columns, shard.alias("shard")), first
+
+
+def build_index(nodes: DataFrame, degree: int = 16, ef_build: int = 64) -> DataFrame:
+    """One row per shard of the different vectors (vec_id, v, ids, shard): its graph as flat arrays, the ids of every
+    node and their numbers, and the original vectors in double precision."""
     def build(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("vec_id")
         v = np.array(x["v"].tolist(), np.float64)
@@ -270,45 +312,77 @@ def build_index(vectors: DataFrame, shards: int, degree: int = 16, ef_build: int
         return pd.DataFrame([{"shard": key[0], "ids": np.concatenate(x["ids"].tolist()).astype(np.int64).tobytes(),
                               "copies": x["ids"].map(len).to_numpy(np.int64).tobytes(), "originals": v.tobytes(), **g.arrays()}])
 
-    return (vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-            .groupBy("shard").applyInPandas(build, _INDEX))
+    return nodes.groupBy("shard").applyInPandas(build, _INDEX)
+
+
+def nearest_nodes(graph: FlatHnsw, originals: np.ndarray, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs found in a shard: at least min(k, nodes) of every query."""
+    at = graph.search(_directions(queries), max(ef, k))
+    row, col = np.nonzero(at >= 0)
+    node = at[row, col]
+    short = np.flatnonzero((at >= 0).sum(axis=1) < min(k, len(originals)))
+    if len(short):                                         # the graph did not reach enough: compare with all
+        enough = ~np.isin(row, short)
+        with np.errstate(over="ignore", invalid="ignore"):
+            best = np.argsort(-(queries[short] @ originals.T), axis=1, kind="stable")[:, :k]
+        row = np.concatenate((row[enough], np.repeat(short, best.shape[1])))
+        node = np.concatenate((node[enough], best.ravel()))
+    return row, node
+
+
+def _searched(k: int, ef: int):
+    """Streams (shard, block) runs: the graph's row first, then its queries."""
+    def run(batches):
+        import pyarrow as pa
+        graph, where = None, None
+        for b in batches:
+            keys = list(zip(b.column("shard").to_pylist(), b.column("block").to_pylist(), b.column("kind").to_pylist(), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at] and end - at < 1024:
+                    end += 1
+                part = b.slice(at, end - at)
+                if keys[at][2] == 0:
+                    g = part.slice(0, 1).to_pylist()[0]
+                    ids, copies = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["copies"], np.int64)
+                    graph = (FlatHnsw.from_arrays(g["vectors"], g["width"], g["links"], g["levels"]), ids, copies, np.cumsum(copies) - copies,
+                             np.frombuffer(g["originals"]).reshape(len(copies), -1))
+                    where = keys[at][:2]
+                elif where == keys[at][:2]:
+                    q = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    yield pa.RecordBatch.from_pandas(_hits(*graph, part.column("vec_id").to_numpy(), q, k, ef), preserve_index=False)
+                at = end
+    return run
+
+
+def _hits(graph: FlatHnsw, ids, copies, start, originals, qid, qv, k: int, ef: int) -> pd.DataFrame:
+    """The first ``k`` ids of the shard for each query."""
+    row, node = nearest_nodes(graph, originals, qv, k, ef)
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("ij,ij->i", qv[row], originals[node])
+    hit = pd.DataFrame({"row": row, "node": node, "vec_id": ids[start[node]], "score": score})
+    order = {"by": ["row", "score", "vec_id"], "ascending": [True, False, True]}
+    hit = hit.sort_values(**order).groupby("row").head(k)
+    n = copies[hit["node"]]                                # the nodes' ids instead of the nodes
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    hit = hit.loc[hit.index.repeat(n)].reset_index(drop=True)
+    hit["vec_id"] = ids[start[hit["node"]] + place]
+    hit = hit.sort_values(**order).groupby("row").head(k)
+    return hit.assign(query_id=qid[hit["row"]])[["query_id", "vec_id", "score"]].reset_index(drop=True)
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, n_blocks: int, k: int = 20, ef: int = 96) -> DataFrame:
     """(query_id, vec_id, score): the first ``k`` ids of every shard for every query (vec_id, v), by score, then id."""
-    def search(key: tuple, graphs: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q):
-            qid, qv = q["vec_id"].to_numpy(np.int64), np.array(q["v"].tolist(), np.float64)
-            for g in graphs.itertuples(index=False):
-                ids, copies = np.frombuffer(g.ids, np.int64), np.frombuffer(g.copies, np.int64)
-                start = np.cumsum(copies) - copies
-                originals = np.frombuffer(g.originals).reshape(len(copies), -1)
-                graph = FlatHnsw.from_arrays(g.vectors, g.width, g.links, g.levels)
-                scale = np.linalg.norm(qv, axis=1, keepdims=True)
-                at = graph.search(qv / scale, max(ef, k))
-                row, col = np.nonzero(at >= 0)
-                node = at[row, col]
-                score = np.einsum("ij,ij->i", qv[row], originals[node])
-                hit = pd.DataFrame({"row": row, "node": node, "vec_id": ids[start[node]], "score": score})
-                order = {"by": ["row", "score", "vec_id"], "ascending": [True, False, True]}
-                hit = hit.sort_values(**order).groupby("row").head(k)
-                n = copies[hit["node"]]                    # the nodes' ids instead of the nodes
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hit = hit.loc[hit.index.repeat(n)]
-                hit["vec_id"] = ids[start[hit["node"]] + place]
-                hit = hit.sort_values(**order).groupby("row").head(k)
-                out.append(hit.assign(query_id=qid[hit["row"]])[["query_id", "vec_id", "score"]])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": []})
-
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = index.withColumn("block", blocks).groupBy("shard", "block")
-    right = (queries.select("vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("shard", "block"))
-    return left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score double")
+    graphs = index.withColumn("block", blocks).withColumn("kind", F.lit(0))
+    asked = (queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"), F.lit(1).alias("kind"))
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(1, shards) - 1)))))
+    both = graphs.unionByName(asked, allowMissingColumns=True).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    return both.mapInArrow(_searched(k, ef), "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, per_shard: int = 8192, block: int = 1024,
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, per_shard: int = 8192, block: int = 16384,
             id_col: str = "vec_id", vector_col: str = "embedding", group_part: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found."""
     rows = cut_lineage(clean_vectors(vectors, id_col, vector_col))
@@ -317,8 +391,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, per_shard: int = 8
     rows = rows.where(F.size("v") == width)
     nodes = cut_lineage(distinct_vectors(rows, n, k + 1, group_part))
     queries = cut_lineage(distinct_queries(rows.where(F.col("vec_id") % every == 0), n, group_part))
-    shards, n_blocks = max(1, -(-nodes.count() // per_shard)), max(1, -(-queries.count() // block))
-    index = cut_lineage(build_index(nodes, shards))
+    placed, shards = sharded(nodes, per_shard, nodes.sparkSession.sparkContext.defaultParallelism)
+    index = cut_lineage(build_index(placed))
+    n_blocks = max(1, -(-queries.count() // block))
     found = search_index(index, queries, shards, n_blocks, k + 1)       # one more, since a query may find itself
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = (found.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 1).groupBy("query_id")
