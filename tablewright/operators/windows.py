@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import col
@@ -51,24 +51,9 @@ def rank_within(df: DataFrame, partition: list[str], order: list[str], name: str
     return numbering.rank_within(df, partition, order, name, desc)
 
 
-def running_min_before(df: DataFrame, partition: list[str], order: list, value: str,
-                       name: str = "min_before", block: int = 1_000_000) -> DataFrame:
-    """MIN(value) over all earlier rows of the partition (exclusive running frame).
-
-    Rows are numbered in (partition, order) and cut into blocks of ``block``
-    rows, so no window ever holds more than one block: a running minimum
-    inside each (key, block), plus the minimum carried in from the key's
-    earlier blocks (one row per block, a window over a key's blocks only).
-    """
-    g = numbering.number_rows(df, [F.col(p) for p in partition] + _order(order), "_tw_g")
-    g = g.withColumn("_tw_b", F.floor((F.col("_tw_g") - 1) / block))
-    local = Window.partitionBy(*partition, "_tw_b").orderBy("_tw_g").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_tw_local", F.min(value).over(local))
-    per_block = g.groupBy(*partition, "_tw_b").agg(F.min(value).alias("_tw_bmin"))
-    earlier = Window.partitionBy(*partition).orderBy("_tw_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(*partition, "_tw_b", F.min("_tw_bmin").over(earlier).alias("_tw_carry"))
-    out = numbering._null_safe_join(g, carry, partition + ["_tw_b"])
-    return out.withColumn(name, F.least("_tw_local", "_tw_carry")).drop("_tw_g", "_tw_b", "_tw_local", "_tw_carry")
+def running_min_before(df: DataFrame, partition: list[str], order: list, value: str, name: str = "min_before") -> DataFrame:
+    """MIN(value) over all earlier rows of the partition (exclusive running frame), by the same scan."""
+    return numbering.running_min_within(df, partition, _order(order), value, name)
 
 
 def drop_last_parts(c, sep: str, keep_all_but: int) -> Column:

@@ -618,7 +618,7 @@ SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l
 FROM lineitem
 """)
 def rank_part(spark, d):
-    li = Tables(spark, d).lineitem.withColumn("score", F.col("l_quantity") * (1 - F.col("l_discount")))
+    li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("score"))
     out = W.rank_within(li, ["l_orderkey"], ["score"], "rnk")
     return out.select("l_orderkey", "l_linenumber", F.col("rnk").cast("int").alias("rnk"))
 
@@ -637,7 +637,7 @@ SELECT o_orderkey, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_ord
 FROM orders
 """)
 def running_min_exclusive(spark, d):
-    o = Tables(spark, d).orders
+    o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     return W.running_min_before(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select(
         "o_orderkey", "min_before")
 

@@ -329,16 +329,38 @@ def test_number_and_rank_within_match_windows(spark):
     assert rows(got, "id", "rk") == rows(want, "id", "rk")
 
 
-def test_running_min_carries_across_blocks(spark):
+@pytest.mark.parametrize("parts", [1, 3, 8, 40])
+def test_segmented_scan_equals_windows(spark, parts):
+    """Groups, runs of ties and minima that cross partition boundaries, some over several partitions; NULLs, NaN, decimals, dates, text."""
+    import random
     from pyspark.sql import Window
-    vals = [5, 3, 8, 1, 9, 2, 7, 0, 6, 4, 3, 8]
-    data = [("k" if i % 3 else "h", i, v) for i, v in enumerate(vals)]
-    df = spark.createDataFrame(data, "key string, t int, v int")
-    want = df.withColumn("m", F.min("v").over(
-        Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)))
-    for block in (1, 2, 3, 100):
-        got = W.running_min_before(df, ["key"], ["t"], "v", "m", block=block)
-        assert rows(got, "key", "t", "m") == rows(want, "key", "t", "m"), block
+    from tablewright.operators import numbering as N
+    r = random.Random(parts)
+    data = [("hot" if i % 3 else r.choice(["a", "b", None, "c"]), r.choice([1.0, 2.0, float("nan"), None, 3.0]) if i % 5 else 1.0,
+             None if r.random() < .2 else dt.date(2020, 1, 1) + dt.timedelta(r.randrange(400)), None if r.random() < .3 else r.choice("xyzé"), i) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, v double, d date, s string, id int").withColumn("n", (F.col("id") * 7 % 31).cast("decimal(9,2)"))
+    rank = Window.partitionBy("k").orderBy(F.col("v").desc())
+    total = Window.partitionBy("k").orderBy(F.col("v").desc(), "id")
+    got = N.number_within(df, ["k"], [F.col("v").desc(), F.col("id")], "rn", num_partitions=parts)
+    assert rows(got, "id", "rn") == rows(df.withColumn("rn", F.row_number().over(total)), "id", "rn") and got.columns == [*df.columns, "rn"]
+    got = N.rank_within(df, ["k"], ["v"], "rk", num_partitions=parts)
+    assert rows(got, "id", "rk") == rows(df.withColumn("rk", F.rank().over(rank)), "id", "rk")
+    before = total.rowsBetween(Window.unboundedPreceding, -1)
+    for c in ("d", "s", "n", "v"):
+        got = N.running_min_within(df, ["k"], [F.col("v").desc(), "id"], c, "m", num_partitions=parts).select("id", F.col("m").cast("string").alias("m"))
+        assert rows(got, "id", "m") == rows(df.withColumn("m", F.min(c).over(before).cast("string")), "id", "m"), c
+    everything = N.rank_within(df, [], ["s"], "rk", desc=False, num_partitions=parts)
+    assert rows(everything, "id", "rk") == rows(df.withColumn("rk", F.rank().over(Window.orderBy("s"))), "id", "rk")
+    assert N.number_within(df.limit(0), ["k"], ["id"], num_partitions=parts).count() == 0
+
+
+def test_segmented_scan_moves_rows_once(spark):
+    """After the one range exchange that is written, rows are only looked up: no exchange, no sort, no join with their groups."""
+    from tablewright.operators import numbering as N
+    df = spark.range(1000).withColumn("k", F.col("id") % 3)
+    for got in (N.number_within(df, ["k"], ["id"]), N.rank_within(df, ["k"], ["id"]), N.running_min_within(df, ["k"], ["id"], "id")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1 and "Sort" not in plan and "Window" not in plan
 
 
 def test_compare_null_property_and_case_only_difference(spark):
