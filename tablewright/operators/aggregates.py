@@ -10,10 +10,11 @@ lists), never over raw fact rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.tsql import col
+from tablewright.operators.numbering import number_rows, number_within
 from tablewright.session import cut_lineage
 
 
@@ -26,6 +27,29 @@ def ordered_list(value, order: list, sep: str = ", ", desc: list[bool] | None =
     return F.expr(f"listagg({v}, '{sep_sql}') WITHIN GROUP (ORDER BY {keys})")
 
 
+def chunked_list(df: DataFrame, group: list[str], order: list, value: str, sep: str, chunk: int = 1000, name: str = "text") -> DataFrame:
+    """A5 for groups of any size: ``group``, ``chunk`` (from 1) and the ``sep``-joined values of its rows.
+
+    Values are numbered inside their group by the segmented scan and every
+    ``chunk`` of them are one row, so a group with a third of all rows is many
+    small groups.  The pieces in order, joined by ``sep``, are the whole list.
+    ``order`` must be total; NULL values take a number but no place in the text.
+    """
+    n = number_within(df, group, order, "_tw_at") if group else number_rows(df, order, "_tw_at")
+    placed = n.withColumn("chunk", F.expr(f"cast((_tw_at - 1) div {chunk} + 1 as int)"))
+    return placed.groupBy(*group, "chunk").agg(ordered_list(value, ["_tw_at"], sep).alias(name))
+
+
+def two_level_list(df: DataFrame, outer: list[str], inner: str, more_than: int = 0, cut: int | None = None) -> DataFrame:
+    """Rows of ``outer`` counted, with their ``inner`` values as ``value(count)``, most frequent first; groups of
+    more than ``more_than`` rows; the list is cut to ``cut`` letters only if asked for."""
+    t1 = df.groupBy(*outer, inner).agg(F.count(F.lit(1)).alias("occurs")).withColumn(
+        "_tw_label", F.concat(F.col(inner), F.lit("("), F.col("occurs").cast("string"), F.lit(")")))
+    examples = ordered_list("_tw_label", ["occurs", "_tw_label"], ", ", [True, False])
+    g = t1.groupBy(*outer).agg(F.sum("occurs").alias("occurs"), (F.left(examples, F.lit(cut)) if cut else examples).alias("examples"))
+    return g.where(F.col("occurs") > more_than)
+
+
 def conditional_sum(cond: Column, value) -> Column:
     """SUM(IIF(cond, value, 0))."""
     return F.sum(F.when(cond, col(value)).otherwise(F.lit(0)))
@@ -93,23 +117,32 @@ def share_of_total(df: DataFrame, keys: list[str], value, name: str = "value", d
     return g.withColumn("pct", F.round(F.col(name) * 100.0 / total, digits))
 
 
-def group_subtotals(df: DataFrame, keys: list[str], value, name: str = "value") -> DataFrame:
-    """Detail rows plus per-group subtotal headers and a grand total (ROLLUP + grouping id)."""
-    return df.rollup(*keys).agg(F.sum(col(value)).alias(name), F.grouping_id().alias("level"))
+def group_subtotals(df: DataFrame, keys: list[str], detail: list[str], value, name: str = "value") -> DataFrame:
+    """Per-group sum headers, the detail rows below each, and a grand total at the end.
+
+    One aggregate over GROUPING SETS ((keys, detail), (keys), ()); ``level`` is
+    ``group``, ``detail`` or ``total`` and ``place`` the row's number in report
+    order (groups by key, header first).  Rows of equal ``detail`` are one row.
+    """
+    g = df.groupingSets([[*keys, *detail], keys, []], *keys, *detail).agg(F.sum(col(value)).alias(name), F.grouping_id().alias("_tw_id"))
+    level = F.when(F.col("_tw_id") == 0, "detail").when(F.col("_tw_id") == (1 << len(detail)) - 1, "group").otherwise("total")
+    g = g.withColumn("level", level)
+    order = [(F.col("level") == "total"), *[F.col(k) for k in keys], (F.col("level") == "detail"), *[F.col(d) for d in detail]]
+    return number_rows(g, order, "place").select("place", "level", *keys, *detail, name)
 
 
 def top_with_other(df: DataFrame, key: str, value, min_share: float = 0.01,
                    other: str = "(other)", digits: int = 1, scale: float = 1.0) -> DataFrame:
     """Slices at or below ``min_share`` of the total fold into one ``(other)`` slice; rank by size.
 
-    At most 1/min_share slices exceed the threshold, so the ranked result is
-    bounded (≤ 101 rows for 1 %) and a global ROW_NUMBER over it is cheap.
+    Ranks come from the distributed numbering: with negative values, or a
+    share of 0, any number of slices may exceed the threshold.
     """
     g = cut_lineage(df.groupBy(key).agg(F.sum(col(value)).alias("_tw_v")))   # aggregated once
     j = g.withColumn("_tw_t", g.agg(F.sum("_tw_v")).scalar())      # grand total as a scalar subquery
     big = F.col("_tw_v") > F.col("_tw_t") * min_share
     folded = (j.withColumn(key, F.when(big, F.col(key)).otherwise(F.lit(other)))
                 .groupBy(key).agg(F.sum("_tw_v").alias("_tw_v")))
-    w = Window.orderBy(F.col("_tw_v").desc(), F.col(key))
-    return folded.select(F.row_number().over(w).cast("string").alias("rank"), key,
+    ranked = number_rows(folded, [F.col("_tw_v").desc(), F.col(key)], "_tw_rank")
+    return ranked.select(F.col("_tw_rank").cast("string").alias("rank"), key,
                          F.round(F.col("_tw_v") * scale, digits).alias("size"))

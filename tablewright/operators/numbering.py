@@ -148,10 +148,10 @@ def _scanned(df: DataFrame, partition: list[str], order: list[Column], ties: lis
     """``df`` range-partitioned and sorted by (partition, order), written once with the scan of each partition."""
     order_cols = [F.col(p) for p in partition] + order
     ranged = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
-    placed = ranged.sortWithinPartitions(*order_cols).withColumn("_tw_pid", F.spark_partition_id())
+    placed = ranged.sortWithinPartitions(*order_cols).withColumn("_tw_s_pid", F.spark_partition_id())
     low = df.schema[value].dataType if value else IntegerType()
-    schema = StructType([*placed.schema.fields, StructField("_tw_pos", LongType()), StructField("_tw_n", LongType()), StructField("_tw_first", BooleanType()),
-                         StructField("_tw_r", LongType()), StructField("_tw_run", BooleanType()), StructField("_tw_m", low)])
+    schema = StructType([*placed.schema.fields, StructField("_tw_s_pos", LongType()), StructField("_tw_s_n", LongType()), StructField("_tw_s_first", BooleanType()),
+                         StructField("_tw_s_r", LongType()), StructField("_tw_s_run", BooleanType()), StructField("_tw_s_m", low)])
     typed = to_arrow_schema(schema)
 
     def run(batches):
@@ -172,23 +172,23 @@ def _carried(scanned: DataFrame, partition: list[str], ties: list[str], value: s
     pass over them in order finds what goes over each boundary.
     """
     ends = F.struct(*partition, *[F.col(t).alias(f"_tw_tie{i}") for i, t in enumerate(ties)])
-    fields = scanned.groupBy("_tw_pid").agg(
-        F.min_by(ends, "_tw_pos").alias("head"), F.max_by(F.struct(ends.alias("key"), "_tw_n", "_tw_r", "_tw_first", "_tw_run", "_tw_m", *([value] if value else [])),
-                                                        "_tw_pos").alias("tail"))
+    fields = scanned.groupBy("_tw_s_pid").agg(
+        F.min_by(ends, "_tw_s_pos").alias("head"), F.max_by(F.struct(ends.alias("key"), "_tw_s_n", "_tw_s_r", "_tw_s_first", "_tw_s_run", "_tw_s_m", *([value] if value else [])),
+                                                        "_tw_s_pos").alias("tail"))
     k, out, before = len(partition), [], None
-    for r in sorted(fields.collect(), key=lambda r: r["_tw_pid"]):
+    for r in sorted(fields.collect(), key=lambda r: r["_tw_s_pid"]):
         count, rank, low, tail = 0, None, None, r["tail"]
         if before is not None and _all_same(before[0][:k], r["head"][:k]):
             count, low = before[1], before[3]
             rank = before[2] if _all_same(before[0][k:], r["head"][k:]) else None
-        out.append((r["_tw_pid"], count, rank, low))
-        own = [v for v in (tail["_tw_m"], tail[value]) if v is not None] if value else []
-        whole = [low] if tail["_tw_first"] and low is not None else []
-        total = tail["_tw_n"] + (count if tail["_tw_first"] else 0)
-        last_rank = rank if tail["_tw_run"] and rank is not None else tail["_tw_r"] + (count if tail["_tw_first"] else 0)
+        out.append((r["_tw_s_pid"], count, rank, low))
+        own = [v for v in (tail["_tw_s_m"], tail[value]) if v is not None] if value else []
+        whole = [low] if tail["_tw_s_first"] and low is not None else []
+        total = tail["_tw_s_n"] + (count if tail["_tw_s_first"] else 0)
+        last_rank = rank if tail["_tw_s_run"] and rank is not None else tail["_tw_s_r"] + (count if tail["_tw_s_first"] else 0)
         before = (tail["key"], total, last_rank, min(own + whole, default=None))
-    low_type = scanned.schema["_tw_m"].dataType.simpleString()
-    return scanned.sparkSession.createDataFrame(out, f"_tw_p int, _tw_count long, _tw_rank long, _tw_low {low_type}")
+    low_type = scanned.schema["_tw_s_m"].dataType.simpleString()
+    return scanned.sparkSession.createDataFrame(out, f"_tw_s_p int, _tw_s_count long, _tw_s_rank long, _tw_s_low {low_type}")
 
 
 def _scan(df: DataFrame, partition: list[str], order: list[Column], ties: list[str] | None = None, value: str | None = None,
@@ -201,14 +201,14 @@ def _scan(df: DataFrame, partition: list[str], order: list[Column], ties: list[s
     """
     scanned = _scanned(df, partition, order, ties or [], value, num_partitions)
     carried = _carried(scanned, partition, ties or [], value)
-    return scanned.join(F.broadcast(carried), F.col("_tw_pid") == F.col("_tw_p"))
+    return scanned.join(F.broadcast(carried), F.col("_tw_s_pid") == F.col("_tw_s_p"))
 
 
-_OWN = ("_tw_pid", "_tw_pos", "_tw_n", "_tw_first", "_tw_r", "_tw_run", "_tw_m", "_tw_p", "_tw_count", "_tw_rank", "_tw_low")
+_OWN = ("_tw_s_pid", "_tw_s_pos", "_tw_s_n", "_tw_s_first", "_tw_s_r", "_tw_s_run", "_tw_s_m", "_tw_s_p", "_tw_s_count", "_tw_s_rank", "_tw_s_low")
 
 
 def _inherited() -> Column:
-    return F.when(F.col("_tw_first"), F.col("_tw_count")).otherwise(F.lit(0))
+    return F.when(F.col("_tw_s_first"), F.col("_tw_s_count")).otherwise(F.lit(0))
 
 
 def number_within(df: DataFrame, partition: list[str], order: list, name: str = "rn", num_partitions: int | None = None) -> DataFrame:
@@ -220,7 +220,7 @@ def number_within(df: DataFrame, partition: list[str], order: list, name: str =
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = _scan(df, partition, order_cols, num_partitions=num_partitions)
-    return rows.withColumn(name, F.col("_tw_n") + _inherited()).drop(*_OWN)
+    return rows.withColumn(name, F.col("_tw_s_n") + _inherited()).drop(*_OWN)
 
 
 def rank_within(df: DataFrame, partition: list[str], order: list[str], name: str = "rnk",
@@ -228,8 +228,8 @@ def rank_within(df: DataFrame, partition: list[str], order: list[str], name: str
     """RANK() OVER (PARTITION BY partition ORDER BY order): ties share the first number of
     their run; by the scan of :func:`number_within`, which also carries a run over a boundary."""
     rows = _scan(df, partition, [F.col(c).desc() if desc else F.col(c) for c in order], order, num_partitions=num_partitions)
-    inherited = F.when(F.col("_tw_run"), F.col("_tw_rank"))
-    return rows.withColumn(name, F.coalesce(inherited, F.col("_tw_r") + _inherited())).drop(*_OWN)
+    inherited = F.when(F.col("_tw_s_run"), F.col("_tw_s_rank"))
+    return rows.withColumn(name, F.coalesce(inherited, F.col("_tw_s_r") + _inherited())).drop(*_OWN)
 
 
 def running_min_within(df: DataFrame, partition: list[str], order: list, value: str, name: str = "min_before",
@@ -237,4 +237,4 @@ def running_min_within(df: DataFrame, partition: list[str], order: list, value:
     """MIN(value) over all earlier rows of the partition, by the same scan; NULL where there are none."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = _scan(df, partition, order_cols, value=value, num_partitions=num_partitions)
-    return rows.withColumn(name, F.least("_tw_m", F.when(F.col("_tw_first"), F.col("_tw_low")))).drop(*_OWN)
+    return rows.withColumn(name, F.least("_tw_s_m", F.when(F.col("_tw_s_first"), F.col("_tw_s_low")))).drop(*_OWN)

@@ -2,8 +2,8 @@
 
 Placeholders are replaced with the row's values, later columns first,
 matching names case-insensitively.  The per-row text is a chain of
-``regexp_replace`` Column expressions; the concatenation is an ordered
-``listagg`` per group (callers group so each list is bounded).
+``regexp_replace`` Column expressions; the concatenation comes in rows of a
+bounded number of texts, so neither a group nor the whole is one string.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.aggregates import ordered_list
+from tablewright.operators.aggregates import chunked_list
 
 
 def _replacement_safe(v: Column) -> Column:
@@ -33,10 +33,10 @@ def fill_template(df: DataFrame, template: str, columns: list[str] | None = None
 
 
 def template_merge(df: DataFrame, template: str, order: list[str], sep: str = "",
-                   group: list[str] | None = None) -> DataFrame:
-    """Per group, the filled templates concatenated with ``sep`` in ``order``."""
+                   group: list[str] | None = None, chunk: int = 1000) -> DataFrame:
+    """The filled templates concatenated with ``sep`` in ``order`` (a total order), per group or all.
+
+    Columns: ``group``, ``chunk`` (from 1) and ``text``; every ``chunk`` texts are a row.
+    """
     filled = df.withColumn("_tw_text", fill_template(df, template))
-    agg = ordered_list("_tw_text", order, sep).alias("text")
-    if group:
-        return filled.groupBy(*group).agg(agg)
-    return filled.agg(agg)
+    return chunked_list(filled, group or [], order, "_tw_text", sep, chunk)

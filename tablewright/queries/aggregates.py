@@ -122,18 +122,11 @@ def unpivot(spark, d):
 WITH t1 AS (SELECT p_type, p_size, p_brand || '(' || CAST(count(*) AS VARCHAR) || ')' AS label, count(*) AS occurs
             FROM part GROUP BY p_type, p_size, p_brand)
 SELECT p_type, p_size, CAST(sum(occurs) AS BIGINT) AS occurs,
-       left(string_agg(label, ', ' ORDER BY occurs DESC, label), 50) AS examples
+       string_agg(label, ', ' ORDER BY occurs DESC, label) AS examples
 FROM t1 GROUP BY p_type, p_size HAVING sum(occurs) > 3
 """)
 def two_level_agg(spark, d):
-    p = Tables(spark, d).part
-    t1 = p.groupBy("p_type", "p_size", "p_brand").agg(F.count(F.lit(1)).alias("occurs")).withColumn(
-        "label", F.concat("p_brand", F.lit("("), F.col("occurs").cast("string"), F.lit(")")))
-    # second level: each group holds at most one label per brand
-    g = t1.groupBy("p_type", "p_size").agg(
-        F.sum("occurs").alias("occurs"),
-        F.left(A.ordered_list("label", ["occurs", "label"], ", ", [True, False]), F.lit(50)).alias("examples"))
-    return g.where(F.col("occurs") > 3)
+    return A.two_level_list(Tables(spark, d).part, ["p_type", "p_size"], "p_brand", more_than=3)
 
 
 @query("case_over_aggs", sql="""
@@ -225,16 +218,17 @@ def share_of_total(spark, d):
 
 
 @query("group_subtotals", sql="""
-SELECT r_name, n_name, round(sum(c_acctbal), 2) AS acctbal, CAST(grouping(r_name, n_name) AS INTEGER) AS level
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-GROUP BY ROLLUP (r_name, n_name)
+WITH g AS (SELECT n_name, c_custkey, sum(c_acctbal) AS acctbal, grouping(n_name, c_custkey) AS g
+           FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_name, c_custkey), (n_name), ()))
+SELECT row_number() OVER (ORDER BY n_name NULLS LAST, c_custkey NULLS FIRST) AS place, CASE g WHEN 0 THEN 'detail' WHEN 1 THEN 'group' ELSE 'total' END AS level,
+       n_name, CAST(c_custkey AS VARCHAR) AS c_custkey, round(acctbal, 2) AS acctbal
+FROM g
 """)
 def group_subtotals(spark, d):
     t = Tables(spark, d)
-    j = (t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
-    g = A.group_subtotals(j, ["r_name", "n_name"], "c_acctbal", "acctbal")
-    return g.select("r_name", "n_name", F.round("acctbal", 2).alias("acctbal"), F.col("level").cast("int").alias("level"))
+    j = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    g = A.group_subtotals(j, ["n_name"], ["c_custkey"], "c_acctbal", "acctbal")
+    return g.select("place", "level", "n_name", F.col("c_custkey").cast("string").alias("c_custkey"), F.round("acctbal", 2).alias("acctbal"))
 
 
 @query("top_with_other", sql="""

@@ -27,9 +27,10 @@ def spine_for(df: DataFrame, c: str, name: str = "n") -> DataFrame:
 
 
 def letter_code(n) -> Column:
-    """Ordinal 0..675 → two letters AA..ZZ."""
+    """Ordinal 0..675 → two letters AA..ZZ; another ordinal is an error."""
     n = col(n)
-    return F.concat(F.char(F.lit(65) + F.floor(n / 26)), F.char(F.lit(65) + n % 26))
+    code = F.concat(F.char(F.lit(65) + F.floor(n / 26)), F.char(F.lit(65) + n % 26))
+    return F.when((n < 0) | (n > 675), F.raise_error(F.concat(F.lit("no two-letter code for "), n.cast("string")))).otherwise(code)
 
 
 def date_spine(bounds: DataFrame, lo: str = "lo", hi: str = "hi", name: str = "date_value") -> DataFrame:
