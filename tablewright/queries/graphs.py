@@ -80,10 +80,13 @@ def graph_neighborhood(spark, d):
 @query("caller_closure", sql=f"""
 WITH RECURSIVE {EDGES_SQL},
 d AS (SELECT DISTINCT pk AS red, fk AS ring FROM e),
-r(red, ring, depth) AS (
-  SELECT red, ring, 0 FROM d WHERE red = '{FOCAL}'
-  UNION SELECT d.red, d.ring, r.depth + 1 FROM r JOIN d ON d.red = r.ring WHERE r.depth < (SELECT least(count(DISTINCT ring), 60) FROM d))
-SELECT red, ring, CAST(min(depth) AS INTEGER) AS round FROM r GROUP BY red, ring
+walk(round, entered, seen) AS (
+  SELECT 0, ['{FOCAL}'], ['{FOCAL}']
+  UNION ALL
+  SELECT round + 1, fresh, list_concat(seen, fresh)
+  FROM (SELECT w.round, w.seen, list(DISTINCT d.ring) AS fresh FROM walk w JOIN d ON list_contains(w.entered, d.red) AND NOT list_contains(w.seen, d.ring)
+        GROUP BY w.round, w.seen))
+SELECT d.red, d.ring, CAST(n.round AS INTEGER) AS round FROM (SELECT round, unnest(entered) AS node FROM walk) n JOIN d ON d.red = n.node
 """)
 def caller_closure(spark, d):
     edges = referral_edges(Tables(spark, d).events).select(F.col("pk").alias("red"), F.col("fk").alias("ring"))
@@ -106,15 +109,15 @@ def edge_classify(spark, d):
 @query("edge_lines", sql=f"""
 WITH {TRANSITIONS_SQL},
 c AS (SELECT red, ring, is_call, is_job, max(is_update) AS is_update FROM t WHERE red <> 'U0' GROUP BY ALL),
-n AS (SELECT name, upper(left(name, 1)) || CAST(row_number() OVER (PARTITION BY upper(left(name, 1)) ORDER BY name) AS VARCHAR) AS prefix
-      FROM (SELECT red AS name FROM c UNION SELECT ring FROM c)),
-l AS (SELECT c.*, rn.prefix || CASE WHEN is_call = 1 THEN '([' || red || '])' ELSE '[' || red || ']' END AS red_label,
-             gn.prefix || CASE WHEN is_job = 1 THEN '[\\' || ring || '/]' ELSE '([' || ring || '])' END AS ring_label
-      FROM c JOIN n rn ON rn.name = c.red JOIN n gn ON gn.name = c.ring)
-SELECT 1 AS ord, 'graph LR' AS txt
-UNION SELECT 2, ring_label || ' -->|call| ' || red_label FROM l WHERE is_call = 1
-UNION SELECT 3, red_label || ' -.-> ' || ring_label FROM l WHERE is_call = 0 AND is_update = 0
-UNION SELECT 4, ring_label || ' ==> ' || red_label FROM l WHERE is_update = 1
+n AS (SELECT name, upper(left(name, 1)) || count(*) OVER (PARTITION BY upper(left(name, 1)) ORDER BY name) AS code
+      FROM (SELECT unnest([red, ring]) AS name FROM c) GROUP BY name),
+parts AS (SELECT unnest(list_filter([
+            CASE WHEN is_call = 1 THEN [2, 1] END, CASE WHEN is_call + is_update = 0 THEN [3, 0] END, CASE WHEN is_update = 1 THEN [4, 1] END], lambda x: x IS NOT NULL)) AS style,
+          [(a.code || printf(if(is_call = 1, '([%s])', '[%s]'), red)), (b.code || printf(if(is_job = 1, '[\%s/]', '([%s])'), ring))] AS ends
+          FROM c JOIN n a ON a.name = red JOIN n b ON b.name = ring)
+SELECT DISTINCT style[1] AS section,
+       ends[style[2] + 1] || [' -->|call| ', ' -.-> ', ' ==> '][style[1] - 1] || ends[2 - style[2]] AS line FROM parts
+UNION ALL SELECT 1, 'graph LR'
 """)
 def edge_lines(spark, d):
     return G.edge_lines(G.classify_edges(transitions(Tables(spark, d).events), exclude=COMMON))
