@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.tsql import col
 from tablewright.operators.numbering import number_rows, number_within
 from tablewright.session import cut_lineage
+from tablewright.sources.profile import rows_per_value
 
 
 def ordered_list(value, order: list, sep: str = ", ", desc: list[bool] | None = None) -> Column:
@@ -83,20 +84,8 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cardinality_factor(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column, rows per distinct value (NULL counts as one value), integer division.
-
-    One pass: exact ``count(DISTINCT c)`` for every column in the same aggregate.
-    """
-    aggs = [F.count(F.lit(1)).alias("_tw_rows")]
-    for c in columns:
-        aggs.append(F.count_distinct(F.col(c)).alias(f"d_{c}"))
-        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"n_{c}"))
-    row = df.agg(*aggs)
-    per_col = [F.struct(F.lit(c).alias("column_name"),
-                        (F.col("_tw_rows") / F.greatest(F.col(f"d_{c}") + F.coalesce(F.col(f"n_{c}"), F.lit(0)), F.lit(1)))
-                        .cast("bigint").alias("factor"))
-               for c in columns]
-    return row.select(F.inline(F.array(*per_col)))
+    """Per column, rows per distinct value (NULL counts as one value), integer division; from one count of all values."""
+    return rows_per_value(df, columns)
 
 
 def minmax_many(df: DataFrame, columns: list[str]) -> DataFrame:

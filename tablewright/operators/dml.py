@@ -18,6 +18,18 @@ def _and(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
+def one_row_each(source: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """Rows of ``source`` with ``mark`` true; several rows with one key are an error when they are read.
+
+    The count per key is an aggregate on the join's own keys, so the join that follows needs no further exchange.
+    Rows with a NULL key are left out: they match nothing.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    one = source.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_tw_n"), F.first(F.struct(F.lit(0).alias("_tw_0"), *rest)).alias("_tw_v"))
+    message = F.lit(f"the source has several rows with one key ({', '.join(keys)})")
+    return one.select(*keys, *[F.col(f"_tw_v.{c}").alias(c) for c in rest], F.when(F.col("_tw_n") > 1, F.raise_error(message)).otherwise(F.lit(True)).alias(mark))
+
+
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str] | None = None,
           delete_unmatched: bool = True) -> tuple[DataFrame, DataFrame]:
     """M1/M2: MERGE target USING source ON keys.
@@ -25,7 +37,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
     matched → update ``update_cols`` from source; not matched by target →
     insert (target-only columns NULL); not matched by source → delete (or
     keep, when ``delete_unmatched`` is false: M7 upsert).  Several source rows
-    with one key (NULL keys match nothing) are an error.
+    with one key (NULL keys match nothing) are an error when the result is read.
 
     Returns ``(new_table, changes)``; ``changes`` has ``action`` (INSERT /
     UPDATE / DELETE) and ``del_<c>`` / ``ins_<c>`` for every target column —
@@ -33,12 +45,12 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
     """
     tcols = target.columns
     update_cols = update_cols or [c for c in source.columns if c not in keys]
-    twice = source.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not twice.isEmpty():
-        raise ValueError(f"the source has several rows with one key ({', '.join(keys)})")
     t = target.select(*[F.col(c).alias(f"t_{c}") for c in tcols], F.lit(True).alias("_t"))
-    s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("_s"))
+    named = [F.col(c).alias(f"s_{c}") for c in source.columns]
+    s = one_row_each(source, keys, "_s").select(*named, "_s")
     j = t.join(s, _and([F.col(f"t_{k}") == F.col(f"s_{k}") for k in keys]), "full_outer")
+    loose = source.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))             # NULL keys: inserts of their own
+    j = j.unionByName(loose.select(*named, F.lit(True).alias("_s")), allowMissingColumns=True)
     matched = F.col("_t").isNotNull() & F.col("_s").isNotNull()
     only_src = F.col("_t").isNull()
     only_tgt = F.col("_s").isNull()
@@ -80,7 +92,7 @@ def change_feed(changes: DataFrame, kind: str) -> DataFrame:
 
 def update_only(target: DataFrame, source: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """M4: MERGE … WHEN MATCHED THEN UPDATE only — left join, take the source value when matched."""
-    s = source.select(*keys, *[F.col(c).alias(f"_src_{c}") for c in cols], F.lit(True).alias("_m"))
+    s = one_row_each(source.select(*keys, *cols), keys, "_m").select(*keys, *[F.col(c).alias(f"_src_{c}") for c in cols], "_m")
     j = target.join(s, keys, "left")
     out = [F.when(F.col("_m").isNotNull(), F.col(f"_src_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
            for c in target.columns]
@@ -91,9 +103,10 @@ def update_from_join(target: DataFrame, source: DataFrame, on: list[str], assign
     """M5: UPDATE t SET c = expr(s) FROM t JOIN s — expressions may reference source columns.
 
     ``source`` must be unique on ``on`` (as the dialect requires for a
-    deterministic UPDATE … FROM).
+    deterministic UPDATE … FROM); several rows with one key are an error when
+    the result is read.
     """
-    s = source.withColumn("_m", F.lit(True))
+    s = one_row_each(source, on, "_m")
     j = target.join(s, on, "left")
     out = [F.when(F.col("_m").isNotNull(), assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c)
            for c in target.columns]

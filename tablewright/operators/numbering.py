@@ -42,13 +42,14 @@ def number_rows(df: DataFrame, order: list, name: str = "row_id", start: int = 1
     Without ``num_partitions`` the range partition count is left to AQE (its
     initial partition number, coalesced to the advisory partition size), so
     partitions stay a sensible size at any input size; coalescing only merges
-    adjacent ranges, so the order across partitions is kept.
+    adjacent ranges, so the order across partitions is kept.  An empty
+    ``order`` numbers rows by their place: no exchange and no sort, one write.
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
-    tagged = (ranged
-                .sortWithinPartitions(*order_cols)
-                .withColumn("_tw_mid", F.monotonically_increasing_id()))
+    if order_cols:
+        df = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
+        df = df.sortWithinPartitions(*order_cols)
+    tagged = df.withColumn("_tw_mid", F.monotonically_increasing_id())
     if materialize:
         tagged = cut_lineage(tagged)
     tagged = (tagged.withColumn("_tw_pid", F.shiftright("_tw_mid", _LOW_BITS))

@@ -6,13 +6,11 @@ text column, the fact table (surrogate keys by joining back on the
 null-replaced value) and a view that rebuilds the staging shape.
 
 Scale notes
-* Classification needs one number per column (rows per distinct value).
-  It is computed with HyperLogLog (``approx_count_distinct``, one pass, no
-  Expand of the input); only columns whose estimate lies near the decision
-  threshold are recounted exactly, one column at a time.
-* Dimension keys 1..n in value order and the fact id use
-  :func:`number_rows` (range partitioning + per-partition offsets), never a
-  global window.
+* Classification needs one number per column (rows per distinct value): one
+  scan counts all (column, value) pairs, exactly.
+* Dimension keys 1..n in value order use the segmented scan of
+  :mod:`tablewright.operators.numbering`, never a global window.  The fact id is
+  a partition offset plus the row's place, without a sort, unless an order is asked for.
 * Fact → dimension joins are plain equi-joins: AQE broadcasts a dimension
   when its measured size is under the threshold and otherwise sort-merge
   joins (with skew splitting for hot values).
@@ -22,7 +20,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +28,7 @@ from pyspark.sql import types as T
 from tablewright.operators.numbering import number_rows, number_within
 from tablewright.session import cut_lineage
 from tablewright.sources.generators import date_spine
+from tablewright.sources.profile import rows_per_value
 
 # The default date for missing dates and the dimension rule threshold.
 DEFAULT_DATE = "9999-12-31"
@@ -121,9 +119,8 @@ class Star:
 
     @cached_property
     def fact(self) -> DataFrame:
-        """C4: fact rows numbered 1..n in staging-column order."""
-        order = self.fact_order or [c.name for c in self.columns]
-        order_cols = [F.col(src_to_fact(self.fact_columns, o)) for o in order]
+        """C4: fact rows numbered 1..n: in ``fact_order`` if one is given, else by their place, without a sort."""
+        order_cols = [F.col(src_to_fact(self.fact_columns, o)) for o in self.fact_order or []]
         fact = number_rows(self.fact_rows, order_cols, f"{self.prefix}_Fact_ID")
         return fact.select(f"{self.prefix}_Fact_ID", *[p[0] for p in self.fact_columns])
 
@@ -142,22 +139,23 @@ class Star:
 
     @cached_property
     def violations(self) -> DataFrame:
-        """Foreign keys fact → dimension (join and date columns, not datepart): orphan counts."""
-        checks = []
-        for fact_col, action, src in self.fact_columns:
+        """Foreign keys fact → dimension (join and date columns, not datepart): orphan counts.
+
+        The fact is built once: a left join per key, then one sum of the rows that found no partner.
+        """
+        fact, counts = self.fact_rows, []
+        for i, (fact_col, action, src) in enumerate(self.fact_columns):
             if action == "join":
-                d = self.dims[src].select(F.col(fact_col).alias("_tw_fk"))
+                keys = self.dims[src].select(F.col(fact_col).alias(f"_tw_k{i}"))
             elif action == "date":
-                d = self.date_dim.select(F.col("Date_Value").alias("_tw_fk"))
+                keys = self.date_dim.select(F.col("Date_Value").alias(f"_tw_k{i}"))
             else:
                 continue
-            bad = self.fact_rows.select(fact_col).join(d, F.col(fact_col) == F.col("_tw_fk"), "left_anti")
-            checks.append(bad.agg(F.count(F.lit(1)).alias("violations"))
-                          .select(F.lit(fact_col).alias("fact_column"),
-                                  F.lit(f"{self.prefix}_{src if action == 'join' else 'Date'}_Dim").alias("dimension"),
-                                  "violations"))
-        if checks:
-            return reduce(lambda a, b: a.unionByName(b), checks)
+            fact = fact.join(keys, F.col(fact_col) == F.col(f"_tw_k{i}"), "left")
+            counts.append(F.struct(F.lit(fact_col).alias("fact_column"), F.lit(f"{self.prefix}_{src if action == 'join' else 'Date'}_Dim").alias("dimension"),
+                                   F.coalesce(F.sum(F.col(f"_tw_k{i}").isNull().cast("bigint")), F.lit(0).cast("bigint")).alias("violations")))
+        if counts:
+            return fact.agg(F.array(*counts).alias("checks")).select(F.inline("checks"))
         return self.staging.sparkSession.createDataFrame([], "fact_column string, dimension string, violations bigint")
 
 
@@ -184,20 +182,10 @@ def _null_replacement(dt: T.DataType):
 
 
 def cardinality_factors(staging: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Rows per distinct value (NULL is one value), integer division, per column.
-
-    Exact at every size: one scan turns each row into (column, value) pairs,
-    which are counted per value (partial counts before the shuffle, so a
-    frequent value costs one row per task) and then per column.
-    """
+    """Rows per distinct value (NULL is one value), integer division, per column: exact, from one count of all values."""
     if not columns:
         return {}
-    pairs = staging.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("p"))
-    values = pairs.groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    counted = values.groupBy("i").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))   # one row per column
-    factors = {columns[r["i"]]: r["rows"] // r["distinct"] for r in counted.collect()}
-    return {c: factors.get(c, 0) for c in columns}
+    return {r["column_name"]: r["factor"] for r in rows_per_value(staging, columns).collect()}      # one row per column
 
 
 def classify(staging: DataFrame, overrides: dict[str, str] | None = None) -> list[StagingColumn]:

@@ -113,7 +113,7 @@ n AS (SELECT name, upper(left(name, 1)) || count(*) OVER (PARTITION BY upper(lef
       FROM (SELECT unnest([red, ring]) AS name FROM c) GROUP BY name),
 parts AS (SELECT unnest(list_filter([
             CASE WHEN is_call = 1 THEN [2, 1] END, CASE WHEN is_call + is_update = 0 THEN [3, 0] END, CASE WHEN is_update = 1 THEN [4, 1] END], lambda x: x IS NOT NULL)) AS style,
-          [(a.code || printf(if(is_call = 1, '([%s])', '[%s]'), red)), (b.code || printf(if(is_job = 1, '[\%s/]', '([%s])'), ring))] AS ends
+          [(a.code || printf(if(is_call = 1, '([%s])', '[%s]'), red)), (b.code || printf(if(is_job = 1, '[\\%s/]', '([%s])'), ring))] AS ends
           FROM c JOIN n a ON a.name = red JOIN n b ON b.name = ring)
 SELECT DISTINCT style[1] AS section,
        ends[style[2] + 1] || [' -->|call| ', ' -.-> ', ' ==> '][style[1] - 1] || ends[2 - style[2]] AS line FROM parts

@@ -17,6 +17,7 @@ from tablewright.plans import star as S
 from tablewright.plans.templates import template_merge
 from tablewright.registry import query
 from tablewright.sources import sinks as K
+from tablewright.session import cut_lineage
 from tablewright.sources.generators import date_spine as _date_spine
 from tablewright.sources.profile import column_profile
 from tablewright.sources.tables import Tables
@@ -86,15 +87,27 @@ ls AS (SELECT row_number() OVER (ORDER BY v) AS id, v FROM (SELECT DISTINCT coal
 
 @query("star_fact", sql=f"""
 WITH {DIMS_SQL}
-SELECT row_number() OVER (ORDER BY {STAGING_ORDER}) AS L_Fact_ID,
-       l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
        rf.id AS L_l_returnflag_Dim_ID, ls.id AS L_l_linestatus_Dim_ID,
        strftime(coalesce(CAST(l_shipdate AS DATE), DATE '9999-12-31'), '%Y-%m-%d') AS L_l_shipdate,
-       strftime(l_shipdate, '{TS}') AS l_shipdate
+       strftime(l_shipdate, '{TS}') AS l_shipdate, true AS ids_are_1_to_n
 FROM lineitem l JOIN rf ON coalesce(l.l_returnflag, '') = rf.v JOIN ls ON coalesce(l.l_linestatus, '') = ls.v
 """)
 def star_fact(spark, d):
-    return temporal_as_text(lineitem_star(spark, d).fact)
+    """The fact; its ids have no order, so what is shown of them is that they are 1..n, each once."""
+    fact = cut_lineage(lineitem_star(spark, d).fact)
+    ids = fact.agg(F.count("L_Fact_ID").alias("n"), F.min("L_Fact_ID").alias("lo"), F.max("L_Fact_ID").alias("hi"), F.count_distinct("L_Fact_ID").alias("d"))
+    whole = ids.select((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))).scalar()
+    return temporal_as_text(fact.drop("L_Fact_ID")).withColumn("ids_are_1_to_n", whole)
+
+
+@query("star_fact_ordered", sql=f"""
+SELECT row_number() OVER (ORDER BY {STAGING_ORDER}) AS L_Fact_ID, l_orderkey, l_linenumber FROM lineitem
+""")
+def star_fact_ordered(spark, d):
+    """Fact ids in an order that the caller asks for."""
+    star = S.build_star(Tables(spark, d).lineitem, PREFIX, fact_order=STAGING_ORDER.split(", "))
+    return star.fact.select("L_Fact_ID", "l_orderkey", "l_linenumber")
 
 
 @query("star_view", sql=f"""
@@ -109,15 +122,20 @@ def star_view(spark, d):
 
 
 @query("fk_check", sql=f"""
-WITH {DIMS_SQL}
+WITH {DIMS_SQL},
+b AS (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem)
 SELECT 'L_l_returnflag_Dim_ID' AS fact_column, 'L_l_returnflag_Dim' AS dimension,
        (SELECT count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.v = coalesce(l.l_returnflag, ''))) AS violations
 UNION ALL
 SELECT 'L_l_linestatus_Dim_ID', 'L_l_linestatus_Dim',
        (SELECT count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM ls WHERE ls.v = coalesce(l.l_linestatus, '')))
+UNION ALL
+SELECT 'ship_day', 'L_Date_Dim', (SELECT count(*) FROM lineitem, b WHERE CAST(l_shipdate AS DATE) NOT BETWEEN lo AND hi)
 """)
 def fk_check(spark, d):
-    return lineitem_star(spark, d).violations
+    """All keys of the fact, that of a DATE column among them."""
+    staging = Tables(spark, d).lineitem.withColumn("ship_day", F.to_date("l_shipdate"))
+    return S.build_star(staging, PREFIX).violations
 
 
 # ---------------------------------------------------------------- C8-C11 snapshot compare

@@ -544,8 +544,39 @@ def test_merge_inserts_whole_rows_and_refuses_repeated_keys(spark):
     source = spark.createDataFrame([(1, "b", 11), (2, "c", 12)], "k int, v string, w int")
     new, _ = merge(target, source, ["k"], update_cols=["w"])
     assert sorted(tuple(r) for r in new.collect()) == [(1, "a", 11), (2, "c", 12)]
-    with pytest.raises(ValueError):
-        merge(target, source.union(source), ["k"])
+    twice = source.union(source)
+    for refused in (lambda: merge(target, twice, ["k"])[0], lambda: merge(target, twice, ["k"])[1], lambda: M.update_only(target, twice, ["k"], ["w"]),
+                    lambda: M.update_from_join(target, twice.withColumnRenamed("w", "x").drop("v"), ["k"], {"w": F.col("x")})):
+        with pytest.raises(Exception, match="several rows with one key"):
+            refused().collect()
+    loose = source.union(spark.createDataFrame([(None, "n", 1), (None, "n", 1)], source.schema))
+    new, changes = merge(target, loose, ["k"], delete_unmatched=False)
+    assert rows(new, "k", "v", "w") == [(1, "b", 11), (2, "c", 12), (None, "n", 1), (None, "n", 1)]
+    assert rows(changes, "action", "ins_k") == [("INSERT", 2), ("INSERT", None), ("INSERT", None), ("UPDATE", 1)]
+
+
+def test_unique_source_costs_no_exchange_of_its_own(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = spark.range(100).withColumnRenamed("id", "k").withColumn("w", F.lit(1))
+        plan = M.update_only(t, t, ["k"], ["w"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_profile_counts_every_type_exactly(spark):
+    from tablewright.sources.profile import column_counts, column_profile
+    when = dt.datetime(2020, 1, 1, 1, 2, 3, 4)
+    data = [(1, 0.0, "a", when, dt.date(2020, 1, 2), b"x", True, [1]), (None, -0.0, "A", when, None, b"y", None, [1]), (1, float("nan"), None, None, None, b"x", False, None)]
+    df = spark.createDataFrame(data, "i int, d double, s string, t timestamp, y date, b binary, o boolean, l array<int>")
+    got = {r.column_name: (r.null_count, r.distinct_count, r.rows) for r in column_profile(df, with_rows=True).collect()}
+    assert got == {"i": (1, 1, 3), "d": (0, 2, 3), "s": (1, 2, 3), "t": (1, 1, 3), "y": (2, 1, 3), "b": (0, 2, 3), "o": (1, 2, 3), "l": (1, 1, 3)}
+    text = {r.column_name: (r.min_text, r.max_text, r.min_num) for r in column_profile(df).collect()}
+    assert text["t"] == ("2020-01-01 01:02:03.000004",) * 2 + (None,) and text["s"] == ("A", "a", None) and text["y"][0] == "2020-01-02" and text["i"][2] == 1.0
+    assert [(r.null_count, r.distinct_count, r.rows) for r in column_profile(df.limit(0), with_rows=True).collect()] == [(0, 0, 0)] * 8
+    plan = column_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == 2
 
 
 def test_occurrences_across_line_breaks_and_blank_runs(spark):
