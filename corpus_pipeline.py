@@ -59,7 +59,8 @@ def _one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], best
         ids = rows.select(F.col(key).alias("row"), "doc_id")
         kept = keep(grouped.join(ids, grouped["_key"] == ids["row"]).groupBy("group")
                     .agg(best(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("_kept")))
-    return rows.join(kept, rows[key] == kept["_kept"], "left_semi").drop(key)
+    # one way at every size: the rows are shuffled once, never looked up in a table that grows with them
+    return rows.join(kept.hint("merge"), rows[key] == kept["_kept"], "left_semi").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,14 +105,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_BLOCK_BITS = 20
+_BLOCK_BITS = 18
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
     """64-bit hash of every word of a UTF-8 text, in order, in numpy over the bytes.
 
     A word's hash is a polynomial over its bytes, taken as a difference of
-    prefix sums; texts beyond 1 MiB go in blocks cut at a blank (a longer
+    prefix sums; texts beyond 256 KiB go in blocks cut at a blank (a longer
     word is hashed with a larger table).
     """
     b = _LOWER[np.frombuffer(raw, np.uint8)]

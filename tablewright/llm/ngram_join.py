@@ -203,7 +203,7 @@ def long_lists(docs: DataFrame, shingles: int, words: int, long_list: int, max_l
                 if len(s):
                     held.append(s)
                     n += len(s)
-                if n > 1_500_000:
+                if n > 700_000:
                     yield flush()
                     held, n = [], 0
         if held:
