@@ -278,28 +278,27 @@ _INDEX = "shard int, ids binary, copies binary, originals binary, vectors binary
 
 
 def _band(v: Column) -> Column:
-    """Whole logarithm of the norm to base two; the largest component is taken out first, so that nothing overflows."""
+    """Whole logarithm of the norm to base two; of the largest component where squares would leave a double's range."""
+    square = F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
     top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    rest = F.aggregate(v, F.lit(0.0), lambda total, x: total + (x / top) * (x / top))
-    return F.floor(F.log2(top) + F.log2(rest) / 2).cast("int")
+    return F.when(square.between(1e-280, 1e280), F.floor(F.log2(square) / 2)).otherwise(F.floor(F.log2(top))).cast("int")
 
 
 def sharded(nodes: DataFrame, per_shard: int, least: int = 1) -> tuple[DataFrame, int]:
-    """``nodes`` with their shard, and the number of shards: each band of norms (there are at most some 2100) has its own.
+    """``nodes`` (with their band) with their shard, and the number of shards: each band of norms (there are at most some 2100) has its own.
 
     ``least`` shards share the rows if there are enough of them to give each a graph of some size.
     """
-    banded = nodes.withColumn("band", _band(F.col("v")))
-    counts = sorted((r["band"], r["count"]) for r in banded.groupBy("band").count().collect())
+    counts = sorted((r["band"], r["count"]) for r in nodes.groupBy("band").count().collect())
     per_shard = min(per_shard, max(1024, -(-sum(n for _, n in counts) // least)))
     first, rows = 0, []
     for band, n in counts:
         rows.append((band, first, -(-n // per_shard)))
         first += rows[-1][2]
     plan = nodes.sparkSession.createDataFrame(rows, "of int, first int, parts int")
-    placed = banded.join(F.broadcast(plan), F.col("band") == F.col("of"))
+    placed = nodes.join(F.broadcast(plan), F.col("band") == F.col("of"))
     shard = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    return placed.select(*nodes.columns, shard.alias("shard")), first
+    return placed.select("vec_id", "v", "ids", shard.alias("shard")), first
 
 
 def build_index(nodes: DataFrame, degree: int = 16, ef_build: int = 64) -> DataFrame:
@@ -389,7 +388,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, per_shard: int = 8
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     width, n = (sizes[0]["n"], sizes[0]["count"]) if sizes else (1, 0)
     rows = rows.where(F.size("v") == width)
-    nodes = cut_lineage(distinct_vectors(rows, n, k + 1, group_part))
+    nodes = cut_lineage(distinct_vectors(rows, n, k + 1, group_part).withColumn("band", _band(F.col("v"))))
     queries = cut_lineage(distinct_queries(rows.where(F.col("vec_id") % every == 0), n, group_part))
     placed, shards = sharded(nodes, per_shard, nodes.sparkSession.sparkContext.defaultParallelism)
     index = cut_lineage(build_index(placed))
