@@ -90,6 +90,11 @@ def like_escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def seeded_order(seed: int, *keys: str) -> list[Column]:
+    """A random order that the seed repeats (in place of ordering by a new id a row): by the hash of seed and keys, then the keys."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *[F.col(k) for k in keys]]
+
+
 def temporal_as_text(df: DataFrame) -> DataFrame:
     """Render date / timestamp columns as ISO text (for engine-neutral result comparison)."""
     out = []

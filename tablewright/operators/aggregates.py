@@ -135,3 +135,28 @@ def top_with_other(df: DataFrame, key: str, value, min_share: float = 0.01,
     ranked = number_rows(folded, [F.col("_tw_v").desc(), F.col(key)], "_tw_rank")
     return ranked.select(F.col("_tw_rank").cast("string").alias("rank"), key,
                          F.round(F.col("_tw_v") * scale, digits).alias("size"))
+
+
+def stats_of(df: DataFrame, totals: dict[str, Column], holders: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(metric, item, value) rows of one table, from one aggregate over grouping sets.
+
+    ``totals``: metric → aggregate over all rows (item '').  ``holders``: metric →
+    (item, aggregate per item): the item with the greatest value, ties to the
+    smallest item.  One pass, however many metrics: an empty grouping set gives the
+    totals, one for each kind of item its values, of which a second aggregate,
+    a row a metric, takes the best.
+    """
+    items = {f"_tw_i{k}": item.cast("string") for k, (item, _) in enumerate(holders.values())}
+    aggs = [v.cast("double").alias(f"_tw_t{k}") for k, v in enumerate(totals.values())]
+    aggs += [v.cast("double").alias(f"_tw_h{k}") for k, (_, v) in enumerate(holders.values())]
+    g = df.withColumns(items).groupingSets([[], *[[i] for i in items]], *items).agg(*aggs, F.grouping_id().cast("bigint").alias("_tw_id"))
+    everything = (1 << len(items)) - 1
+
+    def row(id_: int, metric: str, item: Column, value: str) -> Column:
+        return F.struct(F.lit(id_).cast("bigint").alias("id"), F.lit(metric).alias("metric"), item.alias("item"), F.col(value).alias("value"))
+
+    rows = [row(everything, m, F.lit(""), f"_tw_t{k}") for k, m in enumerate(totals)]
+    rows += [row(everything - (1 << (len(items) - 1 - k)), m, F.col(f"_tw_i{k}"), f"_tw_h{k}") for k, m in enumerate(holders)]
+    long = g.select("_tw_id", F.inline(F.array(*rows))).where(F.col("_tw_id") == F.col("id"))
+    best = F.min_by(F.struct("item", "value"), F.struct((-F.col("value")).alias("v"), "item"))
+    return long.groupBy("metric").agg(best.alias("b")).select("metric", "b.item", "b.value")

@@ -1,13 +1,14 @@
 """Table fingerprints and validation.
 
-Row text = the non-excluded columns as text joined by ``|`` (NULL → empty).
-Two fingerprints per table:
+Row text = the non-excluded columns as text, each with its length, joined by
+``|`` (NULL has a mark of its own).  Two fingerprints per table:
 * ``hash_sum`` — order-free: the sum of each row's MD5 read as two 60-bit
   numbers, plus the row count.  Partial sums aggregate map-side, so it
   scales to any table size and any partitioning.
 * ``ordered_md5`` — MD5 of all row MD5s concatenated in sorted order, the
   classic "hash of the canonical content"; only for small (reference)
-  tables, since it builds one string per table.  An empty table gives MD5('').
+  tables, since it builds one string per table: more than ``ORDERED_ROWS`` rows
+  are an error.  An empty table gives MD5('').
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from tablewright.operators.aggregates import ordered_list
 
 
+#: Most rows of a table that has an ordered fingerprint (32 letters a row are in one string).
+ORDERED_ROWS = 100_000
+
+
 def row_text(df: DataFrame, exclude: list[str] = ()) -> Column:
     cols = [c for c in df.columns if c not in set(exclude)]
     text = lambda c: F.col(f"`{c}`").cast("string")
@@ -37,10 +42,20 @@ def fingerprint(df: DataFrame, table: str, exclude: list[str] = (), ordered: boo
             F.concat_ws(":", F.coalesce(F.sum(part(1, 15)), F.lit(0)).cast("string"),
                         F.coalesce(F.sum(part(16, 15)), F.lit(0)).cast("string")).alias("hash_sum")]
     if ordered:
-        aggs.append(F.md5(F.coalesce(ordered_list("_tw_h", ["_tw_h"], ""), F.lit(""))).alias("ordered_md5"))
+        some = h.limit(ORDERED_ROWS + 1).withColumn("_tw_n", F.lit(1))               # no more than that reaches one task
+        text = some.agg(F.sum("_tw_n").alias("n"), ordered_list("_tw_h", ["_tw_h"], "").alias("t"))
+        refused = F.raise_error(F.lit(f"{table}: an ordered fingerprint is for tables of at most {ORDERED_ROWS} rows"))
+        ordered_md5 = text.select(F.when(F.col("n") > ORDERED_ROWS, refused).otherwise(F.md5(F.coalesce("t", F.lit(""))))).scalar()
+        return h.agg(*aggs).select(F.lit(table).alias("table_name"), "*", ordered_md5.alias("ordered_md5"))
     return h.agg(*aggs).select(F.lit(table).alias("table_name"), "*")
 
 
+def expected_rows(actual: DataFrame) -> DataFrame:
+    """The fingerprints as rows of text to keep as the expected values of the next validation."""
+    quoted = F.concat(F.lit("'"), F.replace("table_name", F.lit("'"), F.lit("''")), F.lit("'"))
+    return actual.select("table_name", F.concat(F.lit("("), quoted, F.lit(", '"), "hash_sum", F.lit("', "), F.col("row_count").cast("string"), F.lit("),")).alias("line"))
+
+
 def validate(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Tables whose fingerprint or row count differs (or that exist on one side only)."""
     e = expected.select("table_name", F.col("hash_sum").alias("expected_hash"), F.col("row_count").alias("expected_rows"))

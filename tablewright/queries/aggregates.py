@@ -243,43 +243,43 @@ def top_with_other(spark, d):
     return A.top_with_other(j, "slice", "l_extendedprice", 0.01, scale=1 / 1000.0)
 
 
-@query("stats_long", sql="""
-SELECT 'orders' AS metric, '' AS item, CAST(count(*) AS DOUBLE) AS value FROM orders
-UNION ALL SELECT 'customers', '', CAST(count(*) AS DOUBLE) FROM customer
-UNION ALL SELECT 'lineitems', '', CAST(count(*) AS DOUBLE) FROM lineitem
-UNION ALL SELECT 'revenue', '', round(sum(l_extendedprice * (1 - l_discount)), 2) FROM lineitem
-UNION ALL (SELECT 'top customer by spend', c_name, round(sum(o_totalprice), 2) FROM orders JOIN customer ON o_custkey = c_custkey
-           GROUP BY c_name ORDER BY 3 DESC, 2 LIMIT 1)
-UNION ALL (SELECT 'largest order', CAST(o_orderkey AS VARCHAR), o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)
-UNION ALL (SELECT 'busiest day', strftime(CAST(ts AS DATE), '%Y-%m-%d'), CAST(count(*) AS DOUBLE) FROM events GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)
-""")
-def stats_long(spark, d):
-    t = Tables(spark, d)
+def _top_sql(metric: str, item: str, value: str, rel: str) -> str:
+    return f"(SELECT '{metric}' AS metric, CAST({item} AS VARCHAR) AS item, CAST({value} AS DOUBLE) AS value FROM {rel} GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)"
+
+
+def _total_sql(metric: str, value: str, rel: str) -> str:
+    return f"SELECT '{metric}' AS metric, '' AS item, CAST({value} AS DOUBLE) AS value FROM {rel}"
 
-    def total(df, metric, value):
-        return df.agg(value.cast("double").alias("value")).select(F.lit(metric).alias("metric"), F.lit("").alias("item"), "value")
 
-    spend = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-             .groupBy(F.col("c_name").alias("item")).agg(F.round(F.sum("o_totalprice"), 2).alias("v")))
-    orders = t.orders.select(F.col("o_orderkey").cast("string").alias("item"), F.col("o_totalprice").alias("v"),
-                             F.col("o_orderkey").alias("k"))
-    days = t.events.groupBy(F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("item")).agg(F.count(F.lit(1)).alias("v"))
+REVENUE = "l_extendedprice * (1 - l_discount)"
+
+
+@query("stats_long", sql="SELECT metric, item, round(value, 2) AS value FROM (" + " UNION ALL ".join([
+    _total_sql("customers", "count(*)", "customer"), _total_sql("customers in debt", "count(*) FILTER (c_acctbal < 0)", "customer"),
+    _top_sql("nation with the most customers", "c_nationkey", "count(*)", "customer"), _top_sql("segment with the highest balance", "c_mktsegment", "sum(c_acctbal)", "customer"),
+    _total_sql("orders", "count(*)", "orders"), _total_sql("orders over 400000", "count(*) FILTER (o_totalprice > 400000)", "orders"),
+    _top_sql("largest order", "o_orderkey", "sum(o_totalprice)", "orders"), _top_sql("customer with the most orders", "o_custkey", "count(*)", "orders"),
+    _top_sql("customer with the most spent", "o_custkey", "sum(o_totalprice)", "orders"),
+    _total_sql("order lines", "count(*)", "lineitem"), _total_sql("revenue", f"sum({REVENUE})", "lineitem"),
+    _top_sql("supplier with the most revenue", "l_suppkey", f"sum({REVENUE})", "lineitem"), _top_sql("part sold most", "l_partkey", "sum(l_quantity)", "lineitem"),
+    _total_sql("events", "count(*)", "events"), _top_sql("busiest day", "strftime(CAST(ts AS DATE), '%Y-%m-%d')", "count(*)", "events"),
+    _total_sql("thousand letters of text", "round(sum(length(text)) / 1000.0, 0)", "documents"),
+    _top_sql("language with the most text", "lang", "sum(length(text))", "documents"), _top_sql("source with the most documents", "source", "count(*)", "documents"),
+]) + ")")
+def stats_long(spark, d):
+    """18 metrics of five tables, each table read once."""
+    t = Tables(spark, d)
+    n, revenue = F.count(F.lit(1)), F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    letters = F.sum(F.length("text"))
     parts = [
-        total(t.orders, "orders", F.count(F.lit(1))),
-        total(t.customer, "customers", F.count(F.lit(1))),
-        total(t.lineitem, "lineitems", F.count(F.lit(1))),
-        total(t.lineitem, "revenue", F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)),
-        _top1(spend, "top customer by spend", "item", "v"),
-        _top1(orders, "largest order", "item", "v", tiebreak="k"),
-        _top1(days, "busiest day", "item", "v"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _top1(df, metric, item, value, tiebreak=None):
-    """TOP 1 by value desc, ties to the smallest tie-break (default: the item) — one aggregate, no sort."""
-    tb = tiebreak or item
-    ranked = df.select(F.col(item).alias("i"), F.col(value).alias("v"), F.col(tb).alias("t"))
-    best = ranked.groupBy().agg(F.min_by(F.struct("i", "v"), F.struct((-F.col("v")).alias("nv"), F.col("t"))).alias("b"))
-    return best.select(F.lit(metric).alias("metric"), F.col("b.i").cast("string").alias("item"),
-                       F.col("b.v").cast("double").alias("value"))
+        A.stats_of(t.customer, {"customers": n, "customers in debt": F.count(F.when(F.col("c_acctbal") < 0, 1))},
+                   {"nation with the most customers": (F.col("c_nationkey"), n), "segment with the highest balance": (F.col("c_mktsegment"), F.sum("c_acctbal"))}),
+        A.stats_of(t.orders, {"orders": n, "orders over 400000": F.count(F.when(F.col("o_totalprice") > 400000, 1))},
+                   {"largest order": (F.col("o_orderkey"), F.sum("o_totalprice")), "customer with the most orders": (F.col("o_custkey"), n),
+                    "customer with the most spent": (F.col("o_custkey"), F.sum("o_totalprice"))}),
+        A.stats_of(t.lineitem, {"order lines": n, "revenue": F.sum(revenue)},
+                   {"supplier with the most revenue": (F.col("l_suppkey"), F.sum(revenue)), "part sold most": (F.col("l_partkey"), F.sum("l_quantity"))}),
+        A.stats_of(t.events, {"events": n}, {"busiest day": (F.date_format(F.to_date("ts"), "yyyy-MM-dd"), n)}),
+        A.stats_of(t.documents, {"thousand letters of text": F.round(letters / 1000.0, 0)},
+                   {"language with the most text": (F.col("lang"), letters), "source with the most documents": (F.col("source"), n)})]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("metric", "item", F.round("value", 2).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import dates as D
 from tablewright.functions import tsql as Q
 from tablewright.operators.aggregates import ordered_list
+from tablewright.operators.numbering import number_rows
 from tablewright.plans import search as SR
 from tablewright.plans import xmlops as X
 from tablewright.registry import query
@@ -79,6 +80,53 @@ def find_occurrences_substring(spark, d):
     return SR.find_occurrences(c, ["conv_turn"], "text", "tion", whole_word=False)
 
 
+#: Sources of the search over several tables: SQL of the id, and the text column.
+SOURCES = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id || '/' || turn", "text")}
+
+
+def _source_tables(spark, d):
+    t = Tables(spark, d)
+    ids = {"documents": F.col("doc_id"), "pages": F.col("page_id"), "conversations": F.concat_ws("/", "conv_id", "turn")}
+    return {name: (t.read(name), ids[name], text) for name, (_, text) in SOURCES.items()}
+
+
+def _sources_sql(terms: list[str], names: list[str], whole_word: bool, before: int, after: int, xml: tuple[int, int] | None = None) -> str:
+    """Every text split at every term; a piece's end is where a hit begins."""
+    tables = " UNION ALL ".join(f"SELECT '{n}' AS source, CAST({SOURCES[n][0]} AS VARCHAR) AS id, {SOURCES[n][1]} AS text FROM {n}" for n in names)
+    word = """AND (pos = 1 OR NOT regexp_matches(lower(substring(t, pos - 1, 1)), '[_@#$a-z0-9]'))
+              AND (pos + length(term) > length(t) OR NOT regexp_matches(lower(substring(t, pos + length(term), 1)), '[_@#$a-z0-9]'))""" if whole_word else ""
+
+    def cut(b: int, a: int) -> str:
+        return f"substring(t, greatest(pos - {b}, 1), length(term) + {a} + least(pos - 1, {b}))"
+
+    wide = f""", '<x>' || replace(replace(replace(replace({cut(*xml)}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#x0D;') || '</x>' AS xml""" if xml else ""
+    return f"""
+WITH d AS (SELECT source, id, translate(replace(text, chr(13) || chr(10), '  '), chr(10) || chr(9), '  ') AS t FROM ({tables})),
+s AS (SELECT *, regexp_split_to_array(t, '(?i)' || term) AS parts FROM d, (SELECT unnest({terms}) AS term)),
+p AS (SELECT source, id, term, t, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM s WHERE len(parts) > 1),
+h AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY source, id, term ORDER BY i) + (i - 1) * length(term) + 1 AS BIGINT) AS pos FROM p)
+SELECT source, id, term, {cut(before, after)} AS Snip, CAST(pos AS INTEGER) AS Pos, CAST(length(rtrim(t)) AS INTEGER) AS Total,
+       CAST(round(pos * 100.0 / length(rtrim(t)), 0) AS INTEGER) AS PCT{wide}
+FROM h WHERE i < n {word}
+"""
+
+
+TERMS = ["the", "en la", "tion", "href"]
+
+
+@query("find_in_sources", sql=_sources_sql(TERMS, list(SOURCES), True, 100, 100))
+def find_in_sources(spark, d):
+    """Four terms in three tables, each text read once."""
+    return SR.search_sources(_source_tables(spark, d), TERMS, whole_word=True)
+
+
+@query("find_in_sources_xml", sql=_sources_sql(["span", "title"], ["pages", "conversations"], False, 30, 30, (300, 700)))
+def find_in_sources_xml(spark, d):
+    """Hits with a short snippet and a wide context as XML."""
+    t = _source_tables(spark, d)
+    return SR.search_sources({n: t[n] for n in ("pages", "conversations")}, ["span", "title"], False, 30, 30, xml=(300, 700))
+
+
 # ---------------------------------------------------------------- XML events derived from the error events
 
 
@@ -369,15 +417,15 @@ def digit_reversal(spark, d):
 
 @query("hash_functions", sql="""
 SELECT s_suppkey, md5(concat_ws('|', CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR))) AS row_md5,
-       upper(hex(s_name)) AS name_hex
+       upper(hex(s_name)) AS name_hex, row_number() OVER (ORDER BY md5('7:' || s_suppkey), s_suppkey) AS shuffled_place
 FROM supplier
 """)
 def hash_functions(spark, d):
+    """Hashes of rows, and a random order that a seed repeats."""
     s = Tables(spark, d).supplier
-    return s.select("s_suppkey",
-                    F.md5(F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string")))
-                    .alias("row_md5"),
+    rows = s.select("s_suppkey", F.md5(F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string"))).alias("row_md5"),
                     F.hex("s_name").alias("name_hex"))
+    return number_rows(rows, Q.seeded_order(7, "s_suppkey"), "shuffled_place")
 
 
 @query("json_props", sql="""
@@ -388,3 +436,29 @@ FROM events GROUP BY event_type
 def json_props(spark, d):
     e = Tables(spark, d).events.select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     return e.groupBy("event_type").agg(F.sum("k").cast("bigint").alias("sum_k"), F.max("k").alias("max_k"))
+
+
+@query("json_schema_round_trip", sql="""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate,
+       '$.o_orderkey bigint, $.o_custkey bigint, $.o_orderstatus string, $.o_totalprice double, $.o_orderdate timestamp_ntz, $.o_orderpriority string' AS paths
+FROM orders
+""")
+def json_schema_round_trip(spark, d):
+    """Rows as JSON text, read back by the schema that their table's columns give; the paths of that schema as text."""
+    o = Tables(spark, d).orders
+    text = o.select(F.to_json(F.struct("*")).alias("j"))
+    back = text.select(F.from_json("j", o.schema).alias("r")).select("r.*")
+    paths = ", ".join(f"$.{f.name} {f.dataType.simpleString()}" for f in o.schema.fields)
+    return Q.temporal_as_text(back.drop("o_orderpriority").withColumn("paths", F.lit(paths)))
+
+
+@query("text_position_functions", sql="""
+SELECT p_partkey, CASE WHEN instr(substring(p_name, 4), 'e') = 0 THEN 0 ELSE instr(substring(p_name, 4), 'e') + 3 END AS e_from_4,
+       substring(p_name, 1, 2) AS from_minus_1_for_4, substring(p_name, 1, 2) AS from_0_for_3
+FROM part
+""")
+def text_position_functions(spark, d):
+    """CHARINDEX with a start, and SUBSTRING from before the text, which comes out shorter."""
+    p = Tables(spark, d).part
+    return p.select("p_partkey", Q.charindex("e", "p_name", 4).cast("bigint").alias("e_from_4"),
+                    Q.tsql_substring("p_name", -1, 4).alias("from_minus_1_for_4"), Q.tsql_substring("p_name", 0, 3).alias("from_0_for_3"))

@@ -17,7 +17,7 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _as_text(f: T.StructField) -> Column:
+def as_text(f: T.StructField) -> Column:
     """The value as text, equal for equal values only (both zeros are one value)."""
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
@@ -51,7 +51,7 @@ def column_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             shown = F.date_format(c, "yyyy-MM-dd" if isinstance(f.dataType, T.DateType) else _MICROS)
         elif isinstance(f.dataType, T.StringType):
             shown = c
-        pairs.append(F.struct(F.lit(i).alias("i"), _as_text(f).alias("v"), number.alias("num"), shown.alias("shown")))
+        pairs.append(F.struct(F.lit(i).alias("i"), as_text(f).alias("v"), number.alias("num"), shown.alias("shown")))
     values = (df.select(F.inline(F.array(*pairs))).groupBy("i", "v")
               .agg(F.count(F.lit(1)).alias("n"), F.max("num").alias("num"), F.max("shown").alias("shown")))
     return values.groupBy("i").agg(

@@ -764,3 +764,78 @@ def test_former_caps(spark):
     assert codes.distinct().count() == 676 and codes.where("c between 'AA' and 'ZZ'").count() == 676
     with pytest.raises(Exception, match="no two-letter code for 676"):
         spark.range(677).select(letter_code("id")).collect()
+
+
+# ---------------------------------------------------------------- many terms in many sources
+
+def _plain_hits(text, term, whole):
+    import re
+    text, out = text.replace("\r\n", "  ").replace("\n", " ").replace("\t", " "), []
+    for m in re.finditer(re.escape(term.lower()), SR._folded(text)):
+        around = [text[m.start() - 1:m.start()], text[m.end():m.end() + 1]] if m.start() else ["", text[m.end():m.end() + 1]]
+        if not (whole and any(c and re.match("[_@#$a-z0-9]", c.lower()) for c in around)):
+            out.append((m.start() + 1, text[max(0, m.start() - 5):m.end() + 5]))
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_many_terms_in_many_sources(spark, whole):
+    import random
+    r = random.Random(3)
+    made = ["".join(r.choice(["ab", "a", "B", " ", "aba", "\n", "<&>", "é", "İ"]) for _ in range(40)) for _ in range(30)] + ["", None, "aaaa", "ABAB"]
+    terms = ["ab", "aba", "aa", "AB", "b a", "é", "<&"]
+    frames = {n: (spark.createDataFrame([(i, t) for i, t in enumerate(made[k::2])], f"key{k} int, body string"), F.col(f"key{k}"), "body") for k, n in enumerate("xy")}
+    got = sorted((r.source, r.id, r.term, r.Pos, r.Snip) for r in SR.search_sources(frames, terms, whole, 5, 5).collect())
+    assert got == sorted((n, str(i), term, pos, snip) for k, n in enumerate("xy") for i, t in enumerate(made[k::2]) if t is not None
+                         for term in terms for pos, snip in _plain_hits(t, term, whole))
+    import xml.etree.ElementTree as ET
+    wide = SR.search_sources(frames, ["<&"], False, 1, 1, xml=(9, 9)).collect()
+    assert wide and all("<&" in ET.fromstring(r.xml).text for r in wide)
+    plan = SR.search_sources(frames, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    with pytest.raises(ValueError):
+        SR.search_sources(frames, [])
+
+
+# ---------------------------------------------------------------- keys found in the data, one-pass statistics, ordered fingerprints
+
+def test_smallest_unique_column_sets(spark):
+    import random
+    from itertools import combinations
+    r = random.Random(5)
+    for case in range(6):
+        data = [(r.randrange(4), r.randrange(4), r.randrange(3), None if case == 1 and i == 3 else r.randrange(30), 1.0) for i in range(12)]
+        data = list(dict.fromkeys(data)) if case < 5 else data + data[:1]
+        df = spark.createDataFrame(data, "a int, b int, c int, d int, e double")
+        want = []
+        for k in range(1, 6):
+            sets = [s for s in combinations(range(5), k) if len({tuple(x[i] for i in s) for x in data}) == len(data) and all(x[i] is not None for x in data for i in s)]
+            if sets:
+                want = [tuple("abcde"[i] for i in s) for s in sets]
+                break
+        assert R.unique_column_sets(df) == want, case
+    assert R.unique_column_sets(spark.createDataFrame([], "a int")) == []
+    twice = spark.createDataFrame([("1", "23"), ("12", "3"), ("1", "3"), ("12", "23")], "a string, b string")       # equal when joined without lengths
+    assert R.unique_column_sets(twice) == [("a", "b")] and R.unique_column_sets(twice, max_columns=1) == []
+    sizes = {r.column_name: (r.chars, r.null_cells, r.in_key, r.key_columns) for r in R.table_sizes({"t": twice}).collect()}
+    assert sizes == {"a": (6, 0, True, "( 2 columns: a, b )"), "b": (6, 0, True, "( 2 columns: a, b )")}
+
+
+def test_stats_come_from_one_scan(spark, tmp_path):
+    from tablewright.operators import aggregates as A
+    spark.createDataFrame([("x", 1, 5.0), ("y", 2, 7.0), (None, 2, 1.0), ("y", 1, None)], "g string, k int, v double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = A.stats_of(df, {"rows": F.count(F.lit(1)), "sum": F.sum("v")}, {"most": (F.col("k"), F.count(F.lit(1))), "top": (F.col("g"), F.sum("v"))})
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert rows(got, "metric", "item", "value") == [("most", "1", 2.0), ("rows", "", 4.0), ("sum", "", 13.0), ("top", "y", 7.0)]
+
+
+def test_ordered_fingerprint_is_refused_for_large_tables(spark, monkeypatch):
+    df = spark.range(20).withColumn("v", F.lit("x"))
+    small = FP.fingerprint(df, "t", ordered=True).first()
+    assert small.ordered_md5 == FP.fingerprint(df.orderBy(F.desc("id")), "t", ordered=True).first().ordered_md5
+    assert FP.fingerprint(df.limit(0), "t", ordered=True).first().ordered_md5 == hashlib.md5(b"").hexdigest()
+    monkeypatch.setattr(FP, "ORDERED_ROWS", 19)
+    with pytest.raises(Exception, match="at most 19 rows"):
+        FP.fingerprint(df, "t", ordered=True).collect()
+    assert FP.expected_rows(spark.createDataFrame([("o'x", 3, "1:2")], "table_name string, row_count long, hash_sum string")).first().line == "('o''x', '1:2', 3),"
