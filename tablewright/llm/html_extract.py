@@ -7,10 +7,12 @@ lines; a surge point is the first line whose window reaches ``surge``, the
 dive point is where the window sum has fallen to nothing.  The text between a
 surge and its dive is kept.
 
-Lines inside boilerplate elements are left out: by element name, or by a
-whole role, class, id or aria-label token that names a region ('sidebar',
-'cookie-notice', 'main-nav'; not 'has-sidebar').  Names of headings and inline
-elements are not read.  A name on an ancestor, or a form around it, does not
+Lines inside boilerplate elements are left out: by element name, by the
+attribute or class hidden, or by a whole role, class, id or aria-label token
+that names a region ('sidebar', 'cookie-notice', 'main-nav'; not
+'has-sidebar').  The words for reader comments and adverts may have any others
+beside them ('reader-comments', 'advert-unit'), but for those of a state
+('comments-open').  Names of headings and inline elements are not read.  A name on an ancestor, or a form around it, does not
 take an article or main element away.
 
 There are four regions: article and main elements; containers named like
@@ -20,14 +22,16 @@ characters wins, those of articles counting four times and those of named
 containers twice.  So a teaser card does not win over the text of the page,
 nor a long footer over a short article.
 
-Weights: a line has its characters outside links.  In a marked region these
-are scaled by ``surge``, so that a short paragraph is a surge, and the window
-slides over the region's lines only: what makes a dive there is ``window`` or
-more lines in a row that are links for more than four fifths (link lists and
-menus).  In the rest a line counts what its other characters exceed its
-linked ones by.  All lines between a surge and its dive are kept, whatever
-their own weight.  Headings are text, linked or not.  If no region has a
-surge, the marked lines are taken with their links.
+Weights: in a marked region a line's characters are scaled by ``surge``, so
+that a short paragraph is a surge, and the window slides over the region's
+lines only: what makes a dive there is ``window`` or more lines in a row that
+read like a menu, links for more than four fifths and of at most ``LABEL``
+words each.  A list of sources has longer lines and stays.  In the rest a line
+counts what its other characters exceed its linked ones by.  All lines between
+a surge and its dive are kept, whatever their own weight.  Headings are text,
+linked or not.  If no region has a surge, the marked lines are taken with their
+links; on a page without marks the largest block sum is the surge, however
+small, so a page of one short paragraph has its text.
 
 Defined results: null or empty html, or a page without main text, gives the
 empty text with 0 characters.  Broken markup is tolerated: unclosed elements
@@ -48,7 +52,9 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?<![\w-])(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Most words of a line of links that reads like a menu.
+LABEL = 3
 
 # fixed values: element names of HTML and the usual names of page regions
 _RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
@@ -64,6 +70,9 @@ _BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense
                        "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
                        "pagination pager copyright complementary contentinfo search form toolbar skip".split())
 _HEAD_WORDS = frozenset("header head".split())
+#: Words that name reader comments and adverts beside any other, but for words of a state.
+_ALWAYS = frozenset("comment comments commentlist disqus discussion discussions advert adverts advertisement advertisements advertising".split())
+_STATES = frozenset("has no not with without is are show hide open closed on off enabled disabled allowed count free less".split())
 #: Words that a name of a region may have besides: 'site-footer', 'comment-list', 'ad-slot'.
 _BESIDE = frozenset("site page main global primary secondary left right top bottom upper lower inner outer sticky post entry article list box "
                     "block container wrapper wrap area bar section region zone slot links items buttons posts form".split())
@@ -84,13 +93,31 @@ def _names_region(token: list[str], words: frozenset[str]) -> bool:
     return any(w in words for w in token) and all(w in words or w in _BESIDE or w.isdigit() for w in token)
 
 
+def _hidden(attrs: str) -> bool:
+    """Hidden by an attribute of its own, by its style, or by a class of that name."""
+    low = attrs.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(low):
+        name, value = m[1], m[2] or m[3] or m[4] or ""
+        if (name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "class" and "hidden" in value.split()
+                or name == "style" and re.search(r"display\s*:\s*none", value)):
+            return True
+    return False
+
+
+def _names_strangers(token: list[str]) -> bool:
+    """Reader comments or adverts, whatever stands beside the word."""
+    return any(w in _ALWAYS for w in token) and not any(w in _STATES for w in token)
+
+
 # what an element opens, and the region that holds in it
 _HARD, _FORM, _SOFT, _REST, _ARTICLE, _CONTAINER, _IN_SOFT, _IN_CONTAINER = -3, -2, -1, 0, 1, 2, 3, 4
 
 
 def _kind(tag: str, attrs: str, in_main: bool) -> int:
     """Boilerplate by element (_HARD), form (_FORM) or name (_SOFT), _ARTICLE, _CONTAINER, or _REST for neither."""
-    if attrs and _HIDDEN.search(attrs):
+    if attrs and _hidden(attrs):
         return _HARD
     if tag in ("html", "body"):
         return _REST
@@ -99,7 +126,7 @@ def _kind(tag: str, attrs: str, in_main: bool) -> int:
     names = _names(attrs) if attrs and tag not in _INLINE and tag not in _HEADINGS else []
     if tag == "main":
         return _ARTICLE
-    if any(_names_region(t, _BAD_WORDS) for t in names):
+    if any(_names_region(t, _BAD_WORDS) or _names_strangers(t) for t in names):
         return _SOFT
     if not in_main and (tag == "header" or any(_names_region(t, _HEAD_WORDS) for t in names)):
         return _SOFT
@@ -125,6 +152,7 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
     buf: list[str] = []
     linked = 0
     stack: list[tuple[str, int]] = []      # open elements with the region that held before
+    places: dict[str, list[int]] = {}      # where the open elements of a name are in the stack
     region = 0
 
     def flush() -> None:
@@ -136,7 +164,8 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
     def close(k: int) -> None:
         nonlocal region
         while len(stack) > k:
-            region = stack.pop()[1]
+            name, region = stack.pop()
+            places[name].pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -159,15 +188,18 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
                 if tag == "br":
                     flush()
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if tag not in _INLINE:
                 flush()
-                if k >= 0:
+                if places.get(tag):
+                    close(places[tag][-1])
+            elif places.get(tag):                              # an inline element ends inside its block only
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] != tag and stack[k][0] in _INLINE:
+                    k -= 1
+                if k >= 0 and stack[k][0] == tag:
+                    if stack[k][1] != region:
+                        flush()
                     close(k)
-            elif k >= 0 and all(t in _INLINE for t, _ in stack[k:]):
-                if stack[k][1] != region:
-                    flush()
-                close(k)
             continue
         if tag in _RAW or tag == "head":
             if not m[4]:
@@ -195,6 +227,7 @@ def html_lines(page: str) -> list[tuple[str, int, int]]:
         new = _inside(region, _kind(tag, m[3], region > 0))
         if inline and new != region:
             flush()
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, region))
         region = new
     flush()
@@ -216,6 +249,11 @@ def _between(lines: list[tuple[str, int, int]], weight: list[int], window: int,
     return kept
 
 
+def _is_label(text: str, linked: int) -> bool:
+    """Reads like an entry of a menu."""
+    return 5 * linked > 4 * len(text) and len(text.split()) <= LABEL
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The lines between surge and dive points of the region with the largest block sums, joined by one space."""
     lines = [x for x in html_lines(page or "") if x[0] and x[1] >= 0]
@@ -223,11 +261,14 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     marked = [((_ARTICLE, _IN_CONTAINER), 4, ()), ((_CONTAINER,), 2, (_IN_CONTAINER,)), ((_IN_SOFT,), 1, ())]
     for regions, times, also in marked:
         mine = [x for x in lines if x[1] in regions or x[1] in also]
-        kept = _between(mine, [0 if 5 * n > 4 * len(t) else surge * (len(t) - n) for t, _, n in mine], window, surge, True)
+        kept = _between(mine, [0 if _is_label(t, n) else surge * len(t) for t, _, n in mine], window, surge, True)
         size = times * sum(max(0, len(t) - n) for t, r, n in kept if r in regions)
         if size > most:
             best, most = kept, size
-    kept = _between(lines, [max(0, len(t) - 2 * n) for t, _, n in lines], window, surge, False)
+    weight = [max(0, len(t) - 2 * n) for t, _, n in lines]
+    if not any(x[1] > 0 for x in lines):                       # nothing is marked: the largest block sum is a surge at any size
+        surge = min(surge, max([sum(weight[i:i + window]) for i in range(len(weight))], default=0) or surge)
+    kept = _between(lines, weight, window, surge, False)
     if sum(max(0, len(t) - n) for t, r, n in kept if r == _REST) > most:
         best = kept
     if not best:                                               # nothing but links: the marked lines with them

@@ -413,3 +413,94 @@ def test_stages_carry_clashing_columns_and_leave_no_tables(spark, tmp_path):
             made = list(session._scratches()[-1])
         root = os.path.join(session.checkpoint_dir(spark).replace("file:", ""), "tables")
         assert made and not {os.path.basename(p) for p in made} & set(os.listdir(root))
+
+
+# ---------------------------------------------------------------- 9, ordinary markup
+
+FIRST, SECOND = "The first paragraph of the article says something about the valley.", "The second one goes on, with a little more to say."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article title="The hidden valley"><p>{FIRST}</p></article>', FIRST),
+    (f"<article data-x='is hidden here'><p>{FIRST}</p><div hidden><p>not this</p></div><p class='hidden'>nor this</p><p style='display : none'>nor</p></article>", FIRST),
+    (f'<article><p aria-hidden="true">x y z</p><p>{FIRST}</p></article>', FIRST),
+    ("<html><body><p>Short page.</p></body></html>", "Short page."),
+    ("<body><p>One short.</p><p>Two short.</p></body>", "One short. Two short."),
+    ("<body><nav><a href=x>Home</a></nav></body>", ""),
+    *[(f'<article><p>{FIRST}</p><p>{SECOND}</p><{t} {a}><p>I like this article very much, thank you.</p></{t}></article>', f"{FIRST} {SECOND}")
+      for t, a in (("div", 'class="reader-comments"'), ("section", 'id="user-comments"'), ("div", 'class="discussion"'), ("div", 'class="advert-unit"'), ("aside", ""))],
+    (f'<article class="post comments-open"><p>{FIRST}</p></article>', FIRST),
+    (f'<div class="layout has-sidebar"><article class="ad-free"><p>{FIRST}</p></article></div>', FIRST),
+    (f"<article><p>{FIRST}</p><ul>" + "".join(f"<li><a href=x>A book about valleys, volume {i}</a></li>" for i in range(5)) + f"</ul><p>{SECOND}</p></article>",
+     " ".join([FIRST, *[f"A book about valleys, volume {i}" for i in range(5)], SECOND])),
+    (f"<article><p>{FIRST}</p>" + "".join(f"<p><a href=x>Menu {i}</a></p>" for i in range(6)) + "</article>", FIRST)])
+def test_ordinary_pages(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    began = time.process_time()
+    page = "<b>" + "<div>" * 40_000 + "</b>" * 4_000 + "</span>" * 4_000 + f"<p>{FIRST}</p>" + "</section>" * 4_000
+    assert html_extract.main_text(page) == FIRST and html_extract.main_text("<p>" + "<i>" * 20_000 + FIRST) == FIRST
+    assert time.process_time() - began < 5
+
+
+def test_generated_pages_equal_a_second_parser(spark):
+    """Pages made of known blocks, read by the standard library's parser: the text of the article's paragraphs, quotes and lists."""
+    from html.parser import HTMLParser
+
+    class Second(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.blocks, self.text = [], [], ""
+
+        def inside(self):
+            names = [t for t, _ in self.open]
+            bad = any(t in ("nav", "aside", "footer", "form", "script") or "comments" in c for t, c in self.open)
+            return "article" in names and not bad
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("class", "")))
+            self.text = self.text if tag in ("b", "a", "em") else ""
+
+        def handle_data(self, data):
+            if self.inside():
+                self.text += data
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "em"):
+                if self.text.strip() and self.inside():
+                    self.blocks.append(" ".join(self.text.split()))
+                self.text = ""
+            while self.open and self.open.pop()[0] != tag:
+                pass
+
+    r = random.Random(12)
+
+    def words(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+    def block():
+        kind = r.randrange(6)
+        text = f"{words(r.randint(1, 30))} <b>{words(2)}</b> &amp; <em>{words(1)}</em>  {words(5)}"
+        return [f"<p>{text}</p>", f"<blockquote><p>{text}</p></blockquote>", f"<ul><li>{text}</li><li>{words(8)}</li></ul>", f"<h2>{words(4)}</h2>",
+                f"<aside><p>{words(9)}</p></aside>", f'<div class="reader comments"><p>{words(12)}</p></div>'][kind]
+
+    pages, want = [], {}
+    for i in range(60):
+        body = "".join(block() for _ in range(r.randint(1, 8))) + f"<p>{words(12)}</p>"
+        page = (f"<html><head><title>{words(3)}</title></head><body><nav><ul><li><a href='/'>{words(1)}</a></li></ul></nav><div class='layout'><article>{body}"
+                f"<script>var x = '{words(3)}';</script><form><p>{words(4)}</p></form></article></div><footer><p>{words(6)}</p></footer></body></html>")
+        second = Second()
+        second.feed(page)
+        pages.append((i, f"u{i}", page))
+        want[i] = " ".join(second.blocks)
+    long_ = "<article>" + f"<p>{words(50)}</p>" * 5_000 + "</article>"
+    df = spark.createDataFrame([(*p, "t", 1) for p in [*pages, pages[0], (100, None, None), (101, "u", long_), (None, "u", "<p>text of a row without an id</p>")]],
+                               "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract_main_text(df).toPandas()
+    assert len(got) == 64 and (got["n_chars"] == got["text"].str.len()).all() and list(got.columns) == ["page_id", "url", "text", "n_chars"]
+    assert {x.page_id: x.text for x in got.itertuples() if x.page_id < 60} == want
+    assert got[got["page_id"] == 101]["n_chars"].iloc[0] > 1_000_000 and got[got["page_id"] == 100]["text"].iloc[0] == ""
+    assert html_extract.extract_main_text(df.limit(0)).count() == 0
