@@ -102,6 +102,6 @@ SQL: dict[str, str] = {
             from s join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by s.page_id)
         select s.page_id, s.host, s.path, f.b.rule as rule,
                coalesce(f.b.verdict, case when regexp_matches(s.host, '(^|[.\\-_])(ads|adult|bet|bets|casino|pills|porn|spam|xxx)($|[.\\-_])')
-                                               and starts_with(s.path, '/') then 'block' else 'allow' end) as verdict
+                                               then 'block' else 'allow' end) as verdict
         from s left join f using (page_id)""".replace("\\\\", "\\"),
 }

@@ -26,6 +26,7 @@ doc_ids are separate rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,10 +38,10 @@ from tablewright.session import cut_lineage
 def _running(rows: DataFrame, keys: list[str], order: list[str], value: str, buckets: int, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the earlier rows of the same keys.
 
-    The order is a hash of ``order[0]`` in ``buckets`` ranges, then ``order``;
-    only bucket totals (at most ``buckets`` per key) meet in one window.
+    The order is a hash of ``order`` in ``buckets`` ranges, then ``order``, which
+    names a row; only bucket totals (at most ``buckets`` per key) meet in one window.
     """
-    b = rows.withColumn("_b", F.pmod(F.xxhash64(order[0]), F.lit(buckets)))
+    b = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     inner = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = b.withColumn("_in", F.sum(value).over(inner) - F.col(value))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -69,24 +70,28 @@ def _fill(rows: DataFrame, loads: list[float], mean: float, buckets: int) -> Dat
     if not total:
         return rows
     quotas = [max(0.0, mean - x) for x in loads]
-    laid = _running(rows, [], ["doc_id", "crc"], "size", buckets, "_at")
+    laid = _running(rows, [], ["doc_id", "crc", "row"], "size", buckets, "_at")
     return laid.withColumn("shard", _at(quotas, total, F.col("_at") + F.col("size") / 2).cast("int")).drop("_at")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
+
+    Propagation goes on until nothing moves: a unit moves once, to the shard
+    that holds most of its group, so there is an end.  ``rounds`` ends it earlier.
+    """
     text = F.coalesce("text", F.lit(""))
     base = cut_lineage(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.sha2(text, 256)).alias("grp"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("init")))
+        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("init"), F.monotonically_increasing_id().alias("row")))
     rows, total = base.agg(F.count(F.lit(1)), F.sum("size")).first()
     mean, buckets = (total or 0) / shards, max(64, math.isqrt(rows))
 
     units = base.groupBy("grp", "init").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     linked = units.groupBy("grp").agg(F.sum("n").alias("rows")).where("rows > 1").select("grp")
     units = cut_lineage(units.join(linked, "grp").select("grp", "init", F.col("init").alias("shard"), "bytes"))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         quotas = F.array(*[F.lit(mean - x) for x in _loads(units, "bytes", shards)])
         held = units.groupBy("grp", "shard").agg(F.sum("bytes").alias("w"))
         best = held.groupBy("grp").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("b")).select("grp", (-F.col("b.s")).alias("want"))
@@ -102,7 +107,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6) -> DataF
     over = _running(units, ["shard"], ["grp", "init"], "bytes", buckets, "before")
     settled = over.where(F.col("before") + F.col("bytes") <= mean).select("grp", "init", "shard")
 
-    rows_ = cut_lineage(base.join(settled, ["grp", "init"], "left").select("doc_id", "size", "crc", "shard"))
+    rows_ = cut_lineage(base.join(settled, ["grp", "init"], "left").select("doc_id", "size", "crc", "row", "shard"))
     done, free = rows_.where("shard is not null"), rows_.where("shard is null")
     limit = total / rows if rows else 0
     loads = _loads(done, "size", shards)
@@ -110,6 +115,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6) -> DataF
     loads = [a + b for a, b in zip(loads, _loads(large, "size", shards), strict=True)]
     small = _fill(free.where(F.col("size") <= limit), loads, mean, buckets)
     placed = cut_lineage(done.unionByName(large).unionByName(small).withColumn("one", F.lit(1).cast("long")))
-    return (_running(placed, ["shard"], ["doc_id", "crc"], "one", buckets, "slot")
+    return (_running(placed, ["shard"], ["doc_id", "crc", "row"], "one", buckets, "slot")
             .select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
                     "slot", F.lit(None).cast("int").alias("grown_shard")))

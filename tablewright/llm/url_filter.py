@@ -51,10 +51,10 @@ def rule_rows(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFra
 
 
 def listed_hosts(pages: DataFrame, words: tuple[str, ...] = BLOCKED_WORDS) -> DataFrame:
-    """Block entries of tier 1 (host, path '/') for the hosts of ``pages`` with one of ``words`` in their labels."""
+    """Block entries of tier 1 (host, empty path, which fits every path) for the hosts of ``pages`` with one of ``words`` in their labels."""
     hosts = split_url(pages.select("url")).select("host").distinct()
     hit = F.arrays_overlap(F.split("host", r"[.\-_]"), F.array(*[F.lit(w) for w in words]))
-    return hosts.where(hit).select(F.lit(1).alias("tier"), F.lit("block").alias("verdict"), "host", F.lit("/").alias("path"))
+    return hosts.where(hit).select(F.lit(1).alias("tier"), F.lit("block").alias("verdict"), "host", F.lit("").alias("path"))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", max_lengths: int = 1024,

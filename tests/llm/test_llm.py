@@ -206,7 +206,7 @@ def test_urls(spark):
     got = {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(pages, listed).collect()}
     assert got == {1: ("www.example.com", "/en/x", "www.example.com/en/", "allow"), 2: ("a.b.example.com", "/en/", "example.com/en/", "block"),
                    3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("net", "/es/", "net/es/", "block"),
-                   7: ("internet", "/es/", None, "allow"), 8: ("ads.example.org", "", None, "allow"), 9: ("ads.example.org", "/p", None, "block"),
+                   7: ("internet", "/es/", None, "allow"), 8: ("ads.example.org", "", None, "block"), 9: ("ads.example.org", "/p", None, "block"),
                    10: ("example.com", "/EN/", "com/", "allow")}
     assert url_filter.filter_urls(pages, listed.limit(0)).where("verdict = 'allow'").count() == len(data)
 
@@ -504,3 +504,31 @@ def test_generated_pages_equal_a_second_parser(spark):
     assert {x.page_id: x.text for x in got.itertuples() if x.page_id < 60} == want
     assert got[got["page_id"] == 101]["n_chars"].iloc[0] > 1_000_000 and got[got["page_id"] == 100]["text"].iloc[0] == ""
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 5 and 7, odd tables
+
+def test_urls_of_listed_hosts_without_a_path_and_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "x://ads.example.org?q"), (2, "x://ads.example.org#f"), (3, "x://sub.ads.example.org"), (3, "x://sub.ads.example.org"),
+                                   (None, "x://ads.example.org/" + "p" * 200_000), (5, "x://example.org")], "page_id long, url string")
+    got = [(r.page_id, r.verdict) for r in url_filter.filter_urls(pages, url_filter.listed_hosts(pages)).collect()]
+    assert sorted(got, key=str) == [(1, "block"), (2, "block"), (3, "block"), (3, "block"), (5, "allow"), (None, "block")]
+    assert url_filter.filter_urls(pages.limit(0), url_filter.listed_hosts(pages)).count() == 0
+
+
+def test_shards_of_repeated_rows_and_null_ids(spark):
+    """One id, or none, holds a third of the rows: sizes stay near equal, slots gapless."""
+    data = [(None, f"text {i % 40}") for i in range(400)] + [(7, "same")] * 400 + [(100 + i, f"own {i}") for i in range(400)]
+    df = spark.createDataFrame([(*d, "x", 1) for d in data], "doc_id long, text string, shard string, row int").repartition(6)
+    got = sharding.shard_documents(df).toPandas()
+    assert len(got) == len(data) and list(got.columns) == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 16 and loads.max() - loads.min() <= 2 * got["size"].max()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_sharding_cuts_fewer_links_than_a_hash(spark):
+    data = [(i, f"group {i % 60}") for i in range(600)] + [(1000 + i, "alone " * (i % 7) + str(i)) for i in range(600)]
+    got = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string")).toPandas()
+    split = got[got["doc_id"] < 1000].groupby("text_crc32")["shard"].nunique()
+    assert (split == 1).mean() > 0.5                        # by a hash of ten ids each, nearly none would be whole
