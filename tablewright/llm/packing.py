@@ -11,13 +11,14 @@ holds texts or ids of others.
    f_a that rounds lengths above ``size - a`` up to ``size``, drops those
    below ``a`` and keeps the rest, over all ``a``; and the family u_k that
    rounds to multiples of 1/k).
-3. Partitions at their bound are certified.  Of the others, the documents of
-   bins that are not full are exchanged: mixed, dealt out over fewer partitions
-   and packed again.  A certified partition gives its one or more open bins, too,
-   since bounds of parts add up to more than the bound of the whole.  A
-   partition's new packing is taken only if it has fewer bins than its
-   documents came in.  Rounds end when the total reaches the bound of the
-   whole, or a round gains nothing, or after ``max_rounds``.
+3. A partition at its bound is certified: its sequences are final, but for the
+   emptiest one, since the bounds of parts may add up to one sequence a part
+   more than the bound of the whole.  Of a partition with a gap the full
+   sequences are final; the documents of the others are exchanged: mixed, dealt
+   out over fewer partitions together with those emptiest ones, and packed
+   again.  A partition's new packing is taken only if it has fewer bins than its
+   documents came in.  Rounds go on until nothing is open, the total reaches the
+   bound of the whole, or a round gains nothing.
 
 Tables of pieces are written to the shared folder between rounds.  Nothing is
 dropped: whatever the rounds do, every piece is in exactly one sequence.
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,41 +124,46 @@ def _pack_round(pool: DataFrame, parts: int, round_: int, size: int) -> DataFram
         x["bound"] = lower_bound(np.bincount(n, minlength=size + 1), size)
         return x[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "part", "bound"]]
 
-    # whole old bins stay together, and a first round deals single pieces
-    key = F.xxhash64("doc_id", "start", "ids_crc32") if round_ == 0 else F.xxhash64("sequence_id", F.lit(round_))
+    # whole old bins stay together, and a first round deals single pieces, by row: equal ones do not meet
+    key = F.xxhash64(F.monotonically_increasing_id()) if round_ == 0 else F.xxhash64("sequence_id", F.lit(round_))
     dealt = pool.withColumn("part", F.pmod(key, F.lit(parts)).cast("int"))
     return cut_lineage(dealt.groupBy("part").applyInPandas(pack, _PACKED + ", part int, bound long"))
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str = "byte_bpe_50k", per_part: int = 200_000,
-                   max_rounds: int = 8) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str = "byte_bpe_50k", per_part: int = 200_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of ``docs``."""
     cut = cut_lineage(pieces(docs, size, tokenizer))
     names = cut.columns
     full = cut.where(F.col("length") == size).select(
         *names, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pool = cut.where(F.col("length") < size)
-    columns = [*names, "sequence_id", "offset"]
-    open_ = pool.select(*names, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"),
-                        F.lit(None).cast("long").alias("fill"))
     hist = np.zeros(size + 1, np.int64)
     for r in pool.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():      # at most ``size`` rows
         hist[r["length"]] = r["n"]
-    goal, n = lower_bound(hist, size), int(hist.sum())
-    settled, before = full, None
-    parts = max(1, -(-n // per_part))
-    for k in range(max_rounds):
-        packed = _pack_round(open_, parts, k, size)
-        first = packed.groupBy("part", "sequence_id").agg(F.first("fill").alias("fill"), F.first("bound").alias("bound"), F.count(F.lit(1)).alias("n"))
-        state = first.groupBy("part").agg(F.count(F.lit(1)).alias("bins"), F.first("bound").alias("bound"))
-        bins, bound = state.agg(F.sum("bins"), F.sum("bound")).first()
-        full_bins = first.where(F.col("fill") == size).count()
-        done = packed.where(F.col("fill") == size)
-        settled = settled.unionByName(done.select(*columns))
-        open_ = packed.where(F.col("fill") < size).select(*columns, "fill")
-        bins, goal = (bins or 0) - full_bins, goal - full_bins
-        if bins <= goal or parts == 1 or (before is not None and bins >= before - full_bins):
-            break
-        before = bins
+    return full.unionByName(pack_pieces(pool, hist, size, per_part))
+
+
+def pack_pieces(pool: DataFrame, hist: np.ndarray, size: int, per_part: int) -> DataFrame:
+    """The pieces of ``pool``, all shorter than ``size`` (``hist`` has their lengths' counts), with sequence_id and offset."""
+    spark, names = pool.sparkSession, pool.columns
+    columns = [*names, "sequence_id", "offset"]
+    open_ = pool.select(*names, *[F.lit(None).cast("long").alias(c) for c in ("sequence_id", "offset", "fill")])
+    goal, came, settled = lower_bound(hist, size), None, []
+    parts, round_ = max(1, -(-int(hist.sum()) // per_part)), 0
+    while True:
+        packed = _pack_round(open_, parts, round_, size)
+        bins = packed.groupBy("part", "sequence_id").agg(F.first("fill").alias("fill"), F.first("bound").alias("bound"))
+        state = bins.groupBy("part").agg(F.count(F.lit(1)).alias("bins"), F.first("bound").alias("bound"), F.count(F.when(F.col("fill") == size, 1)).alias("full"),
+                                         F.min(F.struct("fill", "sequence_id")).alias("emptiest")).collect()      # a row a partition
+        total = sum(r["bins"] for r in state)
+        certified = {r["part"]: r["emptiest"] for r in state if r["bins"] == r["bound"]}
+        left = sum((certified[r["part"]]["fill"] < size) if r["part"] in certified else r["bins"] - r["full"] for r in state)
+        if total <= goal or left < 2 or (came is not None and total >= came):
+            return reduce(lambda a, b: a.unionByName(b), [*settled, packed.select(*columns)])
+        kept = spark.createDataFrame([(p, e["sequence_id"]) for p, e in certified.items()], "certified int, emptiest long")
+        seen = packed.join(F.broadcast(kept), F.col("part") == F.col("certified"), "left")
+        final = (F.col("fill") == size) | (F.col("certified").isNotNull() & (F.col("sequence_id") != F.col("emptiest")))
+        settled.append(seen.where(final).select(*columns))
+        open_ = seen.where(~final).select(*columns, "fill")
+        goal, came, round_ = goal - (total - left), left, round_ + 1
         parts = max(1, min(parts - 1, -(-open_.count() // per_part)))
-    return settled.unionByName(open_.select(*columns))

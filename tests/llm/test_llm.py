@@ -532,3 +532,68 @@ def test_sharding_cuts_fewer_links_than_a_hash(spark):
     got = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string")).toPandas()
     split = got[got["doc_id"] < 1000].groupby("text_crc32")["shard"].nunique()
     assert (split == 1).mean() > 0.5                        # by a hash of ten ids each, nearly none would be whole
+
+
+# ---------------------------------------------------------------- 3, certificates
+
+def _fewest(lengths, size):
+    """Fewest bins, by trying every place of every piece."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, rooms[:k] + [rooms[k] - lengths[i]] + rooms[k + 1:])
+        place(i + 1, [*rooms, size - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_certified_packings_are_optimal():
+    r, certified = random.Random(4), 0
+    for _ in range(300):
+        n = sorted((r.randint(1, 20) for _ in range(r.randint(1, 9))), reverse=True)
+        _, _, used = packing.best_fit_decreasing(np.array(n), 20)
+        bound, fewest = packing.lower_bound(np.bincount(n, minlength=21), 20), _fewest(n, 20)
+        assert bound <= fewest <= used <= fewest + 1
+        if bound == used:
+            certified += 1
+            assert used == fewest
+    assert certified > 200
+
+
+def _packed(spark, lengths, size, per_part, monkeypatch):
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    pool = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rounds, real = [], packing._pack_round
+    monkeypatch.setattr(packing, "_pack_round", lambda p, parts, k, s: (rounds.append((k, parts, p.count())), real(p, parts, k, s))[1])
+    got = packing.pack_pieces(pool, np.bincount(lengths, minlength=size + 1), size, per_part).toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(lengths)))
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["length"].sum() <= size and (g["offset"] == g["length"].cumsum() - g["length"]).all()
+    return got["sequence_id"].nunique(), rounds
+
+
+def test_only_open_partitions_exchange(spark, monkeypatch):
+    halves, rounds = _packed(spark, [50] * 400, 100, 50, monkeypatch)       # each partition is at its bound; odd ones leave a half each
+    assert halves == 200 and all(n <= 8 for _, _, n in rounds[1:])
+    mixed = [random.Random(i).randint(1, 60) for i in range(900)]
+    got, rounds = _packed(spark, mixed, 100, 100, monkeypatch)
+    bound = packing.lower_bound(np.bincount(mixed, minlength=101), 100)
+    alone = packing.best_fit_decreasing(np.array(mixed), 100)[2]
+    assert bound <= got <= alone + 1 and rounds[0][1] == 9 and all(b[2] < a[2] for a, b in zip(rounds, rounds[1:]))
+
+
+def test_one_partition_and_equal_rows(spark, monkeypatch):
+    got, rounds = _packed(spark, [60, 30, 30, 45] * 5, 100, 1000, monkeypatch)      # one partition: packed again once, then final
+    assert got == packing.best_fit_decreasing(np.array([60, 30, 30, 45] * 5), 100)[2] and len(rounds) <= 2
+    docs = spark.createDataFrame([(1, "the same text " * 20)] * 300 + [(None, None)] * 50, "doc_id long, text string").repartition(5)
+    got = packing.pack_documents(docs, size=128, per_part=40).toPandas()
+    assert (got["doc_id"].isna()).sum() == 50 and got.groupby("sequence_id")["length"].sum().max() <= 128
+    assert packing.pack_documents(docs.limit(0)).count() == 0
