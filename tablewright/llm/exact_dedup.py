@@ -161,34 +161,47 @@ def exact_dedup(docs: DataFrame, flush_at: int = 200_000, per_part: int = 200_00
 # ---------------------------------------------------------------- the index as a table
 
 def live_index(docs: DataFrame, shards: int = 64) -> DataFrame:
-    """Index table (shard, digest, keep_id) of the live texts, to be written and updated by later batches."""
-    return digest_groups(docs).select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "keep_id")
+    """Index table (shard, digest, keep_id, live) of the live texts, to be written and updated by later batches.
+
+    ``live`` is the number of rows that hold the text.
+    """
+    return digest_groups(docs).select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "keep_id", F.col("n").alias("live"))
 
 
 def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, shards: int = 64) -> DataFrame:
-    """Index table after deleting the texts of ``deletes`` and inserting those of ``inserts``.
+    """Index table after deleting the rows of ``deletes`` and inserting those of ``inserts``.
 
-    A text that is already live keeps its row.  ``shards`` must be the number
-    the index was made with and is chosen so that one shard fits a task.
+    A text leaves the index when its last row goes; deletions of texts that are
+    not there are ignored.  A text that is already live keeps its ``keep_id``,
+    which names the row that stayed first, also if that row is deleted while
+    others live.  ``shards`` must be the number the index was made with and is
+    chosen so that one shard fits a task.
     """
     def change(rows: DataFrame, op: int) -> DataFrame:
         one = texts(rows).select(F.unhex(F.sha2("text", 256)).alias("digest"), F.col("doc_id").alias("keep_id"))
-        return (one.groupBy("digest").agg(F.max("keep_id").alias("keep_id"))
-                .select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "keep_id", F.lit(op).alias("op")))
+        return (one.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("live"))
+                .select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "keep_id", "live", F.lit(op).alias("op")))
 
     def apply(key, live: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         held = CuckooIndex()
-        for k, doc in zip(live["digest"], live["keep_id"], strict=True):
-            held.insert(bytes(k), None if pd.isna(doc) else int(doc))
-        for k, doc, op in changes.sort_values("op")[["digest", "keep_id", "op"]].itertuples(index=False):
-            if not op:
-                held.delete(bytes(k))
-            elif held.find(bytes(k)) < 0:
-                held.insert(bytes(k), None if pd.isna(doc) else int(doc))
+        for k, doc, n in zip(live["digest"], live["keep_id"], live["live"], strict=True):
+            held.insert(bytes(k), (None if pd.isna(doc) else int(doc), int(n)))
+        for k, doc, n, op in changes.sort_values("op")[["digest", "keep_id", "live", "op"]].itertuples(index=False):
+            k = bytes(k)
+            slot = held.find(k)
+            if op and slot < 0:
+                held.insert(k, (None if pd.isna(doc) else int(doc), int(n)))
+            elif slot >= 0:
+                first, rows = held.values[slot]
+                left = rows + int(n) if op else rows - int(n)
+                if left > 0:
+                    held.values[slot] = (first, left)
+                else:
+                    held.delete(k)
         items = list(held.items())
         return pd.DataFrame({"shard": pd.array([key[0]] * len(items), "Int32"), "digest": [k for k, _ in items],
-                             "keep_id": pd.array([v for _, v in items], "Int64")})
+                             "keep_id": pd.array([v[0] for _, v in items], "Int64"), "live": pd.array([v[1] for _, v in items], "Int64")})
 
     changes = change(deletes, 0).unionByName(change(inserts, 1))
-    return (index.select("shard", "digest", "keep_id").groupBy("shard").cogroup(changes.groupBy("shard"))
-            .applyInPandas(apply, "shard int, digest binary, keep_id long"))
+    return (index.select("shard", "digest", "keep_id", "live").groupBy("shard").cogroup(changes.groupBy("shard"))
+            .applyInPandas(apply, "shard int, digest binary, keep_id long, live long"))

@@ -88,9 +88,11 @@ def test_dedup_odd_rows_and_flush(spark):
 
 def test_live_index_follows_batches(spark):
     index = exact_dedup.live_index(frame(spark), shards=3)
-    after = exact_dedup.update_index(index, frame(spark, [(20, "new"), (21, "one")]), frame(spark, [(0, "a b c d e f g")]), shards=3)
-    ids = [r.keep_id for r in after.collect()]
-    assert sorted(i for i in ids if i) == [3, 5, 6, 7, 9, 20]
+    after = exact_dedup.update_index(index, frame(spark, [(20, "new"), (21, "one")]), frame(spark, [(0, "a b c d e f g"), (8, "not there")]), shards=3)
+    live = {r.keep_id: r.live for r in after.collect() if r.keep_id}
+    assert live == {3: 2, 4: 1, 5: 1, 6: 2, 7: 2, 9: 1, 20: 1}        # one of two copies went, the text stays
+    gone = exact_dedup.update_index(after, frame(spark, []), frame(spark, [(1, "a b c d e f g"), (6, "one"), (21, "one")]), shards=3)
+    assert sorted(r.keep_id for r in gone.collect() if r.keep_id) == [3, 5, 7, 9, 20]
 
 
 # ---------------------------------------------------------------- 3 and 6
