@@ -95,8 +95,8 @@ def contains_join(texts: DataFrame, id_col: str, text_col: str, patterns: DataFr
     rarest = (sought.join(times, "_tw_g", "left").groupBy("_tw_p")
               .agg(F.min(F.struct(F.coalesce("_tw_n", F.lit(0)).alias("n"), "_tw_g")).alias("r"))
               .where("r.n > 0").select("_tw_p", F.col("r._tw_g").alias("_tw_g")))
-    candidates = lists.join(rarest, "_tw_g").select(id_col, "_tw_p")
-    parts.append(candidates.join(t, id_col).where(F.contains("_tw_t", "_tw_p")).select(id_col, "_tw_p"))
+    candidates = lists.join(rarest, "_tw_g").select(id_col, "_tw_p")                # whole texts are never a side to broadcast
+    parts.append(candidates.join(t.hint("merge"), id_col).where(F.contains("_tw_t", "_tw_p")).select(id_col, "_tw_p"))
     found = reduce(lambda a, b: a.unionByName(b), parts)
     return found.join(patterns.withColumn("_tw_p", F.lower(F.col(pattern_col))), "_tw_p").drop("_tw_p")
 
