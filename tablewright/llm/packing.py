@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import tokens
-from tablewright.llm.common import texts
+from tablewright.llm.common import in_slices, texts
 from tablewright.session import cut_lineage
 
 SIZE = 1024
@@ -105,7 +105,8 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str = "byte_bpe_50k") -
             p = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield p.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 
-    return texts(docs).mapInPandas(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return texts(docs).mapInArrow(in_slices(tokenize, schema=schema), schema)
 
 
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
