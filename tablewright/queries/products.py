@@ -17,7 +17,6 @@ from tablewright.plans import star as S
 from tablewright.plans.templates import template_merge
 from tablewright.registry import query
 from tablewright.sources import sinks as K
-from tablewright.session import cut_lineage
 from tablewright.sources.generators import date_spine as _date_spine
 from tablewright.sources.profile import column_profile
 from tablewright.sources.tables import Tables
@@ -87,18 +86,17 @@ ls AS (SELECT row_number() OVER (ORDER BY v) AS id, v FROM (SELECT DISTINCT coal
 
 @query("star_fact", sql=f"""
 WITH {DIMS_SQL}
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+SELECT row_number() OVER (ORDER BY {STAGING_ORDER}) AS L_Fact_ID,
+       l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
        rf.id AS L_l_returnflag_Dim_ID, ls.id AS L_l_linestatus_Dim_ID,
        strftime(coalesce(CAST(l_shipdate AS DATE), DATE '9999-12-31'), '%Y-%m-%d') AS L_l_shipdate,
-       strftime(l_shipdate, '{TS}') AS l_shipdate, true AS ids_are_1_to_n
+       strftime(l_shipdate, '{TS}') AS l_shipdate
 FROM lineitem l JOIN rf ON coalesce(l.l_returnflag, '') = rf.v JOIN ls ON coalesce(l.l_linestatus, '') = ls.v
 """)
 def star_fact(spark, d):
-    """The fact; its ids have no order, so what is shown of them is that they are 1..n, each once."""
-    fact = cut_lineage(lineitem_star(spark, d).fact)
-    ids = fact.agg(F.count("L_Fact_ID").alias("n"), F.min("L_Fact_ID").alias("lo"), F.max("L_Fact_ID").alias("hi"), F.count_distinct("L_Fact_ID").alias("d"))
-    whole = ids.select((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))).scalar()
-    return temporal_as_text(fact.drop("L_Fact_ID")).withColumn("ids_are_1_to_n", whole)
+    """The fact with its ids, 1..n in the order of the staging columns."""
+    star = S.build_star(Tables(spark, d).lineitem, PREFIX, fact_order=STAGING_ORDER.split(", "))
+    return temporal_as_text(star.fact)
 
 
 @query("star_fact_ordered", sql=f"""

@@ -833,6 +833,16 @@ def test_unique_column_sets_look_at_few_rows_first(spark, monkeypatch):
     assert R.unique_column_sets(df.unionByName(df.limit(1))) == []
 
 
+def test_star_fact_numbers_every_row(spark, tmp_path):
+    from datetime import datetime
+    from tablewright.queries.products import star_fact
+    data = [(k, 1, 2, n, 3.0, 4.0 + k, 0.1, 0.2, "R" if n % 2 else "A", "O", datetime(2020, 1, 1 + n)) for k in (5, 2, 9) for n in (3, 1, 2)] * 2
+    spark.createDataFrame(data, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                                "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = star_fact(spark, str(tmp_path)).collect()
+    assert sorted((r.L_Fact_ID, r.l_orderkey, r.l_linenumber) for r in got) == [(i + 1, x[0], x[3]) for i, x in enumerate(sorted(data))]
+
+
 def test_stats_come_from_one_scan(spark, tmp_path):
     from tablewright.operators import aggregates as A
     spark.createDataFrame([("x", 1, 5.0), ("y", 2, 7.0), (None, 2, 1.0), ("y", 1, None)], "g string, k int, v double").write.parquet(f"{tmp_path}/t")
