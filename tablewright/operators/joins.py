@@ -52,6 +52,26 @@ def or_join(left: DataFrame, right: DataFrame, branches: list[tuple[Column, Colu
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, pairs: int = 1 << 20) -> DataFrame:
+    """Inner equi join of keys that are frequent on both sides: every row of ``left`` with every row of ``right`` of its key.
+
+    A key with more than ``pairs`` pairs is dealt into parts: a row of ``right``
+    is in one of them, a row of ``left`` in all.  (key, part) is shuffled, so
+    neither a task nor what a row of ``left`` meets there grows with the pairs
+    of a key.  Column names must differ.
+    """
+    of_left = left.groupBy(F.col(left_key).alias("_tw_k")).agg(F.count(F.lit(1)).alias("_tw_l"))
+    of_right = right.groupBy(F.col(right_key).alias("_tw_k")).agg(F.count(F.lit(1)).alias("_tw_r"))
+    parts = F.least(F.col("_tw_r"), F.ceil(F.col("_tw_l").cast("double") * F.col("_tw_r") / pairs)).cast("int")
+    keys = cut_lineage(of_left.join(of_right, "_tw_k").select("_tw_k", parts.alias("_tw_parts")))
+    copies = left.join(keys, F.col(left_key) == F.col("_tw_k")).select(*left.columns, F.explode(F.sequence(F.lit(0), F.col("_tw_parts") - 1)).alias("_tw_part"))
+    dealt = (right.withColumn("_tw_row", F.monotonically_increasing_id()).join(keys, F.col(right_key) == F.col("_tw_k"))
+             .select(*right.columns, F.pmod(F.xxhash64("_tw_row"), F.col("_tw_parts")).cast("int").alias("_tw_to")))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))        # a given number: tasks are not merged by the size of what they read
+    a, b = copies.repartition(n, left_key, "_tw_part"), dealt.repartition(n, right_key, "_tw_to")
+    return a.join(b.hint("merge"), (F.col(left_key) == F.col(right_key)) & (F.col("_tw_part") == F.col("_tw_to"))).select(*left.columns, *right.columns)
+
+
 def token_join(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, word_col: str,
                token_pattern: str = r"[^0-9A-Za-z_\p{L}]+") -> DataFrame:
     """Which words occur as whole tokens in each text.

@@ -362,8 +362,8 @@ def left_join_semantics_2(spark, d):
 LEFT JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON n_nationkey = c_nationkey * 4""")
 def left_join_semantics_3(spark, d):
     a, b, c = _left_join_tables(Tables(spark, d))
-    return _ids_as_text(a.join(b, "n_nationkey", "left").join(c, a["n_nationkey"] == c["s_suppkey"], "inner")
-                        .select(a["n_nationkey"], b["s_suppkey"], c["c_custkey"]))
+    # a nation has many suppliers and many customers: all pairs of them
+    return _ids_as_text(J.spread_join(a.join(b, "n_nationkey", "left"), c.withColumnRenamed("s_suppkey", "c_number"), "n_nationkey", "c_number"))
 
 
 @query("left_join_semantics_4", sql=LJ_SQL + """

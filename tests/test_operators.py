@@ -843,6 +843,32 @@ def test_star_fact_numbers_every_row(spark, tmp_path):
     assert sorted((r.L_Fact_ID, r.l_orderkey, r.l_linenumber) for r in got) == [(i + 1, x[0], x[3]) for i, x in enumerate(sorted(data))]
 
 
+def test_spread_join_deals_a_hot_key_into_parts(spark):
+    left = spark.range(300).select((F.col("id") % 3).alias("k"), F.when(F.col("id") > 5, F.col("id")).alias("a"))
+    right = spark.range(400).select(F.when(F.col("id") % 4 < 3, F.lit(1)).otherwise(F.when(F.col("id") % 8 == 3, F.lit(2))).cast("long").alias("j"), F.lit("same").alias("b"))
+    want = left.join(right, F.col("k") == F.col("j"))
+    got = J.spread_join(left, right, "k", "j", pairs=1000)
+    assert got.columns == ["k", "a", "j", "b"] and rows(got, *got.columns) == rows(want, *got.columns)
+    assert "Broadcast" not in J.spread_join(left, right, "k", "j")._jdf.queryExecution().optimizedPlan().toString()
+    largest = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert largest < 0.6 * 100 * 300                       # key 1 alone has 100 * 300 pairs
+    assert J.spread_join(left, right.limit(0), "k", "j").count() == 0
+
+
+def test_xml_documents_are_parsed_some_at_a_time(spark, monkeypatch):
+    from tablewright.plans import xmlops as X
+    import pyarrow as pa
+    seen, parsed = [], X._parsed
+    monkeypatch.setattr(X, "_parsed", lambda b, *args: seen.append(b.num_rows) or parsed(b, *args))
+    df = spark.createDataFrame([(1, "<a/>")], "id int, x string")
+    found = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: found.update(run=run))
+    X.with_nodes(df, "x")
+    out = list(found["run"]([pa.RecordBatch.from_pydict({"id": pa.array(range(1000), pa.int32()), "x": ["<a><b/></a>"] * 1000})]))
+    assert sum(b.num_rows for b in out) == 1000 and all(len(n) == 2 for b in out for n in b.column("nodes").to_pylist())
+    assert max(seen) <= X._DOCUMENTS < 1000
+
+
 def test_stats_come_from_one_scan(spark, tmp_path):
     from tablewright.operators import aggregates as A
     spark.createDataFrame([("x", 1, 5.0), ("y", 2, 7.0), (None, 2, 1.0), ("y", 1, None)], "g string, k int, v double").write.parquet(f"{tmp_path}/t")
