@@ -54,14 +54,24 @@ def with_nodes(df: DataFrame, xml_col: str, name: str = "nodes", fragments_below
     typed = to_arrow_schema(schema)
 
     def run(batches):
-        import pyarrow as pa
         for b in batches:
-            nodes = pa.array([_walk(x, fragments_below) for x in b.column(xml_col).to_pylist()], typed.field(len(typed) - 1).type)
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, typed)), nodes], schema=typed)
+            for at in range(0, b.num_rows, _DOCUMENTS):
+                yield _parsed(b.slice(at, _DOCUMENTS), xml_col, fragments_below, typed)
 
     return df.mapInArrow(run, schema)
 
 
+#: Documents whose elements are Python objects at a time.
+_DOCUMENTS = 128
+
+
+def _parsed(batch, xml_col: str, fragments_below: str | None, typed):
+    """The batch with the elements of its documents as last column."""
+    import pyarrow as pa
+    nodes = pa.array([_walk(x, fragments_below) for x in batch.column(xml_col).to_pylist()], typed.field(len(typed) - 1).type)
+    return pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, typed)), nodes], schema=typed)
+
+
 def at_path(nodes: Column, path: str) -> Column:
     """Elements of a path, in document order; a last step ``*`` takes every name."""
     if path.endswith("/*"):
