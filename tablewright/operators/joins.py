@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tablewright.session import cut_lineage
 
@@ -85,9 +88,59 @@ def token_join(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, w
     return toks.join(w, "_tw_tok").drop("_tw_tok")
 
 
-def _grams(c: Column, n: int) -> Column:
-    """The distinct substrings of length n, found in one pass (each look-ahead gives one); of length 0 the empty text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) if n else F.array(F.lit(""))
+#: Letters of texts whose grams are found together, and bits of the filter of the grams that patterns have.
+_LETTERS, _FILTER = 1 << 20, 1 << 20
+#: Up to so many letters a gram's key is the gram itself; longer ones are hashed.
+_EXACT = 3
+
+
+def _keys(points: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of each ``n`` code points in a row."""
+    count = max(0, len(points) - n + 1)
+    keys = np.zeros(count, np.uint64)
+    for j in range(n):
+        step = points[j:j + count].astype(np.uint64) + np.uint64(1)
+        keys = (keys << np.uint64(21)) | step if n <= _EXACT else keys * np.uint64(0x9E3779B97F4A7C15) + step
+    return keys if n <= _EXACT else (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return ((keys ^ (keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)) % np.uint64(_FILTER)
+
+
+def _grams(df: DataFrame, id_col: str, text_col: str, lengths: list[int], wanted: bytes | None = None) -> DataFrame:
+    """(``id_col``, _tw_n, _tw_g): the keys of the different grams of each text, without a shuffle; with ``wanted``, a bitmap of places, only those in it."""
+    schema = StructType([StructField(id_col, df.schema[id_col].dataType), StructField("_tw_n", IntegerType()), StructField("_tw_g", LongType())])
+    typed = to_arrow_schema(schema)
+
+    def found(ids, given: list[str]):
+        import pyarrow as pa
+        points = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = np.repeat(np.arange(len(given)), [len(x) for x in given])
+        for n in lengths:
+            keys = _keys(points, n)
+            whole = text[:len(keys)] == text[n - 1:]
+            if wanted is not None:
+                bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
+                whole &= bits[_places(keys).astype(np.int64)] == 1
+            at = np.flatnonzero(whole)
+            at = at[np.lexsort((keys[at], text[at]))]
+            k, t = keys[at], text[at]
+            first = np.ones(len(at), bool)
+            first[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+            columns = [ids.take(pa.array(t[first])), pa.array(np.full(int(first.sum()), n, np.int32)), pa.array(k[first].view(np.int64))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, typed)], schema=typed)
+
+    def run(batches):
+        import pyarrow.compute as pc
+        for b in batches:
+            ends, at = np.cumsum(pc.utf8_length(b.column(text_col)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while at < b.num_rows:                         # some texts at a time, at least one
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _LETTERS, "right")))
+                yield from found(b.column(id_col).slice(at, to - at), b.column(text_col).slice(at, to - at).to_pylist())
+                at = to
+
+    return df.select(*dict.fromkeys([id_col, text_col])).mapInArrow(run, schema)
 
 
 def contains_join(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame, pattern_col: str, q: int = 4) -> DataFrame:
@@ -98,25 +151,39 @@ def contains_join(texts: DataFrame, id_col: str, text_col: str, patterns: DataFr
     patterns that occur in texts are counted, each pattern waits in the
     inverted list of its rarest one, and ``contains`` decides on the candidates.
     A pattern with a gram that no text has is out at once.  A shorter pattern
-    is itself a gram of its length, so an equi join is exact; the empty one is
-    in every text.  NULL contains nothing and is in nothing.  ``id_col`` names a text.
+    is itself a gram of its length; the empty one is in every text.  Grams are
+    found in one pass over the texts; a bitmap of fixed size keeps those that
+    no pattern has from leaving it.  NULL contains nothing and is in nothing.
+    ``id_col`` names a text.
     """
     t = texts.select(id_col, F.lower(F.col(text_col)).alias("_tw_t")).where(F.col("_tw_t").isNotNull())
     p = patterns.select(F.lower(F.col(pattern_col)).alias("_tw_p")).where(F.col("_tw_p").isNotNull()).distinct()
-    parts = []
-    lengths = [r[0] for r in p.select(F.length("_tw_p").alias("n")).where(F.col("n") < q).distinct().collect()]      # at most q rows
-    for n in sorted(lengths):
-        own = t.select(id_col, F.explode(_grams(F.col("_tw_t"), n)).alias("_tw_p"))
-        parts.append(own.join(p.where(F.length("_tw_p") == n), "_tw_p").select(id_col, "_tw_p"))
-    sought = p.where(F.length("_tw_p") >= q).select("_tw_p", F.explode(_grams(F.col("_tw_p"), q)).alias("_tw_g"))
-    lists = cut_lineage(t.select(id_col, F.explode(_grams(F.col("_tw_t"), q)).alias("_tw_g"))
-                        .join(sought.select("_tw_g").distinct(), "_tw_g", "left_semi"))
-    times = lists.groupBy("_tw_g").agg(F.count(F.lit(1)).alias("_tw_n"))
-    rarest = (sought.join(times, "_tw_g", "left").groupBy("_tw_p")
-              .agg(F.min(F.struct(F.coalesce("_tw_n", F.lit(0)).alias("n"), "_tw_g")).alias("r"))
-              .where("r.n > 0").select("_tw_p", F.col("r._tw_g").alias("_tw_g")))
-    candidates = lists.join(rarest, "_tw_g").select(id_col, "_tw_p")                # whole texts are never a side to broadcast
-    parts.append(candidates.join(t.hint("merge"), id_col).where(F.contains("_tw_t", "_tw_p")).select(id_col, "_tw_p"))
+    length = F.least(F.length("_tw_p"), F.lit(q))
+    lengths = sorted(r[0] for r in p.select(length.alias("n")).distinct().collect())                                 # at most q + 1 rows
+    sizes = [n for n in lengths if n] or [q]
+    sought = cut_lineage(_grams(p, "_tw_p", "_tw_p", sizes).where(F.col("_tw_n") == length))
+    wanted = np.zeros(_FILTER, np.uint8)
+
+    def places(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(b.column(0).to_numpy().view(np.uint64)).astype(np.int64)))], ["at"])
+
+    for r in sought.select("_tw_g").mapInArrow(places, "at long").distinct().toLocalIterator():                      # at most _FILTER numbers
+        wanted[r["at"]] = 1
+    lists = cut_lineage(_grams(t, id_col, "_tw_t", sizes, np.packbits(wanted).tobytes()).join(sought.select("_tw_n", "_tw_g").distinct(), ["_tw_n", "_tw_g"], "left_semi"))
+    times = lists.groupBy("_tw_n", "_tw_g").agg(F.count(F.lit(1)).alias("_tw_c"))
+    rarest = (sought.join(times, ["_tw_n", "_tw_g"]).groupBy("_tw_p", "_tw_n")
+              .agg(F.min(F.struct("_tw_c", "_tw_g")).alias("r"), F.count(F.lit(1)).alias("_tw_there")))
+    whole = sought.groupBy("_tw_p").agg(F.count(F.lit(1)).alias("_tw_all"))
+    rarest = rarest.join(whole, "_tw_p").where("_tw_there = _tw_all").select("_tw_p", "_tw_n", F.col("r._tw_g").alias("_tw_g"))
+    candidates = lists.join(rarest, ["_tw_n", "_tw_g"]).select(id_col, "_tw_p", "_tw_n")                             # whole texts are never a side to broadcast
+    sure = (F.col("_tw_n") < q) & (F.col("_tw_n") <= _EXACT)
+    parts = [candidates.where(sure).select(id_col, "_tw_p")]
+    if any(n >= q or n > _EXACT for n in lengths):
+        parts.append(candidates.where(~sure).join(t.hint("merge"), id_col).where(F.contains("_tw_t", "_tw_p")).select(id_col, "_tw_p"))
+    if 0 in lengths:
+        parts.append(t.select(id_col, F.lit("").alias("_tw_p")))
     found = reduce(lambda a, b: a.unionByName(b), parts)
     return found.join(patterns.withColumn("_tw_p", F.lower(F.col(pattern_col))), "_tw_p").drop("_tw_p")
 

@@ -684,6 +684,19 @@ def test_contains_join_equals_brute_force(spark, q):
     assert J.contains_join(t, "id", "text", w.limit(0), "word", q=q).count() == 0 and J.contains_join(t.limit(0), "id", "text", w, "word", q=q).count() == 0
 
 
+def test_only_grams_of_patterns_leave_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "_LETTERS", 100)                # several pieces a batch
+    texts = [(i, f"{i:05d} lorem ipsum dolor sit amet " * 3) for i in range(200)] + [(200, ""), (200, "needle")]
+    t = spark.createDataFrame(texts, "id int, text string")
+    w = spark.createDataFrame([(1, "needle"), (2, "00042 L"), (3, "mm"), (4, "é")], "wid int, word string")
+    made, cut = [], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda df: made.append(cut(df)) or made[-1])
+    grams, seen = J._grams, []
+    monkeypatch.setattr(J, "_grams", lambda *args: seen.append(grams(*args)) or seen[-1])
+    assert rows(J.contains_join(t, "id", "text", w, "word"), "id", "wid") == [(42, 2), (200, 1)]
+    assert seen[1].count() < 0.1 * sum(len(x) for _, x in texts)
+
+
 def test_contains_and_wildcard_joins_have_no_nested_loop(spark):
     def plan(df):
         return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
