@@ -169,7 +169,7 @@ def contains_join(texts: DataFrame, id_col: str, text_col: str, patterns: DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(b.column(0).to_numpy().view(np.uint64)).astype(np.int64)))], ["at"])
 
-    for r in sought.select("_tw_g").mapInArrow(places, "at long").distinct().toLocalIterator():                      # at most _FILTER numbers
+    for r in sought.select("_tw_g").mapInArrow(places, "at long").distinct().collect():                              # at most _FILTER numbers
         wanted[r["at"]] = 1
     lists = cut_lineage(_grams(t, id_col, "_tw_t", sizes, np.packbits(wanted).tobytes()).join(sought.select("_tw_n", "_tw_g").distinct(), ["_tw_n", "_tw_g"], "left_semi"))
     times = lists.groupBy("_tw_n", "_tw_g").agg(F.count(F.lit(1)).alias("_tw_c"))
