@@ -14,10 +14,16 @@ edit distance becomes Hamming distance of what the walks write.
   of what the walk wrote, with the symbol found there.  Two texts take the same
   position with probability shorter / longer, so the likeness, the share of
   equal bytes, estimates equal symbols per written length, whatever the lengths.
-- Near documents share one of the 8-byte bands of their fingerprints.  Each
+- Most near documents share one of the 8-byte bands of their fingerprints.  Each
   band's bucket is checked against its smallest class by the whole fingerprint;
   what fails goes on to buckets of a band twice as wide.  A bucket costs its
   size, never its pairs, and nothing is capped.
+- Then all other pairs are searched, exactly: fingerprints are packed into
+  blocks and every two blocks meet in a task.  Fingerprints that differ in at
+  most d places, cut into d // (e + 1) + 1 parts, differ in at most e places of
+  one part, so they agree on the part's other bytes; only pairs of different
+  groups that agree there are compared.  Memory is two blocks; the number of
+  meetings is quadratic in the blocks.
 
 Defined results: a null text counts as empty, an empty text's fingerprint is
 all zeros.  Equal texts have equal fingerprints.  "Next" is by doc_id (nulls
@@ -31,6 +37,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +52,8 @@ from tablewright.session import cut_lineage
 WALKS, SAMPLES, PERIOD, SEED = 2, 64, 256, 20
 BYTES = WALKS * SAMPLES
 BAND = 8
+#: Fingerprints of a block: at least, at most; pairs compared at once; places in which a part may differ.
+_LEAST_BLOCK, _MOST_BLOCK, _PAIRS, _SPARE = 1 << 12, 1 << 15, 1 << 16, 1
 #: UTF-8 bytes and rows of texts walked together, characters (even) between two marks of a walk, cells of a block.
 _BYTES, _ROWS, _MARK, _CELLS = 8 << 20, 4096, 32, 1 << 18
 #: Characters fall into 32 classes for their bits; class 32 fills up texts of odd length and takes no step.
@@ -311,11 +321,88 @@ def near_classes(prints: DataFrame, least: float = 0.6) -> DataFrame:
             break
         left = pairs.join(failed, ["node", "head"]).select("node", "band")
         keyed = left.join(named, "node").select("node", "band", _band_key(F.col("band"), width).alias("key"))
+    linked = connected_components(links.distinct()).withColumnRenamed("component", "root")
+    links = links.unionByName(other_links(named.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), least))
     groups = connected_components(links.distinct()).select("node", F.col("component").alias("near_id"))
     return (classes.join(groups, "node", "left")
             .select("fingerprint", F.col("node").alias("class_id"), F.coalesce("near_id", "node").alias("near_id")))
 
 
+def other_links(classes: DataFrame, least: float) -> DataFrame:
+    """(u, v): near pairs of (node, fingerprint, root) that link all groups of equal ``root`` with near members."""
+    n = classes.count()
+    blocks = max(1, -(-n // min(_MOST_BLOCK, max(_LEAST_BLOCK, n // 8))))
+
+    def pack(key: tuple, x):
+        import pandas as pd
+        return pd.DataFrame({"block": [key[0]], "nodes": [x["node"].to_numpy(np.int64).tobytes()], "roots": [x["root"].to_numpy(np.int64).tobytes()],
+                             "prints": [b"".join(x["fingerprint"])]})
+
+    def search(batches):
+        import pyarrow as pa
+        for b in batches:
+            for i in range(b.num_rows):
+                x = {n: b.column(n)[i].as_py() for n in b.schema.names}
+                same = x["block"] == x["their_block"]
+                nodes, roots, prints = (np.frombuffer(x[c] if same else x[c] + x["their_" + c], t)
+                                        for c, t in (("nodes", np.int64), ("roots", np.int64), ("prints", np.uint8)))
+                found = block_links(roots, prints.reshape(-1, BYTES), 0 if same else len(x["nodes"]) // 8, least)
+                u, v = (nodes[[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    packed = (classes.select("node", "root", "fingerprint", F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)).alias("block"))
+              .groupBy("block").applyInPandas(pack, "block long, nodes binary, roots binary, prints binary"))
+    one = cut_lineage(packed).repartition(blocks)          # about a block a partition: partitions meet in tasks, nothing is copied to disk
+    other = one.select(*[F.col(c).alias("their_" + c) for c in one.columns])
+    meets = one.join(other.hint("shuffle_replicate_nl"), F.col("block") <= F.col("their_block"))
+    return cut_lineage(meets.mapInArrow(search, "u long, v long"))
+
+
+def _agreements(differ: int, spare: int) -> list[tuple[int, ...]]:
+    """Sets of places: fingerprints that differ in at most ``differ`` places agree on all of one set."""
+    parts = np.array_split(np.arange(BYTES), differ // (spare + 1) + 1)
+    return [c for p in parts for c in combinations(p.tolist(), max(0, len(p) - spare))]
+
+
+def block_links(roots: np.ndarray, prints: np.ndarray, split: int, least: float) -> list[tuple[int, int]]:
+    """Spanning links of near rows with different roots: rows before ``split`` meet those behind it; with 0, all meet all."""
+    need, same = math.ceil(least * BYTES), not split
+    left, right = (np.arange(len(roots)),) * 2 if same else (np.arange(split), np.arange(split, len(roots)))
+    columns = np.ascontiguousarray(prints.T)
+    names, root = np.unique(roots, return_inverse=True)
+    low = U64((1 << len(names).bit_length()) - 1)
+    root, out = root.astype(U64), []
+    for places in _agreements(BYTES - need, _SPARE):
+        key = np.zeros(len(roots), U64)
+        for p in places:
+            key = key * U64(0x9E3779B97F4A7C15) + columns[p]
+        key = mix64(key) & ~low                            # the rows of a key are in the order of their roots
+        whole = key | root
+        order = np.argsort(whole[right])
+        rows = whole[right][order]
+        mine = np.argsort(whole[left])                     # sought in order, which is faster
+        first, end = np.searchsorted(rows, key[left][mine]), np.searchsorted(rows, key[left][mine] | low, "right")
+        own, own_end = (np.searchsorted(rows, whole[left][mine], side) for side in ("left", "right"))
+        n = end - first - (own_end - own)
+        some = np.flatnonzero(n)
+        until = np.cumsum(n[some])
+        for at in range(0, int(until[-1]) if len(some) else 0, _PAIRS):
+            k = np.arange(at, min(at + _PAIRS, int(until[-1])))
+            i = np.searchsorted(until, k, "right")
+            a = some[i]
+            j = first[a] + k - (until[i] - n[a])
+            j += np.where(j >= own[a], own_end[a] - own[a], 0)             # past the rows of the own root
+            u, v = left[mine[a]], right[order[j]]
+            ok = root[u] != root[v]
+            u, v = (u[ok & (u < v)], v[ok & (u < v)]) if same else (u[ok], v[ok])
+            near = np.count_nonzero(prints[u] == prints[v], axis=1) >= need
+            for x, y in zip(u[near].tolist(), v[near].tolist()):
+                if root[x] != root[y]:
+                    root[root == root[x]] = root[y]
+                    out.append((x, y))
+    return out
+
+
 def _band_key(band: Column, width: int) -> Column:
     """Hash of ``width`` bytes from the band's start, going round the fingerprint's end."""
     return F.xxhash64(band, F.substring(F.concat("fingerprint", "fingerprint"), band * BAND + 1, F.lit(width)))

@@ -120,3 +120,39 @@ def test_near_groups(spark):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     got = {x.doc_id: x.near_id for x in ef.fingerprint_report(df).collect()}
     assert all(got[i] == 0 for i in [*range(40), 200, None]) and all(got[100 + i] == 100 + i for i in range(40))
+
+
+def _near_ids(prints, least):
+    """Smallest id of the group of every id, by all pairs."""
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            if i < j and root[i] != root[j] and sum(x == y for x, y in zip(prints[i], prints[j])) >= least * ef.BYTES:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    return root
+
+
+def _changed(r, print_, places):
+    return bytes((b + r.randint(1, 255)) % 256 if i in places else b for i, b in enumerate(print_))
+
+
+@pytest.mark.parametrize("block, spare", [(1 << 15, 1), (50, 2)])
+def test_near_classes_equal_all_pairs(spark, monkeypatch, block, spare):
+    """Pairs just at the threshold that share no band, and chains whose ends are not near, are linked; those just below are not."""
+    monkeypatch.setattr(ef, "_MOST_BLOCK", block)
+    monkeypatch.setattr(ef, "_LEAST_BLOCK", 1)
+    monkeypatch.setattr(ef, "_SPARE", spare)
+    r, prints = random.Random(6), {}
+    for i in range(0, 60, 3):
+        prints[i] = r.randbytes(ef.BYTES)
+        prints[i + 1] = _changed(r, prints[i], {*range(0, 128, 8), *r.sample([p for p in range(128) if p % 8], 35)})
+        prints[i + 2] = _changed(r, prints[i + 1], set(r.sample(range(128), 51 + i % 2)))
+    hot = r.randbytes(ef.BYTES)
+    for i in range(100, 140):                              # a shared band whose smallest class is not near the others
+        prints[i] = hot[:8] + (r.randbytes(120) if i == 100 else _changed(r, hot, set(r.sample(range(8, 128), 20)))[8:])
+    rows = spark.createDataFrame(list(prints.items()), "doc_id long, fingerprint binary").repartition(3)
+    want = _near_ids(prints, 0.6)
+    assert {x.class_id: x.near_id for x in ef.near_classes(rows).collect()} == want
+    assert want[1] == 0 and want[2] == 0 and want[139] == 101
