@@ -28,16 +28,20 @@ def ordered_list(value, order: list, sep: str = ", ", desc: list[bool] | None =
     return F.expr(f"listagg({v}, '{sep_sql}') WITHIN GROUP (ORDER BY {keys})")
 
 
-def chunked_list(df: DataFrame, group: list[str], order: list, value: str, sep: str, chunk: int = 1000, name: str = "text") -> DataFrame:
+def chunked_list(df: DataFrame, group: list[str], order: list, value: str, sep: str, chunk: int = 1000, name: str = "text",
+                 num_partitions: int | None = None) -> DataFrame:
     """A5 for groups of any size: ``group``, ``chunk`` (from 1) and the ``sep``-joined values of its rows.
 
     Values are numbered inside their group by the segmented scan and every
     ``chunk`` of them are one row, so a group with a third of all rows is many
     small groups.  The pieces in order, joined by ``sep``, are the whole list.
     ``order`` must be total; NULL values take a number but no place in the text.
+    With ``num_partitions`` rows are sorted and joined in so many tasks; without, Spark decides.
     """
-    n = number_within(df, group, order, "_tw_at") if group else number_rows(df, order, "_tw_at")
+    n = number_within(df, group, order, "_tw_at", num_partitions) if group else number_rows(df, order, "_tw_at", num_partitions=num_partitions)
     placed = n.withColumn("chunk", F.expr(f"cast((_tw_at - 1) div {chunk} + 1 as int)"))
+    if num_partitions:
+        placed = placed.repartition(num_partitions, *group, "chunk")
     return placed.groupBy(*group, "chunk").agg(ordered_list(value, ["_tw_at"], sep).alias(name))
 
 

@@ -169,13 +169,16 @@ def _scanned(df: DataFrame, partition: list[str], order: list[Column], ties: lis
 def _carried(scanned: DataFrame, partition: list[str], ties: list[str], value: str | None) -> DataFrame:
     """(pid, count, rank, low) that the first group of each partition inherits: a row a partition.
 
-    A partition says what its ends are (partial aggregates by partition); one
-    pass over them in order finds what goes over each boundary.
+    A partition says what its ends are: its row 0 and its row of the largest
+    place, which are picked without a sort; one pass over them in order finds
+    what goes over each boundary.
     """
     ends = F.struct(*partition, *[F.col(t).alias(f"_tw_tie{i}") for i, t in enumerate(ties)])
-    fields = scanned.groupBy("_tw_s_pid").agg(
-        F.min_by(ends, "_tw_s_pos").alias("head"), F.max_by(F.struct(ends.alias("key"), "_tw_s_n", "_tw_s_r", "_tw_s_first", "_tw_s_run", "_tw_s_m", *([value] if value else [])),
-                                                        "_tw_s_pos").alias("tail"))
+    heads = scanned.where("_tw_s_pos = 0").select("_tw_s_pid", ends.alias("head"))
+    last = scanned.groupBy("_tw_s_pid").agg(F.max("_tw_s_pos").alias("_tw_s_pos"))       # a row a partition
+    tails = scanned.join(F.broadcast(last), ["_tw_s_pid", "_tw_s_pos"]).select(
+        "_tw_s_pid", F.struct(ends.alias("key"), "_tw_s_n", "_tw_s_r", "_tw_s_first", "_tw_s_run", "_tw_s_m", *([value] if value else [])).alias("tail"))
+    fields = heads.join(F.broadcast(tails), "_tw_s_pid")
     k, out, before = len(partition), [], None
     for r in sorted(fields.collect(), key=lambda r: r["_tw_s_pid"]):
         count, rank, low, tail = 0, None, None, r["tail"]

@@ -1,6 +1,9 @@
 """Plan properties the design relies on (checked on the executed plans at sf0.001)."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
+from tablewright import session
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,13 @@ def test_latest_row_aggregates_map_side(spark):
 def test_share_of_total_has_no_cartesian_product(spark):
     plan = _plan(spark, "share_of_total")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_ordered_label_list_takes_bounded_partitions(spark, monkeypatch):
+    """The number of partitions follows the rows, so a task's sorts and joins do not grow with the input."""
+    query = E.queries()["ordered_label_list"]
+    want = sorted(map(tuple, query(spark, SF).collect()))
+    monkeypatch.setattr(session, "PART_ROWS", 50, raising=False)
+    got = query(spark, SF)
+    assert sorted(map(tuple, got.collect())) == want
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(want) // 10
