@@ -58,6 +58,8 @@ from tablewright.session import cut_lineage, scratch
 
 NUMER, DENOM, WORDS = 80, 100, 5
 _ALL = (1 << 64) - 1
+#: Shingles and entries that a worker holds before it sends them: a flush makes some five copies of them.
+_HELD_SHINGLES, _HELD_ENTRIES = 200_000, 100_000
 #: Stands for a null doc_id where one document of a class is chosen.
 _NO_ID = -(1 << 62)
 
@@ -203,7 +205,7 @@ def long_lists(docs: DataFrame, shingles: int, words: int, long_list: int, max_l
                 if len(s):
                     held.append(s)
                     n += len(s)
-                if n > 700_000:
+                if n > _HELD_SHINGLES:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -255,7 +257,7 @@ def prefix_entries(docs: DataFrame, frequent, shingles: int, words: int, numer:
                 e["hash"], e["class"], e["n"], e["at"] = s_ordered[:p], c, len(s), np.arange(1, p + 1)
                 held.append(e)
                 n += p
-                if n > 400_000:
+                if n > _HELD_ENTRIES:
                     yield flush()
                     held, n = [], 0
         if held:

@@ -138,12 +138,11 @@ def _changed(r, print_, places):
     return bytes((b + r.randint(1, 255)) % 256 if i in places else b for i, b in enumerate(print_))
 
 
-@pytest.mark.parametrize("block, spare", [(1 << 15, 1), (50, 2)])
-def test_near_classes_equal_all_pairs(spark, monkeypatch, block, spare):
+@pytest.mark.parametrize("block", [1 << 15, 50])
+def test_near_classes_equal_all_pairs(spark, monkeypatch, block):
     """Pairs just at the threshold that share no band, and chains whose ends are not near, are linked; those just below are not."""
     monkeypatch.setattr(ef, "_MOST_BLOCK", block)
     monkeypatch.setattr(ef, "_LEAST_BLOCK", 1)
-    monkeypatch.setattr(ef, "_SPARE", spare)
     r, prints = random.Random(6), {}
     for i in range(0, 60, 3):
         prints[i] = r.randbytes(ef.BYTES)

@@ -181,6 +181,15 @@ def test_ngram_join_against_brute_force(spark, options):
     assert got == _brute(data)
 
 
+def test_ngram_entries_are_sent_in_small_parts(spark):
+    """A worker sends its entries before they are many: more rows than the 64 slices of one sending."""
+    data = [(d, " ".join(f"{d}.{i}" for i in range(20_000))) for d in range(45)]       # 4000 entries each
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    rare = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    rows = ngram_join.prefix_entries(docs, rare, 900_000, 5, 80, 100).selectExpr("count(*) n", "sum(length(entries)) b").first()
+    assert rows.n > 64 and rows.b >= 45 * 3999 * ngram_join._ENTRY.itemsize
+
+
 def test_ngram_join_sf(spark):
     docs = common.table(spark, SF, "documents", "doc_id", "text")
     assert {tuple(x) for x in ngram_join.ngram_join(docs).collect()} == _brute([tuple(x) for x in docs.collect()])
