@@ -322,21 +322,21 @@ def near_classes(prints: DataFrame, least: float = 0.6) -> DataFrame:
         left = pairs.join(failed, ["node", "head"]).select("node", "band")
         keyed = left.join(named, "node").select("node", "band", _band_key(F.col("band"), width).alias("key"))
     linked = connected_components(links.distinct()).withColumnRenamed("component", "root")
-    links = links.unionByName(other_links(named.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), least))
-    groups = connected_components(links.distinct()).select("node", F.col("component").alias("near_id"))
+    rooted = named.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = connected_components(other_links(rooted, least)).withColumnRenamed("node", "root")            # groups that have near members
+    groups = rooted.join(joined, "root", "left").select("node", F.coalesce("component", "root").alias("near_id"))
     return (classes.join(groups, "node", "left")
             .select("fingerprint", F.col("node").alias("class_id"), F.coalesce("near_id", "node").alias("near_id")))
 
 
 def other_links(classes: DataFrame, least: float) -> DataFrame:
-    """(u, v): near pairs of (node, fingerprint, root) that link all groups of equal ``root`` with near members."""
+    """(u, v): roots of near rows of (root, fingerprint) with different roots, enough to link all groups with near members."""
     n = classes.count()
     blocks = max(1, -(-n // min(_MOST_BLOCK, max(_LEAST_BLOCK, n // 8))))
 
     def pack(key: tuple, x):
         import pandas as pd
-        return pd.DataFrame({"block": [key[0]], "nodes": [x["node"].to_numpy(np.int64).tobytes()], "roots": [x["root"].to_numpy(np.int64).tobytes()],
-                             "prints": [b"".join(x["fingerprint"])]})
+        return pd.DataFrame({"block": [key[0]], "roots": [x["root"].to_numpy(np.int64).tobytes()], "prints": [b"".join(x["fingerprint"])]})
 
     def search(batches):
         import pyarrow as pa
@@ -344,14 +344,13 @@ def other_links(classes: DataFrame, least: float) -> DataFrame:
             for i in range(b.num_rows):
                 x = {n: b.column(n)[i].as_py() for n in b.schema.names}
                 same = x["block"] == x["their_block"]
-                nodes, roots, prints = (np.frombuffer(x[c] if same else x[c] + x["their_" + c], t)
-                                        for c, t in (("nodes", np.int64), ("roots", np.int64), ("prints", np.uint8)))
-                found = block_links(roots, prints.reshape(-1, BYTES), 0 if same else len(x["nodes"]) // 8, least)
-                u, v = (nodes[[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+                roots, prints = (np.frombuffer(x[c] if same else x[c] + x["their_" + c], t) for c, t in (("roots", np.int64), ("prints", np.uint8)))
+                found = block_links(roots, prints.reshape(-1, BYTES), 0 if same else len(x["roots"]) // 8, least)
+                u, v = (roots[np.array([p[k] for p in found], np.int64)] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    packed = (classes.select("node", "root", "fingerprint", F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)).alias("block"))
-              .groupBy("block").applyInPandas(pack, "block long, nodes binary, roots binary, prints binary"))
+    packed = (classes.select("root", "fingerprint", F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)).alias("block"))
+              .groupBy("block").applyInPandas(pack, "block long, roots binary, prints binary"))
     one = cut_lineage(packed).repartition(blocks)          # about a block a partition: partitions meet in tasks, nothing is copied to disk
     other = one.select(*[F.col(c).alias("their_" + c) for c in one.columns])
     meets = one.join(other.hint("shuffle_replicate_nl"), F.col("block") <= F.col("their_block"))
