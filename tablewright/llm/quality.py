@@ -24,12 +24,15 @@ Rows that repeat are scored each.  Other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import U64, BlockedBloom, mix64, texts
+from tablewright.llm.common import U64, BlockedBloom, in_slices, mix64, texts
 from tablewright.session import cut_lineage
 
 #: Byte classes of a word shape: letters fold to 1, digits to 2, upper case to 3, bytes above 127 to 1; other bytes stay.
@@ -95,7 +98,11 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def labelled_texts(docs: DataFrame, y: DataFrame, n_labels: int) -> DataFrame:
-    """(text, y) of the training rows.  A Bloom filter of the labelled ids keeps other texts out of the join's shuffle."""
+    """(text, y) of the training rows.  A Bloom filter of the labelled ids keeps other texts out of the join's shuffle.
+
+    The join shuffles at every size: a broadcast one would leave the filter and
+    the Python step that reads the rows in one task, with a worker for each.
+    """
     spark = docs.sparkSession
     keys = y.select(F.xxhash64("lid").alias("k"))
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(keys, "k", n_labels))
@@ -105,7 +112,7 @@ def labelled_texts(docs: DataFrame, y: DataFrame, n_labels: int) -> DataFrame:
         return pd.Series(bloom.value.has(k.to_numpy(np.int64).view(np.uint64)))
 
     rows = texts(docs).where(listed(F.xxhash64("doc_id")))
-    return rows.join(y, rows["doc_id"] == y["lid"]).select("text", "y")
+    return rows.join(y.hint("merge"), rows["doc_id"] == y["lid"]).select("text", "y")
 
 
 def log_count_ratios(train: DataFrame, bits: int = 18, alpha: float = 1.0) -> np.ndarray:
@@ -124,7 +131,8 @@ def log_count_ratios(train: DataFrame, bits: int = 18, alpha: float = 1.0) -> np
             part = at[k:k + (1 << 16)]
             yield pd.DataFrame({"feature": part.astype(np.int32), "neg": n[0, part], "pos": n[1, part]})
 
-    rows = (train.select("text", "y").mapInPandas(count, "feature int, neg long, pos long")
+    schema = "feature int, neg long, pos long"
+    rows = (train.select("text", "y").mapInArrow(in_slices(count, schema=schema), schema)
             .groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas())
     n = np.zeros((2, 1 << bits))
     n[0, rows["feature"]], n[1, rows["feature"]] = rows["neg"], rows["pos"]
@@ -132,16 +140,20 @@ def log_count_ratios(train: DataFrame, bits: int = 18, alpha: float = 1.0) -> np
     return np.log(p[1] / p[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, width: int, c: float,
+def dual_coordinate_descent(rows: list[np.ndarray], values: Callable[[np.ndarray], np.ndarray], y: np.ndarray, width: int, c: float,
                             epochs: int, seed: int = 7, tol: float = 1e-3) -> np.ndarray:
-    """Weights (last entry: bias) of the L1-loss linear SVM over sparse rows (columns, values); y is -1 or 1."""
+    """Weights (last entry: bias) of the L1-loss linear SVM over sparse rows; y is -1 or 1.
+
+    ``values`` gives a row's values from its columns.  They are taken anew at
+    each visit: held for all rows they would be two thirds of the memory.
+    """
     w, alpha = np.zeros(width + 1), np.zeros(len(rows))
-    norm = np.array([v @ v + 1.0 for v in values])
+    norm = np.array([v @ v + 1.0 for v in map(values, rows)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            r, v, s = rows[i], values[i], y[i]
+            r, v, s = rows[i], values(rows[i]), y[i]
             g = s * (w[r] @ v + w[-1]) - 1.0
             pg = min(g, 0.0) if alpha[i] == 0 else max(g, 0.0) if alpha[i] == c else g
             worst = max(worst, abs(pg))
@@ -184,6 +196,18 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * m + self.offset, -30, 30))))
 
 
+def fitted(sample: Iterator[str], y: np.ndarray, ratio: np.ndarray, bits: int, c: float, epochs: int) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias, slope and offset of the model fitted to a sample of texts; y is -1 or 1.  Of a text only its columns are held."""
+    columns = [features(t, bits) for t in sample]
+
+    def values(r: np.ndarray) -> np.ndarray:
+        return ratio[r] / max(1.0, np.sqrt(len(r)))
+
+    w = dual_coordinate_descent(columns, values, y, len(ratio), c, epochs)
+    slope, offset = _logistic(np.array([w[r] @ values(r) + w[-1] for r in columns]), y)
+    return w[:-1] * ratio, w[-1], slope, offset
+
+
 def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, c: float = 1.0, epochs: int = 12, max_fit: int = 6000) -> QualityModel:
     """Fit on the labelled rows outside the held-out fold; see the module's text."""
     y = cut_lineage(training_labels(labels))
@@ -198,13 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, c: float = 1.0, epoc
     rows = texts(docs)
 
     def solve(x: pd.DataFrame) -> pd.DataFrame:
-        columns = [features(t, bits) for t in x["text"]]
         sign = np.where(x["y"].to_numpy() == 1, 1.0, -1.0)
-        values = [ratio[r] / max(1.0, np.sqrt(len(r))) for r in columns]
-        w = dual_coordinate_descent(columns, values, sign, len(ratio), c, epochs)
-        margin = np.array([w[r] @ v + w[-1] for r, v in zip(columns, values, strict=True)])
-        slope, offset = _logistic(margin, sign)
-        return pd.DataFrame({"weights": [(w[:-1] * ratio).tobytes()], "bias": [w[-1]], "slope": [slope], "offset": [offset]})
+        weights, bias, slope, offset = fitted(iter(x["text"]), sign, ratio, bits, c, epochs)
+        return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
     sample = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["lid"]).select("text", "y")
     got = (sample.groupBy().applyInPandas(solve, "weights binary, bias double, slope double, offset double")).collect()
@@ -213,13 +233,20 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, c: float = 1.0, epoc
     return QualityModel(np.frombuffer(got[0]["weights"]), got[0]["bias"], got[0]["slope"], got[0]["offset"], bits)
 
 
+def _scores(model: QualityModel, batch: pa.Array, rows: int = 512) -> Iterator[float]:
+    """Score of every text of a batch; few of them at a time are Python strings."""
+    for at in range(0, len(batch), rows):
+        for text in batch.slice(at, rows).to_pylist():
+            yield model.score(text)
+
+
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; one map pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in text], dtype=float)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(_scores(shared.value, text), pa.float64())
 
     return (texts(docs).select("doc_id", held_out("doc_id").alias("held_out"), score("text").alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
@@ -229,8 +256,8 @@ def keeps(docs: DataFrame, model: QualityModel, threshold: float = 0.3):
     """Condition on a documents frame: the model does not reject the row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) >= threshold for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array((x >= threshold for x in _scores(shared.value, text)), pa.bool_())
 
     return good(F.coalesce(docs["text"], F.lit("")))

@@ -2,9 +2,11 @@
 
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +370,33 @@ def test_quality_without_both_classes(spark):
     assert set(quality.score_quality(docs, quality.fit(docs, none)).toPandas()["score"]) == {0.5}
 
 
+def test_quality_tasks_have_one_worker_and_few_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 4)], "lid long, y int")
+    train = quality.labelled_texts(docs, y, 10)
+    assert sorted(r.text for r in train.collect()) == sorted(f"text {i}" for i in range(0, 40, 4))
+    assert "BroadcastHashJoin" not in train._jdf.queryExecution().executedPlan().toString()       # its rows go to another Python step
+
+    rng = np.random.default_rng(1)
+    sample = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 200)) for _ in range(600)]
+    held = sum(quality.features(t).nbytes for t in sample)
+    sign, ratio = np.where(np.arange(600) % 2, 1.0, -1.0), rng.normal(size=1 << 18)
+    tracemalloc.start()
+    try:
+        weights, *_ = quality.fitted(iter(sample), sign, ratio, 18, 1.0, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert weights.any() and peak < held + 4 * ratio.nbytes                                       # columns only, no values of them
+
+    class Counted:
+        def score(self, text):
+            return len(text) / 10
+
+    batch = pa.array(["x" * (i % 7) for i in range(1100)])
+    assert list(quality._scores(Counted(), batch, 512)) == [(i % 7) / 10 for i in range(1100)]
+
+
 # ---------------------------------------------------------------- pipeline and empty tables
 
 def test_pipeline_stages_keep_columns_and_match_brute_force(spark):
