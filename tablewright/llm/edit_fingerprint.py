@@ -324,7 +324,7 @@ def near_classes(prints: DataFrame, least: float = 0.6) -> DataFrame:
     linked = connected_components(links.distinct()).withColumnRenamed("component", "root")
     rooted = named.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = connected_components(other_links(rooted, least)).withColumnRenamed("node", "root")            # groups that have near members
-    groups = rooted.join(joined, "root", "left").select("node", F.coalesce("component", "root").alias("near_id"))
+    groups = rooted.join(joined, "root", "left").select("node", F.coalesce("component", "root").alias("near_id")).distinct()  # classes may share a node
     return (classes.join(groups, "node", "left")
             .select("fingerprint", F.col("node").alias("class_id"), F.coalesce("near_id", "node").alias("near_id")))
 
