@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import U64, BlockedBloom, in_slices, mix64, texts
-from tablewright.session import cut_lineage
 
 #: Byte classes of a word shape: letters fold to 1, digits to 2, upper case to 3, bytes above 127 to 1; other bytes stay.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -209,8 +208,13 @@ def fitted(sample: Iterator[str], y: np.ndarray, ratio: np.ndarray, bits: int, c
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, c: float = 1.0, epochs: int = 12, max_fit: int = 6000) -> QualityModel:
-    """Fit on the labelled rows outside the held-out fold; see the module's text."""
-    y = cut_lineage(training_labels(labels))
+    """Fit on the labelled rows outside the held-out fold; see the module's text.
+
+    No table is written: the labels, two columns, are read again by each job
+    instead.  Executors start a process for each file they write, and a copy
+    of one counts as much memory as the executor until it runs its program.
+    """
+    y = training_labels(labels)
     classes = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
         share = 0.5 if not classes else float(next(iter(classes)))
@@ -218,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, c: float = 1.0, epoc
     ratio = log_count_ratios(labelled_texts(docs, y, sum(classes.values())), bits)
     known = y.join(docs.select(F.col("doc_id").cast("long").alias("lid")).distinct(), "lid")
     chosen = [known.where(F.col("y") == k).orderBy(F.xxhash64("lid"), "lid").limit(max_fit // 2) for k in (0, 1)]
-    chosen = cut_lineage(chosen[0].unionByName(chosen[1]))            # at most max_fit rows of 12 bytes
+    chosen = chosen[0].unionByName(chosen[1])                         # at most max_fit rows of 12 bytes
     rows = texts(docs)
 
     def solve(x: pd.DataFrame) -> pd.DataFrame:

@@ -397,6 +397,16 @@ def test_quality_tasks_have_one_worker_and_few_texts(spark):
     assert list(quality._scores(Counted(), batch, 512)) == [(i % 7) / 10 for i in range(1100)]
 
 
+def test_quality_fit_writes_no_tables(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    root = os.path.join(session.checkpoint_dir(spark).replace("file:", ""), "tables")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    model = quality.fit(docs, labels)
+    assert model.score("good text") > model.score("bad text")
+    assert (set(os.listdir(root)) if os.path.isdir(root) else set()) == before
+
+
 # ---------------------------------------------------------------- pipeline and empty tables
 
 def test_pipeline_stages_keep_columns_and_match_brute_force(spark):
